@@ -1,0 +1,6 @@
+"""Every registered query of the library with its SQL, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}

@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     keys = usable.join(rep_ids, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    ties = keys.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    ties = keys.hint("merge").join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     classes = saved(components(ties).join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("weight")), "node"))
 
     links = _verified(texts, classes, k, percent, block_docs, block_shingles)
@@ -222,6 +222,6 @@ def _verified(texts: DataFrame, classes: DataFrame, k: int, percent: int, block_
     placed = sized.join(plan, "component").select(F.col("node").alias("doc_id"), F.struct("component", tasks.alias("list")).alias("tasks"))
 
     schema = "doc_id long, shingles binary, tasks struct<component:long,list:array<struct<s1:int,z1:int,s2:int,z2:int,side:int>>>"
-    sets = texts.join(placed, "doc_id").select("doc_id", "text", "tasks").mapInArrow(_set_rows(k), schema)
+    sets = texts.hint("merge").join(placed, "doc_id").select("doc_id", "text", "tasks").mapInArrow(_set_rows(k), schema)
     dealt = sets.select("doc_id", "shingles", F.col("tasks.component").alias("component"), F.inline("tasks.list"))
     return dealt.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_verify(percent), "a long, b long")

@@ -5,8 +5,8 @@
 2. Sketch: in round i every shingle is thrown into one of t bins with value i + hash; a bin keeps its least
    value. Rounds t .. 2t-1 fill bin i - t, so every coordinate is filled after 2t rounds at most, and a set of n
    shingles needs about n + t log t throws instead of n * t.
-3. Banding: t = bands * rows. With 51 bands of 8 rows a pair at the threshold of 0.85 shares a band with
-   probability 1 - 1e-7. Every document is tied to the smallest of each bucket, and the connected candidates form
+3. Banding: t = bands * rows, with as many rows as leave a pair at the threshold less than one chance in a million to
+   share no band (8 rows of 51 bands at 0.85). Every document is tied to the smallest of each bucket, and the connected candidates form
    a candidate class: two documents that share any bucket are in one class.
 4. Verification: within a candidate class the full sets are compared. Classes are cut into blocks of bounded
    weight, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a hash;
@@ -96,6 +96,11 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def rows_for(threshold: float, bands: int, miss: float = 1e-6) -> int:
+    """The most rows a band with which a pair at the threshold shares no band with probability ``miss`` at most."""
+    return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** bands <= miss)
+
+
 def _sketch_rows(k: int, bands: int, rows: int):
     def work(raw, offsets, batch):
         h, bounds = shingle_sets(raw, offsets, k)
@@ -171,7 +176,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int = 8, block_docs: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int | None = None, block_docs: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their distinct k-word shingles; component_id is
@@ -179,6 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     are linked with nothing. Rows that repeat a doc_id count as one document. A row with a null doc_id is linked with
     nothing and kept. Other columns are ignored.
     """
+    rows = rows or rows_for(percent / 100, bands)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = saved(texts.mapInArrow(_sketch_rows(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     usable = sketch.where("n_shingles > 0 and doc_id is not null")

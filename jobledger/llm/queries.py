@@ -9,6 +9,7 @@ from jobledger.llm import chat, quality, toxicity
 from jobledger.llm.ann import nearest
 from jobledger.llm.decontam import decontaminate
 from jobledger.llm.line_dedup import dedupe_lines
+from jobledger.llm.lm import score_texts
 from jobledger.llm.mixing import taken_words
 from jobledger.llm.near_dedup import near_duplicates
 from jobledger.llm.substring_dedup import remove_shared
@@ -109,6 +110,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document by counts and by the maximum-entropy model."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), query_step=20, top=20)
@@ -168,6 +174,7 @@ QUERIES = {
     "op4_shared_passages": op4_shared_passages,
     "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,

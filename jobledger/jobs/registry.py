@@ -2,5 +2,683 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobledger.functions import scalar
+from jobledger.jobs import sql
+from jobledger.operators import alerts, audits, gauges, history, jobtable, stats, unique, workflow
+from jobledger.operators.events import dedupe_events, normalize_events
+from jobledger.sources import fixtures as fx
+from jobledger.sources.tables import parse_event_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AS_OF = fx.JOBS_AS_OF_MS
+
+
+def query(text: str | None = None, name: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if text:
+            ORACLES[name or f.__name__] = text
+        return f
+
+    return add
+
+
+def us(c: str) -> Column:
+    return F.unix_micros(c).alias(f"{c}_us")
+
+
+# --- events -----------------------------------------------------------------------------------------------------------
+
+
+@query(sql.events(r"SELECT seq, event_id, kind, queue, us AS time_us, seq % 101 = 0 AS corrupt FROM (SELECT CASE WHEN seq % 101 = 0 THEN NULL ELSE seq END AS seq2, * FROM e0) WHERE seq % 101 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, true FROM e0 WHERE seq % 101 = 0"))
+def read_events(spark, sf):
+    """Event lines of JSON parsed; every 101st is cut short and comes back as corrupt."""
+    rows = fx.events_raw(spark, sf)
+    line = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    lines = rows.select(F.when(F.col("seq") % 101 == 0, F.concat(F.lit("x"), line)).otherwise(line).alias("line"))
+    return parse_event_lines(lines).select("seq", "event_id", "kind", "queue", F.unix_micros("time").alias("time_us"), "corrupt")
+
+
+@query(sql.events("SELECT seq, schema_version, event_id, layer, queue FROM e1"))
+def normalized_events(spark, sf):
+    return normalize_events(fx.events_raw(spark, sf)).select("seq", "schema_version", "event_id", "layer", "queue")
+
+
+@query(sql.events("SELECT layer, kind, count(*) AS events FROM e1 GROUP BY ALL"))
+def event_layer(spark, sf):
+    return fx.events_raw(spark, sf).select(scalar.event_layer(F.col("kind")).alias("layer"), "kind").groupBy("layer", "kind").agg(F.count("*").alias("events"))
+
+
+@query(sql.events("SELECT event_id, seq, kind, queue FROM e"))
+def deduped_events(spark, sf):
+    return dedupe_events(normalize_events(fx.events_raw(spark, sf))).select("event_id", "seq", "kind", "queue")
+
+
+@query(sql.events("SELECT seq, sha1(job_type || ':' || payload) AS job_key FROM e0"))
+def observed_job_key(spark, sf):
+    rows = fx.events_raw(spark, sf).select("seq", "job_type").join(fx.requests(spark, sf).select("seq", "payload"), "seq")
+    return rows.select("seq", scalar.observed_job_key(F.col("job_type"), F.col("payload")).alias("job_key"))
+
+
+_FRAME = "unhex(format('{{:016x}}', octet_length(encode({0})))) || encode({0})"
+
+
+def _framed(*cols: str) -> str:
+    return " || ".join(_FRAME.format(c) for c in cols)
+
+
+@query(sql.over(sql.REQUESTS, f"SELECT seq, 'v1:' || sha256(encode('queue:unique:v1') || {_framed('q', 'job_type', 'payload')}) AS unique_key FROM d"))
+def unique_key(spark, sf):
+    return fx.requests(spark, sf).select("seq", scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload")).alias("unique_key"))
+
+
+@query(sql.over(sql.REQUESTS, "SELECT seq, sha256(q || ':' || job_type || ':' || payload) AS legacy_key FROM d"))
+def legacy_unique_key(spark, sf):
+    return fx.requests(spark, sf).select("seq", scalar.legacy_unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload")).alias("legacy_key"))
+
+
+@query(sql.events(f"SELECT seq, 'evt_' || left(sha256({_framed(chr(39) + '1' + chr(39), 'kind', 'dispatch_id', 'job_id')}), 32) AS fact_id FROM e0"))
+def stable_event_id(spark, sf):
+    return fx.events_raw(spark, sf).select("seq", scalar.stable_event_id(F.col("kind"), F.col("dispatch_id"), F.col("job_id")).alias("fact_id"))
+
+
+_PRINT = ("job_type", "payload", "q", "delay_ms::VARCHAR", "coalesce(timeout_ms::VARCHAR, '')", "coalesce(max_retry::VARCHAR, '')", "backoff_ms::VARCHAR", "ttl::VARCHAR")
+
+
+@query(sql.over(sql.REQUESTS, f"SELECT seq, sha256({_framed(*_PRINT)}) AS fingerprint FROM d"))
+def job_fingerprint(spark, sf):
+    d = fx.requests(spark, sf).withColumn("q", scalar.default_queue(F.col("queue")))
+    return d.select("seq", scalar.job_fingerprint(*[F.col(c) for c in ("job_type", "payload", "q", "delay_ms", "timeout_ms", "max_retry", "backoff_ms", "unique_ttl_ms")]).alias("fingerprint"))
+
+
+def _deliveries(spark, sf) -> DataFrame:
+    """Requests wrapped as deliveries: most in a version 1 envelope, some in another version, with bad base64 or bad JSON, or bare."""
+    d = fx.requests(spark, sf)
+    i = F.col("seq")
+    body = F.when(i % 7 == 2, "*not base64*").otherwise(F.base64(F.col("payload").cast("binary")))
+    doc = F.concat(F.lit('{"schema_version":'), F.when(i % 7 == 1, "2").otherwise("1"), F.lit(',"dispatch_id":"d'), i.cast("string"), F.lit('","job_id":"j'), i.cast("string"), F.lit('","chain_id":"","batch_id":"b1","attempt":1,"job":{"type":"'), F.col("job_type"), F.lit('","payload":"'), body, F.when(i % 7 == 3, '"').otherwise('"}}'))
+    side = F.concat(F.lit('{"schema_version":'), F.when(i % 5 == 0, "2").otherwise("1"), F.lit(',"dispatch_id":"side'), i.cast("string"), F.lit('","job_id":"","queue":"q1"}'))
+    return d.select("seq", F.when(i % 7 == 0, "plain").when(i % 2 == 0, "bus:job").otherwise("bus:batch:job").alias("delivery_type"), doc.alias("doc"), F.when(i % 3 == 0, side).alias("sidecar"))
+
+
+_DELIVERY = r"""
+v0 AS (SELECT seq, CASE WHEN seq % 7 = 0 THEN 'plain' WHEN seq % 2 = 0 THEN 'bus:job' ELSE 'bus:batch:job' END AS delivery_type, job_type, payload,
+  '{"schema_version":' || CASE WHEN seq % 7 = 1 THEN '2' ELSE '1' END || ',"dispatch_id":"d' || seq || '","job_id":"j' || seq || '","chain_id":"","batch_id":"b1","attempt":1,"job":{"type":"' || job_type || '","payload":"' ||
+  CASE WHEN seq % 7 = 2 THEN '*not base64*' ELSE to_base64(encode(payload)) END || CASE WHEN seq % 7 = 3 THEN '"' ELSE '"}}' END AS doc,
+  seq % 7 NOT IN (0, 1, 2, 3) AS decoded, seq % 3 = 0 AND seq % 5 <> 0 AS side FROM d),
+v AS (SELECT seq, decoded, side, CASE WHEN decoded AND job_type <> '' THEN job_type ELSE delivery_type END AS job_type, CASE WHEN decoded AND job_type <> '' THEN payload ELSE doc END AS payload,
+  CASE WHEN decoded THEN 'd' || seq ELSE '' END AS dispatch_id, CASE WHEN decoded THEN 'j' || seq ELSE '' END AS job_id, CASE WHEN decoded THEN 'b1' ELSE '' END AS batch_id FROM v0)
+"""
+
+
+@query(sql.over(sql.REQUESTS, _DELIVERY, "SELECT seq, decoded, job_type, payload, dispatch_id, job_id, batch_id FROM v"))
+def resolve_delivery(spark, sf):
+    d = _deliveries(spark, sf).withColumn("r", scalar.resolve_delivery(F.col("delivery_type"), F.col("doc")))
+    return d.select("seq", "r.decoded", "r.job_type", F.col("r.payload").cast("string").alias("payload"), "r.dispatch_id", "r.job_id", "r.batch_id")
+
+
+@query(sql.over(sql.REQUESTS, _DELIVERY, "SELECT seq, decoded, side AS sidecar, job_type, CASE WHEN side THEN 'side' || seq ELSE dispatch_id END AS dispatch_id, job_id, CASE WHEN side THEN 'q1' ELSE '' END AS queue FROM v"))
+def resolve_metadata(spark, sf):
+    d = _deliveries(spark, sf).withColumn("r", scalar.resolve_metadata(F.col("delivery_type"), F.col("doc"), F.col("sidecar")))
+    return d.select("seq", "r.decoded", "r.sidecar", "r.job_type", "r.dispatch_id", "r.job_id", "r.queue")
+
+
+@query(sql.over(sql.REQUESTS, "SELECT seq, CASE WHEN queue = '' THEN 'app_default' WHEN starts_with(queue, 'app_') THEN queue ELSE 'app_' || queue END AS physical, CASE WHEN queue = '' THEN 'default' ELSE queue END AS bare FROM d"))
+def physical_queue(spark, sf):
+    name = F.concat(F.lit(" "), F.col("queue"))
+    return fx.requests(spark, sf).select("seq", scalar.physical_queue(F.lit("app_default"), name).alias("physical"), scalar.physical_queue(F.lit("default"), name).alias("bare"))
+
+
+@query(sql.over(sql.JOBS, "SELECT id, derived FROM js"))
+def derive_job_state(spark, sf):
+    return jobtable.with_state(fx.jobs(spark, sf), AS_OF).select("id", "derived")
+
+
+@query(sql.events("SELECT seq, CASE WHEN error IS NULL THEN 'succeeded' WHEN error_class = 'uncommitted' THEN 'redeliver' WHEN error_class = 'permanent' OR attempt >= max_retry THEN 'failed' ELSE 'retry' END AS outcome FROM e WHERE kind IN ('process_succeeded', 'process_failed')"))
+def classify_attempt(spark, sf):
+    e = fx.events(spark, sf).where(stats.kind_is(*stats.ENDED))
+    return e.select("seq", scalar.classify_attempt(F.col("attempt"), F.col("max_retry"), F.col("error").isNotNull(), F.col("error_class")).alias("outcome"))
+
+
+@query(sql.events("SELECT seq, CASE WHEN error = 'boom-0' THEN 'permanent' ELSE error_class END AS error_class FROM e WHERE kind = 'process_failed'"))
+def mark_permanent(spark, sf):
+    return audits.skip_permanent(fx.events(spark, sf)).select("seq", "error_class")
+
+
+@query(sql.over(sql.REQUESTS, "SELECT queue, count(*) AS requests FROM d WHERE NOT coalesce(max_retry = 1, false) GROUP BY queue"))
+def skip_when(spark, sf):
+    return jobtable.skip_when(fx.requests(spark, sf), F.col("max_retry") == 1).groupBy("queue").agg(F.count("*").alias("requests"))
+
+
+@query(sql.over(sql.REQUESTS, "SELECT seq, reason FROM d"))
+def validate_dispatch(spark, sf):
+    return jobtable.validate_dispatch(fx.requests(spark, sf)).select("seq", "reason")
+
+
+@query(sql.over(sql.REQUESTS, """SELECT row_number() OVER (ORDER BY time, seq) AS id, q AS queue_name, job_type, payload, CASE WHEN timeout_ms > 0 THEN greatest(1, ceil(timeout_ms / 1000))::BIGINT END AS timeout_seconds,
+  coalesce(max_retry, 0) AS max_retry, backoff_ms AS backoff_millis, 0 AS attempt, 1706745600000 + delay_ms AS available_at, 'pending' AS state FROM d WHERE reason IS NULL"""))
+def admit_jobs(spark, sf):
+    return jobtable.admit_jobs(fx.requests(spark, sf), 1_706_745_600_000)
+
+
+@query(sql.over(sql.REQUESTS, "SELECT seq, payload <> '' AND seq % 13 <> 0 AS bind_ok, CASE WHEN payload <> '' AND seq % 13 <> 0 THEN json_extract(payload, '$.u')::BIGINT END AS u FROM d"))
+def bind_payload(spark, sf):
+    rows = fx.requests(spark, sf).withColumn("payload", F.when(F.col("seq") % 13 == 0, F.concat(F.lit("{"), F.col("payload"))).otherwise(F.col("payload")))
+    return jobtable.bind_payload(rows, "u bigint").select("seq", "bind_ok", F.when(F.col("bind_ok"), F.col("bound.u")).alias("u"))
+
+
+# --- counters and gauges ----------------------------------------------------------------------------------------------
+
+
+@query(sql.events(sql.COUNTERS))
+def simple_counters(spark, sf):
+    return stats.simple_counters(fx.events(spark, sf))
+
+
+@query(sql.events(sql.RUN))
+def avg_run(spark, sf):
+    return stats.avg_run(fx.events(spark, sf))
+
+
+@query(sql.events(sql.WAIT, sql.WAITS))
+def avg_wait(spark, sf):
+    return stats.avg_wait(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT queue, job_key, nth, enqueued AS enqueued_at_us, started AS started_at_us FROM w", sql.WAITS))
+def match_waits(spark, sf):
+    return gauges.match_waits(fx.events(spark, sf)).select("queue", "job_key", "nth", us("enqueued_at"), us("started_at"))
+
+
+@query(sql.events(sql.PAUSED))
+def paused_state(spark, sf):
+    return stats.paused_state(fx.events(spark, sf))
+
+
+@query(sql.events(sql.THROUGHPUT))
+def throughput(spark, sf):
+    return stats.throughput(fx.events(spark, sf))
+
+
+@query(sql.events(sql.PENDING))
+def pending_gauge(spark, sf):
+    return gauges.pending_gauge(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT queue, seq, (s - least(0, min(s) OVER (PARTITION BY queue ORDER BY time, seq ROWS UNBOUNDED PRECEDING)))::BIGINT AS gauge FROM (SELECT *, sum(delta) OVER (PARTITION BY queue ORDER BY time, seq ROWS UNBOUNDED PRECEDING) AS s FROM (" + sql._PENDING + "))"))
+def pending_series(spark, sf):
+    return gauges.floored_gauge(fx.events(spark, sf).select("queue", "time", "seq", "kind"), ["queue"], gauges.pending_delta()).select("queue", "seq", "gauge")
+
+
+@query(sql.events(sql.SCHEDULED))
+def scheduled_gauge(spark, sf):
+    return gauges.scheduled_gauge(fx.events(spark, sf))
+
+
+@query(sql.events(sql.ACTIVE))
+def active_gauge(spark, sf):
+    return gauges.active_gauge(fx.events(spark, sf))
+
+
+_PARTS = [("run", sql.RUN, ["avg_run_ns"]), ("wait", sql.WAIT, ["avg_wait_ns"]), ("paused", sql.PAUSED, ["paused"]), ("thr", sql.THROUGHPUT, [f"{n}_{w}" for w in stats.WINDOWS for n in ("processed", "failed")]), ("pend", sql.PENDING, ["pending"]), ("sched", sql.SCHEDULED, ["scheduled"]), ("act", sql.ACTIVE, ["active"])]
+
+
+@query(sql.events(
+    "SELECT c.queue, c.processed, c.failed, c.retry, c.archived, " + ", ".join(f"coalesce({t}.{c}, 0) AS {c}" for t, _, cs in _PARTS for c in cs) + " FROM (" + sql.COUNTERS + ") c " + " ".join(f"LEFT JOIN ({q}) {t} ON {t}.queue = c.queue" for t, q, _ in _PARTS), sql.WAITS
+))
+def stats_snapshot(spark, sf):
+    return stats.stats_snapshot(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT kind, driver, queue, count(*) AS events FROM e GROUP BY ALL"))
+def events_total(spark, sf):
+    return stats.events_total(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT driver, queue, (count(*) FILTER (WHERE kind IN ('enqueue_rejected', 'enqueue_canceled')))::BIGINT AS enqueue_failed, " + ", ".join(sql._COUNT.format(k, k) for k in ("republish_failed", "settlement_failed", "process_recovered")) + " FROM e GROUP BY ALL"))
+def failure_counters(spark, sf):
+    return stats.failure_counters(fx.events(spark, sf))
+
+
+_BOUNDS = [100, 300, 500, 1000]
+
+
+@query(sql.events(
+    "SELECT *, (sum(n) OVER (PARTITION BY driver, queue, job_type ORDER BY bucket))::BIGINT AS cumulative FROM (SELECT driver, queue, job_type, " + "CASE " + " ".join(f"WHEN duration_ns <= {b}000000 THEN {i}" for i, b in enumerate(_BOUNDS)) + f" ELSE {len(_BOUNDS)} END AS bucket, count(*) AS n, sum(duration_ns)::BIGINT AS sum_ns FROM e WHERE kind IN ('process_succeeded', 'process_failed') GROUP BY ALL)"
+))
+def duration_histogram(spark, sf):
+    return stats.duration_histogram(fx.events(spark, sf), _BOUNDS)
+
+
+@query(sql.events("SELECT job_type, queue, quantile_cont(duration_ns, 0.5) AS p50_ns, quantile_cont(duration_ns, 0.95) AS p95_ns, quantile_cont(duration_ns, 0.99) AS p99_ns FROM e WHERE kind IN ('process_succeeded', 'process_failed') GROUP BY ALL"))
+def duration_percentiles(spark, sf):
+    return stats.duration_percentiles(fx.events(spark, sf), exact=True)
+
+
+@query(sql.events("""SELECT queue, count(*) AS jobs, (sum(ms) // count(*))::BIGINT AS avg_ms, max(ms) AS max_ms FROM (
+  SELECT p.job_id, p.queue, min(s.us) // 1000 - p.us // 1000 AS ms FROM (SELECT job_id, min_by(queue, (time, seq)) AS queue, min(us) AS us FROM e WHERE kind = 'enqueue_accepted' AND job_id <> '' GROUP BY 1) p
+  JOIN e s ON s.job_id = p.job_id AND s.kind = 'process_succeeded' AND s.us >= p.us GROUP BY p.job_id, p.queue, p.us) GROUP BY queue"""))
+def completion_latency(spark, sf):
+    return stats.completion_latency(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT kind, queue, count(*) AS events FROM e WHERE layer = 'workflow' GROUP BY ALL"))
+def workflow_event_totals(spark, sf):
+    return stats.workflow_event_totals(fx.events(spark, sf))
+
+
+@query(sql.over(sql.REQUESTS, "SELECT job_type, q AS queue, count(*) AS requests FROM d GROUP BY ROLLUP (job_type, q)"))
+def dispatch_summary(spark, sf):
+    return stats.dispatch_summary(fx.requests(spark, sf))
+
+
+def _chain_facts(spark, sf) -> DataFrame:
+    """Facts of chains: one per conversation, a node for each turn."""
+    c = fx.table(spark, sf, "conversations").where("conv_id >= 0")
+    chain = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    kind = F.when(F.col("turn") == 0, "chain_started").when((F.col("role") == "user") & (F.col("turn") >= 6), "chain_failed").when(F.col("turn") == 7, "chain_completed").otherwise("chain_advanced")
+    return c.select(chain.alias("chain_id"), kind.alias("kind"), F.concat(chain, F.lit(":"), F.col("turn").cast("string")).alias("event_id"), F.timestamp_seconds("turn").alias("time"), F.col("turn").alias("seq"))
+
+
+@query("""WITH f AS (SELECT 'c' || conv_id AS chain_id, turn, CASE WHEN turn = 0 THEN 'chain_started' WHEN role = 'user' AND turn >= 6 THEN 'chain_failed' WHEN turn = 7 THEN 'chain_completed' ELSE 'chain_advanced' END AS kind FROM conversations WHERE conv_id >= 0)
+SELECT chain_id, count(*) FILTER (WHERE kind = 'chain_started') > 0 AS started, count(DISTINCT turn) FILTER (WHERE kind = 'chain_advanced') AS advanced, max_by(kind, turn) FILTER (WHERE kind IN ('chain_failed', 'chain_completed')) AS terminal FROM f GROUP BY chain_id""")
+def chain_summary(spark, sf):
+    return stats.chain_summary(_chain_facts(spark, sf))
+
+
+@query(sql.events("""SELECT job_key, job_type, sum(n)::BIGINT AS failures, max(a) AS max_attempt, count(*) AS errors, min_by(error, (-n, error)) AS top_error FROM (
+  SELECT job_key, job_type, error, count(*) AS n, max(attempt) AS a FROM e WHERE kind = 'process_failed' GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 3"""))
+def poison_jobs(spark, sf):
+    return stats.poison_jobs(fx.events(spark, sf), 3)
+
+
+@query(sql.events("SELECT job_type, queue, (count(*) FILTER (WHERE kind = 'process_failed'))::BIGINT AS failures, (count(*) FILTER (WHERE kind = 'process_retried'))::BIGINT AS retries FROM e GROUP BY ALL ORDER BY failures + retries DESC, job_type, queue LIMIT 10"))
+def top_failing(spark, sf):
+    return stats.top_failing(fx.events(spark, sf), 10)
+
+
+@query(sql.events("SELECT DISTINCT queue FROM e ORDER BY queue"))
+def queue_names(spark, sf):
+    return stats.queue_names(fx.events(spark, sf))
+
+
+@query(sql.over(sql.JOBS, sql.EVENTS, "SELECT queue, 'native' AS origin, (count(*) FILTER (WHERE state = 'pending'))::BIGINT AS pending FROM (SELECT queue_name AS queue, state FROM j) GROUP BY queue UNION ALL SELECT queue, 'collected', pending FROM (" + sql.PENDING + ") WHERE queue NOT IN (SELECT queue_name FROM j)"))
+def merge_snapshots(spark, sf):
+    native = jobtable.queue_stats(fx.jobs(spark, sf)).select(F.col("queue_name").alias("queue"), F.lit("native").alias("origin"), "pending")
+    return stats.merge_snapshots(native, gauges.pending_gauge(fx.events(spark, sf)).select("queue", F.lit("collected").alias("origin"), "pending"))
+
+
+# --- history ----------------------------------------------------------------------------------------------------------
+
+_SAMPLES = "sa AS (SELECT queue, seq, us, (count(*) FILTER (WHERE kind = 'process_succeeded') OVER w)::BIGINT AS processed, (count(*) FILTER (WHERE kind = 'process_failed') OVER w)::BIGINT AS failed FROM e WHERE kind IN ('process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY queue ORDER BY time, seq ROWS UNBOUNDED PRECEDING)), sp AS (SELECT queue, seq, us, processed // 3 AS processed, failed // 3 AS failed FROM sa)"
+
+
+def _samples(spark, sf) -> DataFrame:
+    """Running counts in steps of three, so that neighbours repeat."""
+    return fx.samples(fx.events(spark, sf)).withColumn("processed", F.expr("processed div 3")).withColumn("failed", F.expr("failed div 3"))
+
+
+@query(sql.events("SELECT queue, seq, processed, failed, max(CASE WHEN new THEN us END) OVER (PARTITION BY queue ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run_us FROM (SELECT *, NOT coalesce(processed = lag(processed) OVER w AND failed = lag(failed) OVER w, false) AS new FROM sp WINDOW w AS (PARTITION BY queue ORDER BY us, seq))", _SAMPLES))
+def history_runs(spark, sf):
+    return history.history_runs(_samples(spark, sf)).select("queue", "seq", "processed", "failed", F.unix_micros("run.at").alias("run_us"))
+
+
+@query(sql.events(
+    """SELECT queue, us // 1000 AS at_ms, processed, failed FROM h WHERE kept AND us // 1000 >= (SELECT max(us) // 1000 FROM e) - 7 * 86400000::BIGINT""", _SAMPLES,
+    "r0 AS (SELECT *, us // 1000 AS ms, row_number() OVER (PARTITION BY queue ORDER BY us, seq) AS i FROM sp)",
+    """h AS (SELECT queue, seq, us, processed, failed, i, true AS kept, ms AS km, processed AS kp, failed AS kf FROM r0 WHERE i = 1
+  UNION ALL SELECT r.queue, r.seq, r.us, r.processed, r.failed, r.i, k.keep, CASE WHEN k.keep THEN r.ms ELSE h.km END, CASE WHEN k.keep THEN r.processed ELSE h.kp END, CASE WHEN k.keep THEN r.failed ELSE h.kf END
+  FROM h JOIN r0 r ON r.queue = h.queue AND r.i = h.i + 1, LATERAL (SELECT NOT (r.processed = h.kp AND r.failed = h.kf AND r.ms - h.km < 21600000) AS keep) k)""",
+), name="history")
+def history_points(spark, sf):
+    e = fx.events(spark, sf)
+    as_of = e.agg(F.unix_millis(F.max("time"))).first()[0]
+    return history.history(_samples(spark, sf), "week", as_of, gap_ms=21_600_000)
+
+
+# --- job table --------------------------------------------------------------------------------------------------------
+
+
+@query(sql.over(sql.JOBS, "SELECT queue_name, " + ", ".join(f"(count(*) FILTER (WHERE state = '{a}'))::BIGINT AS {b}" for a, b in (("pending", "pending"), ("processing", "active"), ("dead", "archived"))) + " FROM j GROUP BY 1"))
+def queue_stats(spark, sf):
+    return jobtable.queue_stats(fx.jobs(spark, sf))
+
+
+@query(sql.over(sql.JOBS, "SELECT queue_name, " + ", ".join(f"(count(*) FILTER (WHERE derived = '{s}'))::BIGINT AS {s}" for s in ("pending", "active", "scheduled", "retry", "archived", "completed")) + " FROM js GROUP BY 1"))
+def state_counts(spark, sf):
+    return jobtable.state_counts(fx.jobs(spark, sf), AS_OF)
+
+
+@query(sql.over(sql.JOBS, "SELECT id, job_type, attempt, last_error FROM js WHERE queue_name = 'critical' AND derived = 'retry' ORDER BY id DESC LIMIT 50 OFFSET 50"))
+def list_jobs(spark, sf):
+    return jobtable.list_jobs(fx.jobs(spark, sf), AS_OF, "critical", "retry", page=2)[0].select("id", "job_type", "attempt", "last_error")
+
+
+@query(sql.over(sql.JOBS, """SELECT id, CASE WHEN s THEN 'pending' ELSE state END AS state, CASE WHEN s THEN 896659200000 ELSE available_at END AS available_at,
+  CASE WHEN s THEN coalesce(processing_token, 'queue:internal:stale-processing-recovery:v1') ELSE processing_token END AS processing_token, CASE WHEN s THEN 'recovered stale processing job' ELSE last_error END AS last_error, s AS recovered
+  FROM (SELECT *, state = 'processing' AND CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END AS s FROM j)"""))
+def recover_stale(spark, sf):
+    return jobtable.recover_stale(fx.jobs(spark, sf), AS_OF).select("id", "state", "available_at", "processing_token", "last_error", "recovered")
+
+
+@query(sql.over(sql.JOBS, "SELECT queue_name, id, 'processing' AS state, sha256(id || ':896659200000') AS processing_token FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY id) AS r FROM j WHERE state = 'pending' AND available_at <= 896659200000) WHERE r <= 100"))
+def claim_next(spark, sf):
+    return jobtable.claim_next(fx.jobs(spark, sf), AS_OF, 100).select("queue_name", "id", "state", "processing_token")
+
+
+_SETTLED = """st AS (SELECT j.*, CASE WHEN o.id IS NULL THEN NULL WHEN NOT o.failed THEN 'succeeded' WHEN o.error_class = 'uncommitted' THEN 'redeliver' WHEN o.error_class = 'permanent' OR attempt >= max_retry THEN 'failed' ELSE 'retry' END AS outcome, o.error AS o_error
+  FROM j LEFT JOIN o ON o.id = j.id AND o.o_token = j.processing_token AND j.state = 'processing')"""
+
+
+@query(sql.over(sql.JOBS, _SETTLED, """SELECT id, CASE WHEN outcome IN ('retry', 'redeliver') THEN 'pending' WHEN outcome = 'failed' THEN 'dead' ELSE state END AS state, CASE WHEN outcome IN ('retry', 'redeliver') THEN 896659200000 + backoff_millis ELSE available_at END AS available_at,
+  CASE WHEN outcome IN ('retry', 'failed') THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN outcome IS NOT NULL THEN o_error ELSE last_error END AS last_error FROM st WHERE outcome IS NULL OR outcome <> 'succeeded'"""))
+def settle_jobs(spark, sf):
+    jobs = fx.jobs(spark, sf)
+    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[0].select("id", "state", "available_at", "attempt", "last_error")
+
+
+@query(sql.over(sql.JOBS, "SELECT o.id, o.error FROM o ANTI JOIN j ON j.id = o.id AND j.processing_token = o.o_token AND j.state = 'processing'"))
+def unmatched_outcomes(spark, sf):
+    jobs = fx.jobs(spark, sf)
+    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[1].select("id", "error")
+
+
+@query(sql.over(sql.JOBS, _SETTLED, "SELECT id, 'process_archived' AS kind, queue_name AS queue, job_type, o_error AS error FROM st WHERE outcome = 'failed'"))
+def archive_facts(spark, sf):
+    jobs = fx.jobs(spark, sf)
+    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[2]
+
+
+@query(sql.over(sql.JOBS, """k AS (SELECT id AS seq, id, queue_name AS queue, [NULL, 'retry', 'cancel', 'delete'][cust % 4 + 1] AS op FROM j WHERE id % 3 = 0 UNION ALL SELECT -1, NULL, 'low', 'clear')""",
+  """SELECT j.id, CASE l.op WHEN 'retry' THEN 'pending' WHEN 'cancel' THEN 'dead' ELSE state END AS state, CASE l.op WHEN 'retry' THEN 896659200000 ELSE available_at END AS available_at, CASE l.op WHEN 'retry' THEN NULL WHEN 'cancel' THEN 'canceled from queue admin' ELSE last_error END AS last_error
+  FROM j LEFT JOIN (SELECT id, max_by(op, seq) AS op FROM k WHERE op IN ('retry', 'cancel') GROUP BY id) l ON l.id = j.id WHERE queue_name <> 'low' AND j.id NOT IN (SELECT id FROM k WHERE op = 'delete')"""))
+def apply_admin(spark, sf):
+    jobs = fx.jobs(spark, sf)
+    op = fx.pick(F.col("cust") % 4, F.lit(None).cast("string"), "retry", "cancel", "delete")
+    commands = jobs.where("id % 3 = 0").select(F.col("id").alias("seq"), op.alias("op"), "id", F.col("queue_name").alias("queue")).where("op is not null")
+    clear = spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit("clear").alias("op"), F.lit(None).cast("long").alias("id"), F.lit("low").alias("queue"))
+    return jobtable.apply_admin(jobs, commands.union(clear), AS_OF).select("id", "state", "available_at", "last_error")
+
+
+# --- unique gate ------------------------------------------------------------------------------------------------------
+
+_GATE = """
+n0 AS (SELECT seq, t, ttl, q || chr(0) || job_type || chr(0) || payload AS key, row_number() OVER (PARTITION BY q, job_type, payload ORDER BY t, seq) AS i FROM d WHERE ttl > 0),
+n AS (SELECT key, seq, i, true AS accepted, t + ttl AS until FROM n0 WHERE i = 1 UNION ALL SELECT b.key, b.seq, b.i, b.t >= n.until, CASE WHEN b.t >= n.until THEN b.t + b.ttl ELSE n.until END FROM n JOIN n0 b ON b.key = n.key AND b.i = n.i + 1),
+u AS (SELECT seq, accepted FROM n UNION ALL SELECT seq, true FROM d WHERE ttl <= 0)
+"""
+
+
+@query(sql.over(sql.REQUESTS, _GATE, "SELECT seq, accepted FROM u"))
+def unique_gate(spark, sf):
+    return unique.unique_gate(fx.requests(spark, sf)).select("seq", "accepted")
+
+
+_DUAL = """
+lk AS (SELECT sha256(q || ':' || job_type || ':' || payload) AS lock_key, max(t) + 3600000 AS until FROM d WHERE seq % 200 = 0 GROUP BY ALL),
+dd AS (SELECT d.*, coalesce(t < until, false) AND ttl > 0 AS blocked FROM d LEFT JOIN lk ON lk.lock_key = sha256(q || ':' || job_type || ':' || payload)),
+n0 AS (SELECT seq, t, ttl, q || chr(0) || job_type || chr(0) || payload AS key, row_number() OVER (PARTITION BY q, job_type, payload ORDER BY t, seq) AS i FROM dd WHERE ttl > 0 AND NOT blocked),
+n AS (SELECT key, seq, i, true AS accepted, t + ttl AS until FROM n0 WHERE i = 1 UNION ALL SELECT b.key, b.seq, b.i, b.t >= n.until, CASE WHEN b.t >= n.until THEN b.t + b.ttl ELSE n.until END FROM n JOIN n0 b ON b.key = n.key AND b.i = n.i + 1)
+"""
+
+
+@query(sql.over(sql.REQUESTS, _DUAL, "SELECT seq, accepted FROM n UNION ALL SELECT seq, true FROM dd WHERE ttl <= 0 UNION ALL SELECT seq, false FROM dd WHERE blocked"))
+def unique_gate_dual(spark, sf):
+    d = fx.requests(spark, sf)
+    key = scalar.legacy_unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"))
+    locks = d.where("seq % 200 = 0").groupBy(key.alias("lock_key")).agg((F.max(F.unix_millis("time")) + 3_600_000).alias("expires_at"))
+    return unique.unique_gate_dual(d, locks, 0)[0].select("seq", "accepted")
+
+
+@query(sql.over(sql.REQUESTS, _GATE, "SELECT d.seq, CASE WHEN reason IS NOT NULL THEN 'enqueue_rejected' WHEN accepted THEN 'enqueue_accepted' ELSE 'enqueue_duplicate' END AS kind, q AS queue, job_type, coalesce(max_retry, 0) AS max_retry, delay_ms > 0 AS scheduled FROM d JOIN u USING (seq)"))
+def admission_events(spark, sf):
+    return jobtable.admission_events(jobtable.validate_dispatch(unique.unique_gate(fx.requests(spark, sf))))
+
+
+# --- audits -----------------------------------------------------------------------------------------------------------
+
+
+@query(sql.events("SELECT dispatch_id, " + ", ".join(f"(count(*) FILTER (WHERE layer = '{x}'))::BIGINT AS {x}_facts" for x in ("queue", "worker", "workflow")) + ", count(DISTINCT kind) AS kinds, count(DISTINCT job_id) FILTER (WHERE job_id <> '') AS jobs, min(us) AS first_us, max(us) AS last_us FROM e WHERE dispatch_id <> '' GROUP BY dispatch_id"))
+def trace(spark, sf):
+    return audits.trace(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT job_id, min_by(queue, (time, seq)) AS queue FROM e WHERE kind = 'enqueue_accepted' AND job_id <> '' AND job_id NOT IN (SELECT job_id FROM e WHERE kind = 'process_succeeded' AND attempt = 0) GROUP BY job_id"))
+def unprocessed(spark, sf):
+    """Jobs without a success at the first attempt: with any attempt, the derived log has none left over."""
+    return audits.unprocessed(fx.events(spark, sf).where("kind <> 'process_succeeded' or attempt = 0"))
+
+
+@query(sql.over(sql.REQUESTS, sql.EVENTS.replace("k0 AS (SELECT *, regexp_extract(props, '(\\d+)', 1)::INT AS k FROM events),\n", ""), """SELECT * FROM (SELECT r.seq, r.job_id, r.t + r.delay_ms - min(s.us) // 1000 AS early_ms FROM (SELECT d.seq, d.t, d.time, d.delay_ms, e0.job_id FROM d JOIN e0 USING (seq) WHERE d.delay_ms > 0 AND e0.job_id <> '') r
+  JOIN e s ON s.job_id = r.job_id AND s.kind = 'process_started' AND s.time >= r.time GROUP BY r.seq, r.job_id, r.t, r.delay_ms) WHERE early_ms > 1000"""))
+def not_before_violations(spark, sf):
+    e = fx.events_raw(spark, sf).select("seq", "job_id").where("job_id <> ''")
+    return audits.not_before_violations(fx.requests(spark, sf).join(e, "seq"), fx.events(spark, sf), 1000)
+
+
+@query(sql.events("SELECT seq, job_id, attempt, us // 1000 - was_us // 1000 AS gap_ms FROM (SELECT *, lag(attempt) OVER w AS was, lag(us) OVER w AS was_us FROM e WHERE kind = 'process_started' AND job_id <> '' WINDOW w AS (PARTITION BY dispatch_id, job_id ORDER BY time, seq)) WHERE attempt = was + 1 AND us // 1000 - was_us // 1000 < 86400000 - 1000"))
+def backoff_violations(spark, sf):
+    return audits.backoff_violations(fx.events(spark, sf), 86_400_000, 1000)
+
+
+@query(sql.events(
+    "SELECT job_key, seq FROM a WHERE NOT admitted",
+    "x0 AS (SELECT *, lead(kind) OVER w AS nk, lead(us) OVER w AS nu FROM e WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY settlement_id ORDER BY time, seq))",
+    "x1 AS (SELECT job_key, seq, us AS start, least(coalesce(CASE WHEN nk <> 'process_started' THEN nu END, 4611686018427387904), us + 86400000000) AS until, row_number() OVER (PARTITION BY job_key ORDER BY us, seq) AS i FROM x0 WHERE kind = 'process_started' AND job_key <> '')",
+    "a AS (SELECT job_key, seq, i, true AS admitted, until AS free FROM x1 WHERE i = 1 UNION ALL SELECT x.job_key, x.seq, x.i, x.start >= a.free, CASE WHEN x.start >= a.free THEN x.until ELSE a.free END FROM a JOIN x1 x ON x.job_key = a.job_key AND x.i = a.i + 1)",
+))
+def overlap_audit(spark, sf):
+    return audits.overlap_audit(audits.executions(fx.events(spark, sf)), 86_400_000_000)
+
+
+@query(sql.events("SELECT f.settlement_id, f.us AS ended_us, count(*) AS failures FROM (SELECT settlement_id, min(us) AS us FROM e WHERE settlement_id IS NOT NULL AND kind IN ('process_succeeded', 'process_failed') GROUP BY 1) f JOIN e s ON s.settlement_id = f.settlement_id AND s.kind = 'settlement_failed' AND s.us >= f.us GROUP BY ALL"))
+def settlement_gaps(spark, sf):
+    return audits.settlement_gaps(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT job_id, count(DISTINCT attempt) AS attempts, 1 AS max_retry FROM e WHERE kind = 'process_started' AND job_id <> '' GROUP BY job_id HAVING count(DISTINCT attempt) > 2"))
+def retry_bound_violations(spark, sf):
+    """Against a bound of one retry, which the derived log breaks."""
+    return audits.retry_bound_violations(fx.events(spark, sf).withColumn("max_retry", F.lit(1)))
+
+
+@query(sql.events("SELECT job_id, count(*) AS successes FROM e WHERE kind = 'process_succeeded' AND job_id <> '' GROUP BY job_id HAVING count(*) > 1"))
+def duplicate_effects(spark, sf):
+    return audits.duplicate_effects(fx.events(spark, sf))
+
+
+@query(sql.events("""SELECT coalesce(s.dispatch_id, r.dispatch_id) AS dispatch_id, coalesce(s.job_id, r.job_id) AS job_id, coalesce(s.attempt, r.attempt) AS attempt, CASE WHEN r.job_id IS NULL THEN 'retry' ELSE 'start' END AS missing
+  FROM (SELECT DISTINCT dispatch_id, job_id, attempt FROM e WHERE kind = 'process_started' AND attempt > 0 AND job_id <> '') s FULL JOIN (SELECT DISTINCT dispatch_id, job_id, attempt FROM e WHERE kind = 'process_retried' AND attempt > 0 AND job_id <> '') r
+  ON s.dispatch_id = r.dispatch_id AND s.job_id = r.job_id AND s.attempt = r.attempt WHERE s.job_id IS NULL OR r.job_id IS NULL"""))
+def retry_fact_gaps(spark, sf):
+    return audits.retry_fact_gaps(fx.events(spark, sf))
+
+
+@query(sql.events("SELECT queue, count(*) AS starts, (count(*) FILTER (WHERE enqueued < top))::BIGINT AS inversions FROM (SELECT *, max(enqueued) OVER (PARTITION BY queue ORDER BY started, job_key, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM w) GROUP BY queue", sql.WAITS))
+def job_ordering_audit(spark, sf):
+    return audits.job_ordering_audit(fx.events(spark, sf))
+
+
+@query(sql.events("""SELECT dispatch_id, job_id, attempt, seq, CASE WHEN nk <> 'process_started' THEN nk END AS outcome, CASE WHEN nk <> 'process_started' THEN nu - us END AS took_us, us - lag(us) OVER (PARTITION BY dispatch_id, job_id ORDER BY time, seq) AS gap_us FROM (
+  SELECT *, lead(kind) OVER w AS nk, lead(us) OVER w AS nu FROM e WHERE job_id <> '' AND kind IN ('process_started', 'process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY dispatch_id, job_id ORDER BY time, seq)) WHERE kind = 'process_started'"""))
+def retry_episodes(spark, sf):
+    return audits.retry_episodes(fx.events(spark, sf))
+
+
+# --- alerts -----------------------------------------------------------------------------------------------------------
+
+
+@query(sql.events("SELECT (us // 1000000) // 21600 * 21600 AS start, " + ", ".join(sql._COUNT.format(f"process_{k}", k) for k in ("started", "succeeded", "failed", "retried")) + " FROM e GROUP BY 1"))
+def rates(spark, sf):
+    return alerts.rates(fx.events(spark, sf), 21_600)
+
+
+@query(sql.events("SELECT queue, start, pending, succeeded FROM (SELECT *, lag(pending) OVER w AS p0, lag(succeeded) OVER w AS s0 FROM q WINDOW w AS (PARTITION BY queue ORDER BY start)) WHERE pending > 5 AND pending > p0 AND succeeded <= s0", sql.WINDOWS))
+def backlog_alert(spark, sf):
+    return alerts.backlog_alert(fx.events(spark, sf), 86_400, 5)
+
+
+_ERRORS = sql.WINDOWS.replace("FROM e)", "FROM e WHERE NOT (kind = 'process_succeeded' AND us // 86400000000 % 3 = 0))")
+
+
+@query(sql.events("SELECT queue, start, pending FROM q WHERE pending > 0 AND succeeded = 0", _ERRORS))
+def no_progress_alert(spark, sf):
+    """Without the successes of every third day, as in an outage."""
+    lost = (F.col("kind") == "process_succeeded") & (F.expr("unix_micros(time) div 86400000000") % 3 == 0)
+    return alerts.no_progress_alert(fx.events(spark, sf).where(~lost), 86_400)
+
+
+@query(sql.events("SELECT queue, job_type, (us // 1000000) // 86400 * 86400 AS start, " + ", ".join(sql._COUNT.format(f"process_{k}", k) for k in ("failed", "retried")) + " FROM e GROUP BY ALL HAVING count(*) FILTER (WHERE kind = 'process_failed') > 3 OR count(*) FILTER (WHERE kind = 'process_retried') > 3"))
+def churn_alert(spark, sf):
+    return alerts.churn_alert(fx.events(spark, sf), 86_400, 3)
+
+
+@query(sql.events("SELECT kind, (us // 1000000) // 86400 * 86400 AS start, count(*) AS n FROM e WHERE kind IN ('republish_failed', 'settlement_failed', 'process_recovered') GROUP BY ALL HAVING count(*) > 5"))
+def internal_failure_alerts(spark, sf):
+    return alerts.internal_failure_alerts(fx.events(spark, sf), 86_400, 5)
+
+
+# --- workflows --------------------------------------------------------------------------------------------------------
+
+
+@query(sql.over(sql.BATCHES, "SELECT batch_id, job_id, epoch_us(time) AS time_us, failed, row_number() OVER (PARTITION BY batch_id, job_id ORDER BY time, a, b, c, d, failed) = 1 AS won, failed = first_value(failed) OVER (PARTITION BY batch_id, job_id ORDER BY time, a, b, c, d, failed) AS owned FROM x"))
+def first_outcome(spark, sf):
+    return workflow.first_outcome(fx.batches(spark, sf)[2]).select("batch_id", "job_id", F.unix_micros("place.time").alias("time_us"), "failed", "won", "owned")
+
+
+@query(sql.over(sql.BATCHES, "SELECT batch_id, allow_failed, total, pending, processed, failed, cancelled, completed FROM bs"))
+def batch_state(spark, sf):
+    return workflow.batch_state(*fx.batches(spark, sf))
+
+
+@query(sql.over(sql.BATCHES, "SELECT batch_id, job_id FROM own"))
+def batch_terminal_owner(spark, sf):
+    return workflow.batch_terminal_owner(*fx.batches(spark, sf))
+
+
+@query(sql.over(sql.BATCHES, "SELECT m.batch_id, m.job_id, m.job_id = '1' OR w.job_id IS NOT NULL AS started, w.job_id IS NOT NULL AS done, coalesce(w.failed, false) AS failed FROM m LEFT JOIN w USING (batch_id, job_id)"))
+def member_state(spark, sf):
+    _, members, outcomes, _ = fx.batches(spark, sf)
+    return workflow.member_state(members, members.where("job_id = '1'"), outcomes)
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, next_index, completed, failed, acted, replayed, early, unknown FROM cs"))
+def chain_state(spark, sf):
+    return workflow.chain_state(*fx.chains(spark, sf))
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, node, failed, disposition, count(*) AS n FROM f WHERE i > 0 GROUP BY ALL"))
+def chain_outcome_disposition(spark, sf):
+    return workflow.chain_outcome_disposition(*fx.chains(spark, sf)).groupBy("chain_id", "node", "failed", "disposition").agg(F.count("*").alias("n"))
+
+
+def _nodes(spark, sf) -> DataFrame:
+    """Chains with their nodes."""
+    node = F.transform(F.sequence(F.lit(1), F.col("n_nodes")), lambda i: F.struct(F.concat(F.lit("n"), i.cast("string")).alias("node_id"), F.concat(F.lit("type-"), (i % 3).cast("string")).alias("job_type"), F.when(i % 2 == 0, "emails").otherwise("").alias("queue")))
+    return fx.chains(spark, sf)[0].select("chain_id", "n_nodes", node.alias("nodes"), F.when(F.col("chain_id") % 2 == 0, "critical").otherwise("reports").alias("queue"))
+
+
+@query(sql.over(sql.CHAINS, "SELECT cs.chain_id, next_index, nodes[next_index + 1].node_id AS node_id, nodes[next_index + 1].job_type AS job_type FROM cs JOIN nodes USING (chain_id) WHERE NOT completed AND NOT failed"))
+def chain_next_jobs(spark, sf):
+    return workflow.chain_next_jobs(_nodes(spark, sf), workflow.chain_state(*fx.chains(spark, sf)))
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, CASE WHEN chain_id % 10 = 0 THEN 'no nodes' WHEN chain_id % 10 = 1 AND n_nodes > 0 THEN 'duplicate node id' END AS reason FROM ch"))
+def validate_chains(spark, sf):
+    bad = F.when(F.col("chain_id") % 10 == 0, F.slice("nodes", 1, 0)).when(F.col("chain_id") % 10 == 1, F.concat("nodes", "nodes")).otherwise(F.col("nodes"))
+    return workflow.validate_chains(_nodes(spark, sf).withColumn("nodes", bad))
+
+
+@query(sql.over(sql.BATCHES, "SELECT b.batch_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no members' WHEN d < n THEN 'duplicate job id' END AS reason FROM b LEFT JOIN (SELECT l_orderkey AS batch_id, count(*) AS n, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1) USING (batch_id)"))
+def validate_batches(spark, sf):
+    lines = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").cast("string").alias("job_id"))
+    return workflow.validate_batches(fx.batches(spark, sf)[0], lines)
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, CASE WHEN next_index > 3 THEN 'index out of range' ELSE 'completed mismatch' END AS reason FROM cs WHERE next_index > 3 OR completed <> (next_index = 3)"))
+def audit_chain_state(spark, sf):
+    """Against a claimed length of three nodes."""
+    return workflow.audit_chain_state(workflow.chain_state(*fx.chains(spark, sf)).withColumn("n_nodes", F.lit(3)))
+
+
+@query(sql.over(sql.BATCHES, "SELECT batch_id, CASE WHEN total <= 0 THEN 'no members' WHEN batch_id % 7 = 0 AND pending > 0 THEN 'counts don''t add up' ELSE 'completed early' END AS reason FROM bs WHERE total <= 0 OR (batch_id % 7 = 0 AND pending > 0)"))
+def audit_batch_state(spark, sf):
+    """With the pending count of every seventh batch spoiled."""
+    states = workflow.batch_state(*fx.batches(spark, sf))
+    return workflow.audit_batch_state(states.withColumn("pending", F.when((F.col("batch_id") % 7 == 0) & (F.col("pending") > 0), F.col("pending") + 1).otherwise(F.col("pending"))))
+
+
+_RECEIPTS = """rc AS (SELECT 'batch' AS workflow_kind, batch_id, job_id AS member_id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS outcome, epoch_us(time) || ':' || a || ':' || b || ':' || c || ':' || d AS claim, 1 AS version FROM w
+  UNION ALL SELECT 'batch', batch_id, '', CASE WHEN failed THEN 'failed' ELSE 'succeeded' END, epoch_us(time) || ':' || a || ':' || b || ':' || c || ':' || d, 1 FROM w SEMI JOIN own USING (batch_id, job_id))"""
+
+
+@query(sql.over(sql.BATCHES, _RECEIPTS, "SELECT * FROM rc"))
+def transition_receipts(spark, sf):
+    return workflow.transition_receipts(*fx.batches(spark, sf))
+
+
+@query(sql.over(sql.BATCHES, _RECEIPTS, "r2 AS (SELECT * REPLACE (CASE WHEN batch_id % 50 = 0 THEN 2 ELSE version END AS version) FROM rc WHERE NOT (batch_id % 11 = 0 AND member_id <> ''))", """SELECT batch_id, member_id, CASE WHEN version <> 1 THEN 'unsupported version' ELSE 'no single member receipt' END AS reason FROM r2
+  WHERE version <> 1 OR (member_id = '' AND (SELECT count(*) FROM r2 x WHERE x.batch_id = r2.batch_id AND x.member_id <> '' AND x.claim = r2.claim AND x.outcome = r2.outcome) <> 1)"""))
+def audit_receipts(spark, sf):
+    """With some receipts of another version and the member receipts of some batches lost."""
+    tables = fx.batches(spark, sf)
+    r = workflow.transition_receipts(*tables).where("not (batch_id % 11 = 0 and member_id <> '')").withColumn("version", F.when(F.col("batch_id") % 50 == 0, 2).otherwise(F.col("version")))
+    return workflow.audit_receipts(r, tables[0])
+
+
+_CALLBACKS = """cb AS (SELECT 'batch_then:' || batch_id AS k FROM bs WHERE completed AND NOT cancelled UNION ALL SELECT 'batch_catch:' || batch_id FROM bs WHERE failed > 0 OR cancelled UNION ALL SELECT 'batch_finally:' || batch_id FROM bs WHERE completed
+  UNION ALL SELECT 'chain_catch:' || chain_id FROM cs WHERE failed AND NOT completed UNION ALL SELECT 'chain_finally:' || chain_id FROM cs WHERE failed OR completed)"""
+_CHAINS_BESIDE = sql.CHAINS.replace("\nf AS (", "\nfold AS (").replace("FROM f JOIN", "FROM fold JOIN").replace("f.", "fold.").replace("FROM f GROUP", "FROM fold GROUP")
+
+
+def _markers(spark, sf) -> DataFrame:
+    return fx.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("batch_finally:"), F.col("o_orderkey").cast("string")).alias("callback_key"))
+
+
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _CALLBACKS, "SELECT k AS callback_key FROM cb WHERE k NOT IN (SELECT 'batch_finally:' || o_orderkey FROM orders WHERE o_orderkey % 4 = 0)"))
+def due_callbacks(spark, sf):
+    return workflow.due_callbacks(workflow.batch_state(*fx.batches(spark, sf)), workflow.chain_state(*fx.chains(spark, sf)), _markers(spark, sf))
+
+
+@query(sql.events("SELECT 'cb:' || dispatch_id AS callback_key, min_by(seq, (time, seq)) AS seq, min_by(job_type, (time, seq)) AS worker FROM e WHERE dispatch_id NOT IN (SELECT dispatch_id FROM e WHERE kind = 'job_started' AND seq % 2 = 0) GROUP BY dispatch_id"))
+def claim_callbacks(spark, sf):
+    e = fx.events(spark, sf).withColumn("callback_key", F.concat(F.lit("cb:"), F.col("dispatch_id")))
+    return workflow.claim_callbacks(e.select("callback_key", "time", "seq", F.col("job_type").alias("worker")), e.where("kind = 'job_started' and seq % 2 = 0"))
+
+
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, """SELECT 'chain' AS kind, chain_id::VARCHAR AS workflow_id, nodes[1].node_id AS member_id, CASE WHEN nodes[1].queue = '' THEN queue ELSE nodes[1].queue END AS queue FROM nodes
+  UNION ALL SELECT 'batch', m.batch_id::VARCHAR, job_id, CASE WHEN job_id = 'extra' THEN 'emails' ELSE CASE WHEN allow_failed THEN 'low' ELSE 'critical' END END FROM m JOIN b USING (batch_id)"""))
+def expand_workflows(spark, sf):
+    b, members, _, _ = fx.batches(spark, sf)
+    b = b.withColumn("queue", F.when(F.col("allow_failed"), "low").otherwise("critical"))
+    return workflow.expand_workflows(_nodes(spark, sf), b, members.withColumn("queue", F.when(F.col("job_id") == "extra", "emails").otherwise("")))
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, n_nodes FROM nodes JOIN ch USING (chain_id) WHERE n_nodes = 3"))
+def find_chains_by_types(spark, sf):
+    return workflow.find_chains_by_types(_nodes(spark, sf), ["type-1", "type-2", "type-0"]).select("chain_id", "n_nodes")
+
+
+@query("SELECT o_orderkey + 5 AS batch_id, (o_orderkey + 5) IN (SELECT o_orderkey FROM orders) AS found FROM orders WHERE o_orderkey % 5 = 0")
+def find_workflows(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    return workflow.find_workflows(fx.batches(spark, sf)[0], orders.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 5).alias("batch_id")), "batch_id")
+
+
+_PRUNE = "old AS (SELECT batch_id FROM bs JOIN b USING (batch_id) WHERE bs.completed AND b.created_at < TIMESTAMP '1995-01-01')"
+
+
+@query(sql.over(sql.BATCHES, _PRUNE, "SELECT (SELECT count(*) FROM bs ANTI JOIN old USING (batch_id)) AS batches, (SELECT count(*) FROM m ANTI JOIN old USING (batch_id)) AS members"))
+def prune_workflows(spark, sf):
+    tables = fx.batches(spark, sf)
+    states = workflow.batch_state(*tables).withColumn("ended", F.col("completed")).join(tables[0].select("batch_id", F.col("created_at").alias("updated_at")), "batch_id")
+    batches, members = workflow.prune(states, "batch_id", F.lit("1995-01-01").cast("timestamp"), [tables[1]])
+    return batches.agg(F.count("*").alias("batches")).crossJoin(members.agg(F.count("*").alias("members")))

@@ -2,7 +2,7 @@
 
 Features are words and word prefixes of 4, 5 and 6 bytes (a stem with any ending), as exact 64-bit hashes. A bounded
 vocabulary of those most associated with the label is kept, so unseen words can't collide with known ones. Grades:
-0 is not toxic; toxic training rows get 1, 2 or 3 by thirds of the density of associated words. One weight vector is
+0 is not toxic; toxic training rows get 1, 2 or 3 by thirds of how much of such words they hold. One weight vector is
 shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta increasing. The result is the expected grade.
 """
 
@@ -23,6 +23,10 @@ from jobledger.llm.labelled import labelled_sample
 U64 = np.uint64
 GRADES = 4
 PREFIXES = (4, 5, 6)
+#: Standard deviations by which a feature's share among labelled texts must stand out to be kept.
+LEAST_Z = 5
+#: How many times commoner it must be among toxic texts: words of a language that is labelled more often are not.
+LEAST_LIFT = 10
 _BITS = 20
 
 
@@ -85,7 +89,10 @@ class Model:
 
 
 def _associated(sample: DataFrame, most: int, least_docs: int) -> pd.DataFrame:
-    """The features most associated with the label: h, pos, neg (documents that hold them); at most ``most`` rows."""
+    """The features that speak for the label: h, pos, neg (documents that hold them); at most ``most`` rows.
+
+    Only such ones: what speaks against it is that none occurs, so a text of unknown words is no suspect.
+    """
 
     def count(batches):
         for batch in batches:
@@ -105,7 +112,7 @@ def _associated(sample: DataFrame, most: int, least_docs: int) -> pd.DataFrame:
     # z score of the difference of document shares
     share = (F.col("pos") + F.col("neg")) / (p + n)
     z = (F.col("pos") / p - F.col("neg") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n) + F.lit(1e-12))
-    return counted.withColumn("z", z).where(F.abs("z") > 3).orderBy(F.abs("z").desc(), "h").limit(most).toPandas()
+    return counted.withColumn("z", z).where((F.col("z") > LEAST_Z) & (F.col("pos") / p >= LEAST_LIFT * F.col("neg") / n)).orderBy(F.col("z").desc(), "h").limit(most).toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1 << 15, least_docs: int = 5, where: str | None = None) -> Model:
@@ -114,7 +121,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1
     try:
         found = _associated(sample, most, least_docs).sort_values("h", key=lambda c: c.to_numpy().view(U64))
         words = Vocabulary(found["h"].to_numpy(np.int64).view(U64))
-        positive = (found["z"] > 0).to_numpy()
 
         def rows(batches):
             for batch in batches:
@@ -133,9 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1
     size = kept["index"].map(len).to_numpy()
     row = np.repeat(np.arange(len(kept)), size)
     index, count = np.concatenate(kept["index"].to_list()).astype(np.int64), np.concatenate(kept["count"].to_list())
-    density = np.bincount(row, weights=count * positive[index], minlength=len(kept)) / np.maximum(kept["n"].to_numpy(), 1)
-    cuts = np.quantile(density[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, density, "right"), 0)
+    amount = np.bincount(row, weights=np.log1p(count), minlength=len(kept))
+    cuts = np.quantile(amount[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + np.searchsorted(cuts, amount, "right"), 0)
     return Model(words, *_ordinal(row, index, np.log1p(count), grade, len(words.hashes)))
 
 

@@ -1,0 +1,336 @@
+"""Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; operators against brute force at random."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from jobledger.llm import ann, chat, decontam, lm, mixing, near_dedup, quality, substring_dedup, toxicity
+from jobledger.llm.components import components
+from jobledger.llm.line_dedup import dedupe_lines
+from tests.llm.test_queries import UPPER, removed
+
+DOCS = "doc_id long, text string, source string, row string, component_id string, n_words string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def odd_documents(spark):
+    """Rows that operators must take as they are, with columns named like their results."""
+    long = " ".join(random.Random(1).choices(WORDS, k=30_000))
+    rows = [(1, None), (2, ""), (3, "   \n\t\n"), (4, "one"), (5, "One two"), (6, "naïve café \U0001f600 déjà vu"), (7, long), (8, long), (9, long), (9, long), (10, "x" * 500), (None, "one two three four"), (None, None), (11, "a\n" * 300), (12, "one")]
+    return spark.createDataFrame([(i, t, s, "r", "c", "w") for (i, t), s in zip(rows, [None, "a", "b", "a", "", None, "b", "b", "a", "a", "c", None, "c", "d", "a"], strict=True)], DOCS)
+
+
+def no_documents(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(spark, items):
+    return spark.createDataFrame(items, "doc_id long, text string")
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate(UPPER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r = random.Random(7)
+    docs = []
+    for g in range(12):
+        base = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice([2, 4, 30, 120]))]
+        for _ in range(r.choice([1, 2, 9])):
+            t = list(base)
+            for _ in range(r.randrange(3)):
+                t[r.randrange(len(t))] = "changed" + str(r.randrange(9))
+            docs.append(" ".join(t))
+    r.shuffle(docs)
+    sets = [shingles(d, 3) for d in docs]
+    want = list(range(len(docs)))
+    for _ in docs:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    want[i] = want[j] = min(want[i], want[j])
+    for blocks in (512, 2):  # whole classes, and classes cut into many blocks
+        got = {x.doc_id: x for x in near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=blocks).collect()}
+        assert [got[i].component_id for i in range(len(docs))] == want
+        assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in sets]
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    sets = [h[:1], h[:3], h[:600], h[300:900], h[:0]]
+    bounds = np.cumsum([0, *map(len, sets)])
+    s = near_dedup.sketches(np.concatenate(sets), bounds, 408)
+    top = np.iinfo(np.uint64).max
+    assert (s[:4] != top).all() and (s[4] == top).all()
+    assert abs((s[2] == s[3]).mean() - 1 / 3) < 0.1
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    got = near_dedup.near_duplicates(odd_documents(spark)).collect()
+    assert len(got) == 15
+    by = {x.doc_id: x for x in got if x.doc_id is not None}
+    assert all(by[i].n_shingles == 0 and by[i].kept for i in (1, 2, 3))
+    assert by[8].component_id == by[9].component_id == 7 and not by[9].kept and by[12].component_id == 4
+    assert all(x.kept and x.component_id is None for x in got if x.doc_id is None)
+    assert near_dedup.near_duplicates(no_documents(spark)).count() == 0
+
+
+def test_lines_on_odd_rows(spark):
+    line = "This line is long enough to count as one, indeed."
+    rows = [(i, f"{i}\n  {line.upper() if i % 2 else line}\t\nend") for i in range(5)] + [(5, None), (6, ""), (None, f"{line}\nx"), (4, f"{line}\n{line}")]
+    got = {(x.row.doc_id, x.row.text): x for x in dedupe_lines(texts(spark, rows)).collect()}
+    assert [got[rows[i]].kept_text for i in range(4)] == [f"{i}\nend" for i in range(4)]
+    assert got[rows[4]].n_dropped == 0 and got[rows[8]].n_dropped == 0
+    assert got[(None, f"{line}\nx")].kept_text == "x"
+    assert (got[(5, None)].n_lines, got[(5, None)].kept_text) == (1, "") and got[(6, "")].n_lines == 1
+    out = dedupe_lines(odd_documents(spark))
+    assert out.count() == 15 and {x.n_lines for x in out.where("row.doc_id = 11").collect()} == {301}
+    assert dedupe_lines(no_documents(spark)).count() == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(4)
+    items = [" ".join(r.choices(WORDS, k=n)) for n in (3, 9, 10, 11, 40, 40)] + [None, "", "...", "Ärger-über 7"]
+    docs = []
+    for _ in range(60):
+        w = r.choices(WORDS, k=r.randrange(60))
+        if r.random() < 0.6:
+            src = r.choice(items[:6]).split()
+            a = r.randrange(len(src))
+            w[r.randrange(len(w) + 1) : 0] = src[a : a + r.randrange(1, 30)]
+        docs.append(r.choice(", |\n").join(w).title())
+    docs += ["", None, "ärger ÜBER 7 Ärger über 7"]
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block_bytes in (32 << 20, 120):
+        got = {x.row.doc_id: x for x in decontam.decontaminate(texts(spark, list(enumerate(docs))), bench, block_bytes=block_bytes, keep=["doc_id"]).collect()}
+        for i, t in enumerate(docs):
+            w, hit, found = split(t), set(), set()
+            for item, s in enumerate(items):
+                v = split(s)
+                n = min(len(v), 10)
+                for a in range(len(v) - n + 1) if n else ():
+                    for p in range(len(w) - n + 1):
+                        if w[p : p + n] == v[a : a + n]:
+                            hit.update(range(p, p + n))
+                            found.add(str(item))
+            assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(found))
+            assert sum(s["end"] - s["begin"] for s in got[i].spans) == len(hit)
+
+
+def test_decontamination_on_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    got = decontam.decontaminate(odd_documents(spark), bench).collect()
+    assert len(got) == 15 and sum(x.n_hit for x in got) == 4
+    assert decontam.decontaminate(no_documents(spark), bench).count() == 0
+    assert decontam.decontaminate(odd_documents(spark), bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_winnowing_guarantee():
+    grams = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
+    chosen = decontam.winnow(grams, 6)
+    assert all((chosen[i : i + 6] & (grams[i : i + 6] == grams[i : i + 6].min())).any() for i in range(395))
+
+
+def test_passages_equal_brute_force(spark):
+    r = random.Random(9)
+    shared = ["".join(r.choices("abcdé \n", k=n)) for n in (30, 49, 50, 51, 80, 300)]
+    docs = []
+    for _ in range(40):
+        parts = [r.choice([*shared, "".join(r.choices("abcdefgh", k=r.randrange(120)))]) for _ in range(r.randrange(6))]
+        if parts and r.random() < 0.5:
+            p = r.choice(shared)
+            parts.append(p[r.randrange(10) : len(p) - r.randrange(10)])
+        docs.append("".join(parts))
+    docs += ["z" * 400, "y" + "z" * 120, docs[3], docs[3], ""]
+    want = removed([(i, d.encode()) for i, d in enumerate(docs)])
+    for bucket_bytes in (8 << 20, 1 << 10):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.remove_shared(texts(spark, list(enumerate(docs))), bucket_bytes=bucket_bytes).collect()}
+        assert got == want
+
+
+def test_hot_anchors_take_their_own_way(spark, monkeypatch):
+    r = random.Random(10)
+    passage = "".join(r.choices("abcdefghij ", k=90))
+    docs = ["".join(r.choices("klmnop", k=60)) + passage + "".join(r.choices("klmnop", k=60)) for _ in range(30)]
+    want = removed([(i, d.encode()) for i, d in enumerate(docs)])
+    answer = substring_dedup._answer
+    monkeypatch.setattr(substring_dedup, "_answer", lambda hot_from: answer(1))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.remove_shared(texts(spark, list(enumerate(docs))).repartition(5)).collect()}
+    assert got == want
+
+
+def test_suffix_sort():
+    rng = np.random.default_rng(6)
+    c = rng.integers(97, 99, (500, 82)).astype(np.uint8)
+    c[100:160] = c[40:100]
+    s = substring_dedup.Suffixes(c, 32, 50)
+    h = rng.integers(0, 3, 500).astype(np.uint64)
+    order = s.sort(h)
+    keys = [(int(h[i]), c[i, 32:].tobytes()) for i in order]
+    assert keys == sorted(keys)
+    assert (s.common(np.arange(100, 160), np.arange(40, 100)) == 50).all()
+
+
+def test_passages_on_odd_rows(spark):
+    got = substring_dedup.remove_shared(odd_documents(spark)).collect()
+    assert len(got) == 15
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x)
+    assert by[1][0].n_bytes == 0 and by[7][0].n_removed == 0 and by[8][0].n_removed == by[8][0].n_bytes and len(by[9]) == 2 and all(x.kept == b"" for x in by[9])
+    assert by[10][0].n_removed == 0 and all(x.n_removed == 0 for x in by[None])
+    assert substring_dedup.remove_shared(no_documents(spark)).count() == 0
+
+
+def test_mix_targets_and_takes(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, mix = mixing.mix_sources(docs, buckets=16)
+    got = mixing.taken_words(docs, buckets=16).collect()
+    by = {}
+    for x in got:
+        assert 0 <= x.taken <= 2 * x.size
+        s = by.setdefault(x.source, [x.target, x.source_size, 0])
+        s[2] += x.taken
+    total = sum(s[1] for s in by.values())
+    assert sum(s[0] for s in by.values()) == pytest.approx(1.5 * total)
+    for target, size, taken in by.values():
+        assert target <= 2 * size + 1e-6 and abs(taken - target) <= 1
+    order = mix.collect()
+    assert [x.finish for x in order] == sorted(x.finish for x in order)
+    starts = sorted((x.mix_start, x.words) for x in order)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts[:-1], starts[1:], strict=True))
+    assert placed.count() == 600 and sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs.repartition(7), buckets=16).collect()))
+
+
+def test_mix_on_odd_rows(spark):
+    got = mixing.taken_words(odd_documents(spark)).collect()
+    assert len(got) == 15 and all(x.taken <= 2 * x.size for x in got)
+    assert mixing.taken_words(no_documents(spark)).count() == 0
+
+
+def test_chat_folds_deltas_edits_and_regenerations(spark):
+    log = [(1, 0, "message", 0, "user", "hel"), (1, 1, "delta", 0, None, "lo"), (1, 2, "message", 1, "assistant", "bad "), (1, 3, "delta", 1, None, "answer"), (1, 4, "regenerate", 1, None, None), (1, 5, "delta", 1, None, "good "), (1, 6, "delta", 1, None, "answer"), (1, 7, "edit", 0, None, "hello!"), (2, 0, "delta", 0, "user", "<|im_end|>"), (None, 0, "message", None, None, None)]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string").repartition(4)
+    got = {x.conv_id: [(m.turn, m.role, m.text) for m in x.messages] for x in chat.reconstruct(events, ["seq"]).collect()}
+    assert got == {1: [(0, "user", "hello!"), (1, "assistant", "good answer")], 2: [(0, "user", "<|im_end|>")], None: [(None, "", "")]}
+
+
+@pytest.mark.parametrize("text", ["", "<|im_end|>\n<|im_start|>assistant\nok", "<\\|x<|", "<\\\\|im_start|>", "<", "|", "\n\n<|", "%0A", "naïve \U0001f600"])
+def test_chat_round_trip(spark, text):
+    assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+    assert chat.unescape_role(chat.escape_role(text)) == text and "\n" not in chat.escape_role(text)
+    rows = spark.createDataFrame([(1, [(0, "a\nb<|", text), (1, "assistant", text), (2, "assistant", "|" + text)])], chat.MESSAGES)
+    x = chat.read_back(chat.render(rows)).first()
+    assert [(t.role, t.text) for t in x.turns] == [("a\nb<|", text), ("assistant", text), ("assistant", "|" + text)] and x.loss_text == text + "|" + text
+
+
+def test_chat_without_rows(spark):
+    events = spark.createDataFrame([], "conv_id long, seq long, kind string, turn long, role string, text string")
+    assert chat.reconstruct(events, ["seq"]).count() == 0
+
+
+def test_models_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(7, 1, 1), (10, 0, 0), (None, 1, 1), (4, None, None), (5, 3, 3), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    for names in (labels, labels.where("false"), labels.where("doc_id = 7")):
+        t = toxicity.score(docs, toxicity.fit(docs, names)).collect()
+        q = quality.score(docs, quality.fit(docs, names)).collect()
+        assert len(t) == len(q) == 15 and all(0 <= x.severity <= 3 for x in t) and all(0 <= x.score <= 1 for x in q)
+    model = toxicity.fit(docs, labels.where("false"))
+    assert not any(x.rejected for x in toxicity.score(docs, model).collect())
+    assert toxicity.score(no_documents(spark), model).count() == 0
+
+
+def test_lm_on_odd_rows(spark):
+    got = lm.score_texts(odd_documents(spark)).collect()
+    assert len(got) == 15 and all(x.n_tokens >= 1 and np.isfinite(x.score) and np.isfinite(x.base_score) for x in got)
+    assert {x.n_tokens for x in got if x.doc_id in (1, 2, 3)} == {1}
+    assert lm.score_texts(no_documents(spark)).count() == 0
+
+
+def test_lm_is_a_distribution():
+    rng = np.random.default_rng(2)
+    w, u = rng.normal(size=(lm.CLASS_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=(lm.MEMBER_ROWS, lm.MEMBERS)).astype(np.float32)
+    vocab = 200
+    h = np.sort(rng.integers(0, 2**63, vocab, dtype=np.uint64))
+    suffix = rng.integers(0, lm.SUFFIXES - 1, vocab)
+    of = lm.cluster_endings(np.zeros((lm.SUFFIXES, lm.SUFFIXES), np.int64))
+    count, c = rng.integers(1, 9, vocab), of[suffix]
+    closed = np.full((lm.CLASSES, lm.MEMBERS), -1e9, np.float32)
+    closed[:, 0] = 0
+    heads = np.unique([np.flatnonzero(c == k)[0] for k in np.unique(c)])
+    closed[c[heads], 1] = 0
+    head = lm.Heads(of, h[heads], np.ones(len(heads), np.int64), closed)
+    rest = np.ones(vocab, dtype=bool)
+    rest[heads] = False
+    tokens = np.bincount(c[rest], weights=count[rest], minlength=lm.CLASSES)
+    words = np.bincount(c[rest], minlength=lm.CLASSES)
+    model = lm.Model(head, w, u, int(count.sum()), vocab, np.log10(tokens + words + 1))
+    total = 0.0
+    context_h, context_c = h[[3, 5]], c[[3, 5]]
+    unseen = [(np.uint64(7 + k), k, 0) for k in range(lm.CLASSES - 1)]
+    for x, cls, n in [*zip(h, c, count, strict=True), *unseen, (lm.END, lm.ENDING, 1)]:
+        hs, cs = np.append(context_h, x).astype(np.uint64), np.append(context_c, cls).astype(np.uint8)
+        total += 10 ** lm._token_scores(model, hs, cs, np.array([0, 3]), np.log10(np.array([1, 1, n]) + 1.0))[2]
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_nearest_on_odd_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    got = {}
+    for x in ann.nearest(df, top=3).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert got == {0: [(1, 1.0), (2, 1.0), (3, 0.5)], 20: [(3, 0.5), (0, 0.0), (1, 0.0)]}
+    assert ann.nearest(df.where("false")).count() == 0
+
+
+def test_nearest_ties_and_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8))
+    x[50:350] = x[50]
+    rows = [(i, [float(v) for v in np.float32(x[i])]) for i in range(400)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), top=20, block_rows=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(60, 340, 20):
+        assert got[q] == [i for i in range(50, 72) if i != q][:20]
+
+
+def test_parts_are_balanced():
+    x = np.random.default_rng(4).normal(size=(1000, 8))
+    sizes = np.bincount(ann.balanced_parts(ann.neighbour_graph(x, 10), 16))
+    assert len(sizes) == 16 and sizes.max() - sizes.min() <= 4
+
+
+def test_digest_of_nothing():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobledger.llm.labelled import hash_sample
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest others by inner product, in blocks."""
@@ -146,7 +148,7 @@ def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: i
     # distinct vectors: dense_rank bounds what is kept of each before the shuffle
     few = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= top + 1)
     entries = few.groupBy("h", "g").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    chosen = entries.select("vec", "h").orderBy("h").limit(sample).select("vec").toPandas()
+    chosen = hash_sample(entries.select("vec", "h", "g"), sample, "h", "g").select("vec").toPandas()
     if chosen.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit_router(np.stack(chosen["vec"].to_list()), parts)

@@ -22,18 +22,24 @@ def kind_is(*kinds: str) -> Column:
 ENDED = ("process_succeeded", "process_failed")
 
 
+def counter_columns() -> list[Column]:
+    return [count_if(kind_is(f"process_{kind}")).alias(name) for kind, name in (("succeeded", "processed"), ("failed", "failed"), ("retried", "retry"), ("archived", "archived"))]
+
+
+def run_column() -> Column:
+    """Mean duration of ended executions in whole nanoseconds, null without any."""
+    ended = "kind in ('process_succeeded', 'process_failed')"
+    return F.expr(f"sum(case when {ended} then duration_ns end) div nullif(count(case when {ended} then 1 end), 0)").alias("avg_run_ns")
+
+
 def simple_counters(events: DataFrame) -> DataFrame:
     """processed, failed, retry, archived of every queue that any event names."""
-    return events.groupBy("queue").agg(
-        count_if(kind_is("process_succeeded")).alias("processed"), count_if(kind_is("process_failed")).alias("failed"),
-        count_if(kind_is("process_retried")).alias("retry"), count_if(kind_is("process_archived")).alias("archived"),
-    )
+    return events.groupBy("queue").agg(*counter_columns())
 
 
 def avg_run(events: DataFrame) -> DataFrame:
-    """Mean duration of ended executions in whole nanoseconds, 0 without any."""
-    ended = events.where(kind_is(*ENDED))
-    return ended.groupBy("queue").agg(F.expr("sum(duration_ns) div count(*)").alias("avg_run_ns"))
+    """Mean duration of ended executions, of queues that have one."""
+    return events.where(kind_is(*ENDED)).groupBy("queue").agg(run_column())
 
 
 def avg_wait(events: DataFrame) -> DataFrame:
@@ -42,34 +48,48 @@ def avg_wait(events: DataFrame) -> DataFrame:
     return waits.groupBy("queue").agg(F.expr("sum(wait) div count(*)").alias("avg_wait_ns"), F.count("*").alias("waits"))
 
 
+def paused_column() -> Column:
+    turns = F.when(kind_is("queue_paused", "queue_resumed"), F.struct("time", "seq", F.col("kind").alias("kind")))
+    return F.coalesce((F.max(turns)["kind"] == "queue_paused").cast("int"), F.lit(0)).alias("paused")
+
+
 def paused_state(events: DataFrame) -> DataFrame:
     """1 if the last pause or resume of a queue is a pause; queues without either are 0."""
-    turns = F.when(kind_is("queue_paused", "queue_resumed"), F.struct("time", "seq", F.col("kind").alias("kind")))
-    return events.groupBy("queue").agg(F.coalesce((F.max(turns)["kind"] == "queue_paused").cast("int"), F.lit(0)).alias("paused"))
+    return events.groupBy("queue").agg(paused_column())
 
 
 WINDOWS = {"hour": 3600, "day": 86_400, "week": 7 * 86_400}
 
 
-def throughput(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """processed and failed since an hour, a day and a week before ``as_of`` (default: the latest event), by queue."""
-    if as_of is None:
-        events = events.crossJoin(F.broadcast(events.agg(F.max("time").alias("as_of"))))  # one row
-    now = F.col("as_of") if as_of is None else F.lit(as_of)
+def throughput_columns(now: Column) -> list[Column]:
     cols = []
     for name, seconds in WINDOWS.items():
         recent = F.col("time") >= now - F.expr(f"INTERVAL {seconds} SECONDS")
         cols += [count_if(kind_is("process_succeeded") & recent).alias(f"processed_{name}"), count_if(kind_is("process_failed") & recent).alias(f"failed_{name}")]
-    return events.groupBy("queue").agg(*cols)
+    return cols
+
+
+def _timed(events: DataFrame, as_of: datetime | None) -> tuple[DataFrame, Column]:
+    if as_of is not None:
+        return events, F.lit(as_of)
+    return events.crossJoin(F.broadcast(events.agg(F.max("time").alias("as_of")))), F.col("as_of")  # one row
+
+
+def throughput(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """processed and failed since an hour, a day and a week before ``as_of`` (default: the latest event), by queue."""
+    timed, now = _timed(events, as_of)
+    return timed.groupBy("queue").agg(*throughput_columns(now))
 
 
 def stats_snapshot(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """All counters, gauges, averages and throughput of every queue: one row each.
 
-    Gauges and waits come from bucketed windows, so no queue's log meets in one task.
+    What needs no order comes from one aggregation over the log; gauges and waits from bucketed windows, so no queue's
+    log meets in one task.
     """
-    out = simple_counters(events)
-    for part in (avg_run(events), avg_wait(events).drop("waits"), paused_state(events), throughput(events, as_of), gauges.pending_gauge(events), gauges.scheduled_gauge(events), gauges.active_gauge(events)):
+    timed, now = _timed(events, as_of)
+    out = timed.groupBy("queue").agg(*counter_columns(), run_column(), paused_column(), *throughput_columns(now))
+    for part in (avg_wait(events).drop("waits"), gauges.pending_gauge(events), gauges.scheduled_gauge(events), gauges.active_gauge(events)):
         out = out.join(part, "queue", "left")
     return out.select("queue", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c != "queue"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobledger.llm.shared import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters stripped at both ends of a line: space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -14,14 +16,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def _key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(STRIPPED)))
-
-
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key, null where the key is shorter than ``min_chars`` code points."""
-    long = F.when(F.char_length(line) >= min_chars, _key(line))
-    return F.when(F.char_length(long) >= min_chars, F.struct(F.xxhash64(long).alias("a"), F.xxhash64(long, F.lit(7)).alias("b")))
+def _hashes(lines: Column, min_chars: int) -> Column:
+    """128 bits of each line's key, null where the key is shorter than ``min_chars`` code points."""
+    # one lambda for the key and one for its hash: an expression that a lambda uses twice is computed twice
+    keys = F.transform(lines, lambda x: F.when(F.char_length(x) >= min_chars, lower_ascii(F.btrim(x, F.lit(STRIPPED)))))
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(7)).alias("b"))))
 
 
 def dedupe_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -40,9 +39,11 @@ def dedupe_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         "row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("text_hash"),
         F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n", -1).alias("lines"),
     )
-    marks = base.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: _hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("id", "text_hash", "pos", "h.a", "h.b")
+    marks = base.select("id", "text_hash", F.posexplode(_hashes(F.col("lines"), min_chars)).alias("pos", "h")).where("h is not null").select("id", "text_hash", "pos", "h.a", "h.b")
+    marks = saved(marks)  # lines are hashed once, for counting and for marking
     common = marks.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    gone = marks.join(common, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    common = saved(common)  # as a table, so that a hot line's side of the join can be split
+    gone = marks.hint("merge").join(common, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
     cuts = gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("cuts"))
     met = base.join(cuts.withColumnRenamed("id", "cut_id").withColumnRenamed("text_hash", "cut_hash"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("text_hash") == F.col("cut_hash")), "left")
     # slices between neighbouring cuts: linear in the number of lines

@@ -17,14 +17,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node are tied to the least of its neighbours and itself."""
     both = _both_ways(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # as a table: joins can then split a hot node
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))))
     return moved.where("a <> b").distinct()
 

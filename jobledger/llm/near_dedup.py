@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rep_ids = reps.select(F.col("rep").alias("doc_id"))
 
     keys = usable.join(rep_ids, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
+    hubs = saved(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub"))  # as a table, so that a hot bucket's side of the join can be split
     ties = keys.hint("merge").join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     classes = saved(components(ties).join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("weight")), "node"))
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,15 +182,20 @@ def _train(heads: Heads, start: tuple[np.ndarray, np.ndarray], batch_tokens: int
                 tokens += len(h)
         if tokens:
             cut = np.array_split(np.concatenate([w, u]), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([tokens] * blocks, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in cut], pa.binary())], names=["block", "tokens", "weights"])
+            task = [TaskContext.get().partitionId()] * blocks
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(task, pa.int32()), pa.array([tokens] * blocks, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in cut], pa.binary())], names=["block", "task", "tokens", "weights"])
 
     return run
 
 
+AVERAGED = "block int, task int, tokens long, weights binary"
+FAN_IN = 64
+
+
 def _mean(group: pd.DataFrame) -> pd.DataFrame:
     total = group["tokens"].sum()
     mean = sum(np.frombuffer(b, np.float32).astype(np.float64) * (t / total) for b, t in zip(group["weights"], group["tokens"], strict=True))
-    return pd.DataFrame({"block": [int(group["block"].iloc[0])], "weights": [mean.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"block": [int(group["block"].iloc[0])], "task": [int(group["task"].iloc[0])], "tokens": [int(total)], "weights": [mean.astype(np.float32).tobytes()]})
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -251,6 +257,8 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     c = np.concatenate([np.frombuffer(b, np.uint16) for b in group["c"]]) if group["bucket"].iloc[0] >= 0 else np.zeros(len(h), np.uint16)
     order = np.argsort(h, kind="stable")
     h, n, c = h[order], n[order].astype(np.int64), c[order]
+    if len(h) == 0:
+        return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "h": [b""], "n": [b""], "c": [b""]})
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "h": [h[at].tobytes()], "n": [np.add.reduceat(n, at).tobytes()], "c": [c[at].tobytes()]})
 
@@ -323,7 +331,12 @@ def fit(texts: DataFrame, buckets: int, rounds: int = 1, batch_tokens: int = 819
     if tokens.sum():
         for _ in range(rounds):
             blocks = 16
-            mean = texts.mapInArrow(_train(heads, (w, u), batch_tokens, rate, blocks), "block int, tokens long, weights binary").groupBy("block").applyInPandas(_mean, "block int, weights binary").collect()
+            mean = texts.mapInArrow(_train(heads, (w, u), batch_tokens, rate, blocks), AVERAGED)
+            tasks = texts.rdd.getNumPartitions()
+            while tasks > FAN_IN:  # a tree, so that no task reads more than FAN_IN pieces of weights
+                mean = mean.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("block", "task").applyInPandas(_mean, AVERAGED)
+                tasks = -(-tasks // FAN_IN)
+            mean = mean.groupBy("block").applyInPandas(_mean, AVERAGED).collect()
             flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])]).reshape(-1, CLASSES)
             w, u = flat[:CLASS_ROWS].copy(), flat[CLASS_ROWS:].copy()
     return Model(heads, w, u, int(tokens.sum()), int(words.sum()), np.log10(rest_tokens + rest_words + 1.0)), counts

@@ -12,12 +12,15 @@ bytes, and any such window holds a winnowed anchor: a ``gram``-byte string of le
    The order of suffixes that start a byte earlier follows by a stable sort on that byte alone;
 4. neighbours whose windows have equal hashes are compared byte by byte, so a collision never removes anything.
 
+Whole copies of a text go by their SHA-256 digest and need no contexts.
+
 An anchor that very many documents share would gather its contexts in one place. Such anchors are found by count;
 each of their windows is sent as a record of its own, keyed by the window, so they spread and still meet their equals.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -76,7 +79,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndar
     ends = offsets[1:-1]
     np.add.at(crossing, np.maximum(ends - k + 1, 0), 1)
     np.add.at(crossing, np.minimum(ends, n), -1)
-    crossing = np.cumsum(crossing)[:n] > 0
+    crossing = np.cumsum(crossing, dtype=np.int32)[:n] > 0
     key[crossing] = np.iinfo(np.uint32).max
     least = sliding(key, span, np.minimum)
     most = sliding(np.concatenate([np.zeros(span - 1, np.uint32), least, np.zeros(span - 1, np.uint32)]), span, np.maximum)
@@ -86,10 +89,32 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndar
     return at, grams[at]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: a worker lives on through many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _blob(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    """As :func:`_blob`, compressed: most of what is shuffled here is small numbers and text."""
+    out = []
+    for b in _blob(*arrays):
+        out.append(len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True))
+    return out
+
+
+def _unpacked(b: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(memoryview(b)[8:], size, codec="zstd", asbytes=True), dtype)
+
+
 ASKED = "bucket int, ids binary, tags binary, low binary, high binary, doc binary, pos binary, many binary"
 
 
@@ -101,13 +126,14 @@ def _ask(shape: Shape):
             raw_all, offsets_all = tb.text_buffer(batch.column(2))
             ids_all, tags_all = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             parts = []
-            for i, j in tb.row_groups(offsets_all):
+            for i, j in tb.row_groups(offsets_all, 256 << 10):
                 at, h = anchors(raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i], shape)
                 doc = np.searchsorted(offsets_all, at + offsets_all[i], "right") - 1
                 parts.append((h, doc, (at + offsets_all[i] - offsets_all[doc])))
-                if sum(len(p[0]) for p in parts) > 400_000 or j == len(ids_all):
+                if sum(len(p[0]) for p in parts) > 250_000 or j == len(ids_all):
                     yield from _asked(shape, parts, ids_all, tags_all)
                     parts = []
+            _trim()
 
     return run
 
@@ -137,8 +163,6 @@ def _asked(shape: Shape, parts: list, ids_all: np.ndarray, tags_all: np.ndarray)
         for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
             rows.append((int(ids[d[a]] % shape.buckets), *_blob(ids[d[a] : d[a] + 1], tags[d[a] : d[a] + 1]), None, None, None, p[a:b].astype(np.uint32).tobytes(), None))
     least = first[np.repeat(np.arange(len(begin)), size)]
-    head = np.zeros(len(h), dtype=bool)
-    head[begin] = True
     send = ~several
     if several.any():  # of a shared anchor the first entry of its smallest document
         cand = np.flatnonzero(several & (doc == least))
@@ -147,15 +171,13 @@ def _asked(shape: Shape, parts: list, ids_all: np.ndarray, tags_all: np.ndarray)
     many = np.where(several, np.minimum(np.repeat(size, size), np.iinfo(np.uint32).max), 1).astype(np.uint32)
     h, doc, pos, many = h[send], doc[send], pos[send], many[send]
     bucket = shape.bucket(h)
-    step = np.diff(ids, prepend=ids[:1])
-    base = ids[:1]
     for b in np.unique(bucket):
         own = slice(*np.searchsorted(bucket, [b, b + 1]))  # bucket grows with h
         used = np.unique(doc[own])
         local = np.searchsorted(used, doc[own]).astype(np.uint32 if len(used) > 65_535 else np.uint16)
         delta = np.diff(ids[used], prepend=0)
-        rows.append((int(b), *_blob(delta, tags[used]), *_blob((h[own] & U64(0xFFFFFFFF)).astype(np.uint32), (h[own] >> U64(32) & U64(0xFFFF)).astype(np.uint16)), local.tobytes(), *_blob(pos[own].astype(np.uint32), np.minimum(many[own], 255).astype(np.uint8))))
-    del step, base, head
+        low, high = (h[own] & U64(0xFFFFFFFF)).astype(np.uint32), (h[own] >> U64(32) & U64(0xFFFF)).astype(np.uint16)
+        rows.append((int(b), *_packed(delta), *_blob(tags[used], low), *_packed(high, local, pos[own].astype(np.uint32), np.minimum(many[own], 255).astype(np.uint8))))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 8))], names=["bucket", "ids", "tags", "low", "high", "doc", "pos", "many"])
 
 
@@ -172,15 +194,16 @@ def _answer(hot_from: int):
         if len(asked):
             h, ids, tags, pos, many = [], [], [], [], []
             for r in asked.itertuples(index=False):
-                low, high = np.frombuffer(r.low, np.uint32), np.frombuffer(r.high, np.uint16)
+                low, high = np.frombuffer(r.low, np.uint32), _unpacked(r.high, np.uint16)
                 h.append(low.astype(U64) | high.astype(U64) << U64(32))
-                table, tag = np.cumsum(np.frombuffer(r.ids, np.int64)), np.frombuffer(r.tags, np.int32)
-                local = np.frombuffer(r.doc, np.uint32 if len(table) > 65_535 else np.uint16)
+                table, tag = np.cumsum(_unpacked(r.ids, np.int64)), np.frombuffer(r.tags, np.int32)
+                local = _unpacked(r.doc, np.uint32 if len(table) > 65_535 else np.uint16)
                 ids.append(table[local])
                 tags.append(tag[local])
-                pos.append(np.frombuffer(r.pos, np.uint32))
-                many.append(np.frombuffer(r.many, np.uint8))
+                pos.append(_unpacked(r.pos, np.uint32))
+                many.append(_unpacked(r.many, np.uint8))
             h, ids, tags, pos, many = (np.concatenate(x) for x in (h, ids, tags, pos, many))
+            _trim()
             order = np.argsort(h)
             h = h[order]
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -202,7 +225,7 @@ def _answer(hot_from: int):
                 out["tag"] += tags[cut].tolist()
                 out["pos"] += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 out["hot"] += [None] * len(cut)
-        return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "tag": pd.array(out["tag"], "Int32"), "pos": out["pos"], "hot": out["hot"]})
+        return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "tag": pd.array(out["tag"], "Int32"), "pos": pd.Series(out["pos"], dtype=object), "hot": pd.Series(out["hot"], dtype=object)})
 
     return run
 
@@ -227,9 +250,10 @@ def _contexts(shape: Shape, hot: np.ndarray):
                 p = p[p + k <= n]
                 parts.append((np.full(len(p), i), p))
                 held += len(p)
-                if held > 60_000 or i == len(marks) - 1:
+                if held > 120_000 or i == len(marks) - 1:
                     yield from records(raw_all, offsets_all, *(np.concatenate(x) for x in zip(*parts, strict=True)), ids_all, tags_all)
                     parts, held = [], 0
+            _trim()
 
     def records(raw, offsets, doc, pos, ids_all, tags_all):
         if len(doc) == 0:
@@ -239,9 +263,12 @@ def _contexts(shape: Shape, hot: np.ndarray):
         fits = left + right >= reach
         doc, pos, left, right, n = doc[fits], pos[fits], left[fits], right[fits], n[fits]
         column = np.arange(width) - reach
-        place = (offsets[doc] + pos)[:, None] + column
-        inside = (column >= -left[:, None]) & (column < (k + right)[:, None])
-        c = np.where(inside, raw[np.clip(place, 0, len(raw) - 1)], 0).astype(np.uint8)
+        c = np.zeros((len(doc), width), np.uint8)
+        for a in range(0, len(doc), 16_384):
+            part = slice(a, a + 16_384)
+            place = (offsets[doc[part]] + pos[part])[:, None] + column
+            inside = (column >= -left[part, None]) & (column < (k + right[part])[:, None])
+            c[part] = np.where(inside, raw[np.clip(place, 0, len(raw) - 1)], 0)
         h = _row_hashes(c[:, reach : reach + k])
         if len(hot) and len(h):
             often = np.isin(h, hot)
@@ -285,7 +312,7 @@ def _contexts(shape: Shape, hot: np.ndarray):
         rows = []
         for b, x, y in _runs(bucket):
             used = np.unique(doc[x:y])
-            rows.append((int(b), *_blob(ids[used], tags[used], h[x:y], np.searchsorted(used, doc[x:y]).astype(np.uint32), pos[x:y].astype(np.uint32), left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), c[x:y]), None, None))
+            rows.append((int(b), *_blob(ids[used], tags[used], h[x:y]), *_packed(np.searchsorted(used, doc[x:y]).astype(np.uint32), pos[x:y].astype(np.uint32), left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), c[x:y]), None, None))
         if rows:
             yield _contexts_batch(rows, shape.buckets)
 
@@ -430,8 +457,8 @@ def _decide(shape: Shape):
         if len(asked):
             got: list[list[np.ndarray]] = [[] for _ in range(7)]
             for r in asked.itertuples(index=False):
-                local = np.frombuffer(r.doc, np.uint32)
-                for x, v in zip(got, (np.frombuffer(r.h, U64), np.frombuffer(r.bytes, np.uint8).reshape(-1, shape.context), np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.tags, np.int32)[local], np.frombuffer(r.pos, np.uint32).astype(np.int64), np.frombuffer(r.left, np.uint8).astype(np.int64), np.frombuffer(r.right, np.uint8).astype(np.int64)), strict=True):
+                local = _unpacked(r.doc, np.uint32)
+                for x, v in zip(got, (np.frombuffer(r.h, U64), _unpacked(r.bytes, np.uint8).reshape(-1, shape.context), np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.tags, np.int32)[local], _unpacked(r.pos, np.uint32).astype(np.int64), _unpacked(r.left, np.uint8).astype(np.int64), _unpacked(r.right, np.uint8).astype(np.int64)), strict=True):
                     x.append(v)
             h, c, ids, tags, pos, left, right = (np.concatenate(x) for x in got)
             del got
@@ -439,7 +466,7 @@ def _decide(shape: Shape):
             order = np.argsort(h, kind="stable")
             cuts = [0]
             while cuts[-1] < len(h):
-                end = min(cuts[-1] + 60_000, len(h))
+                end = min(cuts[-1] + 20_000, len(h))
                 while end < len(h) and h[order[end]] == h[order[end - 1]]:
                     end += 1
                 cuts.append(end)
@@ -450,6 +477,8 @@ def _decide(shape: Shape):
                 hit = np.flatnonzero(high >= low)
                 rows = part[hit]
                 found.append((ids[rows], tags[rows], pos[rows] - high[hit], pos[rows] - low[hit] + shape.length))
+            del h, c, left, right
+            _trim()
             ids, tags, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.lexsort((begin, tags, ids))
             ids, tags, begin, end = ids[by], tags[by], begin[by], end[by]
@@ -462,7 +491,7 @@ def _decide(shape: Shape):
                     out["tag"].append(int(tags[heads[x]]))
                     out["begin"].append(begin[a:b].astype(np.int64).tobytes())
                     out["end"].append(end[a:b].astype(np.int64).tobytes())
-        return pd.DataFrame(out).astype({"doc_id": "int64", "tag": "int32"})
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()}).astype({"doc_id": "int64", "tag": "int32"})
 
     return run
 
@@ -474,11 +503,15 @@ def _cut_out():
     def run(batches):
         for batch in batches:
             raw, offsets = tb.text_buffer(batch.column(1))
-            begins, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            begins, ends, wholes = (batch.column(c).to_pylist() for c in (2, 3, 4))
             n_removed, n_spans, kept, digest = [], [], [], []
-            for i, (b, e) in enumerate(zip(begins, ends, strict=True)):
+            for i, (b, e, whole) in enumerate(zip(begins, ends, wholes, strict=True)):
                 text = raw[offsets[i] : offsets[i + 1]]
-                if not b:
+                if whole:
+                    n_removed.append(len(text))
+                    n_spans.append(1)
+                    left = b""
+                elif not b:
                     n_removed.append(0)
                     n_spans.append(0)
                     left = text.tobytes()
@@ -492,6 +525,7 @@ def _cut_out():
                     n_spans.append(len(begin))
                 kept.append(left)
                 digest.append(hashlib.sha256(left).hexdigest())
+            _trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names=names)
 
     return run
@@ -518,13 +552,17 @@ def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_byte
     asked = texts.where("doc_id is not null and text is not null").mapInArrow(_ask(shape), ASKED)
     shared = saved(asked.groupBy("bucket").applyInPandas(_answer(hot_from), SHARED))
     hot = [r[0] for r in shared.where("hot is not null").select(F.explode("hot")).collect()]
-    marks = shared.where("hot is null").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos"))
+    digests = texts.where("doc_id is not null").where(F.octet_length("text") >= length).select("doc_id", "tag", F.sha2("text", 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    copies = saved(digests.join(first, "digest").where("doc_id > first").select("doc_id", "tag").distinct())
+    marks = shared.where("hot is null").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos")).join(copies, ["doc_id", "tag"], "left_anti")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = texts.repartition(n, "doc_id")
     marked = placed.join(marks.withColumnsRenamed({"doc_id": "m_id", "tag": "m_tag"}), (F.col("doc_id") == F.col("m_id")) & (F.col("tag") == F.col("m_tag"))).select("doc_id", "tag", "text", "pos")
     contexts = marked.mapInArrow(_contexts(shape, np.array(sorted(hot), dtype=np.int64).view(U64)), CONTEXTS)
     spans = contexts.groupBy("bucket").applyInPandas(_decide(shape), SPANS)
-    spans = spans.groupBy("doc_id", "tag").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    spans = spans.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    spans = spans.groupBy("doc_id", "tag").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"), F.max("whole").alias("whole"))
     met = placed.join(spans.withColumnsRenamed({"doc_id": "s_id", "tag": "s_tag"}), (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
-    return met.select("doc_id", "text", "begin", "end").mapInArrow(_cut_out(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return met.select("doc_id", "text", "begin", "end", "whole").mapInArrow(_cut_out(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -177,7 +177,7 @@ def _asked(shape: Shape, parts: list, ids_all: np.ndarray, tags_all: np.ndarray)
         local = np.searchsorted(used, doc[own]).astype(np.uint32 if len(used) > 65_535 else np.uint16)
         delta = np.diff(ids[used], prepend=0)
         low, high = (h[own] & U64(0xFFFFFFFF)).astype(np.uint32), (h[own] >> U64(32) & U64(0xFFFF)).astype(np.uint16)
-        rows.append((int(b), *_packed(delta), *_blob(tags[used], low), *_packed(high, local, pos[own].astype(np.uint32), np.minimum(many[own], 255).astype(np.uint8))))
+        rows.append((int(b), *_packed(delta), *_blob(tags[used], low), *_packed(high, local, pos[own].astype(np.uint32), np.minimum(many[own], 65_535).astype(np.uint16))))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 8))], names=["bucket", "ids", "tags", "low", "high", "doc", "pos", "many"])
 
 
@@ -201,7 +201,7 @@ def _answer(hot_from: int):
                 ids.append(table[local])
                 tags.append(tag[local])
                 pos.append(_unpacked(r.pos, np.uint32))
-                many.append(_unpacked(r.many, np.uint8))
+                many.append(_unpacked(r.many, np.uint16))
             h, ids, tags, pos, many = (np.concatenate(x) for x in (h, ids, tags, pos, many))
             _trim()
             order = np.argsort(h)
@@ -210,7 +210,7 @@ def _answer(hot_from: int):
             size = np.diff(np.append(begin, len(h)))
             sorted_ids = ids[order]
             shared = (np.minimum.reduceat(sorted_ids, begin) < np.maximum.reduceat(sorted_ids, begin)) | (np.maximum.reduceat(many[order], begin) > 1)
-            often = begin[size >= hot_from]
+            often = begin[np.add.reduceat(many[order].astype(np.int64), begin) >= hot_from]  # documents, not entries
             if len(often):
                 for k, v in (("doc_id", None), ("tag", None), ("pos", None), ("hot", h[often].view(np.int64))):
                     out[k].append(v)
@@ -540,14 +540,14 @@ def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_byte
     that repeat a doc_id are judged each for itself against smaller ids. A row with a null doc_id loses nothing and is no
     one's source.
 
-    Buckets grow with the corpus: one for ``bucket_bytes`` of text, and for each bucket at most four hot anchors, by their count, reach the driver.
+    Buckets grow with the corpus: one for ``bucket_bytes`` of text. Of hot anchors, at most a million hashes reach the driver.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.hash("text").alias("tag"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shape = Shape(length, gram, max(16, -(-total // bucket_bytes)))
-    hot_from = max(64, bucket_bytes // shape.reach // 8)  # an eighth of a bucket's anchors
+    hot_from = max(8192, total // 17 // 1_000_000)  # documents; at most a million anchors can have as many
 
     asked = texts.where("doc_id is not null and text is not null").mapInArrow(_ask(shape), ASKED)
     shared = saved(asked.groupBy("bucket").applyInPandas(_answer(hot_from), SHARED))

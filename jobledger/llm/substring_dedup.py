@@ -269,27 +269,40 @@ def _contexts(shape: Shape, hot: np.ndarray):
             place = (offsets[doc[part]] + pos[part])[:, None] + column
             inside = (column >= -left[part, None]) & (column < (k + right[part])[:, None])
             c[part] = np.where(inside, raw[np.clip(place, 0, len(raw) - 1)], 0)
-        h = _row_hashes(c[:, reach : reach + k])
-        if len(hot) and len(h):
-            often = np.isin(h, hot)
-            if often.any():  # every window as a record of its own
-                o = np.arange(reach + 1)
-                ok = often[:, None] & (o <= left[:, None]) & (reach - o <= right[:, None])
-                row, o = np.nonzero(ok)
-                w = np.zeros((len(row), width), np.uint8)
-                w[:, reach:] = c[row[:, None], (reach - o)[:, None] + np.arange(length)]
-                wh = _row_hashes(w[:, reach:])
-                stay = ~often
-                doc, pos = np.concatenate([doc[stay], doc[row]]), np.concatenate([pos[stay], pos[row] - o])
-                left, right = np.concatenate([left[stay], np.zeros(len(row), np.int64)]), np.concatenate([right[stay], np.full(len(row), reach)])
-                h, c = np.concatenate([h[stay], wh]), np.concatenate([c[stay], w])
-        if len(h) == 0:
+        if len(doc) == 0:
             return
+        h = _row_hashes(c[:, reach : reach + k])
         lo, hi = doc.min(), doc.max() + 1
         by_id = np.argsort(ids_all[lo:hi], kind="stable")
         rank = np.empty(hi - lo, np.int64)
         rank[by_id] = np.arange(hi - lo)
         ids, tags, doc = ids_all[lo:hi][by_id], tags_all[lo:hi][by_id], rank[doc - lo]
+        left_over = yield from known(ids, tags, doc, pos, left, right, h, c)
+        often = np.isin(left_over[4] & _LOW, hot)  # hot ones come by their low bits only
+        yield from sent(ids, tags, *(x[~often] for x in left_over))
+        at = np.flatnonzero(often)
+        at = at[np.argsort(left_over[4][at], kind="stable")]
+        for a in range(0, len(at), 16_384):
+            part = yield from known(ids, tags, *windows(*(x[at[a : a + 16_384]] for x in left_over[:4]), left_over[5][at[a : a + 16_384]]))
+            yield from sent(ids, tags, *part)
+
+    def windows(doc, pos, left, right, c):
+        """Every window of contexts as a record of its own, keyed by its hash; once where contexts of a document overlap."""
+        o = np.arange(reach + 1)
+        row, o = np.nonzero((o <= left[:, None]) & (reach - o <= right[:, None]))
+        by = np.lexsort((pos[row] - o, doc[row]))
+        row, o = row[by], o[by]
+        d, begin = doc[row], pos[row] - o
+        once = np.concatenate([[True], (d[1:] != d[:-1]) | (begin[1:] != begin[:-1])])
+        row, o, d, begin = row[once], o[once], d[once], begin[once]
+        w = np.zeros((len(row), width), np.uint8)
+        for a in range(0, len(row), 16_384):
+            part = slice(a, a + 16_384)
+            w[part, reach:] = c[row[part, None], (reach - o[part])[:, None] + np.arange(length)]
+        return d, begin, np.zeros(len(row), np.int64), np.full(len(row), reach), _row_hashes(w[:, reach:]), w
+
+    def known(ids, tags, doc, pos, left, right, h, c):
+        """Yields the spans of contexts that a smaller document of the batch has too; returns the other contexts."""
         # equal contexts: hashes bring them together, bytes confirm
         key = tb.mix(_row_hashes(c) + (left * 64 + right).astype(U64))
         order = np.lexsort((ids[doc], key))
@@ -305,7 +318,11 @@ def _contexts(shape: Shape, hot: np.ndarray):
             d, begin, end = _joined(d[by], begin[by], end[by])
             yield _contexts_batch([(-1 - int(x), *_blob(ids[x : x + 1], tags[x : x + 1]), None, None, None, None, None, None, *_blob(begin[a:b], end[a:b])) for x, a, b in _runs(d)], shape.buckets)
         send = ~gone
-        doc, pos, left, right, h, c = doc[send], pos[send], left[send], right[send], h[send], c[send]
+        return doc[send], pos[send], left[send], right[send], h[send], c[send]
+
+    def sent(ids, tags, doc, pos, left, right, h, c):
+        if len(h) == 0:
+            return
         bucket = shape.bucket(h)
         order = np.argsort(bucket, kind="stable")
         doc, pos, left, right, h, c, bucket = doc[order], pos[order], left[order], right[order], h[order], c[order], bucket[order]
@@ -313,8 +330,7 @@ def _contexts(shape: Shape, hot: np.ndarray):
         for b, x, y in _runs(bucket):
             used = np.unique(doc[x:y])
             rows.append((int(b), *_blob(ids[used], tags[used], h[x:y]), *_packed(np.searchsorted(used, doc[x:y]).astype(np.uint32), pos[x:y].astype(np.uint32), left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), c[x:y]), None, None))
-        if rows:
-            yield _contexts_batch(rows, shape.buckets)
+        yield _contexts_batch(rows, shape.buckets)
 
     return run
 
@@ -447,37 +463,48 @@ def covered(h, c, doc, left, right, shape: Shape) -> tuple[np.ndarray, np.ndarra
 SPANS = "doc_id long, tag int, begin binary, end binary"
 
 
-def _decide(shape: Shape):
-    """Contexts of a bucket -> spans to remove, by document."""
+def _share(asked: pd.DataFrame, shape: Shape, least: np.uint64, beyond: np.uint64 | None) -> list[np.ndarray]:
+    """h, bytes, ids, tags, pos, left and right of the contexts whose hashes are from ``least`` to before ``beyond``."""
+    got: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for r in asked.itertuples(index=False):
+        h = np.frombuffer(r.h, U64)
+        mine = np.flatnonzero(h >= least if beyond is None else (h >= least) & (h < beyond))
+        if len(mine):
+            local = _unpacked(r.doc, np.uint32)[mine]
+            for x, v in zip(got, (h[mine], _unpacked(r.bytes, np.uint8).reshape(-1, shape.context)[mine], np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.tags, np.int32)[local], _unpacked(r.pos, np.uint32)[mine].astype(np.int64), _unpacked(r.left, np.uint8)[mine].astype(np.int64), _unpacked(r.right, np.uint8)[mine].astype(np.int64)), strict=True):
+                x.append(v)
+    return [np.concatenate(x) for x in got]
+
+
+def _decide(shape: Shape, share: int = 100_000):
+    """Contexts of a bucket -> spans to remove, by document. About ``share`` contexts are unpacked at a time."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         known = group[group["h"].isna()]
         out = {"doc_id": [int(np.frombuffer(b, np.int64)[0]) for b in known["ids"]], "tag": [int(np.frombuffer(b, np.int32)[0]) for b in known["tags"]], "begin": list(known["begin"]), "end": list(known["end"])}
         asked = group[group["h"].notna()]
         if len(asked):
-            got: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for r in asked.itertuples(index=False):
-                local = _unpacked(r.doc, np.uint32)
-                for x, v in zip(got, (np.frombuffer(r.h, U64), _unpacked(r.bytes, np.uint8).reshape(-1, shape.context), np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.tags, np.int32)[local], _unpacked(r.pos, np.uint32).astype(np.int64), _unpacked(r.left, np.uint8).astype(np.int64), _unpacked(r.right, np.uint8).astype(np.int64)), strict=True):
-                    x.append(v)
-            h, c, ids, tags, pos, left, right = (np.concatenate(x) for x in got)
-            del got
-            # anchors with equal hashes stay together; parts keep the prefix hashes small
-            order = np.argsort(h, kind="stable")
-            cuts = [0]
-            while cuts[-1] < len(h):
-                end = min(cuts[-1] + 20_000, len(h))
-                while end < len(h) and h[order[end]] == h[order[end - 1]]:
-                    end += 1
-                cuts.append(end)
+            # anchors with equal hashes stay together; each share of them unpacks its own contexts only
+            every = np.sort(np.concatenate([np.frombuffer(b, U64) for b in asked["h"]]))
+            edges = np.unique(every[::share])
             found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = order[a:b]
-                low, high = covered(h[part], c[part], ids[part], left[part], right[part], shape)
-                hit = np.flatnonzero(high >= low)
-                rows = part[hit]
-                found.append((ids[rows], tags[rows], pos[rows] - high[hit], pos[rows] - low[hit] + shape.length))
-            del h, c, left, right
+            for n, least in enumerate(edges):
+                h, c, ids, tags, pos, left, right = _share(asked, shape, least, edges[n + 1] if n + 1 < len(edges) else None)
+                # parts keep the prefix hashes small
+                order = np.argsort(h, kind="stable")
+                cuts = [0]
+                while cuts[-1] < len(h):
+                    end = min(cuts[-1] + 20_000, len(h))
+                    while end < len(h) and h[order[end]] == h[order[end - 1]]:
+                        end += 1
+                    cuts.append(end)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = order[a:b]
+                    low, high = covered(h[part], c[part], ids[part], left[part], right[part], shape)
+                    hit = np.flatnonzero(high >= low)
+                    rows = part[hit]
+                    found.append((ids[rows], tags[rows], pos[rows] - high[hit], pos[rows] - low[hit] + shape.length))
+                del h, c, left, right
             _trim()
             ids, tags, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.lexsort((begin, tags, ids))

@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +188,29 @@ def test_hot_anchors_take_their_own_way(spark, monkeypatch):
     assert got == want
 
 
+def test_hot_anchors_are_sent_as_windows():
+    r = random.Random(10)
+    passage = "".join(r.choices("abcdefghij ", k=90))
+    docs = ["".join(r.choices("klmnop", k=60)) + passage + "".join(r.choices("klmnop", k=60)) for _ in range(30)]
+    shape = substring_dedup.Shape()
+    columns = [pa.array(range(30), pa.int64()), pa.array([0] * 30, pa.int32()), pa.array(docs)]
+    asked = pa.Table.from_batches(substring_dedup._ask(shape)([pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "text"])])).to_pandas()
+    shared = pd.concat([substring_dedup._answer(2)(group) for _, group in asked.groupby("bucket")])
+    hot = np.array(sorted(x for v in shared["hot"].dropna() for x in v), dtype=np.int64).view(np.uint64)
+    places = shared[shared["hot"].isna()].groupby("doc_id")["pos"].agg(list)
+    assert len(hot) and len(places) == 30
+    marked = pa.RecordBatch.from_arrays([*columns, pa.array([places[i] for i in range(30)], pa.list_(pa.binary()))], names=["doc_id", "tag", "text", "pos"])
+    for known in (hot, hot[:0]):
+        group = pa.Table.from_batches(substring_dedup._contexts(shape, known)([marked])).to_pandas()
+        whole, parts = (sorted(map(str, substring_dedup._decide(shape, share)(group).to_dict("records"))) for share in (100_000, 3))
+        assert whole == parts
+    sent = [x for b in substring_dedup._contexts(shape, hot)([marked]) for x in b.to_pylist() if x["h"] is not None]
+    assert sent
+    for x in sent:
+        h, c = np.frombuffer(x["h"], np.uint64), substring_dedup._unpacked(x["bytes"], np.uint8).reshape(-1, shape.context)
+        assert (h == substring_dedup._row_hashes(c[:, shape.reach :])).all() and (substring_dedup._unpacked(x["left"], np.uint8) == 0).all()
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(6)
     c = rng.integers(97, 99, (500, 82)).astype(np.uint8)

@@ -63,7 +63,7 @@ def stream_stats(spark, sf):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
     df = streams.stream_stats(_events(spark, sf))
-    streams.fan_out(df, {"table": write}).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination(600)
+    streams.finish(streams.fan_out(df, {"table": write}).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start())
     rows = spark.read.parquet(f"{folder}/out")
     return rows.groupBy("queue").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("queue", "batch")]), "batch").alias("r")).select("queue", "r.*")
 
@@ -93,7 +93,7 @@ def fan_out(spark, sf):
     def broken(batch: DataFrame, number: int) -> None:
         raise RuntimeError("observer")
 
-    streams.fan_out(_events(spark, sf).select("kind"), {"broken": broken, "good": good}, failures).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
+    streams.finish(streams.fan_out(_events(spark, sf).select("kind"), {"broken": broken, "good": good}, failures).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     if not failures:
         raise RuntimeError("the broken observer went unnoticed")
     return spark.read.parquet(f"{folder}/out").groupBy("kind").agg(F.count("*").alias("events"))

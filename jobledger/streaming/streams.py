@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobledger.operators.stats import count_if, kind_is
@@ -130,8 +131,17 @@ def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], Any]]
     return stream.writeStream.foreachBatch(each)
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", wait: timedelta = timedelta(minutes=10)) -> DataFrame:
+def finish(started: StreamingQuery, wait: timedelta | None = None) -> None:
+    """Wait until a stream has ended; one that runs longer than ``wait`` is stopped and raises, as its output is not whole."""
+    if wait is None:
+        started.awaitTermination()
+    elif not started.awaitTermination(int(wait.total_seconds())):
+        started.stop()
+        raise TimeoutError(f"the stream has not ended within {wait}")
+
+
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", wait: timedelta | None = None) -> DataFrame:
     """Process what there is, write it as Parquet under ``path``, and read that back."""
     started = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    started.awaitTermination(int(wait.total_seconds()))
+    finish(started, wait)
     return df.sparkSession.read.schema(df.schema).parquet(path)

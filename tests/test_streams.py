@@ -1,0 +1,22 @@
+"""Streams that run long or fail in a write raise instead of giving part of their rows."""
+
+import time
+from datetime import timedelta
+
+import pytest
+
+from jobledger.streaming import streams
+
+
+def _slow(batches):
+    for batch in batches:
+        time.sleep(5)
+        yield batch
+
+
+def test_a_stream_that_runs_too_long_raises(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    slow = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").mapInPandas(_slow, "id long")
+    with pytest.raises(TimeoutError):
+        streams.run_to_end(slow, f"{tmp_path}/cut", f"{tmp_path}/cut_checkpoint", wait=timedelta(seconds=1))
+    assert streams.run_to_end(slow, f"{tmp_path}/out", f"{tmp_path}/checkpoint").count() == 3

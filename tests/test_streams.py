@@ -4,7 +4,9 @@ import time
 from datetime import timedelta
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
+from jobledger.jobs import catalog
 from jobledger.streaming import streams
 
 
@@ -20,3 +22,16 @@ def test_a_stream_that_runs_too_long_raises(spark, tmp_path):
     with pytest.raises(TimeoutError):
         streams.run_to_end(slow, f"{tmp_path}/cut", f"{tmp_path}/cut_checkpoint", wait=timedelta(seconds=1))
     assert streams.run_to_end(slow, f"{tmp_path}/out", f"{tmp_path}/checkpoint").count() == 3
+
+
+@pytest.mark.parametrize("name", ["stream_stats", "fan_out"])
+def test_a_failed_write_raises(spark, sf_dir, monkeypatch, name):
+    write = DataFrameWriter.parquet
+
+    def broken(self, *args, **kwargs):
+        write(self, *args, **kwargs)
+        raise OSError("disk")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(Exception, match="disk"):
+        catalog.QUERIES[name](spark, sf_dir).collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobledger.llm.shared import saved
+
 #: Words: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +18,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
     exceeds ``most_repeats`` times its source; the excess is shared anew by weight until none is above. In order of
     (limit / weight) the capped sources come first, so the level is found with running sums instead of rounds:
     source i is capped if the level left to it and those after it, per weight, is at least its limit per weight.
+    One task orders the sources, a row each.
     """
     everywhere = Window.partitionBy(F.lit(0))
     by_name = everywhere.orderBy(F.col("source").asc_nulls_last())
@@ -37,56 +40,73 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most_repeats: int = 2, seed: int = 0, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """``docs(doc_id, text, source)`` -> (every document with its place, the mix in its order).
-
-    The documents of a source are shuffled by a hash of doc_id. Repeat r of a document starts after everything of its
-    source before it and after r whole rounds of the source, and ends ``size`` words later; its virtual finish time
-    is that end divided by the source's target. The queue serves by finish time. Targets add up to the budget, so the
-    budget is used up at virtual time 1: a document in service there is cut, later ones are left out.
-
-    First result, one row per input row: doc_id, source, size, source_size, target, start (words of its source before
-    it). Second, range-sorted by finish: doc_id, source, start, repeat, finish, words (taken of this repeat) and
-    mix_start (words of the mix before it), truncated at the budget.
+def placed_documents(docs: DataFrame, weights: tuple[int, ...], percent: int, most_repeats: int, seed: int, buckets: int) -> DataFrame:
+    """Every document with its source's target and its start: words of its source before it in shuffled order.
 
     Running sums are taken in two levels (within hash buckets, then over bucket totals), so that a source with a
-    third of all rows still spreads over ``buckets`` groups; raise ``buckets`` with the data. Sources get one
-    summary row each.
-
-    Null texts have size 0; a null source is a source of its own, last in order; null doc_ids sort as empty. Sources
-    without words have target 0. Rows that repeat a doc_id are mixed each for itself.
+    third of all rows still spreads over ``buckets`` groups.
     """
     key = shuffle_key(F.col("doc_id"), seed)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
-    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
+    sized = saved(sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")))  # texts are read and their words counted once
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     sources = source_targets(per_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), weights, percent, most_repeats)
     of_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("base", F.coalesce(F.sum("in_bucket").over(of_source), F.lit(0))).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "base", "source_size", "rank", "target")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    return (
         sized.withColumn("ahead", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
         .withColumn("start", F.col("base") + F.col("ahead"))
-        .select("doc_id", "source", "size", "source_size", "target", "rank", "key", "start")
+        .select("doc_id", "source", "size", "source_size", "target", "rank", "start")
     )
-    begin = F.col("start") + F.col("repeat") * F.col("source_size")
-    limit = F.floor("target").cast("long")
-    queue = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1)))).withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), limit - begin))).where("words > 0")
-    queue = queue.withColumn("finish", (begin + F.col("size")) / F.col("target")).withColumn("slot", F.least(F.floor(F.col("finish") * buckets), F.lit(buckets)).cast("int"))
-    slots = queue.groupBy("slot").agg(F.sum("words").alias("in_slot"))
-    everything = Window.partitionBy(F.lit(0))
-    slots = slots.withColumn("slot_start", F.coalesce(F.sum("in_slot").over(everything.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("budget", F.sum("in_slot").over(everything))
-    in_slot = Window.partitionBy("slot").orderBy("finish", "rank", "key", "doc_id", "repeat", "start").rowsBetween(Window.unboundedPreceding, -1)
-    # at most buckets + 1 rows
-    mix = queue.withColumn("slot_ahead", F.coalesce(F.sum("words").over(in_slot), F.lit(0))).join(F.broadcast(slots), "slot").withColumn("mix_start", F.col("slot_start") + F.col("slot_ahead"))
-    mix = mix.where("mix_start < budget").orderBy("finish", "rank", "key", "doc_id", "repeat", "start")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "start"), mix.select("doc_id", "source", "start", "repeat", "finish", "words", "mix_start")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most_repeats: int = 2, seed: int = 0, buckets: int = 1024, quantum: int = 128, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text, source)`` -> (every document with its place, the mix in its order).
+
+    The documents of a source are shuffled by a hash of doc_id and queued ``most_repeats`` times, one round of the
+    source after the other; documents of more than ``quantum`` words are queued in slices of so many. The virtual finish time
+    of a slice is the source's words up to its end divided by the source's target. The queue is range-sorted by
+    finish time, then source and place, and served until ``budget`` words are taken (default: the sum of all targets);
+    the slice in service there is cut, later ones are left out. What a source gets follows from that order alone: within a slice of
+    its share at every moment.
+
+    First result, one row per input row: doc_id, source, size, source_size, target, rank (of the source), start (words of
+    its source before it). Second, sorted by finish: source, rank, start, repeat, begin, finish, words (taken of this
+    slice) and mix_start (words of the mix before it).
+
+    The sort is written with the number of each range, so running sums need the sums of the ranges only, one row each. ``buckets`` spread
+    the places within a source; raise them with the data.
+
+    Null texts have size 0; a null source is a source of its own, last in order; null doc_ids sort as empty. Sources
+    without words have target 0. Rows that repeat a doc_id are mixed each for itself.
+    """
+    spark = docs.sparkSession
+    placed = saved(placed_documents(docs, weights, percent, most_repeats, seed, buckets))
+    if budget is None:  # one number
+        targets = placed.groupBy("rank").agg(F.max("target").alias("target"))
+        budget = targets.agg(F.floor(F.round(F.sum("target"), 3)).cast("long")).first()[0] or 0
+    first = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1)))
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(quantum).cast("long")))
+    queue = placed.where("size > 0").select("source", "rank", "start", "size", "source_size", "target", first.alias("repeat")).select("*", slices.alias("at"))
+    queue = queue.withColumn("begin", F.col("start") + F.col("repeat") * F.col("source_size") + F.col("at")).withColumn("length", F.least(F.lit(quantum), F.col("size") - F.col("at")))
+    queue = queue.withColumn("finish", (F.col("begin") + F.col("length")) / F.col("target")).select("source", "rank", "start", "repeat", "begin", "length", "finish")
+    order = ["finish", "rank", "begin"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(queue.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("range").agg(F.sum("length").alias("in_range"))
+    sums = sums.select("range", F.coalesce(F.sum("in_range").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("range_start"))
+    live = ranged.join(F.broadcast(sums.where(F.col("range_start") < budget)), "range")  # a row for each range
+    in_range = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    mix = live.withColumn("mix_start", F.col("range_start") + F.coalesce(F.sum("length").over(in_range), F.lit(0))).where(F.col("mix_start") < budget)
+    mix = mix.withColumn("words", F.least(F.col("length"), budget - F.col("mix_start")))
+    return placed, mix.select("source", "rank", "start", "repeat", "begin", "finish", "words", "mix_start")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """``docs(doc_id, text, source)`` -> doc_id, source, size, source_size, target, taken: words that the mix takes, repeats counted."""
     placed, mix = mix_sources(docs, **options)
-    of_doc = mix.groupBy("doc_id", "source", "start").agg(F.sum("words").alias("taken")).toDF("m_doc", "m_source", "m_start", "taken")
-    met = placed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("start") == F.col("m_start")) & (F.col("size") > 0), "left")
-    return met.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    of_doc = mix.groupBy("rank", "start").agg(F.sum("words").alias("taken")).toDF("m_rank", "m_start", "taken")
+    met = placed.join(of_doc, (F.col("rank") == F.col("m_rank")) & (F.col("start") == F.col("m_start")) & (F.col("size") > 0), "left")
+    return met.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

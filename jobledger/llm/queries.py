@@ -156,15 +156,19 @@ f AS (
     (sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rest FROM o),
 g AS (SELECT min(n) AS n FROM f WHERE most * rest > rem * weight),
 t AS (
-  SELECT f.source, f.source_size, CASE WHEN g.n IS NULL OR f.n < g.n THEN f.most::DOUBLE ELSE x.rem * f.weight / x.rest END AS target
+  SELECT f.source, f.source_size, f.rank, CASE WHEN g.n IS NULL OR f.n < g.n THEN f.most::DOUBLE ELSE x.rem * f.weight / x.rest END AS target
   FROM f CROSS JOIN g LEFT JOIN f x ON x.n = g.n),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS lim,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  greatest(0, least(size, lim - start)) + greatest(0, least(size, lim - start - source_size)) AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT rank, start, start + rep * source_size + off AS pos, least(128, size - off) AS n, target
+  FROM (SELECT *, unnest(range(0, size, 128)) AS off FROM (SELECT *, unnest([0, 1]) AS rep FROM p WHERE size > 0))),
+q AS (SELECT rank, start, n, coalesce(sum(n) OVER (ORDER BY (pos + n)::DOUBLE / target, rank, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_start FROM u),
+k AS (SELECT floor(round(sum(target), 3)) AS budget FROM t),
+m AS (SELECT rank, start, sum(least(n, budget - mix_start))::BIGINT AS taken FROM q CROSS JOIN k WHERE mix_start < budget GROUP BY rank, start)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT AS taken
+FROM p LEFT JOIN m ON m.rank = p.rank AND m.start = p.start AND p.size > 0
 """
 
 QUERIES = {

@@ -234,11 +234,14 @@ def test_passages_on_odd_rows(spark):
     assert substring_dedup.remove_shared(no_documents(spark)).count() == 0
 
 
-def test_mix_targets_and_takes(spark):
+def mix_documents(spark, n=600):
     r = random.Random(11)
-    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    placed, mix = mixing.mix_sources(docs, buckets=16)
+    rows = [(i, " ".join(["w"] * r.choice([0, 3, 30, 30, 300])), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mix_targets_and_takes(spark):
+    docs = mix_documents(spark)
     got = mixing.taken_words(docs, buckets=16).collect()
     by = {}
     for x in got:
@@ -246,14 +249,45 @@ def test_mix_targets_and_takes(spark):
         s = by.setdefault(x.source, [x.target, x.source_size, 0])
         s[2] += x.taken
     total = sum(s[1] for s in by.values())
-    assert sum(s[0] for s in by.values()) == pytest.approx(1.5 * total)
+    assert sum(s[0] for s in by.values()) == pytest.approx(1.5 * total) and sum(s[2] for s in by.values()) == int(1.5 * total)
     for target, size, taken in by.values():
-        assert target <= 2 * size + 1e-6 and abs(taken - target) <= 1
-    order = mix.collect()
-    assert [x.finish for x in order] == sorted(x.finish for x in order)
-    starts = sorted((x.mix_start, x.words) for x in order)
-    assert all(a + n == b for (a, n), (b, _) in zip(starts[:-1], starts[1:], strict=True))
-    assert placed.count() == 600 and sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs.repartition(7), buckets=16).collect()))
+        assert target <= 2 * size + 1e-6 and abs(taken - target) <= 2 * 128
+    assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs.repartition(7), buckets=16).collect()))
+
+
+@pytest.mark.parametrize("budget", [None, 20_000, 0])
+def test_mix_is_a_queue_by_finish_time(spark, budget):
+    """One queue served in order of virtual finish time until the budget is spent."""
+    docs = mix_documents(spark)
+    placed, mix = mixing.mix_sources(docs, buckets=16, budget=budget)
+    rows = placed.collect()
+    served = [(x["rank"], x.start, x["repeat"], x.begin, x.words, x.mix_start) for x in mix.orderBy("mix_start").collect()]
+    queue = []
+    for x in rows:
+        for repeat in range(2):
+            for at in range(0, x["size"], 128):
+                begin, n = x.start + repeat * x.source_size + at, min(128, x["size"] - at)
+                queue.append(((begin + n) / x.target, x["rank"], begin, x.start, repeat, n))
+    left, want, begun = int(1.5 * sum(x["size"] for x in rows)) if budget is None else budget, [], 0
+    assert left < sum(q[-1] for q in queue)  # so the budget cuts
+    for _, rank, begin, start, repeat, n in sorted(queue):
+        if left > 0:
+            want.append((rank, start, repeat, begin, min(n, left), begun))
+            begun, left = begun + n, left - n
+    assert served == want
+
+
+def test_the_mix_is_range_sorted(spark, monkeypatch):
+    plans = []
+    write = mixing.saved
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df)
+
+    monkeypatch.setattr(mixing, "saved", seen)
+    mixing.mix_sources(mix_documents(spark, 50))
+    assert any("rangepartitioning(finish" in p for p in plans)
 
 
 def test_mix_on_odd_rows(spark):

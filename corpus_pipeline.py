@@ -5,7 +5,7 @@ Every stage is written as Parquet and read back before the next one starts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobledger.llm import toxicity
@@ -48,13 +48,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix with the words it takes of each: their columns, mix_size, mix_target (of the source), mix_taken.
 
-    Rows with the same doc_id, source and size share what they take.
+    Rows with the same doc_id, source and size share what they take, to the word: they are numbered, and the first get one more.
     """
-    taken = taken_words(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("mix_taken"), F.max("target").alias("mix_target")).where("mix_taken > 0")
-    taken = taken.toDF("m_id", "m_source", "mix_size", "mix_taken", "mix_target")
+    key = F.struct("doc_id", "source", "size")
+    taken = taken_words(docs).groupBy(key.alias("m_key")).agg(F.sum("taken").alias("sum"), F.count("*").alias("rows"), F.max("target").alias("mix_target")).where("sum > 0")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (size == F.col("mix_size"))
-    return docs.hint("merge").join(taken, same).select(*[docs[c] for c in docs.columns], "mix_size", "mix_target", "mix_taken")
+    same = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    met = docs.select(F.struct(*docs.columns).alias("row"), same.alias("key")).hint("merge").join(taken, F.col("key") == F.col("m_key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
+    share = F.expr("sum div rows").cast("long") + (nth <= F.col("sum") % F.col("rows")).cast("long")
+    return met.select("row.*", F.col("key.size").alias("mix_size"), "mix_target", share.alias("mix_taken")).where("mix_taken > 0")
 
 
 STAGES = [

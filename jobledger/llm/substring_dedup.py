@@ -16,6 +16,8 @@ Whole copies of a text go by their SHA-256 digest and need no contexts.
 
 An anchor that very many documents share would gather its contexts in one place. Such anchors are found by count;
 each of their windows is sent as a record of its own, keyed by the window, so they spread and still meet their equals.
+
+Places and spans travel packed, by a hash of their document, and are gathered there: one row for each document.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from jobledger.llm.shared import saved
 
 U64 = np.uint64
 _LOW = U64((1 << 48) - 1)
+HOT_SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,11 @@ class Shape:
     gram: int = 18
     buckets: int = 16
 
+    @property
+    def groups(self) -> int:
+        """Into so many groups documents are dealt to have their spans joined."""
+        return 2 * self.buckets
+
     @property
     def reach(self) -> int:
         """Bytes before and after an anchor that a window can take in."""
@@ -98,6 +106,17 @@ def _trim() -> None:
         pass
 
 
+def _pieces(offsets: np.ndarray, limit: int, overlap: int):
+    """(first row, end row, begin byte, end byte) of groups of texts; a text beyond ``limit`` comes in pieces that overlap."""
+    for i, j in tb.row_groups(offsets, limit):
+        a, b = int(offsets[i]), int(offsets[j])
+        if j > i + 1 or b - a <= limit:
+            yield i, j, a, b
+        else:
+            for x in range(a, b, limit):
+                yield i, j, x, min(b, x + limit + overlap)
+
+
 def _blob(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
@@ -106,16 +125,18 @@ def _packed(*arrays: np.ndarray) -> list[bytes]:
     """As :func:`_blob`, compressed: most of what is shuffled here is small numbers and text."""
     out = []
     for b in _blob(*arrays):
-        out.append(len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True))
+        out.append(bytes(4) + b if len(b) < 256 else len(b).to_bytes(4, "little") + pa.compress(b, codec="zstd", asbytes=True))
     return out
 
 
 def _unpacked(b: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(memoryview(b)[8:], size, codec="zstd", asbytes=True), dtype)
+    size = int.from_bytes(b[:4], "little")
+    if size == 0:  # too short to gain
+        return np.frombuffer(b, dtype, offset=4)
+    return np.frombuffer(pa.decompress(memoryview(b)[4:], size, codec="zstd", asbytes=True), dtype)
 
 
-ASKED = "bucket int, ids binary, tags binary, low binary, high binary, doc binary, pos binary, many binary"
+ASKED = "bucket int, g int, ids binary, tags binary, low binary, high binary, doc binary, pos binary, many binary"
 
 
 def _ask(shape: Shape):
@@ -126,13 +147,15 @@ def _ask(shape: Shape):
             raw_all, offsets_all = tb.text_buffer(batch.column(2))
             ids_all, tags_all = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             parts = []
-            for i, j in tb.row_groups(offsets_all, 256 << 10):
-                at, h = anchors(raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i], shape)
-                doc = np.searchsorted(offsets_all, at + offsets_all[i], "right") - 1
-                parts.append((h, doc, (at + offsets_all[i] - offsets_all[doc])))
-                if sum(len(p[0]) for p in parts) > 250_000 or j == len(ids_all):
+            for i, j, a, b in _pieces(offsets_all, 256 << 10, shape.length - 1):
+                at, h = anchors(raw_all[a:b], np.clip(offsets_all[i : j + 1], a, b) - a, shape)
+                doc = np.searchsorted(offsets_all, at + a, "right") - 1
+                parts.append((h, doc, (at + a - offsets_all[doc])))
+                if sum(len(p[0]) for p in parts) > 250_000:
                     yield from _asked(shape, parts, ids_all, tags_all)
                     parts = []
+            if parts:
+                yield from _asked(shape, parts, ids_all, tags_all)
             _trim()
 
     return run
@@ -155,13 +178,10 @@ def _asked(shape: Shape, parts: list, ids_all: np.ndarray, tags_all: np.ndarray)
     several = np.repeat(ids[first] < ids[last], size)
     rows = []
     if several.any():
-        # known to be shared: one row for each document, passed on as it is
-        d, p = doc[several], pos[several]
-        by = np.argsort(d, kind="stable")
-        d, p = d[by], p[by]
-        cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
-            rows.append((int(ids[d[a]] % shape.buckets), *_blob(ids[d[a] : d[a] + 1], tags[d[a] : d[a] + 1]), None, None, None, p[a:b].astype(np.uint32).tobytes(), None))
+        # known to be shared: passed on as they are
+        d = doc[several]
+        for g, (i, t, p) in _by_group(shape.groups, ids[d], tags[d], pos[several]):
+            rows.append((g % shape.buckets, g, i, t, None, None, None, p, None))
     least = first[np.repeat(np.arange(len(begin)), size)]
     send = ~several
     if several.any():  # of a shared anchor the first entry of its smallest document
@@ -177,19 +197,19 @@ def _asked(shape: Shape, parts: list, ids_all: np.ndarray, tags_all: np.ndarray)
         local = np.searchsorted(used, doc[own]).astype(np.uint32 if len(used) > 65_535 else np.uint16)
         delta = np.diff(ids[used], prepend=0)
         low, high = (h[own] & U64(0xFFFFFFFF)).astype(np.uint32), (h[own] >> U64(32) & U64(0xFFFF)).astype(np.uint16)
-        rows.append((int(b), *_packed(delta), *_blob(tags[used], low), *_packed(high, local, pos[own].astype(np.uint32), np.minimum(many[own], 65_535).astype(np.uint16))))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 8))], names=["bucket", "ids", "tags", "low", "high", "doc", "pos", "many"])
+        rows.append((int(b), None, *_packed(delta), *_blob(tags[used], low), *_packed(high, local, pos[own].astype(np.uint32), np.minimum(many[own], 65_535).astype(np.uint16))))
+    yield _record_batch(ASKED, rows)
 
 
-SHARED = "doc_id long, tag int, pos binary, hot array<long>"
+SHARED = "g int, ids binary, tags binary, pos binary, hot array<long>, docs array<long>"
 
 
-def _answer(hot_from: int):
-    """All that is asked about the anchors of a bucket -> places of shared anchors by document; anchors found very often."""
+def _answer(hot_from: int, groups: int):
+    """All that is asked about the anchors of a bucket -> places of shared anchors by group of documents; anchors of ``hot_from`` documents and more."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         known = group[group["low"].isna()]
-        out = {"doc_id": [int(np.frombuffer(b, np.int64)[0]) for b in known["ids"]], "tag": [int(np.frombuffer(b, np.int32)[0]) for b in known["tags"]], "pos": list(known["pos"]), "hot": [None] * len(known)}
+        out = [(int(r.g), r.ids, r.tags, r.pos, None, None) for r in known.itertuples(index=False)]
         asked = group[group["low"].notna()]
         if len(asked):
             h, ids, tags, pos, many = [], [], [], [], []
@@ -210,27 +230,42 @@ def _answer(hot_from: int):
             size = np.diff(np.append(begin, len(h)))
             sorted_ids = ids[order]
             shared = (np.minimum.reduceat(sorted_ids, begin) < np.maximum.reduceat(sorted_ids, begin)) | (np.maximum.reduceat(many[order], begin) > 1)
-            often = begin[np.add.reduceat(many[order].astype(np.int64), begin) >= hot_from]  # documents, not entries
+            held = np.add.reduceat(many[order].astype(np.int64), begin)  # documents, not entries
+            often = np.flatnonzero(held >= hot_from)
             if len(often):
-                for k, v in (("doc_id", None), ("tag", None), ("pos", None), ("hot", h[often].view(np.int64))):
-                    out[k].append(v)
+                out.append((None, None, None, None, h[begin[often]].view(np.int64), held[often]))
             keep = order[np.repeat(shared, size)]
-            ids, tags, pos = ids[keep], tags[keep], pos[keep]
-            by = np.lexsort((tags, ids))
-            ids, tags, pos = ids[by], tags[by], pos[by]
-            if len(ids):
-                cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-                flat, at = pos.astype(np.uint32).tobytes(), np.append(cut, len(ids)) * 4
-                out["doc_id"] += ids[cut].tolist()
-                out["tag"] += tags[cut].tolist()
-                out["pos"] += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                out["hot"] += [None] * len(cut)
-        return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "tag": pd.array(out["tag"], "Int32"), "pos": pd.Series(out["pos"], dtype=object), "hot": pd.Series(out["hot"], dtype=object)})
+            out += [(g, *blobs, None, None) for g, blobs in _by_group(groups, ids[keep], tags[keep], pos[keep])]
+        return pd.DataFrame({c: pd.array([r[i] for r in out], "Int32") if i == 0 else pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(("g", "ids", "tags", "pos", "hot", "docs"))})
 
     return run
 
 
-CONTEXTS = "bucket int, ids binary, tags binary, h binary, doc binary, pos binary, left binary, right binary, bytes binary, begin binary, end binary"
+def _places(group: pd.DataFrame) -> pd.DataFrame:
+    """All places of shared anchors in a group of documents -> one row for each document."""
+    ids, tags, pos = (np.concatenate([_unpacked(b, kind) for b in group[c]]) for c, kind in (("ids", np.int64), ("tags", np.int32), ("pos", np.uint32)))
+    by = np.lexsort((pos, tags, ids))
+    ids, tags, pos = ids[by], tags[by], pos[by]
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+    _trim()
+    return pd.DataFrame({"doc_id": ids[cut], "tag": tags[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)]})
+
+
+def _hot_anchors(shared: DataFrame, hot_from: int, most: int) -> np.ndarray:
+    """Hashes of anchors that ``hot_from`` documents and more share, sorted; at most ``most`` reach the driver.
+
+    Only where more anchors than that are as common, the bound doubles until no more are left.
+    """
+    found = shared.where("hot is not null").select(F.inline(F.arrays_zip("hot", "docs")))
+    by_power = dict(found.groupBy(F.floor(F.log2(F.col("docs") / hot_from)).cast("int").alias("power")).agg(F.count("*").alias("n")).collect())  # a row for each power of two
+    least = 0
+    while sum(n for power, n in by_power.items() if power >= least) > most:
+        least += 1
+    rows = found.where(F.floor(F.log2(F.col("docs") / hot_from)) >= least).select("hot").collect() if by_power else []
+    return np.array(sorted(r[0] for r in rows), dtype=np.int64).view(U64)
+
+
+CONTEXTS = "bucket int, g int, ids binary, tags binary, h binary, doc binary, pos binary, left binary, right binary, bytes binary, begin binary, end binary"
 
 
 def _contexts(shape: Shape, hot: np.ndarray):
@@ -244,15 +279,19 @@ def _contexts(shape: Shape, hot: np.ndarray):
             marks = batch.column(3).to_pylist()
             parts: list[tuple] = []
             held = 0
-            for i, pieces in enumerate(marks):
+            for i, places in enumerate(marks):
                 n = int(offsets_all[i + 1] - offsets_all[i])
-                p = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pieces])).astype(np.int64)
+                p = np.unique(np.frombuffer(places, np.uint32)).astype(np.int64)
                 p = p[p + k <= n]
-                parts.append((np.full(len(p), i), p))
-                held += len(p)
-                if held > 120_000 or i == len(marks) - 1:
-                    yield from records(raw_all, offsets_all, *(np.concatenate(x) for x in zip(*parts, strict=True)), ids_all, tags_all)
-                    parts, held = [], 0
+                for a in range(0, len(p), 60_000):  # a very long text comes in several parts
+                    some = p[a : a + 60_000]
+                    parts.append((np.full(len(some), i), some))
+                    held += len(some)
+                    if held > 60_000:
+                        yield from records(raw_all, offsets_all, *(np.concatenate(x) for x in zip(*parts, strict=True)), ids_all, tags_all)
+                        parts, held = [], 0
+            if parts:
+                yield from records(raw_all, offsets_all, *(np.concatenate(x) for x in zip(*parts, strict=True)), ids_all, tags_all)
             _trim()
 
     def records(raw, offsets, doc, pos, ids_all, tags_all):
@@ -282,8 +321,8 @@ def _contexts(shape: Shape, hot: np.ndarray):
         yield from sent(ids, tags, *(x[~often] for x in left_over))
         at = np.flatnonzero(often)
         at = at[np.argsort(left_over[4][at], kind="stable")]
-        for a in range(0, len(at), 16_384):
-            part = yield from known(ids, tags, *windows(*(x[at[a : a + 16_384]] for x in left_over[:4]), left_over[5][at[a : a + 16_384]]))
+        for a in range(0, len(at), HOT_SLICE):  # a context becomes up to reach + 1 windows
+            part = yield from known(ids, tags, *windows(*(x[at[a : a + HOT_SLICE]] for x in left_over[:4]), left_over[5][at[a : a + HOT_SLICE]]))
             yield from sent(ids, tags, *part)
 
     def windows(doc, pos, left, right, c):
@@ -296,9 +335,9 @@ def _contexts(shape: Shape, hot: np.ndarray):
         once = np.concatenate([[True], (d[1:] != d[:-1]) | (begin[1:] != begin[:-1])])
         row, o, d, begin = row[once], o[once], d[once], begin[once]
         w = np.zeros((len(row), width), np.uint8)
-        for a in range(0, len(row), 16_384):
-            part = slice(a, a + 16_384)
-            w[part, reach:] = c[row[part, None], (reach - o[part])[:, None] + np.arange(length)]
+        for j in np.unique(o):
+            mine = np.flatnonzero(o == j)
+            w[mine, reach:] = c[row[mine], reach - j : reach - j + length]
         return d, begin, np.zeros(len(row), np.int64), np.full(len(row), reach), _row_hashes(w[:, reach:]), w
 
     def known(ids, tags, doc, pos, left, right, h, c):
@@ -316,7 +355,7 @@ def _contexts(shape: Shape, hot: np.ndarray):
             d = doc[gone]
             by = np.lexsort((begin, d))
             d, begin, end = _joined(d[by], begin[by], end[by])
-            yield _contexts_batch([(-1 - int(x), *_blob(ids[x : x + 1], tags[x : x + 1]), None, None, None, None, None, None, *_blob(begin[a:b], end[a:b])) for x, a, b in _runs(d)], shape.buckets)
+            yield _record_batch(CONTEXTS, [(g % shape.buckets, g, *blobs[:2], None, None, None, None, None, None, *blobs[2:]) for g, blobs in _by_group(shape.groups, ids[d], tags[d], begin, end)])
         send = ~gone
         return doc[send], pos[send], left[send], right[send], h[send], c[send]
 
@@ -329,21 +368,31 @@ def _contexts(shape: Shape, hot: np.ndarray):
         rows = []
         for b, x, y in _runs(bucket):
             used = np.unique(doc[x:y])
-            rows.append((int(b), *_blob(ids[used], tags[used], h[x:y]), *_packed(np.searchsorted(used, doc[x:y]).astype(np.uint32), pos[x:y].astype(np.uint32), left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), c[x:y]), None, None))
-        yield _contexts_batch(rows, shape.buckets)
+            rows.append((int(b), None, *_blob(ids[used], tags[used], h[x:y]), *_packed(np.searchsorted(used, doc[x:y]).astype(np.uint32), pos[x:y].astype(np.uint32), left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), c[x:y]), None, None))
+        yield _record_batch(CONTEXTS, rows)
 
     return run
 
 
-def _contexts_batch(rows: list[tuple], buckets: int) -> pa.RecordBatch:
-    names = [f.split()[0] for f in CONTEXTS.split(", ")]
-    number = [r[0] if r[0] >= 0 else int(np.frombuffer(r[1], np.int64)[0]) % buckets for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, len(names)))], names=names)
+def _record_batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c < 2 else pa.binary()) for c in range(len(names))], names=names)
+
+
+def _by_group(groups: int, ids: np.ndarray, tags: np.ndarray, *places: np.ndarray):
+    """Places in documents by the group that a document is dealt to: (group, packed [ids, tags, *places])."""
+    g = ((tb.mix(ids.view(U64) + tags.astype(U64)) >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
+    by = np.lexsort((ids, g))
+    ids, tags, places = ids[by], tags[by].astype(np.int32), [x[by].astype(np.uint32) for x in places]
+    for x, a, b in _runs(g[by]):
+        yield x, _packed(ids[a:b], tags[a:b], *(p[a:b] for p in places))
 
 
 def _runs(x: np.ndarray):
     """(value, begin, end) of runs of equal values."""
-    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    if len(x) == 0:
+        return iter(())
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     return zip(x[cut].tolist(), cut.tolist(), np.append(cut[1:], len(x)).tolist(), strict=True)
 
 
@@ -373,7 +422,8 @@ class Suffixes:
     def __init__(self, c: np.ndarray, reach: int, length: int):
         self.c, self.reach, self.length = c, reach, length
         self.prefix = np.zeros((len(c), c.shape[1] + 1), dtype=U64)
-        np.cumsum(tb._BYTE[c] * tb.powers(c.shape[1]), axis=1, out=self.prefix[:, 1:])
+        for a in range(0, len(c), 4096):
+            np.cumsum(tb._BYTE[c[a : a + 4096]] * tb.powers(c.shape[1]), axis=1, out=self.prefix[a : a + 4096, 1:])
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common extension of the suffixes at the anchors of rows x and y, by binary search on prefix hashes."""
@@ -460,7 +510,8 @@ def covered(h, c, doc, left, right, shape: Shape) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
-SPANS = "doc_id long, tag int, begin binary, end binary"
+SPANS = "g int, ids binary, tags binary, begin binary, end binary"
+JOINED = "doc_id long, tag int, begin binary, end binary"
 
 
 def _share(asked: pd.DataFrame, shape: Shape, least: np.uint64, beyond: np.uint64 | None) -> list[np.ndarray]:
@@ -477,11 +528,12 @@ def _share(asked: pd.DataFrame, shape: Shape, least: np.uint64, beyond: np.uint6
 
 
 def _decide(shape: Shape, share: int = 100_000):
-    """Contexts of a bucket -> spans to remove, by document. About ``share`` contexts are unpacked at a time."""
+    """Contexts of a bucket -> spans to remove, packed by group of documents. About ``share`` contexts are unpacked at a time."""
+    names = ["g", "ids", "tags", "begin", "end"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         known = group[group["h"].isna()]
-        out = {"doc_id": [int(np.frombuffer(b, np.int64)[0]) for b in known["ids"]], "tag": [int(np.frombuffer(b, np.int32)[0]) for b in known["tags"]], "begin": list(known["begin"]), "end": list(known["end"])}
+        out = [(int(r[0]), *r[1:]) for r in known[names].itertuples(index=False, name=None)]
         asked = group[group["h"].notna()]
         if len(asked):
             # anchors with equal hashes stay together; each share of them unpacks its own contexts only
@@ -506,23 +558,35 @@ def _decide(shape: Shape, share: int = 100_000):
                     found.append((ids[rows], tags[rows], pos[rows] - high[hit], pos[rows] - low[hit] + shape.length))
                 del h, c, left, right
             _trim()
-            ids, tags, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.lexsort((begin, tags, ids))
-            ids, tags, begin, end = ids[by], tags[by], begin[by], end[by]
-            if len(ids):
-                new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
-                d, begin, end = _joined(np.cumsum(new) - 1, begin, end)
-                heads = np.flatnonzero(new)
-                for x, a, b in _runs(d):
-                    out["doc_id"].append(int(ids[heads[x]]))
-                    out["tag"].append(int(tags[heads[x]]))
-                    out["begin"].append(begin[a:b].astype(np.int64).tobytes())
-                    out["end"].append(end[a:b].astype(np.int64).tobytes())
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()}).astype({"doc_id": "int64", "tag": "int32"})
+            ids, tags, begin, end = _joined_by_document(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            out += [(g, *blobs) for g, blobs in _by_group(shape.groups, ids, tags, begin, end)]
+        return pd.DataFrame(out, columns=names)
 
     return run
 
 
+def _joined_by_document(ids, tags, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the spans of each (id, tag), sorted."""
+    by = np.lexsort((begin, tags, ids))
+    ids, tags, begin, end = ids[by], tags[by], begin[by].astype(np.int64), end[by].astype(np.int64)
+    if len(ids) == 0:
+        return ids, tags, begin, end
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    heads = np.flatnonzero(new)
+    d, begin, end = _joined(np.cumsum(new) - 1, begin, end)
+    return ids[heads[d]], tags[heads[d]], begin, end
+
+
+def _join(group: pd.DataFrame) -> pd.DataFrame:
+    """All spans of a group of documents -> one row for each document."""
+    kinds = {"ids": np.int64, "tags": np.int32, "begin": np.uint32, "end": np.uint32}
+    ids, tags, begin, end = _joined_by_document(*(np.concatenate([_unpacked(b, kind) for b in group[c]]) for c, kind in kinds.items()))
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    runs = [*zip(cut, np.append(cut[1:], len(ids)), strict=True)] if len(ids) else []
+    _trim()
+    return pd.DataFrame({"doc_id": ids[cut], "tag": tags[cut].astype(np.int32), "begin": [begin[a:b].tobytes() for a, b in runs], "end": [end[a:b].tobytes() for a, b in runs]})
+
+
 def _cut_out():
     """Texts with the spans to remove -> what is left."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
@@ -543,9 +607,7 @@ def _cut_out():
                     n_spans.append(0)
                     left = text.tobytes()
                 else:
-                    begin, end = (np.concatenate([np.frombuffer(x, np.int64) for x in v]) for v in (b, e))
-                    by = np.argsort(begin, kind="stable")
-                    _, begin, end = _joined(np.zeros(len(by), np.int64), begin[by], end[by])
+                    begin, end = np.frombuffer(b, np.int64), np.frombuffer(e, np.int64)
                     edge = np.concatenate([[0], np.stack([begin, end], axis=1).reshape(-1), [len(text)]])
                     left = b"".join(text[edge[j] : edge[j + 1]].tobytes() for j in range(0, len(edge), 2))
                     n_removed.append(len(text) - len(left))
@@ -558,38 +620,38 @@ def _cut_out():
     return run
 
 
-def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_bytes: int = 8 << 20, hot_from: int = 8192, most_hot: int = 1 << 20) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes), kept_sha256: one row per input row.
 
     Every byte goes that is covered by a ``length``-byte string of the text's UTF-8 bytes which also starts in a document
     with a smaller doc_id. Strings are judged on the input and don't cross documents; spans are maximal removed
     runs. ``kept`` can end inside a character, hence bytes. Null texts are empty; texts shorter than ``length`` lose nothing. Rows
     that repeat a doc_id are judged each for itself against smaller ids. A row with a null doc_id loses nothing and is no
-    one's source.
+    one's source. Very long texts are worked on in overlapping pieces.
 
-    Buckets grow with the corpus: one for ``bucket_bytes`` of text. Of hot anchors, at most a million hashes reach the driver.
+    Buckets grow with the corpus: one for ``bucket_bytes`` of text. Anchors of ``hot_from`` documents and more are split by
+    windows, so that is the most contexts of one anchor that a task gets, whatever the corpus; only where more than ``most_hot``
+    anchors are so common (their hashes reach the driver and every task) does the bound double.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.hash("text").alias("tag"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shape = Shape(length, gram, max(16, -(-total // bucket_bytes)))
-    hot_from = max(8192, total // 17 // 1_000_000)  # documents; at most a million anchors can have as many
 
     asked = texts.where("doc_id is not null and text is not null").mapInArrow(_ask(shape), ASKED)
-    shared = saved(asked.groupBy("bucket").applyInPandas(_answer(hot_from), SHARED))
-    hot = [r[0] for r in shared.where("hot is not null").select(F.explode("hot")).collect()]
+    shared = saved(asked.groupBy("bucket").applyInPandas(_answer(hot_from, shape.groups), SHARED))
+    hot = _hot_anchors(shared, hot_from, most_hot)
     digests = texts.where("doc_id is not null").where(F.octet_length("text") >= length).select("doc_id", "tag", F.sha2("text", 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     copies = saved(digests.join(first, "digest").where("doc_id > first").select("doc_id", "tag").distinct())
-    marks = shared.where("hot is null").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos")).join(copies, ["doc_id", "tag"], "left_anti")
+    marks = shared.where("hot is null").groupBy("g").applyInPandas(_places, "doc_id long, tag int, pos binary").join(copies, ["doc_id", "tag"], "left_anti")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = texts.repartition(n, "doc_id")
+    placed = texts.repartition(n, "doc_id", "tag")
     marked = placed.join(marks.withColumnsRenamed({"doc_id": "m_id", "tag": "m_tag"}), (F.col("doc_id") == F.col("m_id")) & (F.col("tag") == F.col("m_tag"))).select("doc_id", "tag", "text", "pos")
-    contexts = marked.mapInArrow(_contexts(shape, np.array(sorted(hot), dtype=np.int64).view(U64)), CONTEXTS)
-    spans = contexts.groupBy("bucket").applyInPandas(_decide(shape), SPANS)
+    contexts = marked.mapInArrow(_contexts(shape, hot), CONTEXTS)
+    spans = contexts.groupBy("bucket").applyInPandas(_decide(shape), SPANS).groupBy("g").applyInPandas(_join, JOINED)
     spans = spans.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    spans = spans.groupBy("doc_id", "tag").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"), F.max("whole").alias("whole"))
     met = placed.join(spans.withColumnsRenamed({"doc_id": "s_id", "tag": "s_tag"}), (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
     return met.select("doc_id", "text", "begin", "end", "whole").mapInArrow(_cut_out(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

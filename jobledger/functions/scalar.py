@@ -22,8 +22,6 @@ WORKFLOW_KINDS = [
 DEFAULT_QUEUE = "default"
 # The physical types under which deliveries carry a version 1 envelope.
 ENVELOPE_TYPES = ["bus:job", "bus:chain:node", "bus:batch:job", "bus:callback"]
-# What unique keys are salted with; pass the prefix of the system that wrote the keys to match its values.
-UNIQUE_PREFIX = "queue:unique:v1"
 
 
 def default_queue(queue: Column) -> Column:
@@ -55,8 +53,8 @@ def framed(*parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def unique_key(queue: Column, job_type: Column, payload: Column, prefix: str = UNIQUE_PREFIX) -> Column:
-    """``v1:`` and the SHA-256 of the prefix and the framed identity."""
+def unique_key(queue: Column, job_type: Column, payload: Column, prefix: str) -> Column:
+    """``v1:`` and the SHA-256 of the prefix and the framed identity. The prefix is that of the system whose keys are to match."""
     body = F.concat(F.lit(prefix).cast("binary"), framed(queue, job_type, canonical_payload(payload)))
     return F.concat(F.lit("v1:"), F.sha2(body, 256))
 

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobledger import schemas
 from jobledger.functions import scalar
 from jobledger.jobs import sql
 from jobledger.operators import alerts, audits, gauges, history, jobtable, stats, unique, workflow
 from jobledger.operators.events import dedupe_events, normalize_events
 from jobledger.sources import fixtures as fx
-from jobledger.sources.tables import parse_event_lines
+from jobledger.sources.tables import decode_nodes, folder, parse_event_lines, read_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = fx.JOBS_AS_OF_MS
+#: What these queries put before unique keys, and their mark on recovered jobs.
+KEY_PREFIX, MARKER = "jobs:unique:v1", "jobs:recovered:v1"
 
 
 def query(text: str | None = None, name: str | None = None):
@@ -75,9 +79,9 @@ def _framed(*cols: str) -> str:
     return " || ".join(_FRAME.format(c) for c in cols)
 
 
-@query(sql.over(sql.REQUESTS, f"SELECT seq, 'v1:' || sha256(encode('queue:unique:v1') || {_framed('q', 'job_type', 'payload')}) AS unique_key FROM d"))
+@query(sql.over(sql.REQUESTS, f"SELECT seq, 'v1:' || sha256(encode('jobs:unique:v1') || {_framed('q', 'job_type', 'payload')}) AS unique_key FROM d"))
 def unique_key(spark, sf):
-    return fx.requests(spark, sf).select("seq", scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload")).alias("unique_key"))
+    return fx.requests(spark, sf).select("seq", scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"), KEY_PREFIX).alias("unique_key"))
 
 
 @query(sql.over(sql.REQUESTS, "SELECT seq, sha256(q || ':' || job_type || ':' || payload) AS legacy_key FROM d"))
@@ -158,9 +162,11 @@ def skip_when(spark, sf):
     return jobtable.skip_when(fx.requests(spark, sf), F.col("max_retry") == 1).groupBy("queue").agg(F.count("*").alias("requests"))
 
 
-@query(sql.over(sql.REQUESTS, "SELECT seq, reason FROM d"))
+@query(sql.over(sql.REQUESTS, "SELECT seq, CASE WHEN reason = 'missing job type' THEN reason WHEN q = '' THEN 'missing queue' ELSE reason END AS reason FROM (SELECT * REPLACE (CASE WHEN seq % 31 = 0 THEN '' ELSE q END AS q) FROM d)"))
 def validate_dispatch(spark, sf):
-    return jobtable.validate_dispatch(fx.requests(spark, sf)).select("seq", "reason")
+    """Requests whose queue is resolved already, and of every 31st is empty."""
+    queue = F.when(F.col("seq") % 31 == 0, "").otherwise(scalar.default_queue(F.col("queue")))
+    return jobtable.validate_dispatch(fx.requests(spark, sf).withColumn("queue", queue), resolved=True).select("seq", "reason")
 
 
 @query(sql.over(sql.REQUESTS, """SELECT row_number() OVER (ORDER BY time, seq) AS id, q AS queue_name, job_type, payload, CASE WHEN timeout_ms > 0 THEN greatest(1, ceil(timeout_ms / 1000))::BIGINT END AS timeout_seconds,
@@ -258,16 +264,27 @@ def duration_histogram(spark, sf):
     return stats.duration_histogram(fx.events(spark, sf), _BOUNDS)
 
 
+_SPANS = """s0 AS (SELECT dispatch_id, job_id, kind, queue, job_type, us, lag(us) OVER w AS was_us, lag(kind) OVER w AS was FROM e WHERE job_id <> '' AND kind IN ('process_started', 'process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY dispatch_id, job_id ORDER BY time, seq)),
+s1 AS (SELECT CASE kind WHEN 'process_succeeded' THEN 'job_succeeded' ELSE 'job_failed' END AS kind, queue, job_type, (us - was_us) * 1000 AS ns FROM s0 WHERE kind <> 'process_started' AND was = 'process_started')"""
+_DAYS = [1, 3, 7]
+
+
+@query(sql.events("SELECT *, (sum(n) OVER (PARTITION BY kind, queue, job_type ORDER BY bucket))::BIGINT AS cumulative FROM (SELECT kind, queue, job_type, CASE " + " ".join(f"WHEN ns <= {d * 86_400}000000000 THEN {i}" for i, d in enumerate(_DAYS)) + f" ELSE {len(_DAYS)} END AS bucket, count(*) AS n, sum(ns)::BIGINT AS sum_ns FROM s1 GROUP BY ALL)", _SPANS))
+def workflow_duration_histogram(spark, sf):
+    """How long workflow jobs took, from start to end facts, by outcome, queue and job type."""
+    return stats.workflow_duration_histogram(stats.workflow_jobs(fx.events(spark, sf)), [d * 86_400_000 for d in _DAYS])
+
+
 @query(sql.events("SELECT job_type, queue, quantile_cont(duration_ns, 0.5) AS p50_ns, quantile_cont(duration_ns, 0.95) AS p95_ns, quantile_cont(duration_ns, 0.99) AS p99_ns FROM e WHERE kind IN ('process_succeeded', 'process_failed') GROUP BY ALL"))
 def duration_percentiles(spark, sf):
     return stats.duration_percentiles(fx.events(spark, sf), exact=True)
 
 
-@query(sql.events("""SELECT queue, count(*) AS jobs, (sum(ms) // count(*))::BIGINT AS avg_ms, max(ms) AS max_ms FROM (
+@query(sql.events("""SELECT queue, count(*) AS jobs, (sum(ms) // count(*))::BIGINT AS avg_ms, max(ms) AS max_ms, quantile_cont(ms, 0.5) AS p50_ms, quantile_cont(ms, 0.95) AS p95_ms, quantile_cont(ms, 0.99) AS p99_ms FROM (
   SELECT p.job_id, p.queue, min(s.us) // 1000 - p.us // 1000 AS ms FROM (SELECT job_id, min_by(queue, (time, seq)) AS queue, min(us) AS us FROM e WHERE kind = 'enqueue_accepted' AND job_id <> '' GROUP BY 1) p
   JOIN e s ON s.job_id = p.job_id AND s.kind = 'process_succeeded' AND s.us >= p.us GROUP BY p.job_id, p.queue, p.us) GROUP BY queue"""))
 def completion_latency(spark, sf):
-    return stats.completion_latency(fx.events(spark, sf))
+    return stats.completion_latency(fx.events(spark, sf), exact=True)
 
 
 @query(sql.events("SELECT kind, queue, count(*) AS events FROM e WHERE layer = 'workflow' GROUP BY ALL"))
@@ -344,6 +361,23 @@ def history_points(spark, sf):
     return history.history(_samples(spark, sf), "week", as_of, gap_ms=21_600_000)
 
 
+_KEPT = [
+    "r0 AS (SELECT *, us // 1000 AS ms, row_number() OVER (PARTITION BY queue ORDER BY us, seq) AS i FROM sp)",
+    """h AS (SELECT queue, seq, us, processed, failed, i, true AS kept, ms AS km, processed AS kp, failed AS kf FROM r0 WHERE i = 1
+  UNION ALL SELECT r.queue, r.seq, r.us, r.processed, r.failed, r.i, k.keep, CASE WHEN k.keep THEN r.ms ELSE h.km END, CASE WHEN k.keep THEN r.processed ELSE h.kp END, CASE WHEN k.keep THEN r.failed ELSE h.kf END
+  FROM h JOIN r0 r ON r.queue = h.queue AND r.i = h.i + 1, LATERAL (SELECT NOT (r.processed = h.kp AND r.failed = h.kf AND r.ms - h.km < 30000) AS keep) k)""",
+    "pt AS (SELECT queue, us // 1000 AS at_ms, processed, failed FROM h WHERE kept AND us // 1000 >= (SELECT max(us) // 1000 FROM e) - 3600000)",
+]
+
+
+@query(sql.events("SELECT * FROM pt UNION ALL SELECT queue, (SELECT max(us) // 1000 FROM e), processed, failed FROM (" + sql.COUNTERS + ") WHERE queue NOT IN (SELECT queue FROM pt)", _SAMPLES, *_KEPT))
+def history_or_now(spark, sf):
+    """The last hour of each queue; queues that had no sample in it show where they stand."""
+    e = fx.events(spark, sf)
+    as_of = e.agg(F.unix_millis(F.max("time"))).first()[0]
+    return history.with_current(history.history(_samples(spark, sf), "hour", as_of), stats.simple_counters(e).select("queue", "processed", "failed"), as_of)
+
+
 # --- job table --------------------------------------------------------------------------------------------------------
 
 
@@ -363,10 +397,10 @@ def list_jobs(spark, sf):
 
 
 @query(sql.over(sql.JOBS, """SELECT id, CASE WHEN s THEN 'pending' ELSE state END AS state, CASE WHEN s THEN 896659200000 ELSE available_at END AS available_at,
-  CASE WHEN s THEN coalesce(processing_token, 'queue:internal:stale-processing-recovery:v1') ELSE processing_token END AS processing_token, CASE WHEN s THEN 'recovered stale processing job' ELSE last_error END AS last_error, s AS recovered
+  CASE WHEN s THEN coalesce(processing_token, 'jobs:recovered:v1') ELSE processing_token END AS processing_token, CASE WHEN s THEN 'recovered stale processing job' ELSE last_error END AS last_error, s AS recovered
   FROM (SELECT *, state = 'processing' AND CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END AS s FROM j)"""))
 def recover_stale(spark, sf):
-    return jobtable.recover_stale(fx.jobs(spark, sf), AS_OF).select("id", "state", "available_at", "processing_token", "last_error", "recovered")
+    return jobtable.recover_stale(fx.jobs(spark, sf), AS_OF, MARKER).select("id", "state", "available_at", "processing_token", "last_error", "recovered")
 
 
 @query(sql.over(sql.JOBS, "SELECT queue_name, id, 'processing' AS state, sha256(id || ':896659200000') AS processing_token FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY id) AS r FROM j WHERE state = 'pending' AND available_at <= 896659200000) WHERE r <= 100"))
@@ -374,6 +408,11 @@ def claim_next(spark, sf):
     return jobtable.claim_next(fx.jobs(spark, sf), AS_OF, 100).select("queue_name", "id", "state", "processing_token")
 
 
+@query(sql.over(sql.JOBS, "SELECT 'process_recovered' AS kind, '' AS queue, epoch_us(TIMESTAMP '1998-06-01') AS time_us FROM j WHERE state = 'processing' AND CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END"))
+def recovered_facts(spark, sf):
+    return jobtable.recovered_facts(jobtable.recover_stale(fx.jobs(spark, sf), AS_OF, MARKER), AS_OF).select("kind", "queue", F.unix_micros("time").alias("time_us"))
+
+
 _SETTLED = """st AS (SELECT j.*, CASE WHEN o.id IS NULL THEN NULL WHEN NOT o.failed THEN 'succeeded' WHEN o.error_class = 'uncommitted' THEN 'redeliver' WHEN o.error_class = 'permanent' OR attempt >= max_retry THEN 'failed' ELSE 'retry' END AS outcome, o.error AS o_error
   FROM j LEFT JOIN o ON o.id = j.id AND o.o_token = j.processing_token AND j.state = 'processing')"""
 
@@ -419,7 +458,7 @@ u AS (SELECT seq, accepted FROM n UNION ALL SELECT seq, true FROM d WHERE ttl <=
 
 @query(sql.over(sql.REQUESTS, _GATE, "SELECT seq, accepted FROM u"))
 def unique_gate(spark, sf):
-    return unique.unique_gate(fx.requests(spark, sf)).select("seq", "accepted")
+    return unique.unique_gate(fx.requests(spark, sf), KEY_PREFIX).select("seq", "accepted")
 
 
 _DUAL = """
@@ -435,12 +474,25 @@ def unique_gate_dual(spark, sf):
     d = fx.requests(spark, sf)
     key = scalar.legacy_unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"))
     locks = d.where("seq % 200 = 0").groupBy(key.alias("lock_key")).agg((F.max(F.unix_millis("time")) + 3_600_000).alias("expires_at"))
-    return unique.unique_gate_dual(d, locks, 0)[0].select("seq", "accepted")
+    return unique.unique_gate_dual(d, locks, 0, KEY_PREFIX)[0].select("seq", "accepted")
+
+
+_LOCK_KEYS = f"[sha256(q || ':' || job_type || ':' || payload), 'v1:' || sha256(encode('jobs:unique:v1') || {_framed('q', 'job_type', 'payload')})]"
+
+
+@query(sql.over(sql.REQUESTS, _DUAL, f"""SELECT lock_key, max(until) AS expires_at FROM (SELECT lock_key, until FROM lk
+  UNION ALL SELECT unnest({_LOCK_KEYS}) AS lock_key, t + ttl FROM d JOIN n USING (seq) WHERE accepted) GROUP BY lock_key HAVING max(until) > 1706745600000"""))
+def live_locks(spark, sf):
+    """Locks that stand after the gate has run, at a moment of the log."""
+    d = fx.requests(spark, sf)
+    key = scalar.legacy_unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"))
+    locks = d.where("seq % 200 = 0").groupBy(key.alias("lock_key")).agg((F.max(F.unix_millis("time")) + 3_600_000).alias("expires_at"))
+    return unique.unique_gate_dual(d, locks, 1_706_745_600_000, KEY_PREFIX)[1]
 
 
 @query(sql.over(sql.REQUESTS, _GATE, "SELECT d.seq, CASE WHEN reason IS NOT NULL THEN 'enqueue_rejected' WHEN accepted THEN 'enqueue_accepted' ELSE 'enqueue_duplicate' END AS kind, q AS queue, job_type, coalesce(max_retry, 0) AS max_retry, delay_ms > 0 AS scheduled FROM d JOIN u USING (seq)"))
 def admission_events(spark, sf):
-    return jobtable.admission_events(jobtable.validate_dispatch(unique.unique_gate(fx.requests(spark, sf))))
+    return jobtable.admission_events(jobtable.validate_dispatch(unique.unique_gate(fx.requests(spark, sf), KEY_PREFIX)))
 
 
 # --- audits -----------------------------------------------------------------------------------------------------------
@@ -469,6 +521,14 @@ def backoff_violations(spark, sf):
     return audits.backoff_violations(fx.events(spark, sf), 86_400_000, 1000)
 
 
+@query(sql.events("SELECT a.seq, a.job_id, attempt, gap_ms, p.backoff_ms FROM (SELECT seq, job_id, job_type, attempt, us // 1000 - was_us // 1000 AS gap_ms FROM (SELECT *, lag(attempt) OVER w AS was, lag(us) OVER w AS was_us FROM e WHERE kind = 'process_started' AND job_id <> '' WINDOW w AS (PARTITION BY dispatch_id, job_id ORDER BY time, seq)) WHERE attempt = was + 1) a JOIN p USING (job_type) WHERE gap_ms < p.backoff_ms - 1000", "p AS (SELECT 'type-' || i AS job_type, i * 43200000::BIGINT AS backoff_ms FROM range(7) r(i))"))
+def backoff_policy_violations(spark, sf):
+    """Each job type has a backoff of its own: half a day for each number in its name."""
+    e = fx.events(spark, sf)
+    policy = e.select("job_type").distinct().withColumn("backoff_ms", F.substring("job_type", 6, 9).cast("long") * 43_200_000)
+    return audits.backoff_violations(e, policy, 1000)
+
+
 @query(sql.events(
     "SELECT job_key, seq FROM a WHERE NOT admitted",
     "x0 AS (SELECT *, lead(kind) OVER w AS nk, lead(us) OVER w AS nu FROM e WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY settlement_id ORDER BY time, seq))",
@@ -479,9 +539,14 @@ def overlap_audit(spark, sf):
     return audits.overlap_audit(audits.executions(fx.events(spark, sf)), 86_400_000_000)
 
 
-@query(sql.events("SELECT f.settlement_id, f.us AS ended_us, count(*) AS failures FROM (SELECT settlement_id, min(us) AS us FROM e WHERE settlement_id IS NOT NULL AND kind IN ('process_succeeded', 'process_failed') GROUP BY 1) f JOIN e s ON s.settlement_id = f.settlement_id AND s.kind = 'settlement_failed' AND s.us >= f.us GROUP BY ALL"))
+@query(sql.events(
+    "SELECT f.settlement_id, f.us AS ended_us, count(*) AS failures FROM (SELECT settlement_id, min(us) AS us FROM g WHERE settlement_id IS NOT NULL AND kind IN ('process_succeeded', 'process_failed') GROUP BY 1) f JOIN g s ON s.settlement_id = f.settlement_id AND s.kind = 'settlement_failed' AND s.us >= f.us GROUP BY ALL",
+    "g AS (SELECT * REPLACE (CASE WHEN kind = 'process_started' AND seq % 5 = 0 THEN 'settlement_failed' ELSE kind END AS kind) FROM e)",
+))
 def settlement_gaps(spark, sf):
-    return audits.settlement_gaps(fx.events(spark, sf))
+    """With every fifth start read as a failed settlement: the derived log has none with a settlement id."""
+    kind = F.when((F.col("kind") == "process_started") & (F.col("seq") % 5 == 0), "settlement_failed").otherwise(F.col("kind"))
+    return audits.settlement_gaps(fx.events(spark, sf).withColumn("kind", kind))
 
 
 @query(sql.events("SELECT job_id, count(DISTINCT attempt) AS attempts, 1 AS max_retry FROM e WHERE kind = 'process_started' AND job_id <> '' GROUP BY job_id HAVING count(DISTINCT attempt) > 2"))
@@ -564,7 +629,7 @@ def batch_terminal_owner(spark, sf):
     return workflow.batch_terminal_owner(*fx.batches(spark, sf))
 
 
-@query(sql.over(sql.BATCHES, "SELECT m.batch_id, m.job_id, m.job_id = '1' OR w.job_id IS NOT NULL AS started, w.job_id IS NOT NULL AS done, coalesce(w.failed, false) AS failed FROM m LEFT JOIN w USING (batch_id, job_id)"))
+@query(sql.over(sql.BATCHES, "SELECT batch_id, job_id, bool_or(job_id = '1' OR done) AS started, bool_or(done) AS done, bool_or(bad) AS failed FROM (SELECT batch_id, job_id, false AS done, false AS bad FROM m UNION ALL SELECT batch_id, job_id, true, failed FROM w) GROUP BY batch_id, job_id"))
 def member_state(spark, sf):
     _, members, outcomes, _ = fx.batches(spark, sf)
     return workflow.member_state(members, members.where("job_id = '1'"), outcomes)
@@ -616,27 +681,60 @@ def audit_batch_state(spark, sf):
     return workflow.audit_batch_state(states.withColumn("pending", F.when((F.col("batch_id") % 7 == 0) & (F.col("pending") > 0), F.col("pending") + 1).otherwise(F.col("pending"))))
 
 
-_RECEIPTS = """rc AS (SELECT 'batch' AS workflow_kind, batch_id, job_id AS member_id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS outcome, epoch_us(time) || ':' || a || ':' || b || ':' || c || ':' || d AS claim, 1 AS version FROM w
-  UNION ALL SELECT 'batch', batch_id, '', CASE WHEN failed THEN 'failed' ELSE 'succeeded' END, epoch_us(time) || ':' || a || ':' || b || ':' || c || ':' || d, 1 FROM w SEMI JOIN own USING (batch_id, job_id))"""
+_CHAINS_BESIDE = sql.CHAINS.replace("\nf AS (", "\nfold AS (").replace("FROM f JOIN", "FROM fold JOIN").replace("f.", "fold.").replace("FROM f GROUP", "FROM fold GROUP")
+_RECEIPTS = """r0 AS (SELECT 'batch' AS workflow_kind, batch_id::VARCHAR AS workflow_id, job_id AS member_id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS outcome, epoch_us(time) || ':' || a || ':' || w.b || ':' || c || ':' || d AS claim, 1 AS version,
+    'dsp_b' || batch_id AS dispatch_id, epoch_us(created_at) AS created_us, failed AND NOT allow_failed AS bad FROM w JOIN (SELECT batch_id, allow_failed, created_at FROM b) b USING (batch_id)),
+  rc AS (SELECT * EXCLUDE (bad), false AS completed, false AS cancelled FROM r0
+  UNION ALL SELECT r0.* EXCLUDE (bad) REPLACE ('' AS member_id), true, bad FROM r0 JOIN own ON own.batch_id::VARCHAR = workflow_id AND own.job_id = member_id
+  UNION ALL SELECT 'chain', fold.chain_id::VARCHAR, fold.node::VARCHAR, CASE WHEN fold.failed THEN 'failed' ELSE 'succeeded' END, co.claim, 1, 'dsp_c' || fold.chain_id, epoch_us(ch.created_at), fold.failed OR fold.node = fold.n_nodes - 1, false
+    FROM fold JOIN co ON co.chain_id = fold.chain_id AND co.i = fold.i JOIN ch ON ch.chain_id = fold.chain_id WHERE disposition = 'claimed')"""
+
+
+def _identified(spark, sf) -> tuple[tuple[DataFrame, ...], tuple[DataFrame, ...]]:
+    """Batch and chain tables whose workflows have dispatch ids."""
+    batches, *more = fx.batches(spark, sf)
+    chains, outcomes = fx.chains(spark, sf)
+    name = lambda df, kind, key: df.withColumn("dispatch_id", F.concat(F.lit(f"dsp_{kind}"), F.col(key).cast("string")))
+    return (name(batches, "b", "batch_id"), *more), (name(chains, "c", "chain_id"), outcomes)
+
 
+def _all_receipts(spark, sf) -> DataFrame:
+    batch, chain = _identified(spark, sf)
+    return workflow.batch_receipts(*batch).union(workflow.chain_receipts(*chain))
 
-@query(sql.over(sql.BATCHES, _RECEIPTS, "SELECT * FROM rc"))
+
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _RECEIPTS, "SELECT * FROM rc"))
 def transition_receipts(spark, sf):
-    return workflow.transition_receipts(*fx.batches(spark, sf))
+    return _all_receipts(spark, sf)
+
 
+_SPOILED = """r2 AS (SELECT * REPLACE (CASE WHEN h % 50 = 0 THEN 2 ELSE version END AS version, CASE WHEN h % 23 = 0 THEN created_us + 1 ELSE created_us END AS created_us, CASE WHEN h % 19 = 0 AND member_id = '' THEN 'succeeded' ELSE outcome END AS outcome)
+  FROM (SELECT *, workflow_id::BIGINT AS h FROM rc WHERE NOT (workflow_id::BIGINT % 11 = 0 AND member_id <> '')) WHERE NOT (h % 29 = 0 AND workflow_kind = 'x')),
+pa AS (SELECT 'batch' AS workflow_kind, b.batch_id::VARCHAR AS workflow_id, 'dsp_b' || b.batch_id AS dispatch_id, epoch_us(created_at) AS created_us, completed, cancelled FROM bs JOIN b USING (batch_id) WHERE batch_id % 31 <> 0
+  UNION ALL SELECT 'chain', chain_id::VARCHAR, 'dsp_c' || chain_id, epoch_us(created_at), completed OR failed, false FROM cs JOIN (SELECT chain_id, created_at FROM ch) USING (chain_id) WHERE chain_id % 31 <> 0),
+mr AS (SELECT workflow_kind, workflow_id, dispatch_id, created_us, claim, count(*) AS matches, max(outcome) AS m_outcome FROM r2 WHERE member_id <> '' GROUP BY ALL),
+au AS (SELECT r2.*, p.dispatch_id AS pd, p.created_us AS pc, p.completed AS pz, p.cancelled AS px, mr.matches, m_outcome FROM r2 LEFT JOIN pa p ON p.workflow_kind = r2.workflow_kind AND p.workflow_id = r2.workflow_id
+  LEFT JOIN mr ON mr.workflow_kind = r2.workflow_kind AND mr.workflow_id = r2.workflow_id AND mr.dispatch_id = r2.dispatch_id AND mr.created_us = r2.created_us AND mr.claim = r2.claim),
+az AS (SELECT workflow_kind, workflow_id, member_id, CASE WHEN version <> 1 THEN 'unsupported version' WHEN pd IS NULL THEN 'no such workflow' WHEN dispatch_id <> pd OR created_us <> pc THEN 'another incarnation'
+  WHEN member_id = '' AND coalesce(matches, 0) <> 1 THEN 'no single member receipt' WHEN member_id = '' AND outcome <> m_outcome THEN 'outcome of another' WHEN cancelled AND NOT completed THEN 'cancelled but not completed'
+  WHEN cancelled AND outcome <> 'failed' THEN 'cancelled without failure' WHEN completed AND NOT pz THEN 'ends a live workflow' WHEN member_id = '' AND completed AND cancelled <> px THEN 'cancelled mismatch' END AS reason FROM au)"""
 
-@query(sql.over(sql.BATCHES, _RECEIPTS, "r2 AS (SELECT * REPLACE (CASE WHEN batch_id % 50 = 0 THEN 2 ELSE version END AS version) FROM rc WHERE NOT (batch_id % 11 = 0 AND member_id <> ''))", """SELECT batch_id, member_id, CASE WHEN version <> 1 THEN 'unsupported version' ELSE 'no single member receipt' END AS reason FROM r2
-  WHERE version <> 1 OR (member_id = '' AND (SELECT count(*) FROM r2 x WHERE x.batch_id = r2.batch_id AND x.member_id <> '' AND x.claim = r2.claim AND x.outcome = r2.outcome) <> 1)"""))
+
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _RECEIPTS, _SPOILED, "SELECT * FROM az WHERE reason IS NOT NULL"))
 def audit_receipts(spark, sf):
-    """With some receipts of another version and the member receipts of some batches lost."""
-    tables = fx.batches(spark, sf)
-    r = workflow.transition_receipts(*tables).where("not (batch_id % 11 = 0 and member_id <> '')").withColumn("version", F.when(F.col("batch_id") % 50 == 0, 2).otherwise(F.col("version")))
-    return workflow.audit_receipts(r, tables[0])
+    """With some receipts of another version, incarnation or outcome, the member receipts of some workflows lost, and some workflows gone."""
+    (batches, *more), (chains, outcomes) = _identified(spark, sf)
+    h = F.col("workflow_id").cast("long")
+    r = _all_receipts(spark, sf).where(~((h % 11 == 0) & (F.col("member_id") != "")))
+    r = r.withColumns({"version": F.when(h % 50 == 0, 2).otherwise(F.col("version")), "created_us": F.when(h % 23 == 0, F.col("created_us") + 1).otherwise(F.col("created_us")), "outcome": F.when((h % 19 == 0) & (F.col("member_id") == ""), "succeeded").otherwise(F.col("outcome"))})
+    of_batch = workflow.batch_state(batches, *more).join(batches.select("batch_id", "dispatch_id", "created_at"), "batch_id").where("batch_id % 31 <> 0")
+    of_chain = workflow.chain_state(chains, outcomes).join(chains.select("chain_id", "dispatch_id", "created_at"), "chain_id").where("chain_id % 31 <> 0")
+    stand = lambda df, kind, done, cancelled: df.select(F.lit(kind).alias("workflow_kind"), F.col(f"{kind}_id").cast("string").alias("workflow_id"), "dispatch_id", F.unix_micros("created_at").alias("created_us"), done.alias("completed"), cancelled.alias("cancelled"))
+    return workflow.audit_receipts(r, stand(of_batch, "batch", F.col("completed"), F.col("cancelled")).union(stand(of_chain, "chain", F.col("completed") | F.col("failed"), F.lit(False))))
 
 
 _CALLBACKS = """cb AS (SELECT 'batch_then:' || batch_id AS k FROM bs WHERE completed AND NOT cancelled UNION ALL SELECT 'batch_catch:' || batch_id FROM bs WHERE failed > 0 OR cancelled UNION ALL SELECT 'batch_finally:' || batch_id FROM bs WHERE completed
   UNION ALL SELECT 'chain_catch:' || chain_id FROM cs WHERE failed AND NOT completed UNION ALL SELECT 'chain_finally:' || chain_id FROM cs WHERE failed OR completed)"""
-_CHAINS_BESIDE = sql.CHAINS.replace("\nf AS (", "\nfold AS (").replace("FROM f JOIN", "FROM fold JOIN").replace("f.", "fold.").replace("FROM f GROUP", "FROM fold GROUP")
 
 
 def _markers(spark, sf) -> DataFrame:
@@ -673,12 +771,50 @@ def find_workflows(spark, sf):
     return workflow.find_workflows(fx.batches(spark, sf)[0], orders.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 5).alias("batch_id")), "batch_id")
 
 
-_PRUNE = "old AS (SELECT batch_id FROM bs JOIN b USING (batch_id) WHERE bs.completed AND b.created_at < TIMESTAMP '1995-01-01')"
+_PRUNE = """ob AS (SELECT batch_id FROM bs JOIN b USING (batch_id) WHERE bs.completed AND b.created_at < TIMESTAMP '1995-01-01'),
+oc AS (SELECT chain_id FROM cs JOIN (SELECT chain_id, max(shipped) AS updated_at FROM co GROUP BY 1) USING (chain_id) WHERE (completed OR failed) AND updated_at < TIMESTAMP '1995-01-01'),
+og AS (SELECT 'batch' AS workflow_kind, batch_id::VARCHAR AS workflow_id FROM ob UNION ALL SELECT 'chain', chain_id::VARCHAR FROM oc)"""
 
 
-@query(sql.over(sql.BATCHES, _PRUNE, "SELECT (SELECT count(*) FROM bs ANTI JOIN old USING (batch_id)) AS batches, (SELECT count(*) FROM m ANTI JOIN old USING (batch_id)) AS members"))
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _RECEIPTS, _PRUNE, """SELECT 'batches' AS kept, batch_id::VARCHAR AS id, '' AS member FROM bs ANTI JOIN ob USING (batch_id)
+  UNION ALL SELECT 'members', batch_id::VARCHAR, job_id FROM m ANTI JOIN ob USING (batch_id)
+  UNION ALL SELECT 'chains', chain_id::VARCHAR, '' FROM cs ANTI JOIN oc USING (chain_id)
+  UNION ALL SELECT 'nodes', chain_id::VARCHAR, unnest(range(n_nodes))::VARCHAR FROM (SELECT chain_id, n_nodes FROM ch ANTI JOIN oc USING (chain_id))
+  UNION ALL SELECT 'receipts', workflow_kind || workflow_id, member_id FROM rc ANTI JOIN og USING (workflow_kind, workflow_id)
+  UNION ALL SELECT 'callbacks', 'batch_finally:' || o_orderkey, '' FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate >= TIMESTAMP '1995-01-01'"""))
 def prune_workflows(spark, sf):
-    tables = fx.batches(spark, sf)
-    states = workflow.batch_state(*tables).withColumn("ended", F.col("completed")).join(tables[0].select("batch_id", F.col("created_at").alias("updated_at")), "batch_id")
-    batches, members = workflow.prune(states, "batch_id", F.lit("1995-01-01").cast("timestamp"), [tables[1]])
-    return batches.agg(F.count("*").alias("batches")).crossJoin(members.agg(F.count("*").alias("members")))
+    (batches, *more), (chains, outcomes) = _identified(spark, sf)
+    touched = outcomes.groupBy("chain_id").agg(F.max("place.time").alias("updated_at"))
+    marked = fx.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("batch_finally:"), F.col("o_orderkey").cast("string")).alias("callback_key"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    tables = {
+        "batches": workflow.batch_state(batches, *more).withColumn("ended", F.col("completed")).join(batches.select("batch_id", F.col("created_at").alias("updated_at")), "batch_id"), "members": more[0],
+        "chains": workflow.chain_state(chains, outcomes).withColumn("ended", F.col("completed") | F.col("failed")).join(touched, "chain_id"), "nodes": chains.select("chain_id", F.explode(F.sequence(F.lit(0), F.col("n_nodes") - 1)).alias("node")),
+        "receipts": _all_receipts(spark, sf), "callbacks": marked,
+    }
+    row = {"batches": ("batch_id", None), "members": ("batch_id", "job_id"), "chains": ("chain_id", None), "nodes": ("chain_id", "node"), "receipts": (F.concat("workflow_kind", "workflow_id"), "member_id"), "callbacks": ("callback_key", None)}
+    text = lambda c: F.lit("") if c is None else (F.col(c) if isinstance(c, str) else c).cast("string")
+    return reduce(DataFrame.union, [t.select(F.lit(name).alias("kept"), text(row[name][0]).alias("id"), text(row[name][1]).alias("member")) for name, t in workflow.prune(tables, F.lit("1995-01-01").cast("timestamp")).items()])
+
+
+# --- tables -----------------------------------------------------------------------------------------------------------
+
+
+@query(sql.over(sql.JOBS, "SELECT id, queue_name, job_type, payload, timeout_seconds, attempt, available_at, processing_token, last_error, state FROM j"))
+def read_job_table(spark, sf):
+    """The job table written by queue, read back with its schema."""
+    path = f"{folder(spark)}/jobs"
+    jobs = fx.jobs(spark, sf).drop("cust").withColumns({"payload": F.col("payload").cast("binary"), "metadata_json": F.lit(None).cast("string")})
+    write_table(jobs, path, ["queue_name"])
+    back = read_table(spark, path, schemas.JOB)
+    return back.select("id", "queue_name", "job_type", F.col("payload").cast("string").alias("payload"), "timeout_seconds", "attempt", "available_at", "processing_token", "last_error", "state")
+
+
+@query(sql.over(sql.CHAINS, "SELECT chain_id, NULL AS pos, NULL AS node_id, NULL AS job_type, NULL AS queue FROM ch WHERE chain_id % 13 = 0 UNION ALL SELECT chain_id, p - 1 AS pos, nodes[p].node_id, nodes[p].job_type, nodes[p].queue FROM (SELECT chain_id, nodes, unnest(range(1, len(nodes) + 1)) AS p FROM nodes) WHERE chain_id % 13 <> 0"))
+def read_workflow_tables(spark, sf):
+    """Chains with their nodes in JSON, as stored, written, read back and decoded; some are cut short and come back without nodes."""
+    path = f"{folder(spark)}/chains"
+    node = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), F.struct(n["job_type"].alias("type"), F.struct(n["queue"].alias("queue")).alias("options")).alias("job")))
+    text = F.to_json(node)
+    write_table(_nodes(spark, sf).select("chain_id", F.when(F.col("chain_id") % 13 == 0, F.substring(text, 1, 9)).otherwise(text).alias("nodes_json")), path)
+    chains = decode_nodes(read_table(spark, path, "chain_id bigint, nodes_json string"))
+    return chains.select("chain_id", F.posexplode_outer("nodes").alias("pos", "n")).select("chain_id", "pos", "n.node_id", F.col("n.job.type").alias("job_type"), F.col("n.job.options.queue").alias("queue"))

@@ -60,8 +60,8 @@ own AS (SELECT batch_id, job_id FROM ow WHERE cancelled_at IS NULL OR time < can
 """
 
 CHAINS = r"""
-ch AS (SELECT l_orderkey AS chain_id, max(l_linenumber) AS n_nodes FROM lineitem GROUP BY 1),
-co AS (SELECT l_orderkey AS chain_id, l_linenumber - 1 AS node, l_returnflag = 'R' AND l_linestatus = 'F' AS failed, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS i FROM lineitem),
+ch AS (SELECT l_orderkey AS chain_id, max(l_linenumber) AS n_nodes, min(l_shipdate) AS created_at FROM lineitem GROUP BY 1),
+co AS (SELECT l_orderkey AS chain_id, l_linenumber - 1 AS node, l_returnflag = 'R' AND l_linestatus = 'F' AS failed, l_shipdate AS shipped, epoch_us(l_shipdate) || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS claim, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS i FROM lineitem),
 f AS (
   SELECT ch.chain_id, ch.n_nodes, 0::BIGINT AS i, 0 AS nx, false AS ended, NULL::INT AS node, NULL::BOOLEAN AS failed, NULL::VARCHAR AS disposition FROM ch
   UNION ALL

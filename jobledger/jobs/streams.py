@@ -2,47 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
 from jobledger.jobs import sql
-from jobledger.jobs.registry import query
+from jobledger.jobs.registry import KEY_PREFIX, query
 from jobledger.operators.events import normalize_events
 from jobledger.sources import fixtures as fx
+from jobledger.sources import tables
 from jobledger.streaming import streams
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both see it; of this machine only where no shared one is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def _log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The log as it would stand in a lake, one file for each stretch of time, read as a stream by the library's reader."""
+    path = f"{folder}/log"
+    tables.write_table(normalize_events(fx.events_raw(spark, sf_dir)).repartitionByRange(4, "time", "seq").sortWithinPartitions("time", "seq"), path)
+    return tables.stream_events(spark, path, files_per_trigger=2)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(fx.map_events(_raw(spark, sf_dir)))
 
 
 def _result(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    folder = _folder(spark)
+    folder = tables.folder(spark)
     return streams.run_to_end(df, f"{folder}/out", f"{folder}/checkpoint", mode)
 
 
 @query(sql.events("SELECT kind, queue, count(*) AS events FROM e1 GROUP BY ALL"))
 def stream_events(spark, sf):
-    """The log read as a stream, counted."""
-    return _result(spark, _events(spark, sf).select("seq", "kind", "queue")).groupBy("kind", "queue").agg(F.count("*").alias("events"))
+    """The log, written as files, read as a stream and counted."""
+    folder = tables.folder(spark)
+    out = streams.run_to_end(_log(spark, sf, folder).select("seq", "kind", "queue"), f"{folder}/out", f"{folder}/checkpoint")
+    return out.groupBy("kind", "queue").agg(F.count("*").alias("events"))
 
 
-@query()
+_WATERMARK = "mark AS (SELECT max(us) // 1000 * 1000 - 600000000 AS us FROM e1)"
+
+
+@query(sql.events("SELECT (us // 1000000) // 21600 * 21600 AS start, " + ", ".join(sql._COUNT.format(f"process_{k}", k) for k in ("started", "succeeded", "failed", "retried")) + " FROM e1 GROUP BY 1 HAVING ((min(us) // 1000000) // 21600 + 1) * 21600 * 1000000 <= (SELECT us FROM mark)", _WATERMARK))
 def stream_rates(spark, sf):
     """Six-hour rates; windows that the watermark hasn't passed at the end stay open."""
     return _result(spark, streams.stream_rates(_events(spark, sf), "6 hours"))
@@ -56,44 +60,48 @@ def stream_dedupe(spark, sf):
 
 @query(sql.events("SELECT c.queue, c.processed, c.failed, c.retry, c.archived, coalesce(p.pending, 0) AS pending, coalesce(s.scheduled, 0) AS scheduled, z.paused FROM (" + sql.COUNTERS.replace("FROM e ", "FROM e1 ") + ") c LEFT JOIN (" + sql.PENDING.replace("FROM e ", "FROM e1 ") + ") p USING (queue) LEFT JOIN (" + sql.SCHEDULED.replace("FROM e ", "FROM e1 ") + ") s USING (queue) LEFT JOIN (" + sql.PAUSED.replace("FROM e ", "FROM e1 ") + ") z USING (queue)"))
 def stream_stats(spark, sf):
-    """The last row of each queue, over the log with its repeats."""
-    folder = _folder(spark)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that comes again replaces itself
-
-    df = streams.stream_stats(_events(spark, sf))
-    streams.finish(df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start())
+    """The counters after the last micro-batch, over the log with its repeats, which comes in two parts; the stream goes on where it was."""
+    folder = tables.folder(spark)
+    log = normalize_events(fx.events_raw(spark, sf))
+    middle = log.agg(F.timestamp_micros(F.expr("(unix_micros(min(time)) + unix_micros(max(time))) div 2"))).first()[0]
+    for part in (log.where(F.col("time") < F.lit(middle)), log.where(F.col("time") >= F.lit(middle))):
+        part.write.mode("append").parquet(f"{folder}/log")
+        stream = tables.stream_events(spark, f"{folder}/log", files_per_trigger=1_000_000)  # what came together is put in order together
+        streams.finish(streams.stream_stats(stream, f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     rows = spark.read.parquet(f"{folder}/out")
-    return rows.groupBy("queue").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("queue", "batch")]), "batch").alias("r")).select("queue", "r.*")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
 @query(sql.over(sql.REQUESTS, "n0 AS (SELECT seq, t, ttl, q || chr(0) || job_type || chr(0) || payload AS key, row_number() OVER (PARTITION BY q, job_type, payload ORDER BY t, seq) AS i FROM d WHERE ttl > 0)", "n AS (SELECT key, seq, i, true AS accepted, t + ttl AS until FROM n0 WHERE i = 1 UNION ALL SELECT b.key, b.seq, b.i, b.t >= n.until, CASE WHEN b.t >= n.until THEN b.t + b.ttl ELSE n.until END FROM n JOIN n0 b ON b.key = n.key AND b.i = n.i + 1)", "SELECT seq, accepted FROM n UNION ALL SELECT seq, true FROM d WHERE ttl <= 0"))
 def stream_unique(spark, sf):
     d = fx.map_requests(_raw(spark, sf))
-    key = scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"))
+    key = scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"), KEY_PREFIX)
     d = d.select(key.alias("unique_key"), "time", "seq", F.unix_millis("time").alias("t"), F.col("unique_ttl_ms").alias("ttl"))
     return _result(spark, streams.stream_unique(d))
 
 
-@query()
+@query(sql.events(
+    "SELECT settlement_id, us // 1000 AS started_ms FROM (SELECT *, lead(kind) OVER (PARTITION BY settlement_id ORDER BY time, seq) AS nk FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed'))"
+    " WHERE kind = 'process_started' AND nk IS NULL AND us // 1000 + 302000 < (SELECT us FROM mark2) // 1000",
+    "mark2 AS (SELECT max(us) // 1000 * 1000 - 600000000 AS us FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed'))",
+))
 def stream_stale(spark, sf):
-    """Executions without an end in time, as far as the watermark came."""
+    """Executions without an end in time, as far as the watermark came; the whole log is one micro-batch."""
     return _result(spark, streams.stream_stale(_events(spark, sf)))
 
 
 @query(sql.events("SELECT kind, count(*) AS events FROM e1 GROUP BY kind"))
 def fan_out(spark, sf):
     """Every batch to a broken observer and a good one: the good one's rows."""
-    folder, failures = _folder(spark), []
+    folder, failures = tables.folder(spark), []
 
     def good(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     def broken(batch: DataFrame, number: int) -> None:
         raise RuntimeError("observer")
 
-    streams.finish(streams.fan_out(_events(spark, sf).select("kind"), {"broken": broken, "good": good}, failures).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    streams.finish(streams.fan_out(_log(spark, sf, folder).select("kind"), {"broken": broken, "good": good}, failures).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     if not failures:
         raise RuntimeError("the broken observer went unnoticed")
     lost = [f for f in failures if f[1] == "good"]

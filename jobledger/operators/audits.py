@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
 from jobledger.operators import gauges
-from jobledger.operators.scan import sorted_scan
+from jobledger.operators.scan import lease_until, sorted_scan
 from jobledger.operators.stats import count_if, kind_is
 
 
@@ -20,11 +19,6 @@ def trace(events: DataFrame) -> DataFrame:
     )
 
 
-def trace_facts(events: DataFrame, dispatch_ids: DataFrame) -> DataFrame:
-    """The facts of chosen dispatches in order, one row each."""
-    return events.join(dispatch_ids.select("dispatch_id").distinct(), "dispatch_id", "left_semi").select("dispatch_id", "time", "seq", "layer", "kind", "job_id", "attempt").repartition("dispatch_id").sortWithinPartitions("dispatch_id", "time", "seq")
-
-
 def unprocessed(events: DataFrame) -> DataFrame:
     """Jobs with an accepted enqueue and no success: job_id, queue of the first enqueue."""
     put = events.where(kind_is("enqueue_accepted") & (F.col("job_id") != "")).groupBy("job_id").agg(F.min_by("queue", F.struct("time", "seq")).alias("queue"))
@@ -39,12 +33,19 @@ def not_before_violations(requests: DataFrame, events: DataFrame, tolerance_ms:
     return first.withColumn("early_ms", early).where(F.col("early_ms") > tolerance_ms).select("seq", "job_id", "early_ms")
 
 
-def backoff_violations(events: DataFrame, backoff_ms: int, tolerance_ms: int) -> DataFrame:
-    """Starts of a job that follow its previous start, of a lower attempt, sooner than the backoff."""
+def backoff_violations(events: DataFrame, policy: int | DataFrame, tolerance_ms: int) -> DataFrame:
+    """Starts of a job that follow its previous start, of a lower attempt, sooner than the backoff.
+
+    ``policy`` is one backoff in milliseconds, or a table of them by job type, one row each: ``(job_type, backoff_ms)``.
+    """
     w = Window.partitionBy("dispatch_id", "job_id").orderBy("time", "seq")
     starts = events.where(kind_is("process_started") & (F.col("job_id") != "")).withColumn("was", F.lag("attempt").over(w)).withColumn("was_at", F.lag("time").over(w))
     gap = F.unix_millis("time") - F.unix_millis("was_at")
-    return starts.where(F.col("attempt") == F.col("was") + 1).withColumn("gap_ms", gap).where(F.col("gap_ms") < backoff_ms - tolerance_ms).select("seq", "job_id", "attempt", "gap_ms")
+    again = starts.where(F.col("attempt") == F.col("was") + 1).withColumn("gap_ms", gap)
+    if isinstance(policy, DataFrame):
+        met = again.join(policy.select("job_type", "backoff_ms"), "job_type")
+        return met.where(F.col("gap_ms") < F.col("backoff_ms") - tolerance_ms).select("seq", "job_id", "attempt", "gap_ms", "backoff_ms")
+    return again.where(F.col("gap_ms") < policy - tolerance_ms).select("seq", "job_id", "attempt", "gap_ms")
 
 
 def executions(events: DataFrame) -> DataFrame:
@@ -55,19 +56,10 @@ def executions(events: DataFrame) -> DataFrame:
     return facts.where(kind_is("process_started") & (F.col("job_key") != "")).select("job_key", "seq", F.unix_micros("time").alias("start"), F.when(F.col("next_kind") != "process_started", F.unix_micros("next_time")).alias("finish"))
 
 
-def _admit(c: dict, free_from):
-    start, until = c["start"].astype(np.int64), c["until"].astype(np.int64)
-    ok = np.zeros(len(start), dtype=bool)
-    for i in range(len(start)):
-        if free_from is None or start[i] >= free_from:
-            ok[i], free_from = True, int(until[i])
-    return (ok,), free_from
-
-
 def overlap_audit(runs: DataFrame, ttl_us: int) -> DataFrame:
     """Executions that start while an admitted one of their key holds [start, min(finish, start + ttl)): job_key, seq."""
     until = F.least(F.coalesce("finish", F.lit(2**62)), F.col("start") + ttl_us)
-    scanned = sorted_scan(runs.withColumn("until", until).drop("finish"), ["job_key"], ["start", "seq"], _admit, "admitted boolean")
+    scanned = sorted_scan(runs.withColumn("until", until).drop("finish"), ["job_key"], ["start", "seq"], lease_until("start", "until"), "admitted boolean")
     return scanned.where("not admitted").select("job_key", "seq")
 
 
@@ -85,11 +77,6 @@ def retry_bound_violations(events: DataFrame) -> DataFrame:
     return got.where(F.col("attempts") > F.col("max_retry") + 1)
 
 
-def attempts_by_job(events: DataFrame) -> DataFrame:
-    """Distinct started attempts of each job against the bound, for reports."""
-    return events.where(kind_is("process_started") & (F.col("job_id") != "")).groupBy("job_id").agg(F.count_distinct("attempt").alias("attempts"), (F.max("max_retry") + 1).alias("bound"))
-
-
 def duplicate_effects(events: DataFrame) -> DataFrame:
     """Jobs with more than one success."""
     return events.where(kind_is("process_succeeded") & (F.col("job_id") != "")).groupBy("job_id").agg(F.count("*").alias("successes")).where("successes > 1")

@@ -18,57 +18,72 @@ def time_bucket(seconds: int = 3600) -> Column:
 
 
 def floored_gauge(df: DataFrame, keys: list[str], delta: Column, bucket: Column | None = None) -> DataFrame:
-    """``df(keys, time, seq, ...)`` with ``gauge_before`` and ``gauge`` of the rows whose ``delta`` isn't 0.
+    """``df(keys, time, seq, ...)`` with ``gauge_before``, ``gauge`` and ``puts`` (increments so far) of the rows whose ``delta`` isn't 0.
 
-    The floor at zero is applied over each key's rows in (time, seq) order.
+    The floor at zero is applied over each key's rows in (time, seq) order. Increments so far less the gauge are the
+    decrements that took effect so far, so the same pass numbers both sides of a first-in-first-out matching.
     """
     rows = df.withColumn("delta", delta.cast("long")).where("delta <> 0").withColumn("bucket", time_bucket() if bucket is None else bucket)
     inner = Window.partitionBy(*keys, "bucket").orderBy(*ORDER)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum("delta").over(upto))
+    rows = rows.withColumn("s", F.sum("delta").over(upto)).withColumn("e", F.sum(F.greatest("delta", F.lit(0).cast("long"))).over(upto))
     rows = rows.withColumn("m", F.min("s").over(upto))
-    sums = df_sums(rows, keys)
-    outer = Window.partitionBy(*keys).orderBy("bucket")
-    before = outer.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("s0", F.coalesce(F.sum("bs").over(before), F.lit(0)))
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("delta").alias("bs"), F.min("m").alias("bm"), F.max("e").alias("be"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("s0", F.coalesce(F.sum("bs").over(before), F.lit(0))).withColumn("e0", F.coalesce(F.sum("be").over(before), F.lit(0)))
     sums = sums.withColumn("m0", F.coalesce(F.min(F.col("s0") + F.col("bm")).over(before), F.lit(0)))
-    met = rows.join(sums.select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col("bucket").alias("g_bucket"), "s0", "m0"), [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys] + [F.col("bucket").eqNullSafe(F.col("g_bucket"))])
+    # before this row: the same with its delta taken out of sum and minimum
+    rows = rows.withColumn("prior", F.lag("m", 1).over(inner))
+    met = rows.join(sums.select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col("bucket").alias("g_bucket"), "s0", "m0", "e0"), [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys] + [F.col("bucket").eqNullSafe(F.col("g_bucket"))])
     total = F.col("s0") + F.col("s")
     now = total - F.least(F.lit(0), F.col("m0"), F.col("s0") + F.col("m"))
-    # before this row: the same with its delta taken out of sum and minimum
-    prior = F.lag("m", 1).over(inner)
-    was = (total - F.col("delta")) - F.least(F.lit(0), F.col("m0"), F.coalesce(F.col("s0") + prior, F.lit(0)))
-    met = met.withColumn("gauge", now).withColumn("gauge_before", was)
-    return met.drop("s", "m", "s0", "m0", "bucket", *[f"g_{k}" for k in keys], "g_bucket")
+    was = (total - F.col("delta")) - F.least(F.lit(0), F.col("m0"), F.coalesce(F.col("s0") + F.col("prior"), F.lit(0)))
+    return met.select(*df.columns, "delta", "bucket", now.alias("gauge"), was.alias("gauge_before"), (F.col("e0") + F.col("e")).alias("puts"))
 
 
-def df_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(sum, minimum) of each bucket."""
-    return rows.groupBy(*keys, "bucket").agg(F.sum("delta").alias("bs"), F.min("m").alias("bm"))
+def bucket_sums(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame:
+    """Sum ``b_name`` and least running sum ``m_name`` of each delta in each time bucket. One pass for all of them."""
+    some = F.lit(False)
+    for d in deltas.values():
+        some = some | (d != 0)
+    rows = df.where(some).select(*keys, *ORDER, time_bucket().alias("bucket"), *[d.cast("long").alias(f"d_{n}") for n, d in deltas.items()])
+    upto = Window.partitionBy(*keys, "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumns({f"s_{n}": F.sum(f"d_{n}").over(upto) for n in deltas})
+    return sums.groupBy(*keys, "bucket").agg(*[x for n in deltas for x in (F.sum(f"d_{n}").alias(f"b_{n}"), F.min(f"s_{n}").alias(f"m_{n}"))])
 
 
-def final_gauge(df: DataFrame, keys: list[str], delta: Column, name: str) -> DataFrame:
-    """Only the last value of each key's gauge, from bucket sums."""
-    rows = df.withColumn("delta", delta.cast("long")).where("delta <> 0").withColumn("bucket", time_bucket())
-    upto = Window.partitionBy(*keys, "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df_sums(rows.withColumn("m", F.sum("delta").over(upto)), keys)
+def summed_gauges(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame:
+    """keys, ``name_sum`` and ``name_low`` (least running sum, 0 at most) of each delta: what a stretch of time does to a gauge.
+
+    A gauge at g goes to g + sum - min(0, g + low) over the stretch, so stretches can be folded one after the other.
+    """
+    sums = bucket_sums(df, keys, **deltas)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("low", F.coalesce(F.sum("bs").over(before), F.lit(0)) + F.col("bm"))
-    return sums.groupBy(*keys).agg((F.sum("bs") - F.least(F.lit(0), F.min("low"))).alias(name))
+    sums = sums.withColumns({f"low_{n}": F.coalesce(F.sum(f"b_{n}").over(before), F.lit(0)) + F.col(f"m_{n}") for n in deltas})
+    return sums.groupBy(*keys).agg(*[x for n in deltas for x in (F.sum(f"b_{n}").alias(f"{n}_sum"), F.least(F.lit(0), F.min(f"low_{n}")).alias(f"{n}_low"))])
+
+
+def final_gauges(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame:
+    """Only the last value of each key's gauges: keys and a column for each delta. One pass for all of them."""
+    return summed_gauges(df, keys, **deltas).select(*keys, *[(F.col(f"{n}_sum") - F.col(f"{n}_low")).alias(n) for n in deltas])
 
 
 def pending_delta() -> Column:
     return F.when(F.col("kind") == "enqueue_accepted", 1).when(F.col("kind") == "process_started", -1).otherwise(0)
 
 
+def scheduled_delta() -> Column:
+    return F.when(F.coalesce(F.col("scheduled"), F.lit(False)), pending_delta()).otherwise(0)
+
+
 def pending_gauge(events: DataFrame) -> DataFrame:
     """queue, pending."""
-    return final_gauge(events, ["queue"], pending_delta(), "pending")
+    return final_gauges(events, ["queue"], pending=pending_delta())
 
 
 def scheduled_gauge(events: DataFrame) -> DataFrame:
     """queue, scheduled: the pending gauge over events with the scheduled mark."""
-    return final_gauge(events.where("scheduled"), ["queue"], pending_delta(), "scheduled")
+    return final_gauges(events, ["queue"], scheduled=scheduled_delta())
 
 
 def active_gauge(events: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ def active_gauge(events: DataFrame) -> DataFrame:
     loose = facts.where("settlement_id is null and kind <> 'settlement_failed'")
     has = F.col("job_id") != ""
     loose = loose.withColumns({"x_dispatch": F.when(has, F.col("dispatch_id")).otherwise(""), "x_attempt": F.when(has, F.col("attempt")).otherwise(-1), "x_job": F.col("job_id")})
-    by_key = final_gauge(loose, ["queue", "x_dispatch", "x_job", "x_attempt"], F.when(F.col("kind") == "process_started", 1).otherwise(-1), "open")
+    by_key = final_gauges(loose, ["queue", "x_dispatch", "x_job", "x_attempt"], open=F.when(F.col("kind") == "process_started", 1).otherwise(-1))
     return exact.unionByName(by_key.select("queue", "open")).groupBy("queue").agg(F.sum("open").alias("active"))
 
 
@@ -90,19 +105,16 @@ def match_waits(events: DataFrame) -> DataFrame:
     """Starts with the enqueue that each consumes, first in first out by (queue, job_key): queue, job_key, nth, enqueued_at, started_at.
 
     A start consumes one if the gauge of its key is above zero before it; the k-th such start takes the k-th enqueue.
-    Numbers are running sums in two levels, so a key with most of the log still spreads, and the join key is unique.
+    Both numbers are running counts of the gauge's one bucketed pass, so a key with most of the log still spreads, and the two
+    rows of a number meet in an aggregation.
     """
     keys = ["queue", "job_key"]
     rows = floored_gauge(events.where(F.col("kind").isin("enqueue_accepted", "process_started") & (F.col("job_key") != "")).select(*keys, *ORDER, "kind"), keys, pending_delta())
-    used = rows.where("delta = 1 or gauge_before > 0").withColumn("bucket", time_bucket())
-    inner = Window.partitionBy(*keys, "kind", "bucket").orderBy(*ORDER)
-    numbered = used.withColumn("i", F.row_number().over(inner))
-    sizes = used.groupBy(*keys, "kind", "bucket").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = numbered.join(sizes, [*keys, "kind", "bucket"]).withColumn("nth", F.col("ahead") + F.col("i"))
-    put = numbered.where("kind = 'enqueue_accepted'").select(*keys, "nth", F.col("time").alias("enqueued_at"))
-    took = numbered.where("kind = 'process_started'").select(*keys, "nth", F.col("time").alias("started_at"))
-    return took.join(put, [*keys, "nth"])
+    put = F.col("delta") == 1
+    nth = F.when(put, F.col("puts")).when(F.col("gauge_before") > 0, F.col("puts") - F.col("gauge"))
+    met = rows.select(*keys, nth.alias("nth"), F.when(put, F.col("time")).alias("put_at"), F.when(~put, F.col("time")).alias("took_at")).where("nth is not null")
+    met = met.groupBy(*keys, "nth").agg(F.max("put_at").alias("enqueued_at"), F.max("took_at").alias("started_at"))
+    return met.where("enqueued_at is not null and started_at is not null")
 
 
 def running_counts(events: DataFrame) -> DataFrame:

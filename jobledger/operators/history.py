@@ -12,15 +12,26 @@ KEPT_MS, KEPT_POINTS = 8 * 86_400_000, 30_000
 WINDOW_MS = {"hour": 3_600_000, "day": 86_400_000, "week": 7 * 86_400_000}
 
 
-def history_runs(samples: DataFrame) -> DataFrame:
+def history_runs(samples: DataFrame, seconds: int = 86_400) -> DataFrame:
     """``samples(queue, at, seq, processed, failed)`` with ``run``: a number for each stretch of equal neighbours.
 
-    Numbers are the (at, seq) of the stretch's first sample, found without counting across a whole queue's rows.
+    Numbers are the (at, seq) of the stretch's first sample. Neighbours are compared within time buckets; what a bucket needs of
+    those before it, the last sample and the last start, comes from a row for each bucket.
     """
-    w = Window.partitionBy("queue").orderBy("at", "seq")
-    same = (F.col("processed") == F.lag("processed").over(w)) & (F.col("failed") == F.lag("failed").over(w))
-    starts = samples.withColumn("start", F.when(~F.coalesce(same, F.lit(False)), F.struct("at", "seq")))
-    return starts.withColumn("run", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
+    rows = samples.withColumn("bucket", F.floor(F.unix_seconds("at") / seconds))
+    inner = Window.partitionBy("queue", "bucket").orderBy("at", "seq")
+    values, place = F.struct("processed", "failed"), F.struct("at", "seq")
+    rows = rows.withColumn("v", values).withColumn("was", F.lag("v").over(inner)).withColumn("start", F.when(F.col("was").isNotNull() & (F.col("was") != F.col("v")), place))
+    buckets = rows.groupBy("queue", "bucket").agg(F.min(F.struct("at", "seq", "v")).alias("first"), F.max(F.struct("at", "seq", "v")).alias("final"), F.max("start").alias("inside"))
+    outer = Window.partitionBy("queue").orderBy("bucket")
+    buckets = buckets.withColumn("came", F.lag("final.v").over(outer))
+    head = F.when(F.col("came").isNull() | (F.col("came") != F.col("first.v")), F.struct("first.at", "first.seq"))
+    buckets = buckets.withColumn("head", head)
+    buckets = buckets.withColumn("open", F.last(F.coalesce("inside", "head"), ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)))
+    buckets = buckets.select(F.col("queue").alias("b_queue"), F.col("bucket").alias("b_bucket"), F.coalesce("head", "open").alias("carried"))
+    rows = rows.withColumn("begun", F.last("start", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    met = rows.join(buckets, F.col("queue").eqNullSafe(F.col("b_queue")) & (F.col("bucket") == F.col("b_bucket")))
+    return met.select(*samples.columns, F.coalesce("begun", "carried").alias("run"))
 
 
 def history(samples: DataFrame, window: str, as_of_ms: int, gap_ms: int = 30_000) -> DataFrame:
@@ -33,3 +44,9 @@ def history(samples: DataFrame, window: str, as_of_ms: int, gap_ms: int = 30_000
     newest = Window.partitionBy("queue").orderBy(F.desc("at"), F.desc("seq"))
     kept = kept.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= KEPT_POINTS)
     return kept.where(F.col("at_ms") >= as_of_ms - WINDOW_MS.get(window, WINDOW_MS["hour"])).select("queue", "at_ms", "processed", "failed")
+
+
+def with_current(points: DataFrame, known: DataFrame, as_of_ms: int) -> DataFrame:
+    """Timelines, and for a known queue without any point its current counters as the only one: ``known(queue, processed, failed)``."""
+    alone = known.join(points.select("queue").distinct(), "queue", "left_anti")
+    return points.unionByName(alone.select("queue", F.lit(as_of_ms).cast("long").alias("at_ms"), "processed", "failed"))

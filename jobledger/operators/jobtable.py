@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from jobledger.functions import scalar
 from jobledger.operators.stats import count_if
 
-# Fixed values of the recovery rule: text, marker, grace and lease.
-RECOVERED_TEXT, RECOVERED_MARKER = "recovered stale processing job", "queue:internal:stale-processing-recovery:v1"
+# Fixed values of the recovery rule: text, grace and lease.
+RECOVERED_TEXT = "recovered stale processing job"
 GRACE_MS, LEASE_MS = 2_000, 300_000
 CANCELED_TEXT = "canceled from queue admin"
 
@@ -19,20 +19,22 @@ def skip_when(rows: DataFrame, predicate: Column) -> DataFrame:
     return rows.where(~F.coalesce(predicate, F.lit(False)))
 
 
-def rejection() -> Column:
-    """Why a request can't be dispatched, null if it can: the first of these reasons."""
+def rejection(resolved: bool = False) -> Column:
+    """Why a request can't be dispatched, null if it can: the first of these reasons. An empty queue is one only once queues are resolved."""
     out = F.when(F.coalesce(F.col("job_type"), F.lit("")) == "", "missing job type")
+    if resolved:
+        out = out.when(F.coalesce(F.col("queue"), F.lit("")) == "", "missing queue")
     for c, why in (("timeout_ms", "negative timeout"), ("max_retry", "negative retry"), ("backoff_ms", "negative backoff"), ("delay_ms", "negative delay"), ("unique_ttl_ms", "negative unique ttl")):
         out = out.when(F.col(c) < 0, why)
     return out
 
 
-def validate_dispatch(requests: DataFrame) -> DataFrame:
-    """Requests with ``reason``, null for valid ones."""
-    return requests.withColumn("reason", rejection())
+def validate_dispatch(requests: DataFrame, resolved: bool = False) -> DataFrame:
+    """Requests with ``reason``, null for valid ones. ``resolved``: an empty queue no longer means the default one."""
+    return requests.withColumn("reason", rejection(resolved))
 
 
-def admit_jobs(requests: DataFrame, as_of_ms: int, base_id: int = 0, buckets: int = 256) -> DataFrame:
+def admit_jobs(requests: DataFrame, as_of_ms: int, base_id: int = 0) -> DataFrame:
     """Job rows of valid requests: pending, attempt 0, available after the delay; ids follow (time, seq).
 
     Numbering is two-level: hours are counted, and rows numbered within their hour, so no task sorts all of them.
@@ -86,8 +88,11 @@ def list_jobs(jobs: DataFrame, as_of_ms: int, queue: str = "", state: str = "",
     return rows.orderBy(F.desc("id")).offset((max(page, 1) - 1) * size).limit(size), total
 
 
-def recover_stale(jobs: DataFrame, as_of_ms: int, grace_ms: int = GRACE_MS, lease_ms: int = LEASE_MS) -> DataFrame:
-    """The job table with ``recovered``: running jobs past their timeout and grace, or without one past the lease, are pending again."""
+def recover_stale(jobs: DataFrame, as_of_ms: int, marker: str, grace_ms: int = GRACE_MS, lease_ms: int = LEASE_MS) -> DataFrame:
+    """The job table with ``recovered``: running jobs past their timeout and grace, or without one past the lease, are pending again.
+
+    Those without a token get ``marker`` for one.
+    """
     timeout = F.coalesce(F.col("timeout_seconds"), F.lit(0))
     started = F.col("processing_started_at")
     stale = (F.col("state") == "processing") & F.coalesce(F.when(timeout > 0, started + timeout * 1000 + grace_ms <= as_of_ms).otherwise(started <= as_of_ms - lease_ms), F.lit(False))
@@ -95,11 +100,16 @@ def recover_stale(jobs: DataFrame, as_of_ms: int, grace_ms: int = GRACE_MS, leas
     back = F.col("recovered")
     return rows.withColumns({
         "state": F.when(back, "pending").otherwise(F.col("state")), "available_at": F.when(back, F.lit(as_of_ms)).otherwise(F.col("available_at")),
-        "processing_token": F.when(back, F.coalesce("processing_token", F.lit(RECOVERED_MARKER))).otherwise(F.col("processing_token")),
+        "processing_token": F.when(back, F.coalesce("processing_token", F.lit(marker))).otherwise(F.col("processing_token")),
         "processing_started_at": F.when(~back, started), "last_error": F.when(back, RECOVERED_TEXT).otherwise(F.col("last_error")),
     })
 
 
+def recovered_facts(recovered: DataFrame, as_of_ms: int) -> DataFrame:
+    """A process_recovered fact for each recovered job: kind, queue (empty), time. Only how many there were is reported, so facts name no job."""
+    return recovered.where("recovered").select(F.lit("process_recovered").alias("kind"), F.lit("").alias("queue"), F.timestamp_millis(F.lit(as_of_ms)).alias("time"))
+
+
 def claim_next(jobs: DataFrame, as_of_ms: int, n: int) -> DataFrame:
     """The ``n`` lowest due pending ids of each queue, marked running; each partition first keeps its own lowest."""
     due = jobs.where((F.col("state") == "pending") & (F.col("available_at") <= as_of_ms))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 def sorted_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable, added: str) -> DataFrame:
     """``df`` with the columns ``added`` (DDL) that ``step`` gives each row, in key and ``order``.
 
-    ``step(columns, carry) -> (arrays, carry)`` gets a stretch of one key's rows as numpy arrays and what it returned for
-    the stretch before (None at a key's start). Rows stream through in Arrow batches: only ``carry`` is held, never a
-    whole key.
+    ``step(columns, starts, carry) -> (arrays, carry)`` gets a batch of rows as numpy arrays, the places where a key starts
+    (0 first) and, if the first key goes on from the batch before, what it returned for it (else None). Rows stream through
+    in Arrow batches: only ``carry`` of the last key is held, never a whole key.
     """
     names = [f.split()[0] for f in added.split(",")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), added])
@@ -32,48 +32,92 @@ def sorted_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable
             for k in keys:
                 v = batch[k]
                 new[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()[1:]
-            cuts = np.append(np.flatnonzero(new), n)
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(None if pd.isna(columns[k][a]) else columns[k][a] for k in keys)
-                if key != last:
-                    last, carry = key, None
-                got, carry = step({c: v[a:b] for c, v in columns.items()}, carry)
-                out.append(got)
-            yield batch.assign(**{name: np.concatenate([o[i] for o in out]) for i, name in enumerate(names)})
+            starts = np.flatnonzero(new)
+            first, final = (tuple(None if pd.isna(columns[k][i]) else columns[k][i] for k in keys) for i in (0, n - 1))
+            out, carry = step(columns, starts, carry if first == last else None)
+            last = final
+            yield batch.assign(**dict(zip(names, out, strict=True)))
 
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def key_numbers(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+
+
+def hops(t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from: int | None) -> tuple[np.ndarray, int | None]:
+    """Which rows are taken when each taken one bars its key until ``until``; ``t`` grows within a key. All keys hop at once.
+
+    ``free_from`` bars the first key; returned is what bars the last one.
+    """
+    n = len(t)
+    ok = np.zeros(n, dtype=bool)
+    if n == 0:
+        return ok, free_from
+    key, ends = key_numbers(starts, n), np.append(starts[1:], n)
+    ranks = np.unique(np.concatenate([t, until, [] if free_from is None else [free_from]]).astype(np.int64), return_inverse=True)[1]
+    width = len(t) * 2 + 2
+    place = key * width + ranks[:n]
+    after = np.searchsorted(place, key * width + ranks[n : 2 * n])  # the first row of the key at or after ``until``
+    after = np.maximum(np.minimum(after, ends[key]), np.arange(n) + 1)
+    now = starts.copy()
+    if free_from is not None:
+        now[0] = min(np.searchsorted(place, ranks[-1]), ends[0])
+    at, stop = now, ends
+    final = free_from if len(starts) == 1 else None
+    while True:
+        live = at < stop
+        at, stop = at[live], stop[live]
+        if len(at) == 0:
+            return ok, final
+        ok[at] = True
+        if stop[-1] == n:
+            final = int(until[at[-1]])
+        at = after[at]
+
+
 def claim_until(time: str, ttl: str) -> Callable:
     """Accept a row if no accepted one holds [t, t + ttl); a ttl of 0 or less claims nothing and is always accepted."""
 
-    def step(c: dict, free_from):
+    def step(c: dict, starts: np.ndarray, free_from):
         t, d = c[time].astype(np.int64), c[ttl].astype(np.int64)
         ok = d <= 0
-        rows = np.flatnonzero(~ok)
-        at = 0 if free_from is None else int(np.searchsorted(t[rows], free_from))
-        while at < len(rows):
-            i = rows[at]
-            ok[i] = True
-            free_from = int(t[i] + d[i])
-            at = max(at + 1, int(np.searchsorted(t[rows], free_from)))
+        return _among(~ok, ok, t, t + d, starts, free_from)
+
+    return step
+
+
+def lease_until(time: str, until: str) -> Callable:
+    """Accept a row if no accepted one holds [t, until)."""
+
+    def step(c: dict, starts: np.ndarray, free_from):
+        ok, free_from = hops(c[time].astype(np.int64), c[until].astype(np.int64), starts, free_from)
         return (ok,), free_from
 
     return step
 
 
+def _among(rows: np.ndarray, ok: np.ndarray, t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from):
+    """:func:`hops` over some of the rows; a last key without any keeps its carry."""
+    at = np.flatnonzero(rows)
+    key = key_numbers(starts, len(rows))
+    own = key[at]
+    begins = np.flatnonzero(np.diff(own, prepend=-1))
+    carried = free_from if len(own) and own[0] == 0 else None
+    got, final = hops(t[at], until[at], begins, carried)
+    ok = ok.copy()
+    ok[at] = got
+    if len(own) == 0 or own[-1] != len(starts) - 1:  # nothing of the last key takes part
+        final = free_from if len(starts) == 1 else None
+    return (ok,), final
+
+
 def keep_spaced(time: str, gap: int) -> Callable:
     """Keep the first row and each that comes at least ``gap`` after the last kept one."""
 
-    def step(c: dict, last):
+    def step(c: dict, starts: np.ndarray, free_from):
         t = c[time].astype(np.int64)
-        ok = np.zeros(len(t), dtype=bool)
-        at = 0 if last is None else int(np.searchsorted(t, last + gap))
-        while at < len(t):
-            ok[at] = True
-            last = int(t[at])
-            at = max(at + 1, int(np.searchsorted(t, last + gap)))
-        return (ok,), last
+        ok, free_from = hops(t, t + gap, starts, free_from)
+        return (ok,), free_from
 
     return step

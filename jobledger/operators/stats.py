@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,9 +49,13 @@ def avg_wait(events: DataFrame) -> DataFrame:
     return waits.groupBy("queue").agg(F.expr("sum(wait) div count(*)").alias("avg_wait_ns"), F.count("*").alias("waits"))
 
 
+def last_turn() -> Column:
+    """The last pause or resume: (time, seq, kind)."""
+    return F.max(F.when(kind_is("queue_paused", "queue_resumed"), F.struct("time", "seq", F.col("kind").alias("kind"))))
+
+
 def paused_column() -> Column:
-    turns = F.when(kind_is("queue_paused", "queue_resumed"), F.struct("time", "seq", F.col("kind").alias("kind")))
-    return F.coalesce((F.max(turns)["kind"] == "queue_paused").cast("int"), F.lit(0)).alias("paused")
+    return F.coalesce((last_turn()["kind"] == "queue_paused").cast("int"), F.lit(0)).alias("paused")
 
 
 def paused_state(events: DataFrame) -> DataFrame:
@@ -88,10 +93,14 @@ def stats_snapshot(events: DataFrame, as_of: datetime | None = None) -> DataFram
     log meets in one task.
     """
     timed, now = _timed(events, as_of)
-    out = timed.groupBy("queue").agg(*counter_columns(), run_column(), paused_column(), *throughput_columns(now))
-    for part in (avg_wait(events).drop("waits"), gauges.pending_gauge(events), gauges.scheduled_gauge(events), gauges.active_gauge(events)):
-        out = out.join(part, "queue", "left")
-    return out.select("queue", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c != "queue"])
+    counted = timed.groupBy("queue").agg(*counter_columns(), run_column(), paused_column(), *throughput_columns(now))
+    gauge = gauges.final_gauges(events, ["queue"], pending=gauges.pending_delta(), scheduled=gauges.scheduled_delta())
+    parts = [(counted, [c for c in counted.columns if c != "queue"]), (avg_wait(events), ["avg_wait_ns"]), (gauge, ["pending", "scheduled"]), (gauges.active_gauge(events), ["active"])]
+    names = [c for _, own in parts for c in own]
+    # a few rows a queue from each part: one small aggregation puts them together
+    rows = [p.select("queue", *[(F.col(c) if c in own else F.lit(None)).cast("long").alias(c) for c in names]) for p, own in parts]
+    out = reduce(DataFrame.union, rows).groupBy("queue").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
+    return out.withColumn("paused", F.col("paused").cast("int"))
 
 
 def events_total(events: DataFrame) -> DataFrame:
@@ -106,30 +115,50 @@ def failure_counters(events: DataFrame) -> DataFrame:
     )
 
 
+def _histogram(rows: DataFrame, by: list[str], bounds_ms: list[int]) -> DataFrame:
+    rows = rows.withColumn("bucket", scalar.bucket_of(F.col("duration_ns"), [b * 1_000_000 for b in bounds_ms]))
+    counted = rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("sum_ns"))
+    return counted.withColumn("cumulative", F.sum("n").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def duration_histogram(events: DataFrame, bounds_ms: list[int]) -> DataFrame:
     """Executions by driver, queue and job type in buckets up to each bound, the last open; ``cumulative`` counts all up to the bucket."""
-    ended = events.where(kind_is(*ENDED)).withColumn("bucket", scalar.bucket_of(F.col("duration_ns"), [b * 1_000_000 for b in bounds_ms]))
-    counted = ended.groupBy("driver", "queue", "job_type", "bucket").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("sum_ns"))
-    w = Window.partitionBy("driver", "queue", "job_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("cumulative", F.sum("n").over(w))
+    return _histogram(events.where(kind_is(*ENDED)), ["driver", "queue", "job_type"], bounds_ms)
+
+
+def workflow_jobs(events: DataFrame) -> DataFrame:
+    """kind (job_succeeded or job_failed), queue, job_type, duration_ns of workflow jobs: from a start to the end that follows it."""
+    w = Window.partitionBy("dispatch_id", "job_id").orderBy("time", "seq")
+    facts = events.where((F.col("job_id") != "") & kind_is("process_started", *ENDED)).withColumn("was", F.lag("kind").over(w)).withColumn("was_at", F.lag("time").over(w))
+    ended = facts.where(kind_is(*ENDED) & (F.col("was") == "process_started"))
+    kind = F.when(kind_is("process_succeeded"), "job_succeeded").otherwise("job_failed")
+    return ended.select(kind.alias("kind"), "queue", "job_type", ((F.unix_micros("time") - F.unix_micros("was_at")) * 1000).alias("duration_ns"))
+
+
+def workflow_duration_histogram(jobs: DataFrame, bounds_ms: list[int]) -> DataFrame:
+    """:func:`workflow_jobs` by kind, queue and job type in buckets, as :func:`duration_histogram`."""
+    return _histogram(jobs, ["kind", "queue", "job_type"], bounds_ms)
+
+
+def percentile_columns(c: str, unit: str, exact: bool) -> list[Column]:
+    """P50, P95, P99: sketches of fixed size, or exact."""
+    of = lambda p: F.percentile(c, F.lit(p)) if exact else F.percentile_approx(c, p, 10_000)
+    return [of(p).alias(f"p{round(100 * p)}_{unit}") for p in (0.5, 0.95, 0.99)]
 
 
 def duration_percentiles(events: DataFrame, exact: bool = False) -> DataFrame:
-    """P50, P95, P99 of durations by job type and queue: a sketch of fixed size for each group, or exact."""
-    ended = events.where(kind_is(*ENDED))
-    if exact:
-        return ended.groupBy("job_type", "queue").agg(*[F.percentile("duration_ns", F.lit(p)).alias(f"p{round(100 * p)}_ns") for p in (0.5, 0.95, 0.99)])
-    return ended.groupBy("job_type", "queue").agg(*[F.percentile_approx("duration_ns", p, 10_000).alias(f"p{round(100 * p)}_ns") for p in (0.5, 0.95, 0.99)])
+    """P50, P95, P99 of durations by job type and queue."""
+    return events.where(kind_is(*ENDED)).groupBy("job_type", "queue").agg(*percentile_columns("duration_ns", "ns", exact))
 
 
-def completion_latency(events: DataFrame) -> DataFrame:
-    """First enqueue to the first later success of a job, by queue of the enqueue: jobs and mean and largest in whole milliseconds."""
+def completion_latency(events: DataFrame, exact: bool = False) -> DataFrame:
+    """First enqueue to the first later success of a job, by queue of the enqueue: jobs, mean, largest and percentiles in milliseconds."""
     facts = events.where((F.col("job_id") != "") & kind_is("enqueue_accepted", "process_succeeded"))
     put = facts.where("kind = 'enqueue_accepted'").groupBy("job_id").agg(F.min(F.struct("time", "seq", "queue")).alias("e")).select("job_id", F.col("e.queue").alias("queue"), F.col("e.time").alias("t0"))
     done = facts.where("kind = 'process_succeeded'").select("job_id", "time")
     took = done.join(put, "job_id").where("time >= t0").groupBy("job_id", "queue", "t0").agg(F.min("time").alias("t1"))
     ms = F.unix_millis("t1") - F.unix_millis("t0")
-    return took.withColumn("ms", ms).groupBy("queue").agg(F.count("*").alias("jobs"), F.expr("sum(ms) div count(*)").alias("avg_ms"), F.max("ms").alias("max_ms"))
+    return took.withColumn("ms", ms).groupBy("queue").agg(F.count("*").alias("jobs"), F.expr("sum(ms) div count(*)").alias("avg_ms"), F.max("ms").alias("max_ms"), *percentile_columns("ms", "ms", exact))
 
 
 def workflow_event_totals(events: DataFrame) -> DataFrame:

@@ -9,32 +9,32 @@ from jobledger.functions import scalar
 from jobledger.operators.scan import claim_until, sorted_scan
 
 
-def _keyed(requests: DataFrame) -> DataFrame:
+def _keyed(requests: DataFrame, prefix: str) -> DataFrame:
     queue = scalar.default_queue(F.col("queue"))
     return requests.withColumns({
-        "unique_key": scalar.unique_key(queue, F.col("job_type"), F.col("payload")), "legacy_key": scalar.legacy_unique_key(queue, F.col("job_type"), F.col("payload")),
+        "unique_key": scalar.unique_key(queue, F.col("job_type"), F.col("payload"), prefix), "legacy_key": scalar.legacy_unique_key(queue, F.col("job_type"), F.col("payload")),
         "t": F.unix_millis("time"), "ttl": F.coalesce(F.col("unique_ttl_ms"), F.lit(0)),
     })
 
 
-def unique_gate(requests: DataFrame) -> DataFrame:
+def unique_gate(requests: DataFrame, prefix: str) -> DataFrame:
     """Requests with ``accepted``: one with a ttl is let in if no accepted request of its key holds [t, t + its own ttl).
 
-    A claim that ends exactly now is free. Requests without a ttl are always let in and claim nothing.
+    ``prefix`` starts what is hashed to a key. A claim that ends exactly now is free. Requests without a ttl are always let in and claim nothing.
     """
-    rows = _keyed(requests)
+    rows = _keyed(requests, prefix)
     free = rows.where("ttl <= 0").withColumn("accepted", F.lit(True))
     gated = sorted_scan(rows.where("ttl > 0"), ["unique_key"], ["t", "seq"], claim_until("t", "ttl"), "accepted boolean")
     return gated.unionByName(free)
 
 
-def unique_gate_dual(requests: DataFrame, locks: DataFrame, as_of_ms: int) -> tuple[DataFrame, DataFrame]:
+def unique_gate_dual(requests: DataFrame, locks: DataFrame, as_of_ms: int, prefix: str) -> tuple[DataFrame, DataFrame]:
     """As :func:`unique_gate` with both kinds of keys and stored locks: (requests with accepted, locks alive at ``as_of_ms``).
 
     ``locks(lock_key, expires_at)``: a stored lock on either key of a request blocks it until the lock expires. Both keys
     are always claimed together and the legacy key decides the other, so within a run the scan over one key decides.
     """
-    rows = _keyed(requests)
+    rows = _keyed(requests, prefix)
     held = locks.groupBy("lock_key").agg(F.max("expires_at").alias("until"))
     rows = rows.join(held.toDF("unique_key", "u1"), "unique_key", "left").join(held.toDF("legacy_key", "u2"), "legacy_key", "left")
     blocked = F.col("t") < F.greatest(F.coalesce("u1", F.lit(-1)), F.coalesce("u2", F.lit(-1)))

@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobledger.operators.scan import sorted_scan
+from jobledger.operators.scan import key_numbers, sorted_scan
 from jobledger.operators.stats import count_if
 
 
 def first_outcomes(outcomes: DataFrame, members: DataFrame) -> DataFrame:
-    """The first outcome of each known member: batch_id, job_id, place, failed. An aggregation, so repeats meet before the shuffle."""
-    known = outcomes.join(members.select("batch_id", "job_id").distinct(), ["batch_id", "job_id"], "left_semi")
-    return known.groupBy("batch_id", "job_id").agg(F.min(F.struct("place", "failed")).alias("w")).select("batch_id", "job_id", "w.place", "w.failed")
+    """The first outcome of each known member: batch_id, job_id, place, failed. An aggregation first, so repeats meet before the shuffle."""
+    first = outcomes.groupBy("batch_id", "job_id").agg(F.min(F.struct("place", "failed")).alias("w")).select("batch_id", "job_id", "w.place", "w.failed")
+    return first.join(members.select("batch_id", "job_id"), ["batch_id", "job_id"], "left_semi")
 
 
 def first_outcome(outcomes: DataFrame) -> DataFrame:
@@ -56,42 +56,41 @@ def member_state(members: DataFrame, starts: DataFrame, outcomes: DataFrame) ->
     return members.select("batch_id", "job_id").distinct().join(begun, ["batch_id", "job_id"], "left").join(wins, ["batch_id", "job_id"], "left").select("batch_id", "job_id", (no("begun") | no("settled")).alias("started"), no("settled").alias("done"), no("bad").alias("failed"))
 
 
-def chain_state(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """next_index, completed, failed and how many outcomes acted, repeated or came early, for each chain.
-
-    A fold over each chain's outcomes in order: only the node at next_index acts, and nothing after the end.
-    """
-    lists = outcomes.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("place", "node", "failed"))).alias("os"))
-    rows = chains.join(lists, "chain_id", "left")
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("next", "acted", "replayed", "early", "unknown")], F.lit(False).alias("failed"))
-
-    def step(s: Column, o: Column) -> Column:
-        odd = (o["node"] < 0) | (o["node"] >= F.col("n_nodes"))
-        acts = ~odd & ~s["failed"] & (o["node"] == s["next"])
-        back = ~odd & ~acts & (o["node"] <= s["next"])
-        inc = lambda name, cond: (s[name] + cond.cast("int")).alias(name)
-        return F.struct((s["next"] + (acts & ~o["failed"]).cast("int")).alias("next"), inc("acted", acts), inc("replayed", back), inc("early", ~odd & ~acts & ~back), inc("unknown", odd), (s["failed"] | (acts & o["failed"])).alias("failed"))
-
-    state = rows.withColumn("st", F.aggregate(F.coalesce("os", F.array().cast("array<struct<place:struct<time:timestamp,a:bigint,b:bigint,c:bigint,d:bigint>,node:int,failed:boolean>>")), zero, step))
-    return state.select("chain_id", F.col("st.next").alias("next_index"), (F.col("st.next") == F.col("n_nodes")).alias("completed"), F.col("st.failed").alias("failed"), *[F.col(f"st.{c}").alias(c) for c in ("acted", "replayed", "early", "unknown")])
-
-
 DISPOSITIONS = ["claimed", "replay_owned", "replay_lost", "rejected_early", "unknown_node"]
 
 
-def _dispose(c: dict, carry):
-    at, ended = carry or (0, False)
-    out = np.empty(len(c["node"]), dtype=object)
-    for i, (node, bad, n) in enumerate(zip(c["node"].tolist(), c["failed"].tolist(), c["n_nodes"].tolist(), strict=True)):
-        if node < 0 or node >= n:
-            out[i] = "unknown_node"
-        elif node == at and not ended:
-            out[i], ended, at = "claimed", bad, at + (not bad)
-        elif node <= at:
-            out[i] = "replay_owned" if bad == (node == at) else "replay_lost"
-        else:
-            out[i] = "rejected_early"
-    return (out,), (at, ended)
+def _dispose(c: dict, starts: np.ndarray, carry):
+    """All chains of a batch at once: in each round every live chain finds the next outcome of the node whose turn it is."""
+    node, bad, nodes = c["node"].astype(np.int64), c["failed"].astype(bool), c["n_nodes"].astype(np.int64)
+    n = len(node)
+    key, ends = key_numbers(starts, n), np.append(starts[1:], n)
+    known = np.flatnonzero((node >= 0) & (node < nodes))
+    width = int(node[known].max(initial=0)) + 2
+    place = key[known] * width + node[known]
+    by = np.argsort(place, kind="stable")
+    place = place[by] * (n + 1) + known[by]  # by chain and node, then in order
+    begun = np.zeros(len(starts), np.int64)  # next_index before the batch
+    over = np.zeros(len(starts), dtype=bool)
+    if carry is not None:
+        begun[0], over[0] = carry
+    acts = np.zeros(n, dtype=bool)
+    turn, after, live = begun.copy(), starts.astype(np.int64), np.flatnonzero(~over)
+    while len(live):
+        want = (live * width + np.minimum(turn[live], width - 1)) * (n + 1) + after[live]
+        at = np.searchsorted(place, want)
+        hit = at < len(place)
+        hit[hit] = place[at[hit]] // (n + 1) == want[hit] // (n + 1)
+        live, row = live[hit], place[at[hit]] % (n + 1)
+        acts[row] = True
+        after[live] = row + 1
+        turn[live] += ~bad[row]
+        live = live[~bad[row]]
+    before = lambda x: np.cumsum(x) - x - (np.cumsum(x) - x)[starts][key]  # noqa: E731  within a chain, without the row itself
+    at, ended = begun[key] + before((acts & ~bad).astype(np.int64)), over[key] | (before((acts & bad).astype(np.int64)) > 0)
+    odd = (node < 0) | (node >= nodes)
+    out = np.select([odd, acts, node > at, bad == (node == at)], ["unknown_node", "claimed", "rejected_early", "replay_owned"], "replay_lost").astype(object)
+    last = ends[-1] - 1
+    return (out,), (int(at[last] + (acts[last] and not bad[last])), bool(ended[last] or (acts[last] and bad[last])))
 
 
 def chain_outcome_disposition(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -100,6 +99,23 @@ def chain_outcome_disposition(chains: DataFrame, outcomes: DataFrame) -> DataFra
     return sorted_scan(rows, ["chain_id"], ["time", *"abcd", "node", "failed"], _dispose, "disposition string")
 
 
+def chain_state(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """next_index, completed, failed and how many outcomes acted, repeated or came early, for each chain.
+
+    A fold over each chain's outcomes in order: only the node at next_index acts, and nothing after the end. Outcomes stream
+    through in order and are counted by what they did, so a chain with very many repeats is never held together.
+    """
+    did = chain_outcome_disposition(chains, outcomes)
+    is_ = lambda *names: F.col("disposition").isin(*names)
+    counts = did.groupBy("chain_id").agg(
+        count_if(is_("claimed") & ~F.col("failed")).alias("next"), (count_if(is_("claimed") & F.col("failed")) > 0).alias("bad"), count_if(is_("claimed")).alias("acted"),
+        count_if(is_("replay_owned", "replay_lost")).alias("replayed"), count_if(is_("rejected_early")).alias("early"), count_if(is_("unknown_node")).alias("unknown"),
+    )
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    rows = chains.select("chain_id", "n_nodes").join(counts, "chain_id", "left")
+    return rows.select("chain_id", none("next").alias("next_index"), (none("next") == F.col("n_nodes")).alias("completed"), F.coalesce("bad", F.lit(False)).alias("failed"), *[none(c).alias(c) for c in ("acted", "replayed", "early", "unknown")])
+
+
 def chain_next_jobs(chains: DataFrame, states: DataFrame) -> DataFrame:
     """The next node of each live chain: ``chains(chain_id, nodes)``."""
     live = states.where("not completed and not failed").select("chain_id", "next_index")
@@ -134,23 +150,54 @@ def audit_batch_state(states: DataFrame) -> DataFrame:
     return states.withColumn("reason", reason).where("reason is not null").select("batch_id", "reason")
 
 
-def transition_receipts(batches: DataFrame, members: DataFrame, outcomes: DataFrame, cancels: DataFrame) -> DataFrame:
-    """One receipt for each winning outcome and one, with member '', for the settlement that ended the batch."""
-    wins = first_outcomes(outcomes, members).select("batch_id", "job_id", "failed", F.concat_ws(":", F.unix_micros("place.time").cast("string"), F.col("place.a").cast("string"), F.col("place.b").cast("string"), F.col("place.c").cast("string"), F.col("place.d").cast("string")).alias("claim"))
+RECEIPT = ["workflow_kind", "workflow_id", "member_id", "outcome", "claim", "version", "dispatch_id", "created_us", "completed", "cancelled"]
+
+
+def _claim(*place: str) -> Column:
+    time, *rest = place
+    return F.concat_ws(":", F.unix_micros(time).cast("string"), *[F.col(c).cast("string") for c in rest])
+
+
+def _receipts(rows: DataFrame, kind: str, workflow: str, member: Column, completed: Column, cancelled: Column) -> DataFrame:
+    outcome = F.when(F.col("failed"), "failed").otherwise("succeeded")
+    return rows.select(F.lit(kind).alias("workflow_kind"), F.col(workflow).cast("string").alias("workflow_id"), member.alias("member_id"), outcome.alias("outcome"), "claim", F.lit(1).alias("version"), "dispatch_id", F.unix_micros("created_at").alias("created_us"), completed.alias("completed"), cancelled.alias("cancelled"))
+
+
+def batch_receipts(batches: DataFrame, members: DataFrame, outcomes: DataFrame, cancels: DataFrame) -> DataFrame:
+    """One receipt for each winning outcome and one, with member '', for the settlement that ended the batch: columns ``RECEIPT``."""
+    wins = first_outcomes(outcomes, members).select("batch_id", "job_id", "failed", _claim("place.time", *[f"place.{x}" for x in "abcd"]).alias("claim"))
+    wins = wins.join(batches.select("batch_id", "allow_failed", "dispatch_id", "created_at"), "batch_id")
     last = wins.join(batch_terminal_owner(batches, members, outcomes, cancels), ["batch_id", "job_id"], "left_semi")
-    shape = lambda df, member: df.select(F.lit("batch").alias("workflow_kind"), "batch_id", member.alias("member_id"), F.when(F.col("failed"), "failed").otherwise("succeeded").alias("outcome"), "claim", F.lit(1).alias("version"))
-    return shape(wins, F.col("job_id")).union(shape(last, F.lit("")))
+    no = F.lit(False)
+    return _receipts(wins, "batch", "batch_id", F.col("job_id"), no, no).union(_receipts(last, "batch", "batch_id", F.lit(""), F.lit(True), F.col("failed") & ~F.col("allow_failed")))
+
 
+def chain_receipts(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One receipt for each outcome that claimed its node; ``completed`` on the one that ended the chain: columns ``RECEIPT``."""
+    did = chain_outcome_disposition(chains.select("chain_id", "n_nodes"), outcomes).where("disposition = 'claimed'")
+    did = did.join(chains.select("chain_id", "dispatch_id", "created_at"), "chain_id").withColumn("claim", _claim("time", *"abcd"))
+    return _receipts(did, "chain", "chain_id", F.col("node").cast("string"), F.col("failed") | (F.col("node") == F.col("n_nodes") - 1), F.lit(False))
 
-def audit_receipts(receipts: DataFrame, batches: DataFrame) -> DataFrame:
-    """Receipts that can't be trusted: batch_id, member_id, reason. An end receipt must match one member receipt."""
-    key = F.xxhash64("claim", "outcome")
-    r = receipts.withColumn("claim_key", key)
-    members = r.where("member_id <> ''").groupBy("batch_id", "claim_key").agg(F.count("*").alias("matches"))
-    parents = batches.select("batch_id", F.lit(True).alias("known"))
-    met = r.join(parents, "batch_id", "left").join(members, ["batch_id", "claim_key"], "left")
-    reason = F.when(F.col("version") != 1, "unsupported version").when(F.col("known").isNull(), "no such workflow").when((F.col("member_id") == "") & (F.coalesce("matches", F.lit(0)) != 1), "no single member receipt")
-    return met.withColumn("reason", reason).where("reason is not null").select("batch_id", "member_id", "reason")
+
+def audit_receipts(receipts: DataFrame, parents: DataFrame) -> DataFrame:
+    """Receipts that can't be trusted: workflow_kind, workflow_id, member_id, reason (the first that holds).
+
+    ``parents(workflow_kind, workflow_id, dispatch_id, created_us, completed, cancelled)``: the workflows as they stand. A receipt of another
+    incarnation (dispatch id or creation) belongs to none. An end receipt must match one member receipt of its workflow by
+    incarnation and claim, with its outcome, and fit the state that it ended.
+    """
+    key = ["workflow_kind", "workflow_id", "dispatch_id", "created_us", "claim"]
+    members = receipts.where("member_id <> ''").groupBy(*key).agg(F.count("*").alias("matches"), F.max("outcome").alias("member_outcome"))
+    now = parents.select("workflow_kind", "workflow_id", F.col("dispatch_id").alias("p_dispatch"), F.col("created_us").alias("p_created"), F.col("completed").alias("p_completed"), F.col("cancelled").alias("p_cancelled"))
+    met = receipts.join(now, ["workflow_kind", "workflow_id"], "left").join(members, key, "left")
+    end = F.col("member_id") == ""
+    reason = (
+        F.when(F.col("version") != 1, "unsupported version").when(F.col("p_dispatch").isNull(), "no such workflow").when((F.col("dispatch_id") != F.col("p_dispatch")) | (F.col("created_us") != F.col("p_created")), "another incarnation")
+        .when(end & (F.coalesce("matches", F.lit(0)) != 1), "no single member receipt").when(end & (F.col("outcome") != F.col("member_outcome")), "outcome of another")
+        .when(F.col("cancelled") & ~F.col("completed"), "cancelled but not completed").when(F.col("cancelled") & (F.col("outcome") != "failed"), "cancelled without failure")
+        .when(F.col("completed") & ~F.col("p_completed"), "ends a live workflow").when(end & F.col("completed") & (F.col("cancelled") != F.col("p_cancelled")), "cancelled mismatch")
+    )
+    return met.withColumn("reason", reason).where("reason is not null").select("workflow_kind", "workflow_id", "member_id", "reason")
 
 
 def due_callbacks(batch_states: DataFrame, chain_states: DataFrame, markers: DataFrame) -> DataFrame:
@@ -186,7 +233,14 @@ def find_workflows(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return ids.join(table.select(key).distinct().withColumn("there", F.lit(True)), key, "left").select(key, F.coalesce("there", F.lit(False)).alias("found"))
 
 
-def prune(states: DataFrame, key: str, before: Column, dependents: list[DataFrame]) -> list[DataFrame]:
-    """``states`` and its dependent tables without the ended workflows (``ended``) last touched before a moment (``updated_at``)."""
-    old = states.where(F.col("ended") & (F.col("updated_at") < before)).select(key)
-    return [t.join(old, key, "left_anti") for t in (states, *dependents)]
+def prune(tables: dict[str, DataFrame], before: Column) -> dict[str, DataFrame]:
+    """What stays of the workflow tables once workflows that ended and were last touched before a moment are gone, with all that hangs on them.
+
+    chains(chain_id, ended, updated_at), nodes(chain_id), batches(batch_id, ended, updated_at), members(batch_id),
+    receipts(workflow_kind, workflow_id), callbacks(created_at: these go by their own age).
+    """
+    old = {kind: tables[f"{kind}s" if kind == "chain" else "batches"].where(F.col("ended") & (F.col("updated_at") < before)).select(f"{kind}_id") for kind in ("chain", "batch")}
+    gone = old["chain"].select(F.lit("chain").alias("workflow_kind"), F.col("chain_id").cast("string").alias("workflow_id")).union(old["batch"].select(F.lit("batch"), F.col("batch_id").cast("string")))
+    of = {"chains": "chain", "nodes": "chain", "batches": "batch", "members": "batch"}
+    kept = {name: tables[name].join(old[kind], f"{kind}_id", "left_anti") for name, kind in of.items()}
+    return kept | {"receipts": tables["receipts"].join(gone, ["workflow_kind", "workflow_id"], "left_anti"), "callbacks": tables["callbacks"].where(F.col("created_at") >= before)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,13 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """A new version of a table; the caller switches to it, nothing is updated in place."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors both see it; of this machine only where no shared one is named and all run here (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-tables-")

@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from jobledger.operators.stats import count_if, kind_is
+from jobledger.operators import gauges
+from jobledger.operators.scan import hops
+from jobledger.operators.stats import count_if, counter_columns, kind_is, last_turn
 
 
 def stream_rates(events: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -27,36 +31,42 @@ def stream_dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-STATS = "queue string, processed long, failed long, retry long, archived long, pending long, scheduled long, paused int"
-_STATE = "processed long, failed long, retry long, archived long, pending long, scheduled long, paused int"
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The counters of a queue, folded in (time, seq) order within what arrives together."""
-    c = dict(zip((x.split()[0] for x in _STATE.split(", ")), state.get if state.exists else (0,) * 7, strict=True))
-    rows = pd.concat(list(batches)).sort_values(["time", "seq"])
-    for kind, scheduled in zip(rows["kind"], rows["scheduled"], strict=True):
-        if kind == "enqueue_accepted":
-            c["pending"] += 1
-            c["scheduled"] += bool(scheduled)
-        elif kind == "process_started":
-            c["pending"] = max(0, c["pending"] - 1)
-            if scheduled:
-                c["scheduled"] = max(0, c["scheduled"] - 1)
-        elif kind in ("queue_paused", "queue_resumed"):
-            c["paused"] = int(kind == "queue_paused")
-        else:
-            name = {"process_succeeded": "processed", "process_failed": "failed", "process_retried": "retry", "process_archived": "archived"}.get(kind)
-            if name:
-                c[name] += 1
-    state.update(tuple(c.values()))
-    yield pd.DataFrame({"queue": [key[0]], **{k: [v] for k, v in c.items()}})
+COUNTS = ("processed", "failed", "retry", "archived")
+GAUGES = ("pending", "scheduled")
+
+
+def batch_summary(events: DataFrame) -> DataFrame:
+    """What some events do to each queue's counters: counts, sum and least running sum of the gauges, last pause or resume."""
+    counted = events.groupBy("queue").agg(*counter_columns(), last_turn().alias("turn"))
+    moved = gauges.summed_gauges(events, ["queue"], pending=gauges.pending_delta(), scheduled=gauges.scheduled_delta())
+    return counted.join(moved, "queue", "left")
+
+
+def folded(state: DataFrame | None, summary: DataFrame) -> DataFrame:
+    """``state(queue, counts, gauges, paused)`` after a summary; a row a queue."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    if state is None:
+        state = summary.select("queue", *[F.lit(0).cast("long").alias(c) for c in (*COUNTS, *GAUGES)], F.lit(0).alias("paused"))
+    was = state.select("queue", *[F.col(c).alias(f"was_{c}") for c in (*COUNTS, *GAUGES, "paused")])
+    met = was.join(summary, "queue", "full")
+    counts = [(zero(f"was_{c}") + zero(c)).alias(c) for c in COUNTS]
+    levels = [(zero(f"was_{g}") + zero(f"{g}_sum") - F.least(F.lit(0), zero(f"was_{g}") + zero(f"{g}_low"))).alias(g) for g in GAUGES]
+    paused = F.when(F.col("turn").isNotNull(), (F.col("turn.kind") == "queue_paused").cast("int")).otherwise(F.coalesce("was_paused", F.lit(0)))
+    return met.select("queue", *counts, *levels, paused.cast("int").alias("paused"))
+
 
+def stream_stats(events: DataFrame, path: str) -> DataStreamWriter:
+    """A writer of each queue's counters and gauges so far, as a table for each micro-batch under ``path/batch=<number>``.
 
-def stream_stats(events: DataFrame) -> DataFrame:
-    """Counters and gauges of each queue, sent again whenever they change (update mode). State: seven numbers a queue."""
-    rows = events.select("queue", "time", "seq", "kind", "scheduled")
-    return rows.groupBy("queue").applyInPandasWithState(_fold, STATS, _STATE, "update", GroupStateTimeout.NoTimeout)
+    A batch is summed up as a whole, in (time, seq) order, by the bucketed passes of the batch operators, so no queue's rows meet in one
+    task and no state but the last small table is kept. A batch that comes again replaces its own table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        state = batch.sparkSession.read.parquet(f"{path}/batch={number - 1}") if number else None
+        folded(state, batch_summary(batch)).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.select("queue", "time", "seq", "kind", "scheduled").writeStream.foreachBatch(write)
 
 
 def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,12 +76,11 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.remove()
         return
     rows = rows.sort_values(["t", "seq"])
-    accepted = []
-    for t, ttl in zip(rows["t"], rows["ttl"], strict=True):
-        ok = ttl <= 0 or free_from is None or t >= free_from
-        if ok and ttl > 0:
-            free_from = int(t + ttl)
-        accepted.append(ok)
+    t, ttl = rows["t"].to_numpy(np.int64), rows["ttl"].to_numpy(np.int64)
+    accepted = ttl <= 0
+    claims = np.flatnonzero(~accepted)
+    if len(claims):
+        accepted[claims], free_from = hops(t[claims], (t + ttl)[claims], np.zeros(1, np.int64), free_from)
     if free_from is not None:
         state.update((free_from,))
         state.setTimeoutTimestamp(max(free_from, state.getCurrentWatermarkMs() + 1))
@@ -84,6 +93,13 @@ def stream_unique(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return rows.groupBy("unique_key").applyInPandasWithState(_gate, "seq long, accepted boolean", "free_from long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _latest(rows: pd.DataFrame):
+    """The last row in (t, seq) order."""
+    last = rows["t"].max()
+    rows = rows[rows["t"] == last]
+    return rows.loc[rows["seq"].idxmax()]
+
+
 def _watch(grace_ms: int, lease_ms: int) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -91,16 +107,13 @@ def _watch(grace_ms: int, lease_ms: int) -> Callable:
             state.remove()
             yield pd.DataFrame({"settlement_id": [key[0]], "started_ms": [started]})
             return
-        started = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        for kind, t in zip(rows["kind"], rows["t"], strict=True):
-            started = int(t) if kind == "process_started" else None
-        if started is None:
+        kind, started = max(((r.t, r.seq), r.kind, r.t) for r in map(_latest, filter(len, batches)))[1:]
+        if kind != "process_started":
             if state.exists:
                 state.remove()
         else:
-            due = started + lease_ms + grace_ms
-            state.update((started, due))
+            due = int(started) + lease_ms + grace_ms
+            state.update((int(started), due))
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return run
@@ -114,7 +127,10 @@ def stream_stale(events: DataFrame, grace_ms: int = 2_000, lease_ms: int = 300_0
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], Any]], failures: list | None = None):
-    """A writer that hands each micro-batch to every sink; one that raises doesn't stop the others and is noted in ``failures``."""
+    """A writer that hands each micro-batch to every sink; one that raises doesn't stop the others and is noted in ``failures``.
+
+    Sinks get the batch's number and should replace what they wrote under it, as a batch can come again.
+    """
     noted = failures if failures is not None else []
 
     def each(batch: DataFrame, number: int) -> None:

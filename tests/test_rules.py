@@ -3,13 +3,16 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
-from jobledger.operators import gauges, history, jobtable, stats, unique, workflow
+from jobledger.operators import gauges, history, jobtable, scan, stats, unique, workflow
 
 T0 = datetime(2024, 1, 1)
+# Fixed value: what the golden unique keys are salted with.
+PREFIX = "queue:unique:v1"
 KINDS = ["enqueue_accepted", "process_started", "process_succeeded", "process_failed", "process_retried", "settlement_failed", "queue_paused", "queue_resumed"]
 
 
@@ -95,7 +98,7 @@ def test_gauge_over_bucket_borders(spark):
         level = max(0, level + d)
         want.append(level)
     assert got == want
-    assert gauges.final_gauge(df, ["k"], F.col("d"), "g").first()["g"] == want[-1]
+    assert gauges.final_gauges(df, ["k"], g=F.col("d")).first()["g"] == want[-1]
 
 
 def test_settlement_without_identity_changes_nothing(spark):
@@ -111,9 +114,9 @@ def test_late_settlement_keeps_the_new_execution_open(spark):
 
 
 def test_unique_keys(spark):
-    key = scalar.unique_key(F.col("q"), F.col("t"), F.col("p"))
+    key = scalar.unique_key(F.col("q"), F.col("t"), F.col("p"), PREFIX)
     assert one(spark, key, q="a", t="b:c", p="x") != one(spark, key, q="a:b", t="c", p="x")
-    empty = {one(spark, key, q="q", t="t", p=p) for p in ("", "null")} | {one(spark, scalar.unique_key(F.lit("q"), F.lit("t"), F.lit(None).cast("string")))}
+    empty = {one(spark, key, q="q", t="t", p=p) for p in ("", "null")} | {one(spark, scalar.unique_key(F.lit("q"), F.lit("t"), F.lit(None).cast("string"), PREFIX))}
     assert len(empty) == 1 and all(k.startswith("v1:") and len(k) == 67 for k in empty)
 
 
@@ -143,14 +146,14 @@ def requests(spark, rows):
 
 def test_gate(spark):
     rows = [(0, "a", 100), (50, "a", 500), (100, "a", 10), (105, "a", 0), (109, "a", 1), (110, "a", 5), (0, "b", 100)]
-    got = {x.seq: x.accepted for x in unique.unique_gate(requests(spark, rows)).collect()}
+    got = {x.seq: x.accepted for x in unique.unique_gate(requests(spark, rows), PREFIX).collect()}
     assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: True}
 
 
 def test_gate_is_the_rule_at_random(spark):
     r = random.Random(3)
     rows = sorted((r.randrange(5000), r.choice("ab"), r.choice([0, 30, 200])) for _ in range(500))
-    got = [x.accepted for x in unique.unique_gate(requests(spark, rows).repartition(5)).orderBy("seq").collect()]
+    got = [x.accepted for x in unique.unique_gate(requests(spark, rows).repartition(5), PREFIX).orderBy("seq").collect()]
     free, want = {}, []
     for t, p, ttl in rows:
         ok = ttl <= 0 or t >= free.get(p, 0)
@@ -165,7 +168,7 @@ def test_dual_gate_honours_stored_locks(spark):
     key = rows.select(scalar.legacy_unique_key(F.col("queue"), F.col("job_type"), F.col("payload")).alias("k")).first()["k"]
     start = rows.selectExpr("unix_millis(min(time)) t").first()["t"]
     locks = spark.createDataFrame([(key, start + 50)], "lock_key string, expires_at long")
-    out, alive = unique.unique_gate_dual(rows, locks, start + 100)
+    out, alive = unique.unique_gate_dual(rows, locks, start + 100, PREFIX)
     assert [x.accepted for x in out.orderBy("seq").collect()] == [False, True]
     assert {x.expires_at for x in alive.collect()} == {start + 160}
 
@@ -232,7 +235,78 @@ def test_chain_fold_and_dispositions(spark):
 
 
 def test_prune_keeps_what_is_live_or_recent(spark):
-    states = spark.createDataFrame([(1, True, T0), (2, False, T0), (3, True, T0 + timedelta(days=9))], "id int, ended boolean, updated_at timestamp")
-    members = spark.createDataFrame([(1,), (2,), (3,)], "id int")
-    left, m = workflow.prune(states, "id", F.lit(T0 + timedelta(days=1)), [members])
-    assert sorted(x.id for x in left.collect()) == sorted(x.id for x in m.collect()) == [2, 3]
+    at = {"old": T0, "new": T0 + timedelta(days=2)}
+    rows = lambda key: spark.createDataFrame([(i, ended, at[age]) for i, (ended, age) in enumerate([(True, "old"), (False, "old"), (True, "new")])], f"{key} long, ended boolean, updated_at timestamp")
+    hang = lambda key: spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (0, "c")], f"{key} long, member string")
+    receipts = spark.createDataFrame([("chain", "0"), ("chain", "1"), ("batch", "0"), ("batch", "2")], "workflow_kind string, workflow_id string")
+    callbacks = spark.createDataFrame([("k1", at["old"]), ("k2", at["new"])], "callback_key string, created_at timestamp")
+    tables = {"chains": rows("chain_id"), "nodes": hang("chain_id"), "batches": rows("batch_id"), "members": hang("batch_id"), "receipts": receipts, "callbacks": callbacks}
+    kept = {k: sorted(map(tuple, t.collect())) for k, t in workflow.prune(tables, F.lit(T0 + timedelta(days=1))).items()}
+    assert [r[0] for r in kept["chains"]] == [r[0] for r in kept["batches"]] == [1, 2]
+    assert [r[0] for r in kept["nodes"]] == [r[0] for r in kept["members"]] == [1, 2]
+    assert kept["receipts"] == [("batch", "2"), ("chain", "1")] and [r[0] for r in kept["callbacks"]] == ["k2"]
+
+
+def in_batches(step, columns, keys, cuts):
+    """What a scan step gives over some batches, as the scan calls it."""
+    out, last, carry = [], None, None
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        k = keys[a:b]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        got, carry = step({c: v[a:b] for c, v in columns.items()}, starts, carry if k[0] == last else None)
+        last = k[-1]
+        out.append(got[0])
+    return np.concatenate(out).tolist()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_scan_steps_equal_loops(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 60))
+    keys = np.sort(r.integers(0, 6, n))
+    t = np.concatenate([np.sort(r.integers(0, 50, (keys == k).sum())) for k in np.unique(keys)])
+    ttl = r.integers(-3, 12, n)
+    cuts = [0, *sorted(r.integers(0, n + 1, 3).tolist()), n]
+    free, claims, leases, kept = {}, [], [], []
+    lease, last = {}, {}
+    for k, x, d in zip(keys.tolist(), t.tolist(), ttl.tolist(), strict=True):
+        ok = d <= 0 or x >= free.get(k, -1)
+        if ok and d > 0:
+            free[k] = x + d
+        claims.append(ok)
+        ok = x >= lease.get(k, -1)
+        if ok:
+            lease[k] = x + abs(d)
+        leases.append(ok)
+        ok = k not in last or x >= last[k] + 5
+        if ok:
+            last[k] = x
+        kept.append(ok)
+    columns = {"t": t, "ttl": ttl, "until": t + abs(ttl)}
+    assert in_batches(scan.claim_until("t", "ttl"), columns, keys, cuts) == claims
+    assert in_batches(scan.lease_until("t", "until"), columns, keys, cuts) == leases
+    assert in_batches(scan.keep_spaced("t", 5), columns, keys, cuts) == kept
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_dispositions_equal_a_loop(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 80))
+    keys = np.sort(r.integers(0, 5, n))
+    node, bad, nodes = r.integers(-1, 5, n), r.random(n) < 0.2, 2 + keys % 3
+    want, state = [], {}
+    for k, x, b, m in zip(keys.tolist(), node.tolist(), bad.tolist(), nodes.tolist(), strict=True):
+        at, ended = state.get(k, (0, False))
+        if x < 0 or x >= m:
+            want.append("unknown_node")
+        elif x == at and not ended:
+            want.append("claimed")
+            state[k] = (at + (not b), b)
+        elif x <= at:
+            want.append("replay_owned" if b == (x == at) else "replay_lost")
+        else:
+            want.append("rejected_early")
+    cuts = [0, *sorted(r.integers(0, n + 1, 3).tolist()), n]
+    assert in_batches(workflow._dispose, {"node": node, "failed": bad, "n_nodes": nodes}, keys, cuts) == want

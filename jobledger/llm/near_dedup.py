@@ -1,6 +1,6 @@
 """Near-duplicate classes of documents: fast similarity sketching, banding, exact verification.
 
-1. Each document becomes its set of word shingles (64-bit hashes). Equal sets collapse to their smallest doc_id
+1. Each document becomes its set of word shingles (64-bit hashes). Sets of equal SHA-256 collapse to their smallest doc_id
    before anything is compared, so groups of exact copies cost one aggregation.
 2. Sketch: in round i every shingle is thrown into one of t bins with value i + hash; a bin keeps its least
    value. Rounds t .. 2t-1 fill bin i - t, so every coordinate is filled after 2t rounds at most, and a set of n
@@ -8,14 +8,17 @@
 3. Banding: t = bands * rows, with as many rows as leave a pair at the threshold less than one chance in a million to
    share no band (8 rows of 51 bands at 0.85). Every document is tied to the smallest of each bucket, and the connected candidates form
    a candidate class: two documents that share any bucket are in one class.
-4. Verification: within a candidate class the full sets are compared. Classes are cut into blocks of bounded
-   weight, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a hash;
-   every pair of blocks that can hold a link meets in one task, which emits a spanning forest of its links, never
-   all its pairs. No class, bucket or block is dropped or sampled.
+4. Verification: within a candidate class the full sets are compared. A class that is too large for one task is cut into blocks of
+   bounded size, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a
+   hash. Every pair of blocks that can hold a link meets in one task, first with 128 bytes of each sketch: a set is
+   sent there in full only if its sketch agrees with some other's there as one at the threshold would (it is missed with less than 1e-9). So classes
+   that chain through common wording move short sketches, and full sets follow the documents that are really alike. A
+   task emits a spanning forest of its links, never all its pairs. No class, bucket or block is dropped or sampled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -29,6 +32,8 @@ from jobledger.llm.components import components
 from jobledger.llm.shared import saved
 
 U64 = np.uint64
+#: Coordinates of a sketch, a byte each, that are compared before full sets are.
+COORDS = 128
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +106,28 @@ def rows_for(threshold: float, bands: int, miss: float = 1e-6) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** bands <= miss)
 
 
+def agreeing(threshold: float, coordinates: int, miss: float = 1e-9) -> int:
+    """The most coordinates of a sketch that a pair at the threshold agrees in but for a chance of ``miss``."""
+    chance, k = (1 - threshold) ** coordinates, 0
+    while chance <= miss:
+        k += 1
+        chance += math.comb(coordinates, k) * threshold**k * (1 - threshold) ** (coordinates - k)
+    return k
+
+
 def _sketch_rows(k: int, bands: int, rows: int):
     def work(raw, offsets, batch):
         h, bounds = shingle_sets(raw, offsets, k)
         n = np.diff(bounds)
-        sums = [np.concatenate([np.zeros(1, U64), np.cumsum(tb.mix(h ^ U64(salt)))]) for salt in (0x51, 0xA7)]
-        keys = band_keys(sketches(h, bounds, bands * rows), bands)
+        digests = [hashlib.sha256(h[a:b]).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sketch = sketches(h, bounds, bands * rows)
+        coords = (sketch[:, :COORDS] & U64(0xFF)).astype(np.uint8)
+        keys = band_keys(sketch, bands)
         keys = keys[n > 0].reshape(-1).view(np.int64)
         at = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums), pa.ListArray.from_arrays(at, pa.array(keys))],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+            [batch.column(0), batch.column(2), pa.array(n), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in coords], pa.binary()), pa.ListArray.from_arrays(at, pa.array(keys))],
+            names=["doc_id", "tag", "n_shingles", "digest", "coords", "bands"],
         )
 
     return tb.per_batch(work, limit=4 << 20)
@@ -176,58 +192,98 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int | None = None, block_docs: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
+def _partners(least: int):
+    """Sketches of a task -> those that agree with another one in ``least`` coordinates and more."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(group["coords"]), np.uint8).reshape(len(group), -1)
+        side = group["side"].to_numpy()
+        both = bool(side.any() and not side.all())
+        left = np.flatnonzero(side == 0) if both else np.arange(len(x))
+        right = np.flatnonzero(side == 1) if both else left
+        columns = np.ascontiguousarray(x[right].T)
+        found = np.zeros(len(x), dtype=bool)
+        for a in range(0, len(left), 256):
+            rows = left[a : a + 256]
+            same = np.zeros((len(rows), len(right)), np.uint8)
+            for j in range(x.shape[1]):
+                same += x[rows, j][:, None] == columns[j][None, :]
+            near = same >= least
+            near &= rows[:, None] != right[None, :]
+            found[rows] |= near.any(axis=1)
+            found[right] |= near.any(axis=0)
+        return group.loc[found, ["doc_id", "tag", "component", "s1", "z1", "s2", "z2", "side"]]
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int | None = None, block_docs: int = 512, sketch_docs: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their distinct k-word shingles; component_id is
     the smallest doc_id reachable over links. Null and empty texts, and texts without words, have no shingles and
     are linked with nothing. Rows that repeat a doc_id count as one document. A row with a null doc_id is linked with
     nothing and kept. Other columns are ignored.
+
+    A candidate class of at most ``block_docs`` documents and ``block_shingles`` shingles is compared in one task; of a
+    larger one, blocks of at most ``sketch_docs`` documents and as many shingles.
     """
     rows = rows or rows_for(percent / 100, bands)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(texts.mapInArrow(_sketch_rows(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    sketch = saved(texts.mapInArrow(_sketch_rows(k, bands, rows), "doc_id long, tag long, n_shingles long, digest binary, coords binary, bands array<long>"))
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
-    reps = saved(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    rep_ids = reps.select(F.col("rep").alias("doc_id"))
+    reps = saved(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "n_shingles", "coords")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.tag", "r.n_shingles", "r.coords"))
 
-    keys = usable.join(rep_ids, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    keys = usable.select("doc_id", "tag", "bands").join(reps.select(F.col("rep").alias("doc_id"), "tag"), ["doc_id", "tag"], "left_semi").select("doc_id", F.explode("bands").alias("key"))
     hubs = saved(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub"))  # as a table, so that a hot bucket's side of the join can be split
     ties = keys.hint("merge").join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    classes = saved(components(ties).join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("weight")), "node"))
+    classes = saved(components(ties).join(reps.select(F.col("rep").alias("node"), "tag", F.col("n_shingles").alias("weight"), "coords"), "node"))
 
-    links = _verified(texts, classes, k, percent, block_docs, block_shingles)
+    links = _verified(texts, classes, k, percent, block_docs, sketch_docs, block_shingles)
     found = components(links)
 
-    of_set = reps.join(found, reps.rep == found.node, "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
+    of_set = reps.join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = sketch.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(texts: DataFrame, classes: DataFrame, k: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """Links confirmed on full sets, as spanning forests of each task: (a, b)."""
+TASK = "component:long,s1:int,z1:int,s2:int,z2:int,side:int"
+
+
+def comparisons(classes: DataFrame, percent: int, block_docs: int, sketch_docs: int, block_shingles: int) -> DataFrame:
+    """``classes(node, tag, component, weight, coords)`` -> doc_id, tag, list: the tasks to which its full set goes, if any.
+
+    A task is (component, s1, z1, s2, z2, side): two blocks of size strata, lower one first; side tells which of them it is in.
+    """
     # a stratum is a little wider than the threshold's size ratio, so that linked sets are at most one apart
     width = -math.log(percent / 100 - 0.01)
     sized = classes.withColumn("s", F.floor(F.log(F.col("weight").cast("double")) / width).cast("int"))
-    need = lambda docs, weight: F.greatest(F.ceil(docs / block_docs), F.ceil(weight / block_shingles)).cast("int")
+    need = lambda docs, weight, most: F.greatest(F.ceil(docs / most), F.ceil(weight / block_shingles)).cast("int")
     strata = sized.groupBy("component", "s").agg(F.count("*").alias("docs"), F.sum("weight").alias("weight"))
     plan = strata.groupBy("component").agg(
-        (need(F.sum("docs"), F.sum("weight")) == 1).alias("single"),
-        F.map_from_entries(F.collect_list(F.struct("s", need(F.col("docs"), F.col("weight")).alias("n")))).alias("cuts"),
+        (need(F.sum("docs"), F.sum("weight"), block_docs) == 1).alias("single"),
+        F.map_from_entries(F.collect_list(F.struct("s", need(F.col("docs"), F.col("weight"), sketch_docs).alias("n")))).alias("cuts"),
     )
     near = lambda d: F.coalesce(F.col("cuts")[F.col("s") + d], F.lit(0))
-    me = F.pmod(F.xxhash64("node"), near(0)).cast("int")
-    # tasks of a document: (stratum, block) pairs, lower one first; side tells which of the two it is in
-    same = F.transform(F.sequence(F.lit(0), near(0) - 1), lambda z: F.struct(F.col("s").alias("s1"), F.least(z, me).alias("z1"), F.col("s").alias("s2"), F.greatest(z, me).alias("z2"), F.when(z < me, 1).otherwise(0).alias("side")))
-    up = F.transform(F.sequence(F.lit(1), near(1)), lambda z: F.struct(F.col("s").alias("s1"), me.alias("z1"), (F.col("s") + 1).alias("s2"), (z - 1).alias("z2"), F.lit(0).alias("side")))
-    down = F.transform(F.sequence(F.lit(1), near(-1)), lambda z: F.struct((F.col("s") - 1).alias("s1"), (z - 1).alias("z1"), F.col("s").alias("s2"), me.alias("z2"), F.lit(1).alias("side")))
-    none = F.array().cast("array<struct<s1:int,z1:int,s2:int,z2:int,side:int>>")
-    alone = F.array(F.struct(F.lit(0).alias("s1"), F.lit(0).alias("z1"), F.lit(0).alias("s2"), F.lit(0).alias("z2"), F.lit(0).alias("side")))
-    tasks = F.when(F.col("single"), alone).otherwise(F.concat(same, F.when(near(1) > 0, up).otherwise(none), F.when(near(-1) > 0, down).otherwise(none)))
-    placed = sized.join(plan, "component").select(F.col("node").alias("doc_id"), F.struct("component", tasks.alias("list")).alias("tasks"))
-
-    schema = "doc_id long, shingles binary, tasks struct<component:long,list:array<struct<s1:int,z1:int,s2:int,z2:int,side:int>>>"
-    sets = texts.hint("merge").join(placed, "doc_id").select("doc_id", "text", "tasks").mapInArrow(_set_rows(k), schema)
-    dealt = sets.select("doc_id", "shingles", F.col("tasks.component").alias("component"), F.inline("tasks.list"))
+    me = F.pmod(F.xxhash64("node", "tag"), near(0)).cast("int")
+    pair = lambda s1, z1, s2, z2, side: F.struct(F.col("component").alias("component"), s1.cast("int").alias("s1"), z1.cast("int").alias("z1"), s2.cast("int").alias("s2"), z2.cast("int").alias("z2"), side.cast("int").alias("side"))
+    s, zero, one = F.col("s"), F.lit(0), F.lit(1)
+    same = F.transform(F.sequence(zero, near(0) - 1), lambda z: pair(s, F.least(z, me), s, F.greatest(z, me), F.when(z < me, 1).otherwise(0)))
+    up = F.transform(F.sequence(one, near(1)), lambda z: pair(s, me, s + 1, z - 1, zero))
+    down = F.transform(F.sequence(one, near(-1)), lambda z: pair(s - 1, z - 1, s, me, one))
+    none = F.array().cast(f"array<struct<{TASK}>>")
+    met = sized.join(plan, "component")
+    whole = met.where("single").select(F.col("node").alias("doc_id"), "tag", F.array(pair(zero, zero, zero, zero, zero)).alias("list"))
+    cut = met.where("not single").select(F.col("node").alias("doc_id"), "tag", "coords", F.inline(F.concat(same, F.when(near(1) > 0, up).otherwise(none), F.when(near(-1) > 0, down).otherwise(none))))
+    kept = cut.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_partners(agreeing(percent / 100, COORDS)), "doc_id long, tag long, component long, s1 int, z1 int, s2 int, z2 int, side int")
+    return whole.union(kept.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("component", "s1", "z1", "s2", "z2", "side")).alias("list")))
+
+
+def _verified(texts: DataFrame, classes: DataFrame, k: int, percent: int, block_docs: int, sketch_docs: int, block_shingles: int) -> DataFrame:
+    """Links confirmed on full sets, as spanning forests of each task: (a, b)."""
+    placed = comparisons(classes, percent, block_docs, sketch_docs, block_shingles)
+    schema = f"doc_id long, shingles binary, tasks array<struct<{TASK}>>"
+    sets = texts.hint("merge").join(placed, ["doc_id", "tag"]).select("doc_id", "text", F.col("list").alias("tasks")).mapInArrow(_set_rows(k), schema)
+    dealt = sets.select("doc_id", "shingles", F.inline("tasks"))
     return dealt.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_verify(percent), "a long, b long")

@@ -111,30 +111,56 @@ ALNUM_WORDS[ord("A") : ord("Z") + 1] = True
 
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in ``raw``, and for each text the index of its first word (n + 1 values)."""
-    if len(raw) == 0:
+    """Starts and ends of words in ``raw``, and for each text the index of its first word (n + 1 values).
+
+    Bytes are looked at in pieces, so a very long text costs little more than its words.
+    """
+    n = len(raw)
+    if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = inside[raw]
     # edge[i]: a text begins at byte i
-    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
-    before = np.empty(len(raw), dtype=bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    starts = np.flatnonzero(word & (~before | edge[:-1]))
-    after = np.empty(len(raw), dtype=bool)
-    after[-1] = False
-    after[:-1] = word[1:]
-    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    starts, ends = [], []
+    for a in range(0, n, 4 * CHUNK):
+        b = min(n, a + 4 * CHUNK)
+        word = inside[raw[a:b]]
+        before = np.concatenate([[a > 0 and bool(inside[raw[a - 1]])], word[:-1]])
+        starts.append(np.flatnonzero(word & (~before | edge[a:b])) + a)
+        after = np.concatenate([word[1:], [b < n and bool(inside[raw[b]])]])
+        ends.append(np.flatnonzero(word & (~after | edge[a + 1 : b + 1])) + 1 + a)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_runs(starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of words that lie within ``limit`` bytes; a longer word stands alone."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, side="right")))
+        yield i, j
+        i = j
+
+
+def span_sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> np.ndarray:
+    """:func:`span_hashes` of spans of bytes with A-Z lower-cased; starts and ends grow. At most ``limit`` bytes are worked on at a time."""
+    out = np.empty(len(starts), dtype=U64)
+    for i, j in word_runs(starts, ends, limit):
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a <= limit:
+            out[i:j] = span_hashes(prefix_hashes(_BYTE_LOWER[raw[a:b]]), starts[i:j] - a, ends[i:j] - a)
+        else:
+            total = 0
+            for x in range(a, b, limit):
+                part = _BYTE_LOWER[raw[x : min(b, x + limit)]]
+                total += int((part * powers(len(part))).sum(dtype=U64)) * pow(int(BASE), x - a, 1 << 64)
+            out[i] = total % (1 << 64)
+    return out
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of words with A-Z lower-cased."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    prefix = prefix_hashes(_BYTE_LOWER[raw])
-    return mix(span_hashes(prefix, starts, ends) + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    return mix(span_sums(raw, starts, ends) + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def hash_word(word: str) -> int:
@@ -155,6 +181,16 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def ngram_hashes_at(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Values of :func:`ngram_hashes` at some places."""
+    out = words[at]
+    for k in range(1, n):
+        out *= U64(0x9FB21C651E98DF25)
+        out ^= out >> U64(29)
+        out += words[at + k]
+    return mix(out)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All of starts[i] .. starts[i] + lengths[i] - 1, one range after the other."""
     total = int(lengths.sum())

@@ -36,14 +36,17 @@ def occurrences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     if len(starts) == 0:
         return np.zeros(0, U64), text, np.diff(first)
-    prefix = tb.prefix_hashes(tb._BYTE_LOWER[raw])
     found, owner = [], []
-    for p in (0, *PREFIXES):
-        use = slice(None) if p == 0 else ends - starts > p
-        a, b = starts[use], ends[use]
-        b = b if p == 0 else a + p
-        found.append(tb.mix(tb.span_hashes(prefix, a, b) + (b - a).astype(U64) * U64(0xA24BAED4963EE407) + U64(0x632BE59BD9B4E019 if p else 0)))
-        owner.append(text[use])
+    for i, j in tb.word_runs(starts, ends):  # one word of more than a chunk by itself
+        a, b, own = starts[i:j], ends[i:j], text[i:j]
+        low, high = int(a[0]), int(b[-1])
+        whole = None if high - low > tb.CHUNK else tb.prefix_hashes(tb._BYTE_LOWER[raw[low:high]])
+        for p in (0, *PREFIXES):
+            use = slice(None) if p == 0 else b - a > p
+            x, y = a[use], b[use] if p == 0 else a[use] + p
+            sums = tb.span_sums(raw, x, y) if whole is None else tb.span_hashes(whole, x - low, y - low)
+            found.append(tb.mix(sums + (y - x).astype(U64) * U64(0xA24BAED4963EE407) + U64(0x632BE59BD9B4E019 if p else 0)))
+            owner.append(own[use])
     return np.concatenate(found), np.concatenate(owner), np.diff(first)
 
 

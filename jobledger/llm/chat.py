@@ -130,12 +130,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def message_events(conversations: DataFrame, piece: int = 400) -> DataFrame:
-    """Stored turns as the log that wrote them: a ``message`` with the first ``piece`` characters, then ``delta`` events.
+    """Stored turns as a log that could have written them, in pieces of ``piece`` characters: conv_id, turn, nth, part, kind, role, text.
 
-    Rows of a conversation follow each other by turn, then role and text; ``nth`` tells rows of one turn apart.
+    By a hash, a turn is streamed at once (``message``, then ``delta``), or after a draft that was dropped (``message``,
+    ``regenerate``, ``delta``), or with a draft that was corrected (``message``, ``edit``, ``delta``). Rows of a conversation
+    follow each other by turn, then role and text; ``nth`` tells rows of one turn apart. Null texts are empty; null ids and turns
+    are values of their own; repeated rows are messages each.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    pieces = F.greatest(F.ceil(F.char_length("text") / piece).cast("int"), F.lit(1))
-    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return parts.select("conv_id", "turn", "nth", "part", F.when(F.col("part") == 0, "message").otherwise("delta").alias("kind"), "role", F.substring("text", F.col("part") * piece + 1, F.lit(piece)).alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))  # one pass over the text
+    way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(3))
+    event = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    draft = event(F.lit("message"), F.lit("a draft"))
+    before = F.when(way == 1, F.array(draft, event(F.lit("regenerate"), F.lit(None).cast("string")))).when(way == 2, F.array(draft)).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    first = F.when(way == 1, "delta").when(way == 2, "edit").otherwise("message")
+    whole = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+    stream = F.transform(whole, lambda p, i: event(F.when(i == 0, first).otherwise("delta"), p))
+    parts = rows.select("conv_id", "turn", "nth", "role", F.posexplode(F.concat(before, stream)).alias("part", "e"))
+    return parts.select("conv_id", "turn", "nth", "part", "e.kind", "role", "e.text")

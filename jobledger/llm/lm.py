@@ -2,14 +2,14 @@
 
 P(word | context) = P(class | context) * P(member | class, context) * P(word | member). A word's class comes from its
 ending, so unseen words have one; endings are clustered by the endings that they stand beside. The most frequent words
-of a class are members of their own, all others share one member, within which a word has its smoothed training count. Both softmaxes sum weight rows of hashed features of the
+of a class are members of their own (:class:`Shape` says how many), all others share one member, within which a word has its smoothed training count. Both softmaxes sum weight rows of hashed features of the
 context: word and word-pair n-grams, pairs of neighbouring classes, and pairs that skip two words. Every factor is normalised.
 
 Counting, training and scoring are separate passes over all documents:
 
 1. counts: batches send their distinct words with counts, by hash bucket; the totals are a table in the shared folder;
-2. training: each task takes gradient steps on its own training texts from the same start, and the weights are
-   averaged by tokens in Spark; the model's size is fixed, whatever the corpus;
+2. training: texts are dealt into shards by a hash, however they are stored; each shard takes gradient steps from the same
+   start in the order of that hash, and the weights are averaged by tokens in Spark;
 3. scoring: texts are dealt into batches, each asks the count table for its distinct words once, and is scored in
    numpy from the answers.
 """
@@ -29,17 +29,30 @@ from jobledger.llm import textbytes as tb
 from jobledger.llm.shared import saved
 
 U64 = np.uint64
-CLASSES, MEMBERS = 32, 32
+CLASSES = 32
 ENDING, MARKS = 31, 30  # classes of the end of a text and of words without letters or digits
 SUFFIXES = 1024  # hashed word endings; the last two are those of the classes above
 END = U64(0x2545F4914F6CDD1D)
-_HASHED = 4096
 BESIDE = 16  # pieces of the table of neighbouring endings
-CLASS_ROWS = 2 * CLASSES * CLASSES + 2 * _HASHED
-MEMBER_ROWS = CLASSES * CLASSES + _HASHED
 _LETTER = tb.ALNUM_WORDS
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Size of the model: members of a class (the last ``members`` - 1 are words of their own), bits of hashed feature rows."""
+
+    members: int = 32
+    hashed_bits: int = 12
+
+    @property
+    def class_rows(self) -> int:
+        return 2 * CLASSES * CLASSES + 2 * (1 << self.hashed_bits)
+
+    @property
+    def member_rows(self) -> int:
+        return CLASSES * CLASSES + (1 << self.hashed_bits)
+
+
 def token_stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, hashed endings, n + 1 offsets) of the words of each text and its end."""
     starts, ends, first = tb.word_bounds(raw, offsets, tb.BLANK_WORDS)
@@ -58,27 +71,31 @@ def token_stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, c, bounds
 
 
-def context_rows(h: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of each token's context, for classes (4 of them) and for members (2)."""
-    place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
+def context_rows(h: np.ndarray, c: np.ndarray, bounds: np.ndarray, shape: Shape, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of the contexts of the tokens in ``part``, for classes (4 of them) and for members (2)."""
+    begin, end, _ = part.indices(len(h))
+    at = np.arange(begin, end)
+    place = at - bounds[np.searchsorted(bounds, at, "right") - 1]
 
     def back(x: np.ndarray, k: int, pad) -> np.ndarray:
-        out = np.full(len(x), pad, dtype=x.dtype)
-        out[k:] = x[:-k] if k < len(x) else x[:0]
+        out = np.full(end - begin, pad, dtype=x.dtype)
+        low = max(begin - k, 0)
+        out[low - begin + k :] = x[low : max(end - k, low)]
         out[place < k] = pad
         return out
 
-    c1, c2, c3, c4 = (back(c, k, ENDING).astype(np.int64) for k in (1, 2, 3, 4))
+    c1, c2, c3, c4 = (back(c, k, ENDING).astype(np.int32) for k in (1, 2, 3, 4))
     h1, h2 = back(h, 1, U64(0)), back(h, 2, U64(0))
-    top = lambda x: (tb.mix(x) >> U64(52)).astype(np.int64)
-    pairs = CLASSES * CLASSES
+    top = lambda x: (tb.mix(x) >> U64(64 - shape.hashed_bits)).astype(np.int32)
+    pairs, hashed = CLASSES * CLASSES, 1 << shape.hashed_bits
     rows = np.stack([
         c1 * CLASSES + c2, pairs + c3 * CLASSES + c4, 2 * pairs + top(h1 ^ U64(0x1D8E4E27C47D124F)),
-        2 * pairs + _HASHED + top(h1 * U64(0xD6E8FEB86659FD93) + h2),
-    ]).astype(np.uint16)
-    mine = c.astype(np.int64)
-    members = np.stack([mine * CLASSES + c1, pairs + top(h1 ^ (mine.astype(U64) + U64(1)) * U64(0x9E6C63D0876A9A99))]).astype(np.uint16)
-    return rows, members
+        2 * pairs + hashed + top(h1 * U64(0xD6E8FEB86659FD93) + h2),
+    ])
+    mine = c[begin:end].astype(np.int32)
+    members = np.stack([mine * CLASSES + c1, pairs + top(h1 ^ (mine.astype(U64) + U64(1)) * U64(0x9E6C63D0876A9A99))])
+    narrow = np.uint16 if shape.class_rows < 1 << 16 else np.int32  # 16 bits sort faster
+    return rows.astype(narrow), members.astype(narrow)
 
 
 def cluster_endings(beside: np.ndarray, rounds: int = 25, dims: int = 24) -> np.ndarray:
@@ -121,7 +138,7 @@ class Heads:
     of_suffix: np.ndarray
     hashes: np.ndarray
     member: np.ndarray
-    closed: np.ndarray  # CLASSES x MEMBERS: 0, or a large negative number where there is no such member
+    closed: np.ndarray  # classes x members: 0, or a large negative number where there is no such member
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if len(self.hashes) == 0:
@@ -137,15 +154,18 @@ def _gathered(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _target_logs(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log softmax at each row's target; ``z`` is used up."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    hit = z[np.arange(len(z)), target]
+    return hit - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndarray, target: np.ndarray, rate: float) -> None:
     """A gradient step on a batch; each weight row has its own step size (AdaGrad by row)."""
-    g = np.exp(_log_softmax(z))
+    z -= z.max(axis=1, keepdims=True)
+    g = np.exp(z, out=z)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(g)), target] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
@@ -157,31 +177,31 @@ def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndarray, targ
         w[used] -= rate * s / np.sqrt(seen[used])[:, None]
 
 
-def _train(heads: Heads, start: tuple[np.ndarray, np.ndarray], batch_tokens: int, rate: float, blocks: int):
-    """Texts of a task -> its weights after one pass, times its tokens, in blocks."""
+def _train(heads: Heads, shape: Shape, start: tuple[np.ndarray, np.ndarray], batch_tokens: int, rate: float, blocks: int):
+    """Texts of a shard -> its weights after one pass, with its tokens, in blocks."""
 
     def run(batches):
         w, u = start[0].copy(), start[1].copy()
         seen_w, seen_u = np.full(len(w), 1.0, np.float32), np.full(len(u), 1.0, np.float32)
+        choice_of = heads.closed[:, 1] == 0
         tokens = 0
         for batch in batches:
             raw, offsets = tb.text_buffer(batch.column(0))
             for i, j in tb.row_groups(offsets):
                 h, c, bounds = token_stream(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 c = heads.of_suffix[c]
-                rows, members = context_rows(h, c, bounds)
-                member = heads.of(h)
-                choice = (heads.closed[:, 1] == 0)[c]
                 for a in range(0, len(h), batch_tokens):
                     part = slice(a, a + batch_tokens)
-                    _step(w, seen_w, rows[:, part], _gathered(w, rows[:, part]), c[part].astype(np.int64), rate)
-                    own = np.flatnonzero(choice[part]) + a
+                    rows, members = context_rows(h, c, bounds, shape, part)
+                    mine = c[part]
+                    _step(w, seen_w, rows, _gathered(w, rows), mine.astype(np.int64), rate)
+                    own = np.flatnonzero(choice_of[mine])
                     if len(own):
-                        z = _gathered(u, members[:, own]) + heads.closed[c[own]]
-                        _step(u, seen_u, members[:, own], z, member[own], rate)
+                        z = _gathered(u, members[:, own]) + heads.closed[mine[own]]
+                        _step(u, seen_u, members[:, own], z, heads.of(h[part][own]), rate)
                 tokens += len(h)
         if tokens:
-            cut = np.array_split(np.concatenate([w, u]), blocks)
+            cut = np.array_split(np.concatenate([w.reshape(-1), u.reshape(-1)]), blocks)
             task = [TaskContext.get().partitionId()] * blocks
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(task, pa.int32()), pa.array([tokens] * blocks, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in cut], pa.binary())], names=["block", "task", "tokens", "weights"])
 
@@ -203,9 +223,10 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _slices(h: np.ndarray, buckets: int):
-    """(bucket, begin, end) of sorted hashes."""
-    cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-    return [(b, int(cut[b]), int(cut[b + 1])) for b in range(buckets) if cut[b + 1] > cut[b]]
+    """(bucket, begin, end) of sorted hashes, for the buckets that they lie in."""
+    of = _bucket(h, buckets)
+    cut = np.flatnonzero(np.diff(of, prepend=-1))
+    return list(zip(of[cut].tolist(), cut.tolist(), np.append(cut[1:], len(of)).tolist(), strict=True)) if len(of) else []
 
 
 def _counted(buckets: int, flush: int = 3_000_000):
@@ -270,7 +291,7 @@ def _ending_totals(batches):
             yield pd.DataFrame({"c": np.arange(SUFFIXES), "tokens": np.bincount(c, weights=n, minlength=SUFFIXES).astype(np.int64), "words": np.bincount(c, minlength=SUFFIXES)})
 
 
-def _frequent(of_suffix: np.ndarray):
+def _frequent(of_suffix: np.ndarray, members: int):
     """The most frequent words of each class in a bucket."""
 
     def run(batches):
@@ -279,7 +300,7 @@ def _frequent(of_suffix: np.ndarray):
                 h, n, c = np.frombuffer(r.h, np.int64), np.frombuffer(r.n, np.int64), of_suffix[np.frombuffer(r.c, np.uint16)]
                 order = np.lexsort((h, -n, c))
                 first = np.searchsorted(c[order], np.arange(CLASSES))
-                take = order[np.arange(len(order)) - first[c[order]] < MEMBERS - 1]
+                take = order[np.arange(len(order)) - first[c[order]] < members - 1]
                 yield pd.DataFrame({"h": h[take], "n": n[take], "c": c[take].astype(np.int32)})
 
     return run
@@ -288,6 +309,7 @@ def _frequent(of_suffix: np.ndarray):
 @dataclass
 class Model:
     heads: Heads
+    shape: Shape
     w: np.ndarray
     u: np.ndarray
     tokens: int  # N
@@ -295,17 +317,17 @@ class Model:
     rest: np.ndarray  # by class: log10 of (tokens + words + 1) that its common member covers
 
 
-def start_weights(tokens: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def start_weights(tokens: np.ndarray, held: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Weights with which the softmaxes give the plain shares of classes and of their members, whatever the context."""
-    w, u = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
+    w, u = np.zeros((shape.class_rows, CLASSES), np.float32), np.zeros((shape.member_rows, shape.members), np.float32)
     w[: CLASSES * CLASSES] = np.log((tokens + 1) / (tokens + 1).sum())
     u[: CLASSES * CLASSES] = np.repeat(np.log((held + 1) / (held + 1).sum(axis=1, keepdims=True)), CLASSES, axis=0)
     return w, u
 
 
-def fit(texts: DataFrame, buckets: int, rounds: int = 1, batch_tokens: int = 8192, rate: float = 0.3) -> tuple[Model, DataFrame]:
-    """``texts(text)`` to learn from -> the model and the table of counts (bucket, h, n, c: one row for each bucket)."""
-    counts = saved(texts.mapInArrow(_counted(buckets), "bucket int, h binary, n binary, c binary").groupBy("bucket").applyInPandas(_totals, "bucket int, h binary, n binary, c binary"))
+def fit(texts: DataFrame, buckets: int, shards: int, shape: Shape, rounds: int = 1, batch_tokens: int = 8192, rate: float = 0.3) -> tuple[Model, DataFrame]:
+    """``texts(doc_id, text)`` to learn from -> the model and the table of counts (bucket, h, n, c: one row for each bucket)."""
+    counts = saved(texts.select("text").mapInArrow(_counted(buckets), "bucket int, h binary, n binary, c binary").groupBy("bucket").applyInPandas(_totals, "bucket int, h binary, n binary, c binary"))
     beside = np.zeros(SUFFIXES * SUFFIXES, np.int64)
     for r in counts.where("bucket < 0").select("bucket", "h", "n").collect():  # at most SUFFIXES ** 2 numbers
         beside[(-1 - r["bucket"]) * (SUFFIXES * SUFFIXES // BESIDE) + np.frombuffer(r["h"], np.int64)] = np.frombuffer(r["n"], np.int64)
@@ -316,43 +338,46 @@ def fit(texts: DataFrame, buckets: int, rounds: int = 1, batch_tokens: int = 819
         tokens[of_suffix[c]] += t
         words[of_suffix[c]] += v
     best = Window.partitionBy("c").orderBy(F.desc("n"), "h")
-    head = counts.mapInPandas(_frequent(of_suffix), "h long, n long, c int").withColumn("m", F.row_number().over(best)).where((F.col("m") < MEMBERS) & (F.col("c") != ENDING) & (F.col("n") > 1)).toPandas()
-    closed = np.full((CLASSES, MEMBERS), -1e9, dtype=np.float32)
+    head = counts.mapInPandas(_frequent(of_suffix, shape.members), "h long, n long, c int").withColumn("m", F.row_number().over(best)).where((F.col("m") < shape.members) & (F.col("c") != ENDING) & (F.col("n") > 1)).toPandas()
+    closed = np.full((CLASSES, shape.members), -1e9, dtype=np.float32)
     closed[:, 0] = 0
     closed[head["c"], head["m"]] = 0
     by = np.argsort(head["h"].to_numpy(np.int64).view(U64))
     heads = Heads(of_suffix, head["h"].to_numpy(np.int64).view(U64)[by], head["m"].to_numpy(np.int64)[by], closed)
     rest_tokens = tokens - np.bincount(head["c"], weights=head["n"], minlength=CLASSES).astype(np.int64)
     rest_words = words - np.bincount(head["c"], minlength=CLASSES)
-    held = np.zeros((CLASSES, MEMBERS))
+    held = np.zeros((CLASSES, shape.members))
     held[head["c"], head["m"]] = head["n"]
     held[:, 0] = rest_tokens
-    w, u = start_weights(tokens, held)
+    w, u = start_weights(tokens, held, shape)
     if tokens.sum():
+        place = F.xxhash64("doc_id", "text")
+        dealt = texts.select("text", place.alias("place")).repartition(shards, "place").sortWithinPartitions("place").select("text")
         for _ in range(rounds):
             blocks = 16
-            mean = texts.mapInArrow(_train(heads, (w, u), batch_tokens, rate, blocks), AVERAGED)
-            tasks = texts.rdd.getNumPartitions()
+            mean = dealt.mapInArrow(_train(heads, shape, (w, u), batch_tokens, rate, blocks), AVERAGED)
+            tasks = shards
             while tasks > FAN_IN:  # a tree, so that no task reads more than FAN_IN pieces of weights
                 mean = mean.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("block", "task").applyInPandas(_mean, AVERAGED)
                 tasks = -(-tasks // FAN_IN)
             mean = mean.groupBy("block").applyInPandas(_mean, AVERAGED).collect()
-            flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])]).reshape(-1, CLASSES)
-            w, u = flat[:CLASS_ROWS].copy(), flat[CLASS_ROWS:].copy()
-    return Model(heads, w, u, int(tokens.sum()), int(words.sum()), np.log10(rest_tokens + rest_words + 1.0)), counts
+            flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])])
+            w, u = flat[: w.size].reshape(w.shape).copy(), flat[w.size :].reshape(u.shape).copy()
+    return Model(heads, shape, w, u, int(tokens.sum()), int(words.sum()), np.log10(rest_tokens + rest_words + 1.0)), counts
 
 
-def _distinct(group: pd.DataFrame) -> np.ndarray:
-    found = []
+def _streams(group: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     raw, offsets = tb.text_buffer(pa.array(group["text"], pa.large_string()))
-    for i, j in tb.row_groups(offsets):
-        found.append(np.unique(token_stream(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]))
-    return np.unique(np.concatenate(found))
+    return [token_stream(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in tb.row_groups(offsets)]
+
+
+def _distinct(streams: list) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(h) for h, _, _ in streams]))
 
 
 def _ask(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        h = _distinct(group)
+        h = _distinct(_streams(group))
         got = _slices(h, buckets)
         return pd.DataFrame({"g": int(group["g"].iloc[0]), "bucket": [b for b, _, _ in got], "h": [h[a:b].tobytes() for _, a, b in got]})
 
@@ -380,11 +405,10 @@ def _scores(model: Model):
             return pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
         replies = replies.sort_values("bucket")
         n = np.concatenate([np.frombuffer(b, np.uint32 if len(b) == 4 * s else np.int64).astype(np.int64) for b, s in zip(replies["n"], replies["size"], strict=True)])
-        names = _distinct(group)
-        raw, offsets = tb.text_buffer(pa.array(group["text"], pa.large_string()))
+        streams = _streams(group)
+        names = _distinct(streams)
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        for i, j in tb.row_groups(offsets):
-            h, c, bounds = token_stream(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for h, c, bounds in streams:
             c = model.heads.of_suffix[c]
             count = n[np.searchsorted(names, h)]
             logs = np.log10(count + 1.0)
@@ -397,25 +421,24 @@ def _scores(model: Model):
     return run
 
 
-def _token_scores(model: Model, h: np.ndarray, c: np.ndarray, bounds: np.ndarray, logs: np.ndarray, step: int = 16_384) -> np.ndarray:
+def _token_scores(model: Model, h: np.ndarray, c: np.ndarray, bounds: np.ndarray, logs: np.ndarray, step: int = 8192) -> np.ndarray:
     """log10 P of each token in its context."""
-    rows, members = context_rows(h, c, bounds)
-    member = model.heads.of(h)
-    out = np.where(member > 0, 0.0, logs - model.rest[c])
-    out[c == ENDING] = 0  # the only one of its class
-    choice = (model.heads.closed[:, 1] == 0)[c]
+    out = np.empty(len(h))
+    choice_of = model.heads.closed[:, 1] == 0
     for a in range(0, len(h), step):
         part = slice(a, a + step)
-        mine = c[part].astype(np.int64)
-        out[part] += _log_softmax(_gathered(model.w, rows[:, part]))[np.arange(len(mine)), mine] / np.log(10)
-        own = np.flatnonzero(choice[part]) + a
+        rows, members = context_rows(h, c, bounds, model.shape, part)
+        mine, member = c[part], model.heads.of(h[part])
+        got = np.where((member > 0) | (mine == ENDING), 0.0, logs[part] - model.rest[mine])  # the end is the only one of its class
+        got += _target_logs(_gathered(model.w, rows), mine.astype(np.int64)) / np.log(10)
+        own = np.flatnonzero(choice_of[mine])
         if len(own):
-            z = _gathered(model.u, members[:, own]) + model.heads.closed[c[own]]
-            out[own] += _log_softmax(z)[np.arange(len(own)), member[own]] / np.log(10)
+            got[own] += _target_logs(_gathered(model.u, members[:, own]) + model.heads.closed[mine[own]], member[own]) / np.log(10)
+        out[part] = got
     return out
 
 
-def score_texts(docs: DataFrame, held_out_rest: int = 2, of: int = 7, batch_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out_rest: int = 2, of: int = 7, batch_bytes: int = 8 << 20, shard_bytes: int = 32 << 20, shape: Shape = Shape()) -> DataFrame:  # noqa: B008
     """``docs(doc_id, text)`` -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     Texts whose crc32(doc_id as text) mod ``of`` is ``held_out_rest`` are held out of counting and training; a null
@@ -423,7 +446,9 @@ def score_texts(docs: DataFrame, held_out_rest: int = 2, of: int = 7, batch_byte
     end. Scores are log10 probabilities. Without any text to learn from, every token is unseen and the softmaxes are uniform. Rows that
     repeat a doc_id are scored each. Words are told apart by 64-bit hashes.
 
-    Batches are dealt by a hash and grow in number with the corpus, as do the buckets of the count table.
+    Batches and shards are dealt by a hash and grow in number with the corpus, as do the buckets of the count table: rows
+    and splits of the stored table change nothing but the last digits of a score. ``shape`` sets how many words are predicted from context and
+    how many rows their features have; the model is sent to every task, so it is a parameter and doesn't grow by itself.
     """
     spark = docs.sparkSession
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
@@ -431,7 +456,7 @@ def score_texts(docs: DataFrame, held_out_rest: int = 2, of: int = 7, batch_byte
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
     buckets = max(8, batches // 2)
-    model, counts = fit(texts.where("not held_out").select("text"), buckets)
+    model, counts = fit(texts.where("not held_out").select("doc_id", "text"), buckets, max(1, -(-total // shard_bytes)), shape)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).repartition(n, "g")
     asked = placed.groupBy("g").applyInPandas(_ask(buckets), "g int, bucket int, h binary")

@@ -1,8 +1,11 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; operators against brute force at random."""
 
 import hashlib
+import math
+import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobledger.llm import ann, chat, decontam, lm, mixing, near_dedup, quality, substring_dedup, toxicity
+from jobledger.llm import ann, chat, decontam, lm, mixing, near_dedup, quality, shared, substring_dedup, textbytes, toxicity
 from jobledger.llm.components import components
 from jobledger.llm.line_dedup import dedupe_lines
 from tests.llm.test_queries import UPPER, removed
@@ -77,11 +80,61 @@ def test_near_duplicates_equal_brute_force(spark):
                 if a and b and 100 * len(a & b) >= 85 * len(a | b):
                     want[i] = want[j] = min(want[i], want[j])
     for blocks in (512, 2):  # whole classes, and classes cut into many blocks
-        got = {x.doc_id: x for x in near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=blocks).collect()}
+        got = {x.doc_id: x for x in near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=blocks, sketch_docs=blocks).collect()}
         assert [got[i].component_id for i in range(len(docs))] == want
         assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in sets]
 
 
+def test_a_chained_class_moves_few_full_sets(spark, monkeypatch):
+    """Texts that chain through common wording, each unlike almost all others: one candidate class of many blocks."""
+    n, words = 1200, [f"w{i}" for i in range(8_500)]
+    docs = [" ".join(words[7 * i : 7 * i + 60]) for i in range(n)]
+    copies = {n + j: 100 * j for j in range(12)}
+    docs += [docs[i][:-1] + "x" for i in copies.values()]
+    sent = []
+    comparisons = near_dedup.comparisons
+
+    def counted(classes, *args):
+        out = comparisons(classes, *args)
+        largest = classes.groupBy("component").count().agg(F.max("count")).first()[0]
+        sent.append((largest, out.select(F.explode("list")).count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "comparisons", counted)
+    got = near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=32, sketch_docs=64).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: copies.get(i, i) for i in range(len(docs))}
+    largest, sets = sent[0]
+    assert largest > 1000 and sets < 4 * len(docs)  # 19 blocks of 64: comparing all of them would send each set to some twenty tasks
+
+
+def test_several_texts_of_one_id_each_count(spark):
+    base = " ".join(f"w{i}" for i in range(110))
+    rows = [(1, " ".join(f"v{i}" for i in range(1000))), (1, base), (2, base + " more"), (3, " ".join(f"v{i}" for i in range(1001)))]
+    for blocks in (512, 1):
+        got = near_dedup.near_duplicates(texts(spark, rows), k=3, percent=85, block_docs=blocks, sketch_docs=blocks).collect()
+        assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_agreeing_is_a_tail_bound():
+    least = near_dedup.agreeing(0.85, 128)
+    draws = np.random.default_rng(5).binomial(128, 0.85, 200_000)
+    assert 64 < least <= draws.min()
+
+
+def test_words_in_pieces_are_the_same(monkeypatch):
+    r = random.Random(3)
+    long = [" ".join("".join(r.choices("aBcé,.", k=r.randrange(1, 9))) for _ in range(4000)), "", "x" * 9000, "one"]
+    raw = np.frombuffer("".join(long).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in long)])
+    whole = textbytes.word_bounds(raw, offsets, textbytes.BLANK_WORDS)
+    hashes, found = textbytes.word_hashes(raw, *whole[:2]), sorted(zip(*toxicity.occurrences(raw, offsets)[:2], strict=True))
+    monkeypatch.setattr(textbytes, "CHUNK", 1000)
+    pieces = textbytes.word_bounds(raw, offsets, textbytes.BLANK_WORDS)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    assert (textbytes.span_sums(raw, *whole[:2], limit=1000) == textbytes.span_sums(raw, *whole[:2])).all() and (textbytes.word_hashes(raw, *pieces[:2]) == hashes).all()
+    assert sorted(zip(*toxicity.occurrences(raw, offsets)[:2], strict=True)) == found
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**63, 900, dtype=np.uint64))
@@ -154,6 +207,31 @@ def test_decontamination_on_odd_rows(spark):
     assert decontam.decontaminate(odd_documents(spark), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_repeated_words_cost_no_more(spark):
+    """20,000 and 2,000 times the same word: neither their product nor the repeats of a row take part."""
+    words = ["same"] * 20_000
+    index = decontam.ItemIndex([1, 2, 3], [" ".join(words[:2000]), " ".join(words[:2000]) + " end", "other"], 10, 5)
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, first = textbytes.word_bounds(raw, np.array([0, len(raw)]), textbytes.ALNUM_WORDS)
+    hashes = textbytes.word_hashes(raw, starts, ends)
+    tracemalloc.start()
+    begin, end, held = index.matches(hashes, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(begin) == 19_991 and (end - begin == 10).all() and held.tolist() == [0, 1] and peak < 20 << 20
+    bench = spark.createDataFrame([(1, " ".join(words[:40]))] * 50, "item_id long, text string")
+    got = decontam.decontaminate(texts(spark, [(1, " ".join(words)), (2, "same " * 9)]), bench, block_bytes=300).collect()
+    assert [(x.n_hit, x["items"]) for x in sorted(got, key=lambda x: x.row.doc_id)] == [(20_000, ["1"]), (0, [])]
+
+
+def test_blocks_of_items_are_bounded(spark):
+    r = random.Random(5)
+    items = spark.createDataFrame([(i, " ".join(r.choices(WORDS, k=12))) for i in range(200)] + [(900, " ".join(r.choices(WORDS, k=400)))], "item_id long, text string")
+    blocks = decontam.item_blocks(items, 1500)
+    sizes = [b.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first() for b in blocks]
+    assert all(n is None or n <= 1500 or longest > 1500 for n, longest in sizes) and sum(n or 0 for n, _ in sizes) == items.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_winnowing_guarantee():
     grams = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
     chosen = decontam.winnow(grams, 6)
@@ -183,7 +261,7 @@ def test_hot_anchors_take_their_own_way(spark, monkeypatch):
     docs = ["".join(r.choices("klmnop", k=60)) + passage + "".join(r.choices("klmnop", k=60)) for _ in range(30)]
     want = removed([(i, d.encode()) for i, d in enumerate(docs)])
     answer = substring_dedup._answer
-    monkeypatch.setattr(substring_dedup, "_answer", lambda hot_from: answer(1))
+    monkeypatch.setattr(substring_dedup, "_answer", lambda hot_from, groups: answer(1, groups))
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.remove_shared(texts(spark, list(enumerate(docs))).repartition(5)).collect()}
     assert got == want
 
@@ -195,15 +273,15 @@ def test_hot_anchors_are_sent_as_windows():
     shape = substring_dedup.Shape()
     columns = [pa.array(range(30), pa.int64()), pa.array([0] * 30, pa.int32()), pa.array(docs)]
     asked = pa.Table.from_batches(substring_dedup._ask(shape)([pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "text"])])).to_pandas()
-    shared = pd.concat([substring_dedup._answer(2)(group) for _, group in asked.groupby("bucket")])
+    shared = pd.concat([substring_dedup._answer(2, shape.groups)(group) for _, group in asked.groupby("bucket")])
     hot = np.array(sorted(x for v in shared["hot"].dropna() for x in v), dtype=np.int64).view(np.uint64)
-    places = shared[shared["hot"].isna()].groupby("doc_id")["pos"].agg(list)
+    places = pd.concat([substring_dedup._places(group) for _, group in shared[shared["hot"].isna()].groupby("g")]).set_index("doc_id")["pos"]
     assert len(hot) and len(places) == 30
-    marked = pa.RecordBatch.from_arrays([*columns, pa.array([places[i] for i in range(30)], pa.list_(pa.binary()))], names=["doc_id", "tag", "text", "pos"])
+    marked = pa.RecordBatch.from_arrays([*columns, pa.array([places[i] for i in range(30)], pa.binary())], names=["doc_id", "tag", "text", "pos"])
     for known in (hot, hot[:0]):
         group = pa.Table.from_batches(substring_dedup._contexts(shape, known)([marked])).to_pandas()
-        whole, parts = (sorted(map(str, substring_dedup._decide(shape, share)(group).to_dict("records"))) for share in (100_000, 3))
-        assert whole == parts
+        whole, parts = (substring_dedup._join(substring_dedup._decide(shape, share)(group)).sort_values("doc_id").to_dict("records") for share in (100_000, 3))
+        assert whole == parts and len(whole) == 29
     sent = [x for b in substring_dedup._contexts(shape, hot)([marked]) for x in b.to_pylist() if x["h"] is not None]
     assert sent
     for x in sent:
@@ -211,6 +289,39 @@ def test_hot_anchors_are_sent_as_windows():
         assert (h == substring_dedup._row_hashes(c[:, shape.reach :])).all() and (substring_dedup._unpacked(x["left"], np.uint8) == 0).all()
 
 
+def test_hot_windows_keep_memory_bounded():
+    """Many documents with one hot passage and near-equal contexts around it: what one step holds doesn't follow their number."""
+    r = random.Random(12)
+    passage = "".join(r.choices("abcdefghij ", k=80))
+    shape = substring_dedup.Shape()
+    n = 8000
+    docs = ["".join(r.choices("klmnop", k=40)) + passage + "".join(r.choices("klmnop", k=40)) for _ in range(n)]
+    raw = np.frombuffer("".join(docs).encode(), np.uint8)
+    at, h = substring_dedup.anchors(raw, np.arange(n + 1) * 160, shape)
+    inside = (at % 160 >= 20) & (at % 160 < 120)
+    pos = [(at[(at // 160 == i) & inside] % 160).astype(np.uint32).tobytes() for i in range(20)]
+    pos += [pos[i % 20] for i in range(n - 20)]
+    columns = [pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array(docs), pa.array(pos, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "text", "pos"])
+    hot = np.unique(h[inside]) & substring_dedup._LOW
+    peaks = []
+    for rows in (n // 4, n):
+        tracemalloc.start()
+        for _ in substring_dedup._contexts(shape, hot)([batch.slice(0, rows)]):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 150 << 20 and peaks[1] < 3 * peaks[0]
+
+
+def test_very_long_texts_in_pieces(spark):
+    r = random.Random(13)
+    long = "".join(r.choices("abcdefgh ", k=3_000_000))
+    docs = [(1, long[500_000:500_400]), (2, long), (3, "x" * 100 + long[262_100:262_200]), (4, long[1_000_000:] + "end")]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in substring_dedup.remove_shared(texts(spark, docs)).drop("kept").collect()}
+    assert got == {1: (400, 0, 0), 2: (3_000_000, 400, 1), 3: (200, 100, 1), 4: (2_000_003, 2_000_000, 1)}
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(6)
     c = rng.integers(97, 99, (500, 82)).astype(np.uint8)
@@ -312,6 +423,36 @@ def test_chat_round_trip(spark, text):
     assert [(t.role, t.text) for t in x.turns] == [("a\nb<|", text), ("assistant", text), ("assistant", "|" + text)] and x.loss_text == text + "|" + text
 
 
+def test_chat_of_odd_stored_rows(spark):
+    long = "".join(random.Random(6).choices("ab<|\\ \U0001f600", k=300_000))
+    rows = [(1, 0, "user", None, "x"), (1, 0, "user", None, "x"), (1, None, "assistant", "late", "x"), (None, 0, "user", "lost", "x"), (None, 1, None, "too", "x"), (2, 0, "assistant", long, "x"), (3, 1, "b", "same", "x"), (3, 1, "a", "same", "x")]
+    stored = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind string").withColumn("messages", F.lit("y"))
+    events = chat.message_events(stored)
+    assert {x.kind for x in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {x.conv_id: ([(t.role, t.text) for t in x.turns], x.loss_text) for x in chat.read_back(chat.render(chat.reconstruct(events, ["turn", "nth", "part"]))).collect()}
+    assert got == {1: ([("assistant", "late"), ("user", ""), ("user", "")], "late"), None: ([("user", "lost"), ("", "too")], ""), 2: ([("assistant", long)], long), 3: ([("a", "same"), ("b", "same")], "")}
+    assert chat.message_events(stored.where("false")).count() == 0
+
+
+def test_saved_tables_are_removed(spark):
+    df, path = shared.saved_at(spark.range(3))
+    assert df.count() == 3 and os.path.isdir(path.removeprefix("file://"))
+    shared.remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+
+
 def test_chat_without_rows(spark):
     events = spark.createDataFrame([], "conv_id long, seq long, kind string, turn long, role string, text string")
     assert chat.reconstruct(events, ["seq"]).count() == 0
@@ -329,6 +470,74 @@ def test_models_on_odd_rows(spark):
     assert toxicity.score(no_documents(spark), model).count() == 0
 
 
+def plain_hash(data, more):
+    """The polynomial hash of some bytes, by big integers."""
+    total = sum(int(textbytes._BYTE[b]) * pow(int(textbytes.BASE), n, 1 << 64) for n, b in enumerate(data))
+    return int(textbytes.mix(np.array([(total + len(data) * 0xA24BAED4963EE407 + more) % (1 << 64)], np.uint64))[0])
+
+
+def plain_features(text):
+    """Words and their prefixes of four, five and six bytes, with counts."""
+    out = {}
+    for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(UPPER)):
+        b = w.encode()
+        for h in [plain_hash(b, 0)] + [plain_hash(b[:p], 0x632BE59BD9B4E019) for p in (4, 5, 6) if len(b) > p]:
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    r = random.Random(14)
+    bad = ["vile", "vileness", "nastiest", "grim"]
+    docs = [(i, " ".join(r.choices(WORDS, k=20) + (r.choices(bad, k=r.randrange(1, 5)) if i % 2 else []))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(texts(spark, docs), labels)
+    counts = {}
+    for i, t in docs:
+        for h in plain_features(t):
+            counts.setdefault(h, [0, 0])[i % 2] += 1
+    want = set()
+    for h, (neg, pos) in counts.items():
+        share = (pos + neg) / 120
+        z = (pos / 60 - neg / 60) / math.sqrt(share * (1 - share) * (2 / 60) + 1e-12)
+        if pos + neg >= 5 and z > toxicity.LEAST_Z and pos / 60 >= toxicity.LEAST_LIFT * neg / 60:
+            want.add(h)
+    assert want and set(model.words.hashes.tolist()) == want
+    weight = dict(zip(model.words.hashes.tolist(), model.weights.tolist(), strict=True))
+    for x in toxicity.score(texts(spark, [*docs, (900, ""), (901, None), (902, "vile " * 3000)]), model).collect():
+        z = sum(weight[h] * math.log1p(n) for h, n in plain_features(x.row.text or "").items() if h in weight)
+        above = [1 / (1 + math.exp(-max(-40, min(40, z - t)))) for t in model.thetas]
+        assert x.severity == pytest.approx(sum(above)) and x.rejected == (above[0] >= 0.5) and x.grade == sum(a >= 0.5 for a in above)
+    assert (np.diff(model.thetas) > 0).all()
+
+
+def test_quality_equals_plain_features_and_ranking(spark):
+    r = random.Random(15)
+    docs = [(i, (" ".join(r.choices(WORDS, k=30)) + ".") if i % 2 else " ".join(r.choices(["BUY", "now!!", "click", "$$$"], k=30))) for i in range(80)]
+    docs += [(100, ""), (101, "one"), (102, "One one, two\nthr\u00e9e  7 7 7!")]
+    ranker = quality.fit(texts(spark, docs), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int"))
+    got = {x.row.doc_id: x for x in quality.score(texts(spark, docs), ranker).collect()}
+    marks = [chr(b) for b in range(0x21, 0x7F) if not chr(b).isalnum()]
+    kinds = [lambda b: 48 <= b < 58, lambda b: 65 <= b < 91, lambda b: 97 <= b < 123, lambda b: b == 32, lambda b: b == 10, lambda b: b >= 128]
+    for i, text in docs:
+        raw = text.encode()
+        of = [1 + marks.index(chr(b)) if b < 128 and chr(b) in marks else next((len(marks) + 1 + n for n, k in enumerate(kinds) if k(b)), 0) for b in raw]
+        rates = [of.count(n) / max(1, len(raw)) for n in range(len(marks) + 7)]
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0d]+", text)]
+        low = [x.decode().translate(UPPER) for x in w]
+        n = max(1, len(w))
+        mean = sum(map(len, w)) / n
+        again = sum(a == b for a, b in zip(low[1:], low[:-1], strict=True)) / n
+        one, two = len(set(low)), len(shingles(text, 2))
+        dense = [math.log1p(len(w)), mean / 10, math.sqrt(max(0, sum(len(x) ** 2 for x in w) / n - mean**2)) / 10, again, math.sqrt(again), one / n, two / n, min(1, one / max(1, 12 * math.sqrt(len(w)))), sum(chr(x[-1]) in marks for x in w if x[-1] < 128) / n, float(bool(w))]
+        x = np.array([*rates, *[math.log1p(200 * v) for v in rates], *dense])
+        z = float(np.clip((x - ranker.center) / ranker.scale, -8, 8) @ ranker.weights)
+        want = 1 / (1 + math.exp(-max(-40, min(40, z - ranker.threshold + math.log(0.3 / 0.7)))))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.3)
+        if i < 80:
+            assert got[i].predicted == i % 2
+
+
 def test_lm_on_odd_rows(spark):
     got = lm.score_texts(odd_documents(spark)).collect()
     assert len(got) == 15 and all(x.n_tokens >= 1 and np.isfinite(x.score) and np.isfinite(x.base_score) for x in got)
@@ -338,13 +547,14 @@ def test_lm_on_odd_rows(spark):
 
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(2)
-    w, u = rng.normal(size=(lm.CLASS_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=(lm.MEMBER_ROWS, lm.MEMBERS)).astype(np.float32)
+    shape = lm.Shape(members=9, hashed_bits=10)
+    w, u = rng.normal(size=(shape.class_rows, lm.CLASSES)).astype(np.float32), rng.normal(size=(shape.member_rows, shape.members)).astype(np.float32)
     vocab = 200
     h = np.sort(rng.integers(0, 2**63, vocab, dtype=np.uint64))
     suffix = rng.integers(0, lm.SUFFIXES - 1, vocab)
     of = lm.cluster_endings(np.zeros((lm.SUFFIXES, lm.SUFFIXES), np.int64))
     count, c = rng.integers(1, 9, vocab), of[suffix]
-    closed = np.full((lm.CLASSES, lm.MEMBERS), -1e9, np.float32)
+    closed = np.full((lm.CLASSES, shape.members), -1e9, np.float32)
     closed[:, 0] = 0
     heads = np.unique([np.flatnonzero(c == k)[0] for k in np.unique(c)])
     closed[c[heads], 1] = 0
@@ -353,7 +563,7 @@ def test_lm_is_a_distribution():
     rest[heads] = False
     tokens = np.bincount(c[rest], weights=count[rest], minlength=lm.CLASSES)
     words = np.bincount(c[rest], minlength=lm.CLASSES)
-    model = lm.Model(head, w, u, int(count.sum()), vocab, np.log10(tokens + words + 1))
+    model = lm.Model(head, shape, w, u, int(count.sum()), vocab, np.log10(tokens + words + 1))
     total = 0.0
     context_h, context_c = h[[3, 5]], c[[3, 5]]
     unseen = [(np.uint64(7 + k), k, 0) for k in range(lm.CLASSES - 1)]
@@ -363,6 +573,67 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_slices_are_those_that_hold_hashes():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    got = lm._slices(h, 1 << 28)  # many more buckets than hashes
+    assert [b for b, _, _ in got] == np.unique(lm._bucket(h, 1 << 28)).tolist() and sum(b - a for _, a, b in got) == 500
+    assert lm._slices(h[:0], 8) == []
+
+
+def test_lm_scores_equal_a_plain_model(spark):
+    """Word by word: class, then member, then share of the common member, by plain sums over the trained rows."""
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choices(WORDS + ["rare" + str(i)], k=r.randrange(1, 40)))) for i in range(120)]
+    fitted = []
+    fit = lm.fit
+
+    def kept(*args, **kw):
+        fitted.append(fit(*args, **kw))
+        return fitted[0]
+
+    lm.fit = kept
+    try:
+        got = {x.doc_id: x.score for x in lm.score_texts(texts(spark, docs), shape=lm.Shape(members=5, hashed_bits=8)).collect()}
+    finally:
+        lm.fit = fit
+    model, counts = fitted[0]
+    count = {}
+    for b in counts.collect():
+        count.update(zip(np.frombuffer(b.h, np.uint64).tolist(), np.frombuffer(b.n, np.int64).tolist(), strict=True))
+    heads = dict(zip(model.heads.hashes.tolist(), model.heads.member.tolist(), strict=True))
+
+    def softmax(z):
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    for i, text in docs[:25]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, endings, bounds = lm.token_stream(raw, np.array([0, len(raw)]))
+        c = model.heads.of_suffix[endings]
+        rows, members = lm.context_rows(h, c, bounds, model.shape)
+        total = 0.0
+        for t in range(len(h)):
+            p = softmax([sum(float(model.w[x, k]) for x in rows[:, t]) for k in range(lm.CLASSES)])[c[t]]
+            open_members = np.flatnonzero(model.heads.closed[c[t]] == 0)
+            if len(open_members) > 1:
+                p *= softmax([sum(float(model.u[x, m]) for x in members[:, t]) for m in open_members])[open_members.tolist().index(heads.get(int(h[t]), 0))]
+            if int(h[t]) not in heads and c[t] != lm.ENDING:
+                p *= (count.get(int(h[t]), 0) + 1) / 10 ** model.rest[c[t]]
+            total += math.log10(p)
+        assert got[i] == pytest.approx(total, rel=1e-4)
+    again = {x.doc_id: x.score for x in lm.score_texts(texts(spark, docs).repartition(7), shape=lm.Shape(members=5, hashed_bits=8)).collect()}
+    assert all(again[i] == pytest.approx(got[i], rel=1e-5) for i in got)  # file layout changes nothing
+
+
+def test_lm_contexts_in_parts():
+    r = np.random.default_rng(4)
+    h, c, bounds = r.integers(0, 2**63, 50, dtype=np.uint64), r.integers(0, 32, 50).astype(np.uint8), np.array([0, 1, 20, 23, 50])
+    whole = lm.context_rows(h, c, bounds, lm.Shape())
+    for a in range(0, 50, 7):
+        part = lm.context_rows(h, c, bounds, lm.Shape(), slice(a, a + 7))
+        assert all((x[:, a : a + 7] == y).all() for x, y in zip(whole, part, strict=True))
+
+
 def test_nearest_on_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
@@ -385,6 +656,29 @@ def test_nearest_ties_and_copies(spark):
         assert got[q] == [i for i in range(50, 72) if i != q][:20]
 
 
+@pytest.mark.parametrize(("n", "part_rows", "two"), [(1500, 1 << 17, False), (6000, 100, True)])
+def test_nearest_recall_at_two_sizes(spark, n, part_rows, two):
+    """One level of parts, and as many rows as need two."""
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(60, 16))
+    x = np.float32(centers[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 16))).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.levels(n, 8, part_rows, 256) == ((8, True) if two else (8, False))
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), parts=8, part_rows=part_rows, sample=3000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == -(-n // 20) and hit / (20 * len(got)) >= 0.9
+
+
+def test_parts_grow_with_rows():
+    assert [ann.levels(n, 32, 1 << 17, 256)[0] ** (1 + ann.levels(n, 32, 1 << 17, 256)[1]) for n in (10**5, 10**7, 10**9, 10**12)] == [32, 1024, 16384, 65536]
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(4).normal(size=(1000, 8))
     sizes = np.bincount(ann.balanced_parts(ann.neighbour_graph(x, 10), 16))

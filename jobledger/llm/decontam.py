@@ -2,12 +2,15 @@
 
 A window is ``window`` consecutive words of a benchmark item. From every window the least hash of its k-grams is a
 fingerprint, on both sides; two equal windows choose the same one, so every shared window shares a fingerprint at the
-same place. Fingerprints of documents are joined with those of items, and each hit is extended word by word; only
-extensions over a whole window count. Items with fewer words are one window of all their words.
+same place. Fingerprints of documents are joined with those of items; every window that a hit can extend to is looked up among the
+windows of the items and compared word by word, once for each place of the document however often its words repeat. Items with fewer
+words are one window of all their words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from jobledger.llm import textbytes as tb
 from jobledger.llm.appended import appended
+from jobledger.llm.shared import saved
 
 U64 = np.uint64
 TOP = np.iinfo(np.uint64).max
@@ -37,104 +41,115 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return most == grams
 
 
+class Windows:
+    """Distinct windows of one length: sorted hashes, a place of each in the items' words, and the items that hold it."""
+
+    def __init__(self, length: int, hashes: np.ndarray, places: np.ndarray, items: np.ndarray):
+        self.length = length
+        order = np.lexsort((items, hashes))
+        hashes, places, items = hashes[order], places[order], items[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])])
+        hashes, places, self.items = hashes[new], places[new], items[new]
+        self.begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        self.count = np.diff(np.append(self.begin, len(hashes)))
+        self.hashes, self.places = hashes[self.begin], places[self.begin]
+
+    def find(self, words: np.ndarray, at: np.ndarray, of_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of windows) of those of the places ``at`` where a window stands; words are compared one by one."""
+        h = tb.ngram_hashes_at(words, at, self.length)
+        n = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[n] == h
+        at, n = at[same], n[same]
+        same = np.ones(len(at), dtype=bool)
+        for j in range(self.length):
+            same &= words[at + j] == of_items[self.places[n] + j]
+        return at[same], n[same]
+
+    def holders(self, text: np.ndarray, n: np.ndarray, width: int, most: int = 1 << 20) -> np.ndarray:
+        """Distinct text * width + item over windows found in texts; about ``most`` are spelled out at a time."""
+        pair = np.unique(text * len(self.hashes) + n)
+        text, n = pair // len(self.hashes), pair % len(self.hashes)
+        cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(np.cumsum(self.count[n]) // most, prepend=-1)), [len(n)]])) if len(n) else [0]
+        out = np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            count = self.count[n[a:b]]
+            out = np.unique(np.concatenate([out, np.repeat(text[a:b], count) * width + self.items[tb.ragged(self.begin[n[a:b]], count)]]))
+        return out
+
+
 class ItemIndex:
-    """Fingerprints of a block of benchmark items: sorted hashes with item and place."""
+    """Fingerprints and windows of a block of benchmark items."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int, k: int):
         self.window, self.k, self.ids = window, k, [str(i) for i in ids]
-        column = pa.array([t or "" for t in texts], pa.large_string())
-        raw, offsets = tb.text_buffer(column)
+        raw, offsets = tb.text_buffer(pa.array([t or "" for t in texts], pa.large_string()))
         starts, ends, first = tb.word_bounds(raw, offsets, tb.ALNUM_WORDS)
         self.words = tb.word_hashes(raw, starts, ends)
-        self.first = first[:-1]
         sizes = np.diff(first)
-        span = window - k + 1
-        long_h, long_item, long_at = [], [], []
-        shorts: dict[int, tuple[list, list]] = {}
-        for i, (at, n) in enumerate(zip(first[:-1], sizes, strict=True)):
-            words = self.words[at : at + n]
+        prints = []
+        at: dict[int, list[np.ndarray]] = {}
+        item: dict[int, list[np.ndarray]] = {}
+        for i, (begin, n) in enumerate(zip(first[:-1], sizes, strict=True)):
+            if n:
+                length = min(int(n), window)
+                at.setdefault(length, []).append(begin + np.arange(n - length + 1))
+                item.setdefault(length, []).append(np.full(n - length + 1, i))
             if n >= window:
-                grams = tb.ngram_hashes(words, k)
-                chosen = np.flatnonzero(winnow(grams, span))
-                long_h.append(grams[chosen])
-                long_item.append(np.full(len(chosen), i))
-                long_at.append(chosen)
-            elif n:
-                h, who = shorts.setdefault(int(n), ([], []))
-                h.append(tb.ngram_hashes(words, int(n))[0])
-                who.append(i)
-        #: (words compared, sorted hashes, items, places in the item); short items have place 0
-        self.tables = []
-        if long_h:
-            self.tables.append((k, *self._sorted(np.concatenate(long_h), np.concatenate(long_item), np.concatenate(long_at))))
-        for n, (h, who) in sorted(shorts.items()):
-            self.tables.append((n, *self._sorted(np.array(h, dtype=U64), np.array(who), np.zeros(len(who), np.int64))))
-        self.has_long = bool(long_h)
+                grams = tb.ngram_hashes(self.words[begin : begin + n], k)
+                prints.append(np.unique(grams[winnow(grams, window - k + 1)]))
+        #: by length; those of ``window`` words are found by fingerprints, shorter ones directly
+        self.tables = {n: Windows(n, tb.ngram_hashes_at(self.words, np.concatenate(at[n]), n), np.concatenate(at[n]), np.concatenate(item[n])) for n in sorted(at)}
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, U64)
+        self.seen = {n: self._seen(t.hashes) for n, t in self.tables.items()} | {0: self._seen(self.prints)}
 
     @staticmethod
-    def _sorted(h, item, at):
-        order = np.argsort(h, kind="stable")
-        h = h[order]
+    def _seen(h: np.ndarray) -> np.ndarray:
         seen = np.zeros(1 << _BITS, dtype=bool)
         seen[(h >> U64(64 - _BITS)).astype(np.int64)] = True
-        return h, item[order], at[order], seen
+        return seen
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, item) of window occurrences in the words of texts; first: n + 1 offsets of the texts' words."""
-        out = []
+        """(begins, ends) of window occurrences in the words of texts, and distinct text * items + item of what they belong to.
+
+        first: n + 1 offsets of the texts' words.
+        """
+        begins, ends, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for t, (n, h, item, at, seen) in enumerate(self.tables):
-            grams = tb.ngram_hashes(words, n)
-            if len(grams) == 0:
-                continue
-            crossing = text_of[: len(grams)] != text_of[n - 1 :]
-            if t == 0 and self.has_long:
-                grams[crossing] = TOP
-                picked = winnow(grams, self.window - self.k + 1) & ~crossing
-            else:
-                picked = ~crossing
-            picked &= seen[(grams >> U64(64 - _BITS)).astype(np.int64)]
-            q = np.flatnonzero(picked)
-            lo, hi = np.searchsorted(h, grams[q], "left"), np.searchsorted(h, grams[q], "right")
-            q, slot = np.repeat(q, hi - lo), tb.ragged(lo, hi - lo)
-            if len(q) == 0:
-                continue
-            if t == 0 and self.has_long:
-                begin, who = self._extended(words, text_of, q, item[slot], at[slot])
-                out.append((begin, begin + self.window, who))
-            else:
-                who = item[slot]
-                same = np.ones(len(q), dtype=bool)
-                for j in range(n):
-                    same &= words[q + j] == self.words[self.first[who] + j]
-                out.append((q[same], q[same] + n, who[same]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def _extended(self, words, text_of, q, item, at):
-        """Windows around fingerprint hits whose words all agree: begins in the text, items."""
-        w, k = self.window, self.k
-        reach = w - k
-        sizes = np.diff(np.append(self.first, len(self.words)))
-        offset = np.arange(-reach, w)
-        d, i = q[:, None] + offset, at[:, None] + offset
-        inside = (d >= 0) & (d < len(words)) & (i >= 0) & (i < sizes[item][:, None])
-        d, i = np.clip(d, 0, len(words) - 1), np.clip(i, 0, None)
-        inside &= text_of[d] == text_of[q][:, None]
-        place = np.minimum(self.first[item][:, None] + i, len(self.words) - 1)
-        same = inside & (words[d] == self.words[place])
-        run = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
-        full = run[:, w:] - run[:, :-w] == w
-        row, col = np.nonzero(full)
-        return q[row] + offset[col], item[row]
+        for n, table in self.tables.items():
+            at = self._candidates(words, text_of) if n == self.window else self._all(words, text_of, n)
+            at, which = table.find(words, at, self.words)
+            begins.append(at)
+            ends.append(at + n)
+            held.append(table.holders(text_of[at], which, max(1, len(self.ids))))
+        return np.concatenate(begins), np.concatenate(ends), np.unique(np.concatenate(held))
+
+    def _all(self, words: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+        grams = tb.ngram_hashes(words, n)
+        return np.flatnonzero(self.seen[n][(grams >> U64(64 - _BITS)).astype(np.int64)] & (text_of[: len(grams)] == text_of[n - 1 :])) if len(grams) else np.zeros(0, np.int64)
+
+    def _candidates(self, words: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+        """Begins of the windows around fingerprints of the texts that items have too."""
+        grams = tb.ngram_hashes(words, self.k)
+        if len(grams) == 0 or len(words) < self.window:
+            return np.zeros(0, np.int64)
+        crossing = text_of[: len(grams)] != text_of[self.k - 1 :]
+        grams[crossing] = TOP
+        picked = winnow(grams, self.window - self.k + 1) & ~crossing
+        q = np.flatnonzero(picked & self.seen[0][(grams >> U64(64 - _BITS)).astype(np.int64)])
+        q = q[self.prints[np.minimum(np.searchsorted(self.prints, grams[q]), len(self.prints) - 1)] == grams[q]]
+        around = np.zeros(len(words) + 1, np.int64)
+        np.add.at(around, np.maximum(q - (self.window - self.k), 0), 1)
+        np.add.at(around, q + 1, -1)
+        at = np.flatnonzero(np.cumsum(around[:-1]) > 0)
+        at = at[at + self.window <= len(words)]
+        return at[text_of[at] == text_of[at + self.window - 1]]
 
 
 def _scan(index: ItemIndex):
     def make(raw, offsets):
         starts, ends, first = tb.word_bounds(raw, offsets, tb.ALNUM_WORDS)
         words = tb.word_hashes(raw, starts, ends)
-        begin, end, item = index.matches(words, first)
+        begin, end, held = index.matches(words, first)
         n = len(first) - 1
         cover = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(cover, begin, 1)
@@ -150,45 +165,71 @@ def _scan(index: ItemIndex):
         text = np.searchsorted(first, a, "right") - 1
         span_at = np.searchsorted(a, first).astype(np.int32)
         spans = pa.StructArray.from_arrays([pa.array(a - first[text], pa.int64()), pa.array(b - first[text], pa.int64())], names=["begin", "end"])
-        whose = np.searchsorted(first, begin, "right") - 1
-        pairs = np.unique(np.stack([whose, item], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
-        item_at = np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32)
-        items = pa.array([index.ids[i] for i in pairs[:, 1]], pa.string())
+        width = max(1, len(index.ids))
+        item_at = np.searchsorted(held // width, np.arange(n + 1)).astype(np.int32)
+        items = pa.array([index.ids[i] for i in held % width], pa.string())
         return [pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(span_at, spans), pa.ListArray.from_arrays(item_at, items)]
 
     return make
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
+FOUND = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+
+
+def _count_words(raw, offsets):
+    return [pa.array(np.diff(tb.word_bounds(raw, offsets, tb.ALNUM_WORDS)[2]), pa.int64())]
+
+
+def item_blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """``items`` in blocks of at most ``block_bytes`` of text each; a longer item stands alone or with few others."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= block_bytes:
+        return [items]
+    blocks = 2 * -(-total // block_bytes)
+    number = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for _ in range(8):
+        sizes = items.groupBy(number().alias("b")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"))
+        if sizes.where((F.col("bytes") > block_bytes) & (F.col("longest") <= block_bytes)).isEmpty():
+            break
+        blocks *= 2
+    return [items.where(number() == b) for b in range(blocks)]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
     """``docs(text, ...)`` and ``benchmark(item_id, text)`` -> row (struct of the input's columns, or of ``keep``), n_words, n_hit, spans, items.
 
     Words are lower-cased runs of digits, letters and non-ASCII characters. A word is hit if it lies inside an
     occurrence of a window of some item; spans are the maximal runs of hit words (begin, end), items the sorted distinct
     item_ids, as strings, with windows in the text. Null, empty and wordless texts have no words and no hits; null and
-    wordless items have no window; repeated items are found each for itself. A null item_id reads "None".
+    wordless items have no window; repeated rows of the benchmark count once. A null item_id reads "None".
 
     The benchmark is small against the corpus but may grow: it is indexed in blocks of at most ``block_bytes`` of text
-    (a longer item stands alone), whose size is summed before anything is gathered, and each block is sent to the
-    executors in turn. Every text meets every block; texts are not shuffled.
+    (a longer item makes a larger one), whose size is summed before anything is gathered. One block is a single pass
+    over the texts, which aren't shuffled. Several are scanned one after the other, one job and one resident index each; their
+    hits are tables in the shared folder, keyed by 128 bits of the text, and meet the texts in one join.
     """
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
-    out, named = docs, keep
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = part.orderBy("item_id").collect()
-        index = ItemIndex([r[0] for r in rows], [r[1] for r in rows], window, k)
-        if b == 0:
-            out = appended(out, _scan(index), "n_words long, spans array<struct<begin:long,end:long>>, items array<string>", keep=None if blocks > 1 else named)
-        else:
-            flat = out.withColumn("text", F.col("row.text"))
-            more = appended(flat, _scan(index), "n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
-            out = more.select("row.row", "n_words", F.concat("row.spans", "spans").alias("spans"), F.concat("row.items", "items").alias("items"))
-    if blocks > 1:
-        out = out.withColumn("spans", _merged(F.col("spans")))
-        if named is not None:
-            out = out.withColumn("row", F.struct(*[F.col(f"row.`{c}`") for c in named]))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    blocks = item_blocks(items, block_bytes)
+
+    def index(part: DataFrame) -> ItemIndex:
+        rows = part.orderBy("item_id", "text").collect()
+        return ItemIndex([r[0] for r in rows], [r[1] for r in rows], window, k)
+
+    if len(blocks) == 1:
+        out = appended(docs, _scan(index(blocks[0])), FOUND, keep=keep)
+    else:
+        key = lambda c: [F.xxhash64(c).alias("ta"), F.xxhash64(c, F.lit(7)).alias("tb")]
+        texts = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''")
+        hits = []
+        for part in blocks:
+            scanned = appended(texts, _scan(index(part)), FOUND, keep=["text"]).where(F.size("items") > 0)
+            hits.append(saved(scanned.select(*key("row.text"), "spans", "items").dropDuplicates(["ta", "tb"])))
+        found = reduce(DataFrame.union, hits).groupBy("ta", "tb").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row from each block
+        counted = appended(docs, _count_words, "n_words long").select("row", "n_words", F.xxhash64(F.col("row.text").cast("string")).alias("da"), F.xxhash64(F.col("row.text").cast("string"), F.lit(7)).alias("db"))
+        met = counted.join(found, (F.col("da") == F.col("ta")) & (F.col("db") == F.col("tb")), "left")
+        none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+        row = F.col("row") if keep is None else F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep])
+        out = met.select(row.alias("row"), "n_words", F.coalesce(_merged(F.col("spans")), none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
     return out.select("row", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 

@@ -3,11 +3,14 @@
 A bounded sample gives a neighbour graph, which recursive bisection cuts into equal parts (spectral order, then
 balanced swaps that lower the cut). A softmax classifier learns which parts a vector's neighbours lie in. It places
 every row of the table in its likeliest part and routes each query to its several likeliest ones, where all rows are
-scored in double precision.
+scored in double precision. Parts grow in number with the rows: where they would be too large, each is parted once more by a
+classifier of its own, and queries are routed in two steps.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobledger.llm.labelled import hash_sample
+from jobledger.llm.shared import saved
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -133,41 +137,107 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.size("vec") == (usual["n"] if usual else 0))
 
 
-def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: int = 32, sample: int = 8192, block_rows: int = 16_384) -> DataFrame:
+@dataclass
+class Tree:
+    """Routers of one or two levels. A leaf's number is its part's number times ``width`` plus its place in it."""
+
+    top: Router
+    width: int
+    inner: dict[int, Router]
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        part = self.top.likeliest(x, 1)[:, 0]
+        out = part * self.width
+        for p in np.unique(part):
+            if p in self.inner:
+                rows = np.flatnonzero(part == p)
+                out[rows] += self.inner[p].likeliest(x[rows], 1)[:, 0]
+        return out
+
+    def probes(self, x: np.ndarray) -> list[np.ndarray]:
+        """The leaves to look into for each vector."""
+        found: list[list[np.ndarray]] = [[] for _ in x]
+        parts = self.top.likeliest(x, self.top.probes)
+        for p in np.unique(parts):
+            rows = np.flatnonzero((parts == p).any(axis=1))
+            inside = self.inner[p].likeliest(x[rows], self.inner[p].probes) if p in self.inner else np.zeros((len(rows), 1), np.int64)
+            for row, leaves in zip(rows, inside, strict=True):
+                found[row].append(p * self.width + leaves)
+        return [np.concatenate(f) for f in found]
+
+
+def levels(rows: int, parts: int, part_rows: int, most_parts: int) -> tuple[int, bool]:
+    """(parts of a level, a power of two; two levels?) for so many rows."""
+    leaves = -(-rows // part_rows)
+    return (parts, False) if leaves <= parts else (min(most_parts, max(parts, 1 << math.isqrt(leaves - 1).bit_length())), True)
+
+
+def fit_tree(entries: DataFrame, parts: int, part_rows: int, most_parts: int, sample: int) -> Tree | None:
+    """A router fitted on ``sample`` of the ``entries(vec, h, g)``, and where parts are large one for each on a sample of its rows."""
+    width, two = levels(entries.count(), parts, part_rows, most_parts)
+    chosen = hash_sample(entries.select("vec", "h", "g"), sample, "h", "g").select("vec").toPandas()
+    if chosen.empty:
+        return None
+    top = fit_router(np.stack(chosen["vec"].to_list()), width)
+    if not two:
+        return Tree(top, 1, {})
+
+    def homes(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(part=top.likeliest(np.stack(batch["vec"].to_list()), 1)[:, 0].astype(np.int32))
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["h", "g"])
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "router": [pickle.dumps(fit_router(np.stack(group["vec"].to_list()), width))]})
+
+    placed = saved(entries.select("vec", "h", "g").mapInPandas(homes, "vec array<double>, h long, g long, part int"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))  # a number for each of at most ``most_parts`` parts
+    few = placed.join(F.broadcast(sizes), "part").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("rows")).drop("rows")
+    inner = {r["part"]: pickle.loads(r["router"]) for r in few.groupBy("part").applyInPandas(learn, "part int, router binary").collect()}  # noqa: S301  what this job has made
+    return Tree(top, width, inner)
+
+
+def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: int = 32, sample: int = 8192, block_rows: int = 16_384, part_rows: int = 131_072, most_parts: int = 256) -> DataFrame:
     """``embeddings(vec_id, embedding)`` -> query_id, rank, vec_id, score: the ``top`` nearest found of each query, by inner product.
 
     Queries are the rows whose vec_id is divisible by ``query_step``; candidates are all other rows. Vectors that are null,
     zero, hold null or non-finite components or have an unusual length take no part. Equal vectors are one entry with
     its ``top`` + 1 smallest ids, which is all that can be returned of them; ties go to the smaller vec_id. Rows that
-    repeat a vec_id with the same vector count once. The router is fitted on ``sample`` vectors at most; every row is
-    indexed. A part is scored in blocks of about ``block_rows`` rows, so a popular part still spreads.
+    repeat a vec_id with the same vector count once.
+
+    Each router is fitted on ``sample`` vectors or about as many; every row is indexed. There are ``parts`` parts, or beyond
+    ``part_rows`` rows for each about rows / ``part_rows`` in two levels of up to ``most_parts`` each, whose routers (at most ``most_parts`` + 1) all tasks get.
+    A part is scored in blocks of about ``block_rows`` rows, so a popular part still spreads, and a query's work follows the rows of
+    the parts it probes.
     """
     spark = embeddings.sparkSession
     rows = usable_vectors(embeddings).withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(3), "vec"))
     same = Window.partitionBy("h", "g").orderBy("vec_id")
     # distinct vectors: dense_rank bounds what is kept of each before the shuffle
     few = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= top + 1)
-    entries = few.groupBy("h", "g").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    chosen = hash_sample(entries.select("vec", "h", "g"), sample, "h", "g").select("vec").toPandas()
-    if chosen.empty:
+    entries = saved(few.groupBy("h", "g").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    tree = fit_tree(entries, parts, part_rows, most_parts, sample)
+    if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = fit_router(np.stack(chosen["vec"].to_list()), parts)
 
-    def routed(width: int, names: list[str]):
-        def run(batches):
-            for batch in batches:
-                if len(batch):
-                    to = router.likeliest(np.stack(batch["vec"].to_list()), width)
-                    yield batch.assign(part=list(to.astype(np.int32)))[names]
+    def indexed(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(part=tree.homes(np.stack(batch["vec"].to_list())).astype(np.int32))
 
-        return run
+    def routed(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(parts=[p.astype(np.int32) for p in tree.probes(np.stack(batch["vec"].to_list()))])
 
-    placed = entries.select("vec", "ids").mapInPandas(routed(1, ["vec", "ids", "part"]), "vec array<double>, ids array<long>, part array<int>").select("vec", "ids", F.col("part")[0].alias("part"))
-    # a few numbers for each of at most ``parts`` parts
+    placed = entries.select("vec", "ids").mapInPandas(indexed, "vec array<double>, ids array<long>, part int")
+    # a number for each of at most ``most_parts`` ** 2 parts
     blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     index = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int"))
     asked = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.first("vec").alias("vec"))
-    queries = asked.mapInPandas(routed(router.probes, ["vec_id", "vec", "part"]), "vec_id long, vec array<double>, part array<int>").select("vec_id", "vec", F.explode("part").alias("part"))
+    queries = asked.mapInPandas(routed, "vec_id long, vec array<double>, parts array<int>").select("vec_id", "vec", F.explode("parts").alias("part"))
     q_blocks = blocks.toDF("q_part", "q_blocks")
     queries = queries.join(F.broadcast(q_blocks), F.col("part") == F.col("q_part")).select("vec_id", "vec", F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
     found = queries.groupBy("q_part", "q_block").cogroup(index.groupBy("part", "block")).applyInPandas(_rerank(top), "query_id long, vec_id long, score double")

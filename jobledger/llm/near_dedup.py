@@ -184,7 +184,7 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
 
 
 def _verify(percent: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(b, dtype=U64) for b in group["shingles"]]
         links = linked_forest(group["doc_id"].to_numpy(), sets, group["side"].to_numpy(), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -195,7 +195,7 @@ def _verify(percent: int):
 def _partners(least: int):
     """Sketches of a task -> those that agree with another one in ``least`` coordinates and more."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["coords"]), np.uint8).reshape(len(group), -1)
         side = group["side"].to_numpy()
         both = bool(side.any() and not side.all())

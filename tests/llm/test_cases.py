@@ -135,6 +135,30 @@ def test_words_in_pieces_are_the_same(monkeypatch):
     assert sorted(zip(*toxicity.occurrences(raw, offsets)[:2], strict=True)) == found
 
 
+def test_a_long_text_needs_a_small_multiple_of_its_size():
+    """What each operator holds while it works on one text of 6 MB, in multiples of the text."""
+    r = random.Random(16)
+    common = [w + str(i) for w in WORDS for i in range(50)]
+    text = " ".join(r.choices(common, k=900_000))[: 6 << 20]
+    raw, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 6 << 20])
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text]), pa.array([0], pa.int64())], names=["doc_id", "text", "tag"])
+    asked = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([0], pa.int32()), pa.array([text])], names=["doc_id", "tag", "text"])
+    index = decontam.ItemIndex([1], [" ".join(common[:200])], 10, 5)
+    words = toxicity.Vocabulary(np.sort(np.array([textbytes.hash_word(w) for w in common[:50]], np.uint64)))
+    textbytes.powers(10), textbytes.powers(10, inverse=True)  # tables that stay
+    work = {
+        "toxicity": (lambda: words.rows(raw, offsets), 30), "near_dedup": (lambda: list(near_dedup._sketch_rows(5, 51, 8)([batch])), 25), "quality": (lambda: quality.features(raw, offsets), 25),
+        "passages": (lambda: list(substring_dedup._ask(substring_dedup.Shape())([asked])), 25), "decontamination": (lambda: decontam._scan(index)(raw, offsets), 25), "language model": (lambda: lm.token_stream(raw, offsets), 20),
+    }
+    peaks = {}
+    for name, (f, _) in work.items():
+        tracemalloc.start()
+        f()
+        peaks[name] = tracemalloc.get_traced_memory()[1] / len(raw)
+        tracemalloc.stop()
+    assert all(peaks[name] < most for name, (_, most) in work.items()), peaks
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**63, 900, dtype=np.uint64))

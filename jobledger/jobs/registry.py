@@ -481,13 +481,13 @@ _LOCK_KEYS = f"[sha256(q || ':' || job_type || ':' || payload), 'v1:' || sha256(
 
 
 @query(sql.over(sql.REQUESTS, _DUAL, f"""SELECT lock_key, max(until) AS expires_at FROM (SELECT lock_key, until FROM lk
-  UNION ALL SELECT unnest({_LOCK_KEYS}) AS lock_key, t + ttl FROM d JOIN n USING (seq) WHERE accepted) GROUP BY lock_key HAVING max(until) > 1706745600000"""))
+  UNION ALL SELECT unnest({_LOCK_KEYS}) AS lock_key, t + ttl FROM d JOIN n USING (seq) WHERE accepted) GROUP BY lock_key HAVING max(until) > 1706572800000"""))
 def live_locks(spark, sf):
     """Locks that stand after the gate has run, at a moment of the log."""
     d = fx.requests(spark, sf)
     key = scalar.legacy_unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"))
     locks = d.where("seq % 200 = 0").groupBy(key.alias("lock_key")).agg((F.max(F.unix_millis("time")) + 3_600_000).alias("expires_at"))
-    return unique.unique_gate_dual(d, locks, 1_706_745_600_000, KEY_PREFIX)[1]
+    return unique.unique_gate_dual(d, locks, 1_706_572_800_000, KEY_PREFIX)[1]
 
 
 @query(sql.over(sql.REQUESTS, _GATE, "SELECT d.seq, CASE WHEN reason IS NOT NULL THEN 'enqueue_rejected' WHEN accepted THEN 'enqueue_accepted' ELSE 'enqueue_duplicate' END AS kind, q AS queue, job_type, coalesce(max_retry, 0) AS max_retry, delay_ms > 0 AS scheduled FROM d JOIN u USING (seq)"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
@@ -23,7 +23,10 @@ def normalize_events(events: DataFrame) -> DataFrame:
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:
-    """One row for each event_id, the first by (time, seq). An aggregation, so repeats meet before the shuffle."""
-    others = [c for c in events.columns if c not in ("event_id", "time", "seq")]
-    first = F.min(F.struct("time", "seq", *others)).alias("e")
-    return events.groupBy("event_id").agg(first).select(*[F.col("event_id") if c == "event_id" else F.col(f"e.{c}") for c in events.columns])
+    """One row for each event_id, the first by (time, seq).
+
+    Spark keeps the first of each id in a partition before the shuffle, so repeats of a hot id meet there, and columns that
+    nothing later needs are neither read nor shuffled.
+    """
+    first = Window.partitionBy("event_id").orderBy("time", "seq")
+    return events.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")

@@ -1,8 +1,9 @@
 """Scoring texts with a hashed maximum-entropy language model.
 
-P(word | context) = P(class | context) * P(member | class, context) * P(word | member). A word's class comes from its
+P(word | context) = P(class | context) * P(member | class, context) * P(group | class, context) * P(word | group). A word's class comes from its
 ending, so unseen words have one; endings are clustered by the endings that they stand beside. The most frequent words
-of a class are members of their own (:class:`Shape` says how many), all others share one member, within which a word has its smoothed training count. Both softmaxes sum weight rows of hashed features of the
+of a class are members of their own (:class:`Shape` says how many). All others share one member and fall into groups of the class by a hash, so that
+every word, known or not, is predicted from context; within its group a word has its smoothed training count. The softmaxes sum weight rows of hashed features of the
 context: word and word-pair n-grams, pairs of neighbouring classes, and pairs that skip two words. Every factor is normalised.
 
 Counting, training and scoring are separate passes over all documents:
@@ -29,7 +30,7 @@ from jobledger.llm import textbytes as tb
 from jobledger.llm.shared import saved
 
 U64 = np.uint64
-CLASSES = 32
+CLASSES, GROUPS = 32, 32
 ENDING, MARKS = 31, 30  # classes of the end of a text and of words without letters or digits
 SUFFIXES = 1024  # hashed word endings; the last two are those of the classes above
 END = U64(0x2545F4914F6CDD1D)
@@ -71,6 +72,11 @@ def token_stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, c, bounds
 
 
+def group_of(h: np.ndarray) -> np.ndarray:
+    """The group of each word that isn't a member of its own."""
+    return (tb.mix(h ^ U64(0x6A09E667F3BCC909)) >> U64(32)).astype(np.int64) * GROUPS >> 32
+
+
 def context_rows(h: np.ndarray, c: np.ndarray, bounds: np.ndarray, shape: Shape, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
     """Weight rows of the contexts of the tokens in ``part``, for classes (4 of them) and for members (2)."""
     begin, end, _ = part.indices(len(h))
@@ -148,41 +154,64 @@ class Heads:
 
 
 def _gathered(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[0]]
+    z = np.take(w, rows[0], axis=0)
     for r in rows[1:]:
-        z += w[r]
+        z += np.take(w, r, axis=0)
+    return z
+
+
+def _row_max(z: np.ndarray) -> np.ndarray:
+    """The largest of each row, by halving the columns."""
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        m = np.maximum(z[:, :half], z[:, half : 2 * half])
+        if z.shape[1] % 2:
+            m[:, 0] = np.maximum(m[:, 0], z[:, -1])
+        z = m
     return z
 
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _run_sums(g: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of runs of the rows of ``g`` in ``order``. Pairs of columns are added as complex numbers, which is twice as fast."""
+    x = np.take(g, order, axis=0)
+    if x.shape[1] % 2:
+        return np.add.reduceat(x, at, axis=0)
+    return np.add.reduceat(x.view(np.complex64), at, axis=0).view(np.float32)
+
+
 def _target_logs(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log softmax at each row's target; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    z -= _row_max(z)
     hit = z[np.arange(len(z)), target]
-    return hit - np.log(np.exp(z, out=z).sum(axis=1))
+    return hit - np.log(_row_sums(np.exp(z, out=z)))
 
 
 def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndarray, target: np.ndarray, rate: float) -> None:
     """A gradient step on a batch; each weight row has its own step size (AdaGrad by row)."""
-    z -= z.max(axis=1, keepdims=True)
+    z -= _row_max(z)
     g = np.exp(z, out=z)
-    g /= g.sum(axis=1, keepdims=True)
+    g /= _row_sums(g)[:, None]
     g[np.arange(len(g)), target] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
         sorted_rows = r[order]
         at = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         used = sorted_rows[at]
-        s = np.add.reduceat(g[order], at, axis=0)
+        s = _run_sums(g, order, at)
         seen[used] += np.einsum("ij,ij->i", s, s)
         w[used] -= rate * s / np.sqrt(seen[used])[:, None]
 
 
-def _train(heads: Heads, shape: Shape, start: tuple[np.ndarray, np.ndarray], batch_tokens: int, rate: float, blocks: int):
+def _train(heads: Heads, shape: Shape, start: tuple[np.ndarray, ...], batch_tokens: int, rate: float, blocks: int):
     """Texts of a shard -> its weights after one pass, with its tokens, in blocks."""
 
     def run(batches):
-        w, u = start[0].copy(), start[1].copy()
-        seen_w, seen_u = np.full(len(w), 1.0, np.float32), np.full(len(u), 1.0, np.float32)
+        w, u, v = (x.copy() for x in start)
+        seen_w, seen_u, seen_v = (np.full(len(x), 1.0, np.float32) for x in start)
         choice_of = heads.closed[:, 1] == 0
         tokens = 0
         for batch in batches:
@@ -195,13 +224,17 @@ def _train(heads: Heads, shape: Shape, start: tuple[np.ndarray, np.ndarray], bat
                     rows, members = context_rows(h, c, bounds, shape, part)
                     mine = c[part]
                     _step(w, seen_w, rows, _gathered(w, rows), mine.astype(np.int64), rate)
+                    member = heads.of(h[part])
                     own = np.flatnonzero(choice_of[mine])
                     if len(own):
                         z = _gathered(u, members[:, own]) + heads.closed[mine[own]]
-                        _step(u, seen_u, members[:, own], z, heads.of(h[part][own]), rate)
+                        _step(u, seen_u, members[:, own], z, member[own], rate)
+                    rest = np.flatnonzero((member == 0) & (mine != ENDING))
+                    if len(rest):
+                        _step(v, seen_v, members[:, rest], _gathered(v, members[:, rest]), group_of(h[part][rest]), rate)
                 tokens += len(h)
         if tokens:
-            cut = np.array_split(np.concatenate([w.reshape(-1), u.reshape(-1)]), blocks)
+            cut = np.array_split(np.concatenate([x.reshape(-1) for x in (w, u, v)]), blocks)
             task = [TaskContext.get().partitionId()] * blocks
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(task, pa.int32()), pa.array([tokens] * blocks, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in cut], pa.binary())], names=["block", "task", "tokens", "weights"])
 
@@ -284,11 +317,16 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "h": [h[at].tobytes()], "n": [np.add.reduceat(n, at).tobytes()], "c": [c[at].tobytes()]})
 
 
-def _ending_totals(batches):
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            n, c = np.frombuffer(r.n, np.int64), np.frombuffer(r.c, np.uint16)
-            yield pd.DataFrame({"c": np.arange(SUFFIXES), "tokens": np.bincount(c, weights=n, minlength=SUFFIXES).astype(np.int64), "words": np.bincount(c, minlength=SUFFIXES)})
+def _group_totals(of_suffix: np.ndarray):
+    """Tokens and words of each class and group in a bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                n, place = np.frombuffer(r.n, np.int64), of_suffix[np.frombuffer(r.c, np.uint16)].astype(np.int64) * GROUPS + group_of(np.frombuffer(r.h, U64))
+                yield pd.DataFrame({"place": np.arange(CLASSES * GROUPS), "tokens": np.bincount(place, weights=n, minlength=CLASSES * GROUPS).astype(np.int64), "words": np.bincount(place, minlength=CLASSES * GROUPS)})
+
+    return run
 
 
 def _frequent(of_suffix: np.ndarray, members: int):
@@ -312,17 +350,20 @@ class Model:
     shape: Shape
     w: np.ndarray
     u: np.ndarray
+    v: np.ndarray
     tokens: int  # N
     words: int  # V
-    rest: np.ndarray  # by class: log10 of (tokens + words + 1) that its common member covers
+    rest: np.ndarray  # by class and group: log10 of its (tokens + words + 1)
 
 
-def start_weights(tokens: np.ndarray, held: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Weights with which the softmaxes give the plain shares of classes and of their members, whatever the context."""
-    w, u = np.zeros((shape.class_rows, CLASSES), np.float32), np.zeros((shape.member_rows, shape.members), np.float32)
-    w[: CLASSES * CLASSES] = np.log((tokens + 1) / (tokens + 1).sum())
-    u[: CLASSES * CLASSES] = np.repeat(np.log((held + 1) / (held + 1).sum(axis=1, keepdims=True)), CLASSES, axis=0)
-    return w, u
+def start_weights(tokens: np.ndarray, held: np.ndarray, rest: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights with which the softmaxes give the plain shares of classes, of their members and of their groups, whatever the context."""
+    share = lambda x: np.log((x + 1) / (x + 1).sum(axis=-1, keepdims=True))
+    w, u, v = np.zeros((shape.class_rows, CLASSES), np.float32), np.zeros((shape.member_rows, shape.members), np.float32), np.zeros((shape.member_rows, GROUPS), np.float32)
+    w[: CLASSES * CLASSES] = share(tokens)
+    u[: CLASSES * CLASSES] = np.repeat(share(held), CLASSES, axis=0)
+    v[: CLASSES * CLASSES] = np.repeat(share(rest), CLASSES, axis=0)
+    return w, u, v
 
 
 def fit(texts: DataFrame, buckets: int, shards: int, shape: Shape, rounds: int = 1, batch_tokens: int = 8192, rate: float = 0.3) -> tuple[Model, DataFrame]:
@@ -333,10 +374,9 @@ def fit(texts: DataFrame, buckets: int, shards: int, shape: Shape, rounds: int =
         beside[(-1 - r["bucket"]) * (SUFFIXES * SUFFIXES // BESIDE) + np.frombuffer(r["h"], np.int64)] = np.frombuffer(r["n"], np.int64)
     of_suffix = cluster_endings(beside.reshape(SUFFIXES, SUFFIXES))
     counts = counts.where("bucket >= 0")
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for c, t, v in counts.mapInPandas(_ending_totals, "c int, tokens long, words long").groupBy("c").agg(F.sum("tokens"), F.sum("words")).collect():
-        tokens[of_suffix[c]] += t
-        words[of_suffix[c]] += v
+    tokens, words = np.zeros((CLASSES, GROUPS), np.int64), np.zeros((CLASSES, GROUPS), np.int64)
+    for place, n, distinct in counts.mapInPandas(_group_totals(of_suffix), "place int, tokens long, words long").groupBy("place").agg(F.sum("tokens"), F.sum("words")).collect():  # a row for each class and group
+        tokens[divmod(place, GROUPS)], words[divmod(place, GROUPS)] = n, distinct
     best = Window.partitionBy("c").orderBy(F.desc("n"), "h")
     head = counts.mapInPandas(_frequent(of_suffix, shape.members), "h long, n long, c int").withColumn("m", F.row_number().over(best)).where((F.col("m") < shape.members) & (F.col("c") != ENDING) & (F.col("n") > 1)).toPandas()
     closed = np.full((CLASSES, shape.members), -1e9, dtype=np.float32)
@@ -344,26 +384,28 @@ def fit(texts: DataFrame, buckets: int, shards: int, shape: Shape, rounds: int =
     closed[head["c"], head["m"]] = 0
     by = np.argsort(head["h"].to_numpy(np.int64).view(U64))
     heads = Heads(of_suffix, head["h"].to_numpy(np.int64).view(U64)[by], head["m"].to_numpy(np.int64)[by], closed)
-    rest_tokens = tokens - np.bincount(head["c"], weights=head["n"], minlength=CLASSES).astype(np.int64)
-    rest_words = words - np.bincount(head["c"], minlength=CLASSES)
+    rest_tokens, rest_words = tokens.copy(), words.copy()
+    place = (head["c"].to_numpy(np.int64), group_of(head["h"].to_numpy(np.int64).view(U64)))
+    np.subtract.at(rest_tokens, place, head["n"].to_numpy(np.int64))
+    np.subtract.at(rest_words, place, 1)
     held = np.zeros((CLASSES, shape.members))
     held[head["c"], head["m"]] = head["n"]
-    held[:, 0] = rest_tokens
-    w, u = start_weights(tokens, held, shape)
+    held[:, 0] = rest_tokens.sum(axis=1)
+    weights = start_weights(tokens.sum(axis=1), held, rest_tokens, shape)
     if tokens.sum():
         place = F.xxhash64("doc_id", "text")
         dealt = texts.select("text", place.alias("place")).repartition(shards, "place").sortWithinPartitions("place").select("text")
         for _ in range(rounds):
             blocks = 16
-            mean = dealt.mapInArrow(_train(heads, shape, (w, u), batch_tokens, rate, blocks), AVERAGED)
+            mean = dealt.mapInArrow(_train(heads, shape, weights, batch_tokens, rate, blocks), AVERAGED)
             tasks = shards
             while tasks > FAN_IN:  # a tree, so that no task reads more than FAN_IN pieces of weights
                 mean = mean.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("block", "task").applyInPandas(_mean, AVERAGED)
                 tasks = -(-tasks // FAN_IN)
             mean = mean.groupBy("block").applyInPandas(_mean, AVERAGED).collect()
             flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])])
-            w, u = flat[: w.size].reshape(w.shape).copy(), flat[w.size :].reshape(u.shape).copy()
-    return Model(heads, shape, w, u, int(tokens.sum()), int(words.sum()), np.log10(rest_tokens + rest_words + 1.0)), counts
+            weights = tuple(x.reshape(w.shape).copy() for x, w in zip(np.split(flat, np.cumsum([w.size for w in weights])[:-1]), weights, strict=True))
+    return Model(heads, shape, *weights, int(tokens.sum()), int(words.sum()), np.log10(rest_tokens + rest_words + 1.0)), counts
 
 
 def _streams(group: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -429,7 +471,11 @@ def _token_scores(model: Model, h: np.ndarray, c: np.ndarray, bounds: np.ndarray
         part = slice(a, a + step)
         rows, members = context_rows(h, c, bounds, model.shape, part)
         mine, member = c[part], model.heads.of(h[part])
-        got = np.where((member > 0) | (mine == ENDING), 0.0, logs[part] - model.rest[mine])  # the end is the only one of its class
+        got = np.zeros(len(mine))
+        rest = np.flatnonzero((member == 0) & (mine != ENDING))  # the end is the only one of its class
+        if len(rest):
+            group = group_of(h[part][rest])
+            got[rest] = logs[part][rest] - model.rest[mine[rest], group] + _target_logs(_gathered(model.v, members[:, rest]), group) / np.log(10)
         got += _target_logs(_gathered(model.w, rows), mine.astype(np.int64)) / np.log(10)
         own = np.flatnonzero(choice_of[mine])
         if len(own):

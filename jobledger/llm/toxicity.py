@@ -2,7 +2,8 @@
 
 Features are words and word prefixes of 4, 5 and 6 bytes (a stem with any ending), as exact 64-bit hashes. A bounded
 vocabulary of those most associated with the label is kept, so unseen words can't collide with known ones. Grades:
-0 is not toxic; toxic training rows get 1, 2 or 3 by thirds of how much of such words they hold. One weight vector is
+0 is not toxic; labels tell no more, so toxic training rows get 1, 2 or 3 by thirds of how much wording they hold that the
+other half of the sample, not their own, associates with the label. One weight vector is
 shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta increasing. The result is the expected grade.
 """
 
@@ -118,12 +119,16 @@ def _associated(sample: DataFrame, most: int, least_docs: int) -> pd.DataFrame:
     return counted.withColumn("z", z).where((F.col("z") > LEAST_Z) & (F.col("pos") / p >= LEAST_LIFT * F.col("neg") / n)).orderBy(F.col("z").desc(), "h").limit(most).toPandas()
 
 
+def _vocabulary(found: pd.DataFrame) -> Vocabulary:
+    return Vocabulary(np.sort(found["h"].to_numpy(np.int64).view(U64)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1 << 15, least_docs: int = 5, where: str | None = None) -> Model:
     """A model from at most ``per_class`` rows of either label; what reaches the driver is bounded by ``per_class`` and ``most``."""
-    sample = labelled_sample(docs, labels, "toxic", per_class, where).select("text", "y").persist()
+    half = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)).cast("int")
+    sample = labelled_sample(docs, labels, "toxic", per_class, where).select("text", "y", half.alias("half")).persist()
     try:
-        found = _associated(sample, most, least_docs).sort_values("h", key=lambda c: c.to_numpy().view(U64))
-        words = Vocabulary(found["h"].to_numpy(np.int64).view(U64))
+        words, *others = (_vocabulary(_associated(part, most, least_docs)) for part in (sample, sample.where("half = 1"), sample.where("half = 0")))
 
         def rows(batches):
             for batch in batches:
@@ -131,9 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1
                 text, index, count, n_words = words.rows(raw, offsets)
                 at = np.searchsorted(text, np.arange(len(n_words) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (index, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n_words), *lists], names=["y", "n", "index", "count"])
+                amounts = np.stack([np.bincount(t, weights=np.log1p(n), minlength=len(n_words)) for t, _, n, _ in (v.rows(raw, offsets) for v in others)])
+                amount = amounts[np.asarray(batch.column(2)), np.arange(len(n_words))].astype(float)  # by the half that a text isn't in
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(amount), *lists], names=["y", "amount", "index", "count"])
 
-        kept = sample.mapInArrow(rows, "y int, n long, index array<int>, count array<int>").toPandas()
+        kept = sample.mapInArrow(rows, "y int, amount double, index array<int>, count array<int>").toPandas()
     finally:
         sample.unpersist()
     y = kept["y"].to_numpy(np.int64)
@@ -142,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1
     size = kept["index"].map(len).to_numpy()
     row = np.repeat(np.arange(len(kept)), size)
     index, count = np.concatenate(kept["index"].to_list()).astype(np.int64), np.concatenate(kept["count"].to_list())
-    amount = np.bincount(row, weights=np.log1p(count), minlength=len(kept))
+    amount = kept["amount"].to_numpy()
     cuts = np.quantile(amount[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, amount, "right"), 0)
     return Model(words, *_ordinal(row, index, np.log1p(count), grade, len(words.hashes)))

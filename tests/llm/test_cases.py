@@ -535,6 +535,16 @@ def test_toxicity_equals_a_plain_model(spark):
     assert (np.diff(model.thetas) > 0).all()
 
 
+def test_severity_follows_the_amount(spark):
+    r = random.Random(17)
+    bad = ["vile", "nastiest", "grim", "foul"]
+    docs = [(i, " ".join(r.choices(WORDS, k=30) + (r.choices(bad, k=1 + 4 * (i % 3)) if i % 2 else []))) for i in range(400)]
+    model = toxicity.fit(texts(spark, docs), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    got = {x.row.doc_id: x.severity for x in toxicity.score(texts(spark, docs), model).collect()}
+    means = [np.mean([got[i] for i, _ in docs if i % 2 and i % 3 == k]) for k in range(3)] + [np.mean([got[i] for i, _ in docs if i % 2 == 0])]
+    assert means[3] < means[0] < means[1] < means[2]
+
+
 def test_quality_equals_plain_features_and_ranking(spark):
     r = random.Random(15)
     docs = [(i, (" ".join(r.choices(WORDS, k=30)) + ".") if i % 2 else " ".join(r.choices(["BUY", "now!!", "click", "$$$"], k=30))) for i in range(80)]
@@ -572,7 +582,7 @@ def test_lm_on_odd_rows(spark):
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(2)
     shape = lm.Shape(members=9, hashed_bits=10)
-    w, u = rng.normal(size=(shape.class_rows, lm.CLASSES)).astype(np.float32), rng.normal(size=(shape.member_rows, shape.members)).astype(np.float32)
+    w, u, v = (rng.normal(size=size).astype(np.float32) for size in ((shape.class_rows, lm.CLASSES), (shape.member_rows, shape.members), (shape.member_rows, lm.GROUPS)))
     vocab = 200
     h = np.sort(rng.integers(0, 2**63, vocab, dtype=np.uint64))
     suffix = rng.integers(0, lm.SUFFIXES - 1, vocab)
@@ -585,12 +595,14 @@ def test_lm_is_a_distribution():
     head = lm.Heads(of, h[heads], np.ones(len(heads), np.int64), closed)
     rest = np.ones(vocab, dtype=bool)
     rest[heads] = False
-    tokens = np.bincount(c[rest], weights=count[rest], minlength=lm.CLASSES)
-    words = np.bincount(c[rest], minlength=lm.CLASSES)
-    model = lm.Model(head, shape, w, u, int(count.sum()), vocab, np.log10(tokens + words + 1))
+    place = c[rest].astype(int) * lm.GROUPS + lm.group_of(h[rest])
+    tokens = np.bincount(place, weights=count[rest], minlength=lm.CLASSES * lm.GROUPS).reshape(lm.CLASSES, -1)
+    words = np.bincount(place, minlength=lm.CLASSES * lm.GROUPS).reshape(lm.CLASSES, -1)
+    model = lm.Model(head, shape, w, u, v, int(count.sum()), vocab, np.log10(tokens + words + 1))
     total = 0.0
     context_h, context_c = h[[3, 5]], c[[3, 5]]
-    unseen = [(np.uint64(7 + k), k, 0) for k in range(lm.CLASSES - 1)]
+    strange = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    unseen = [(strange[lm.group_of(strange) == g][0], k, 0) for k in range(lm.CLASSES - 1) for g in range(lm.GROUPS)]  # one of each group
     for x, cls, n in [*zip(h, c, count, strict=True), *unseen, (lm.END, lm.ENDING, 1)]:
         hs, cs = np.append(context_h, x).astype(np.uint64), np.append(context_c, cls).astype(np.uint8)
         total += 10 ** lm._token_scores(model, hs, cs, np.array([0, 3]), np.log10(np.array([1, 1, n]) + 1.0))[2]
@@ -642,7 +654,9 @@ def test_lm_scores_equal_a_plain_model(spark):
             if len(open_members) > 1:
                 p *= softmax([sum(float(model.u[x, m]) for x in members[:, t]) for m in open_members])[open_members.tolist().index(heads.get(int(h[t]), 0))]
             if int(h[t]) not in heads and c[t] != lm.ENDING:
-                p *= (count.get(int(h[t]), 0) + 1) / 10 ** model.rest[c[t]]
+                group = lm.group_of(h[t : t + 1])[0]
+                p *= softmax([sum(float(model.v[x, g]) for x in members[:, t]) for g in range(lm.GROUPS)])[group]
+                p *= (count.get(int(h[t]), 0) + 1) / 10 ** model.rest[c[t], group]
             total += math.log10(p)
         assert got[i] == pytest.approx(total, rel=1e-4)
     again = {x.doc_id: x.score for x in lm.score_texts(texts(spark, docs).repartition(7), shape=lm.Shape(members=5, hashed_bits=8)).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import chat, quality, toxicity
+from jobledger.llm import chat, manifest, quality, toxicity
 from jobledger.llm.ann import nearest
 from jobledger.llm.decontam import decontaminate
 from jobledger.llm.line_dedup import dedupe_lines
@@ -171,6 +171,14 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT A
 FROM p LEFT JOIN m ON m.rank = p.rank AND m.start = p.start AND p.size > 0
 """
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, roots and proof of every document; proofs are folded again from rows of which a seventh is tampered with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = manifest.manifest(docs, forged={"n_chars": tampered}).withColumn("folded_root", manifest.folded(F.col("forged_leaf"), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -182,6 +190,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op13_manifest": op13_manifest,
 }
 ORACLES = {
     "op2_near_dedup": OP2_SQL,

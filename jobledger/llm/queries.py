@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import chat, manifest, quality, toxicity
+from jobledger.llm import chat, manifest, quality, spelling, toxicity
 from jobledger.llm.ann import nearest
 from jobledger.llm.decontam import decontaminate
 from jobledger.llm.line_dedup import dedupe_lines
@@ -171,6 +171,54 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT A
 FROM p LEFT JOIN m ON m.rank = p.rank AND m.start = p.start AND p.size > 0
 """
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven code points and more, of which some lost one, with their near words, form and root."""
+
+    def lose_one(doc: Column, run: Column) -> Column:
+        h = F.crc32(F.concat(doc, F.lit(":"), run).cast("binary"))
+        at = (h % F.char_length(run)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), alter=lose_one))
+
+
+#: CRC-32 of a list of bytes ``bs``, by the 256-entry table of the reflected polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+CRC = "xor(list_reduce(list_concat([4294967295], {bs}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12_SQL = (
+    r"""
+WITH tab AS ("""
+    + CRC_TABLE
+    + r"""),
+r AS (
+  SELECT doc, run, count(*) AS c FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, c, """
+    + CRC.format(bs="flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))")
+    + r""" AS h FROM r, tab),
+a AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM a WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (
+  SELECT DISTINCT a.word AS u, b.word AS v, b.n AS vn FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT x.word, w.word, w.n FROM x JOIN w ON w.word = x.less
+  UNION SELECT DISTINCT w.word, x.word, x.n FROM x JOIN w ON w.word = x.less),
+b AS (SELECT u, count(*)::BIGINT AS n_near, min(struct_pack(less := -vn, v := v)) AS best FROM p GROUP BY u),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * w.n THEN best.v END AS form,
+    (CASE WHEN -best.less >= 10 * w.n THEN -best.less END)::BIGINT AS form_n
+  FROM w LEFT JOIN b ON b.u = w.word),
+c AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM c JOIN f ON f.form = c.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word)
+"""
+).replace("WITH tab", "WITH RECURSIVE tab", 1)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle leaf, roots and proof of every document; proofs are folded again from rows of which a seventh is tampered with."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -179,6 +227,48 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+OP13_SQL = (
+    r"""
+WITH RECURSIVE tab AS ("""
+    + CRC_TABLE
+    + r"""),
+d AS (
+  SELECT doc_id, lang, text, source, n_chars,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE """
+    + CRC.format(bs="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")
+    + r""" END AS h FROM documents, tab),
+e AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n,
+    coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS m, coalesce(strlen(text) || ':' || text, '-') AS t, h FROM d),
+l AS (SELECT doc_id, lang, sha256(a || n || t) AS leaf, sha256(a || CASE WHEN h % 7 = 0 THEN m ELSE n END || t) AS forged FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, forged) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (
+  SELECT lang, 0 AS level, rank AS i, leaf AS digest, n FROM r
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, i // 2),
+s AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, rank AS i, digest, n FROM s
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2),
+st AS (
+  SELECT r.lang, r.rank, 0 AS stage, t.level, CASE WHEN o.i < t.i THEN o.digest ELSE '' END AS b, CASE WHEN o.i > t.i THEN o.digest ELSE '' END AS a
+  FROM r JOIN t ON t.lang IS NOT DISTINCT FROM r.lang AND t.i = r.rank >> t.level AND t.n > 1
+  LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM t.lang AND o.level = t.level AND o.i = xor(t.i, 1)
+  UNION ALL
+  SELECT r.lang, r.rank, 1, u.level, CASE WHEN o.i < u.i THEN o.digest ELSE '' END, CASE WHEN o.i > u.i THEN o.digest ELSE '' END
+  FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang JOIN u ON u.i = s.rank >> u.level AND u.n > 1
+  LEFT JOIN u o ON o.level = u.level AND o.i = xor(u.i, 1)),
+p AS (SELECT lang, rank, string_agg(coalesce(b, '') || coalesce(a, ''), '' ORDER BY stage, level) AS sibs, list(struct_pack(b := coalesce(b, ''), a := coalesce(a, '')) ORDER BY stage, level) AS steps FROM st GROUP BY lang, rank),
+f AS (
+  SELECT r.doc_id, r.leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256,
+    list_reduce(list_concat([struct_pack(b := r.forged, a := '')], coalesce(p.steps, [])), lambda x, y: struct_pack(b := sha256(y.b || x.b || y.a), a := '')).b AS folded_root
+  FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.rank = r.rank)
+SELECT *, folded_root = root AS verified FROM f
+"""
+)
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -190,6 +280,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op12_spelling": op12_spelling,
     "op13_manifest": op13_manifest,
 }
 ORACLES = {
@@ -198,4 +289,6 @@ ORACLES = {
     "op6_decontamination": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_spelling": OP12_SQL,
+    "op13_manifest": OP13_SQL,
 }

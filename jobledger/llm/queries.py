@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import chat, manifest, quality, spelling, toxicity
+from jobledger.llm import chat, manifest, pii, quality, spelling, toxicity
 from jobledger.llm.ann import nearest
 from jobledger.llm.decontam import decontaminate
 from jobledger.llm.line_dedup import dedupe_lines
@@ -171,6 +171,16 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT A
 FROM p LEFT JOIN m ON m.rank = p.rank AND m.start = p.start AND p.size > 0
 """
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: what the rules find, and all spans with the model's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.detect(docs, pii.fit(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("row.doc_id", *[count(k) for k in pii.KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of seven code points and more, of which some lost one, with their near words, form and root."""
 
@@ -280,6 +290,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_private": op11_private,
     "op12_spelling": op12_spelling,
     "op13_manifest": op13_manifest,
 }

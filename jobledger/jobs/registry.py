@@ -397,15 +397,24 @@ def list_jobs(spark, sf):
 
 
 @query(sql.over(sql.JOBS, """SELECT id, CASE WHEN s THEN 'pending' ELSE state END AS state, CASE WHEN s THEN 896659200000 ELSE available_at END AS available_at,
-  CASE WHEN s THEN coalesce(processing_token, 'jobs:recovered:v1') ELSE processing_token END AS processing_token, CASE WHEN s THEN 'recovered stale processing job' ELSE last_error END AS last_error, s AS recovered
+  CASE WHEN NOT s OR processing_token <> '' THEN processing_token ELSE 'jobs:recovered:v1' END AS processing_token, CASE WHEN s THEN 'recovered stale processing job' ELSE last_error END AS last_error, CASE WHEN s THEN 896659200000 ELSE updated_at END AS updated_at, s AS recovered
   FROM (SELECT *, state = 'processing' AND CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END AS s FROM j)"""))
 def recover_stale(spark, sf):
-    return jobtable.recover_stale(fx.jobs(spark, sf), AS_OF, MARKER).select("id", "state", "available_at", "processing_token", "last_error", "recovered")
+    return jobtable.recover_stale(fx.jobs(spark, sf), AS_OF, MARKER).select("id", "state", "available_at", "processing_token", "last_error", "updated_at", "recovered")
 
 
-@query(sql.over(sql.JOBS, "SELECT queue_name, id, 'processing' AS state, sha256(id || ':896659200000') AS processing_token FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY id) AS r FROM j WHERE state = 'pending' AND available_at <= 896659200000) WHERE r <= 100"))
+@query(sql.over(sql.JOBS, "SELECT queue_name, id, 'processing' AS state, sha256(id || ':896659200000') AS processing_token, 896659200000 AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY id) AS r FROM j WHERE state = 'pending' AND available_at <= 896659200000) WHERE r <= 100"))
 def claim_next(spark, sf):
-    return jobtable.claim_next(fx.jobs(spark, sf), AS_OF, 100).select("queue_name", "id", "state", "processing_token")
+    return jobtable.claim_next(fx.jobs(spark, sf), AS_OF, 100).select("queue_name", "id", "state", "processing_token", "updated_at")
+
+
+@query(sql.over(sql.JOBS, """r AS (SELECT *, state = 'processing' AND coalesce(CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END, false) AS s FROM j)""",
+  """c AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY queue_name ORDER BY id) AS r FROM r WHERE s OR (state = 'pending' AND available_at <= 896659200000)) WHERE r <= 100)""",
+  """SELECT id, CASE WHEN id IN (FROM c) THEN 'processing' WHEN s THEN 'pending' ELSE state END AS state, CASE WHEN id IN (FROM c) THEN sha256(id || ':896659200000') WHEN s AND coalesce(processing_token, '') = '' THEN 'jobs:recovered:v1' ELSE processing_token END AS processing_token,
+  CASE WHEN id IN (FROM c) THEN 896659200000 WHEN s THEN NULL ELSE processing_started_at END AS processing_started_at, CASE WHEN id IN (FROM c) OR s THEN 896659200000 ELSE updated_at END AS updated_at FROM r"""))
+def recover_and_claim(spark, sf):
+    """Stale jobs are recovered and may be claimed at once: the whole table afterwards."""
+    return jobtable.recover_and_claim(fx.jobs(spark, sf), AS_OF, 100, MARKER)[0].select("id", "state", "processing_token", "processing_started_at", "updated_at")
 
 
 @query(sql.over(sql.JOBS, "SELECT 'process_recovered' AS kind, '' AS queue, epoch_us(TIMESTAMP '1998-06-01') AS time_us FROM j WHERE state = 'processing' AND CASE WHEN coalesce(timeout_seconds, 0) > 0 THEN processing_started_at + timeout_seconds * 1000 + 2000 <= 896659200000 ELSE processing_started_at <= 896659200000 - 300000 END"))
@@ -414,20 +423,28 @@ def recovered_facts(spark, sf):
 
 
 _SETTLED = """st AS (SELECT j.*, CASE WHEN o.id IS NULL THEN NULL WHEN NOT o.failed THEN 'succeeded' WHEN o.error_class = 'uncommitted' THEN 'redeliver' WHEN o.error_class = 'permanent' OR attempt >= max_retry THEN 'failed' ELSE 'retry' END AS outcome, o.error AS o_error
-  FROM j LEFT JOIN o ON o.id = j.id AND o.o_token = j.processing_token AND j.state = 'processing')"""
+  FROM j LEFT JOIN s1 o ON o.id = j.id)"""
 
 
 @query(sql.over(sql.JOBS, _SETTLED, """SELECT id, CASE WHEN outcome IN ('retry', 'redeliver') THEN 'pending' WHEN outcome = 'failed' THEN 'dead' ELSE state END AS state, CASE WHEN outcome IN ('retry', 'redeliver') THEN 896659200000 + backoff_millis ELSE available_at END AS available_at,
-  CASE WHEN outcome IN ('retry', 'failed') THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN outcome IS NOT NULL THEN o_error ELSE last_error END AS last_error FROM st WHERE outcome IS NULL OR outcome <> 'succeeded'"""))
+  CASE WHEN outcome IN ('retry', 'failed') THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN outcome IS NOT NULL THEN o_error ELSE last_error END AS last_error, CASE WHEN outcome IS NOT NULL THEN 896659200000 ELSE updated_at END AS updated_at FROM st WHERE outcome IS NULL OR outcome <> 'succeeded'"""))
 def settle_jobs(spark, sf):
     jobs = fx.jobs(spark, sf)
-    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[0].select("id", "state", "available_at", "attempt", "last_error")
+    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[0].select("id", "state", "available_at", "attempt", "last_error", "updated_at")
 
 
-@query(sql.over(sql.JOBS, "SELECT o.id, o.error FROM o ANTI JOIN j ON j.id = o.id AND j.processing_token = o.o_token AND j.state = 'processing'"))
+@query(sql.over(sql.JOBS, "SELECT o.id, o.seq, o.error FROM o ANTI JOIN s1 ON s1.seq = o.seq"))
 def unmatched_outcomes(spark, sf):
     jobs = fx.jobs(spark, sf)
-    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[1].select("id", "error")
+    return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[1].select("id", "seq", "error")
+
+
+@query(sql.over(sql.JOBS, "SELECT o.id, o.seq, 'settlement_failed' AS kind, coalesce(j.queue_name, '') AS queue, coalesce(j.job_type, '') AS job_type, o.error, epoch_us(TIMESTAMP '1998-06-01') AS time_us FROM o ANTI JOIN s1 ON s1.seq = o.seq LEFT JOIN j ON j.id = o.id AND j.state = 'processing'"))
+def settlement_failures(spark, sf):
+    """Facts of the outcomes that came too late or under a stale token; of jobs that are no longer running only the id is known."""
+    jobs = fx.jobs(spark, sf)
+    unmatched = jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[1]
+    return jobtable.settlement_failures(unmatched, jobs.where("state = 'processing'"), AS_OF).withColumn("time_us", F.unix_micros("time")).drop("time")
 
 
 @query(sql.over(sql.JOBS, _SETTLED, "SELECT id, 'process_archived' AS kind, queue_name AS queue, job_type, o_error AS error FROM st WHERE outcome = 'failed'"))
@@ -436,15 +453,16 @@ def archive_facts(spark, sf):
     return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[2]
 
 
-@query(sql.over(sql.JOBS, """k AS (SELECT id AS seq, id, queue_name AS queue, [NULL, 'retry', 'cancel', 'delete'][cust % 4 + 1] AS op FROM j WHERE id % 3 = 0 UNION ALL SELECT -1, NULL, 'low', 'clear')""",
-  """SELECT j.id, CASE l.op WHEN 'retry' THEN 'pending' WHEN 'cancel' THEN 'dead' ELSE state END AS state, CASE l.op WHEN 'retry' THEN 896659200000 ELSE available_at END AS available_at, CASE l.op WHEN 'retry' THEN NULL WHEN 'cancel' THEN 'canceled from queue admin' ELSE last_error END AS last_error
-  FROM j LEFT JOIN (SELECT id, max_by(op, seq) AS op FROM k WHERE op IN ('retry', 'cancel') GROUP BY id) l ON l.id = j.id WHERE queue_name <> 'low' AND j.id NOT IN (SELECT id FROM k WHERE op = 'delete')"""))
+@query(sql.over(sql.JOBS, """k0 AS (SELECT id * 2 AS seq, [NULL, 'retry', 'cancel', 'delete'][cust % 4 + 1] AS op, id, [queue_name, queue_name, 'other', queue_name, ''][cust % 5 + 1] AS queue FROM j WHERE id % 3 = 0
+    UNION ALL SELECT id * 2 + 1, ['cancel', 'retry', NULL][cust % 3 + 1], id, [queue_name, 'other'][cust % 7 % 2 + 1] FROM j WHERE id % 6 = 0)""",
+  """k AS (SELECT k0.seq, k0.op, k0.id FROM k0 JOIN j ON j.id = k0.id WHERE op = 'cancel' OR (op IN ('retry', 'delete') AND j.queue_name = CASE WHEN k0.queue = '' THEN 'default' ELSE k0.queue END))""",
+  """l AS (SELECT id, max_by(op, seq) FILTER (WHERE op <> 'delete') AS op, bool_or(op = 'retry') AS retried, bool_or(op = 'delete') AS gone FROM k GROUP BY id)""",
+  """SELECT j.id, CASE l.op WHEN 'retry' THEN 'pending' WHEN 'cancel' THEN 'dead' ELSE state END AS state, CASE WHEN l.retried THEN 896659200000 ELSE available_at END AS available_at, CASE l.op WHEN 'retry' THEN NULL WHEN 'cancel' THEN 'canceled from queue admin' ELSE last_error END AS last_error,
+  CASE WHEN l.op IS NULL THEN processing_token END AS processing_token, CASE WHEN l.op IS NULL THEN updated_at ELSE 896659200000 END AS updated_at
+  FROM j LEFT JOIN l ON l.id = j.id WHERE queue_name <> 'low' AND NOT coalesce(l.gone, false)"""))
 def apply_admin(spark, sf):
     jobs = fx.jobs(spark, sf)
-    op = fx.pick(F.col("cust") % 4, F.lit(None).cast("string"), "retry", "cancel", "delete")
-    commands = jobs.where("id % 3 = 0").select(F.col("id").alias("seq"), op.alias("op"), "id", F.col("queue_name").alias("queue")).where("op is not null")
-    clear = spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit("clear").alias("op"), F.lit(None).cast("long").alias("id"), F.lit("low").alias("queue"))
-    return jobtable.apply_admin(jobs, commands.union(clear), AS_OF).select("id", "state", "available_at", "last_error")
+    return jobtable.apply_admin(jobs, fx.admin_commands(jobs), AS_OF).select("id", "state", "available_at", "last_error", "processing_token", "updated_at")
 
 
 # --- unique gate ------------------------------------------------------------------------------------------------------
@@ -490,9 +508,12 @@ def live_locks(spark, sf):
     return unique.unique_gate_dual(d, locks, 1_706_572_800_000, KEY_PREFIX)[1]
 
 
-@query(sql.over(sql.REQUESTS, _GATE, "SELECT d.seq, CASE WHEN reason IS NOT NULL THEN 'enqueue_rejected' WHEN accepted THEN 'enqueue_accepted' ELSE 'enqueue_duplicate' END AS kind, q AS queue, job_type, coalesce(max_retry, 0) AS max_retry, delay_ms > 0 AS scheduled FROM d JOIN u USING (seq)"))
+@query(sql.over(sql.REQUESTS.replace("d AS (", "da AS (").replace(" FROM d0)", ", seq % 83 = 0 AS canceled FROM d0)"), "d AS (SELECT * FROM da WHERE reason IS NULL AND NOT canceled)", _GATE, """SELECT da.seq, CASE WHEN reason IS NOT NULL THEN 'enqueue_rejected' WHEN canceled THEN 'enqueue_canceled' WHEN accepted THEN 'enqueue_accepted' ELSE 'enqueue_duplicate' END AS kind, reason,
+  q AS queue, job_type, 'dsp_' || seq AS dispatch_id, coalesce(max_retry, 0) AS max_retry, delay_ms > 0 AS scheduled FROM da LEFT JOIN u USING (seq)"""))
 def admission_events(spark, sf):
-    return jobtable.admission_events(jobtable.validate_dispatch(unique.unique_gate(fx.requests(spark, sf), KEY_PREFIX)))
+    """Invalid requests, and those whose caller gave up (every 83rd), never reach the gate, so they hold no key."""
+    d = fx.requests(spark, sf).withColumns({"canceled": F.col("seq") % 83 == 0, "dispatch_id": F.concat(F.lit("dsp_"), F.col("seq").cast("string"))})
+    return jobtable.admission_events(d, KEY_PREFIX)
 
 
 # --- audits -----------------------------------------------------------------------------------------------------------

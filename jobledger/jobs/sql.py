@@ -36,10 +36,13 @@ d AS (SELECT *, CASE WHEN queue = '' THEN 'default' ELSE queue END AS q,
 JOBS = r"""
 j AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'emails' WHEN '3-MEDIUM' THEN 'default' WHEN '4-NOT SPECIFIED' THEN 'reports' ELSE 'low' END AS queue_name,
   'type-' || (o_custkey % 10) AS job_type, '{"c":' || o_custkey || '}' AS payload, CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 5) * 86400 END AS timeout_seconds, 2 AS max_retry, (o_orderkey % 4) * 250 AS backoff_millis, (o_orderkey % 3)::INT AS attempt,
-  epoch_ms(o_orderdate) AS available_at, CASE WHEN o_orderstatus = 'P' THEN epoch_ms(o_orderdate) + 1000 END AS processing_started_at, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 9 <> 0 THEN 'tok_' || o_orderkey END AS processing_token,
-  CASE WHEN o_orderstatus = 'F' THEN 'boom-' || (o_orderkey % 5) END AS last_error, CASE o_orderstatus WHEN 'P' THEN 'processing' WHEN 'F' THEN 'dead' ELSE 'pending' END AS state, o_custkey AS cust FROM orders),
+  epoch_ms(o_orderdate) AS available_at, CASE WHEN o_orderstatus = 'P' THEN epoch_ms(o_orderdate) + 1000 END AS processing_started_at, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 9 = 4 THEN '' WHEN o_orderstatus = 'P' AND o_orderkey % 9 <> 0 THEN 'tok_' || o_orderkey END AS processing_token,
+  CASE WHEN o_orderstatus = 'F' THEN 'boom-' || (o_orderkey % 5) END AS last_error, CASE o_orderstatus WHEN 'P' THEN 'processing' WHEN 'F' THEN 'dead' ELSE 'pending' END AS state, epoch_ms(o_orderdate) AS updated_at, o_custkey AS cust FROM orders),
 js AS (SELECT *, CASE WHEN state = 'processing' THEN 'active' WHEN state = 'dead' THEN 'archived' WHEN attempt > 0 THEN 'retry' WHEN available_at > 896659200000 THEN 'scheduled' ELSE 'pending' END AS derived FROM j),
-o AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'old' ELSE processing_token END AS o_token, cust % 4 <> 0 AS failed, [NULL, 'plain', 'permanent', 'uncommitted'][cust % 4 + 1] AS error_class, CASE WHEN cust % 4 <> 0 THEN 'err-' || id END AS error FROM j WHERE state = 'processing' AND id % 2 = 0)
+o0 AS (SELECT *, CASE WHEN id % 10 = 0 THEN 'old' ELSE processing_token END AS o_token, cust % 4 <> 0 AS f, 896659200000 - cust % 100 AS said FROM j WHERE state = 'processing' AND id % 2 = 0),
+o AS (SELECT id, o_token, f AS failed, [NULL, 'plain', 'permanent', 'uncommitted'][cust % 4 + 1] AS error_class, CASE WHEN f THEN 'err-' || id END AS error, said AS time, id * 2 AS seq FROM o0
+  UNION ALL SELECT id, o_token, NOT f, NULL, CASE WHEN NOT f THEN 'again-' || id END, said + [-1, 0, 1][id % 3 + cust % 3 + 1], id * 2 + 1 FROM o0 WHERE id % 3 = 0),
+s1 AS (SELECT o.* FROM o JOIN j ON j.id = o.id AND j.processing_token = o.o_token AND j.state = 'processing' QUALIFY row_number() OVER (PARTITION BY o.id, o.o_token ORDER BY o.time, o.seq) = 1)
 """
 
 BATCHES = r"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
 from jobledger.operators.stats import count_if
+from jobledger.operators.unique import unique_gate
 
 # Fixed values of the recovery rule: text, grace and lease.
 RECOVERED_TEXT = "recovered stale processing job"
@@ -91,7 +92,7 @@ def list_jobs(jobs: DataFrame, as_of_ms: int, queue: str = "", state: str = "",
 def recover_stale(jobs: DataFrame, as_of_ms: int, marker: str, grace_ms: int = GRACE_MS, lease_ms: int = LEASE_MS) -> DataFrame:
     """The job table with ``recovered``: running jobs past their timeout and grace, or without one past the lease, are pending again.
 
-    Those without a token get ``marker`` for one.
+    Those without a token, or with an empty one, get ``marker`` for one. A negative timeout is none.
     """
     timeout = F.coalesce(F.col("timeout_seconds"), F.lit(0))
     started = F.col("processing_started_at")
@@ -100,8 +101,8 @@ def recover_stale(jobs: DataFrame, as_of_ms: int, marker: str, grace_ms: int = G
     back = F.col("recovered")
     return rows.withColumns({
         "state": F.when(back, "pending").otherwise(F.col("state")), "available_at": F.when(back, F.lit(as_of_ms)).otherwise(F.col("available_at")),
-        "processing_token": F.when(back, F.coalesce("processing_token", F.lit(marker))).otherwise(F.col("processing_token")),
-        "processing_started_at": F.when(~back, started), "last_error": F.when(back, RECOVERED_TEXT).otherwise(F.col("last_error")),
+        "processing_token": F.when(back & (F.coalesce("processing_token", F.lit("")) == ""), F.lit(marker)).otherwise(F.col("processing_token")),
+        "processing_started_at": F.when(~back, started), "last_error": F.when(back, RECOVERED_TEXT).otherwise(F.col("last_error")), "updated_at": F.when(back, F.lit(as_of_ms)).otherwise(F.col("updated_at")),
     })
 
 
@@ -115,51 +116,88 @@ def claim_next(jobs: DataFrame, as_of_ms: int, n: int) -> DataFrame:
     due = jobs.where((F.col("state") == "pending") & (F.col("available_at") <= as_of_ms))
     first = due.withColumn("r", F.row_number().over(Window.partitionBy("queue_name").orderBy("id"))).where(F.col("r") <= n).drop("r")
     token = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(as_of_ms))), 256)
-    return first.withColumns({"state": F.lit("processing"), "processing_started_at": F.lit(as_of_ms), "processing_token": token})
+    return first.withColumns({"state": F.lit("processing"), "processing_started_at": F.lit(as_of_ms), "processing_token": token, "updated_at": F.lit(as_of_ms)})
+
+
+def recover_and_claim(jobs: DataFrame, as_of_ms: int, n: int, marker: str) -> tuple[DataFrame, DataFrame]:
+    """(the job table afterwards, the claimed rows): stale jobs are recovered first and can be claimed in the same step.
+
+    A recovered job keeps its old token until it is claimed anew, so an outcome reported under it no longer counts.
+    """
+    ready = recover_stale(jobs, as_of_ms, marker).drop("recovered")
+    claimed = claim_next(ready, as_of_ms, n)
+    return ready.join(claimed.select("id"), "id", "left_anti").select(*jobs.columns).unionByName(claimed.select(*jobs.columns)), claimed
 
 
 def settle_jobs(jobs: DataFrame, outcomes: DataFrame, as_of_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs after settling, outcomes that match no running job, archive facts).
+    """(jobs after settling, outcomes that settle nothing, archive facts).
 
-    An outcome counts only for the running row with its id and token: success removes the row; retry and redeliver make
-    it pending after its backoff, failure dead; attempts grow by one except on redelivery.
+    ``outcomes(id, processing_token, failed, error_class, error, time, seq)``; seq tells them apart. An outcome counts only for the running
+    row with its id and token, and of several with one id and token only the first in (time, seq) order, as the row is no longer
+    running then; the others are unmatched. Success removes the row; retry and redeliver make it pending after its backoff, failure dead;
+    attempts grow by one except on redelivery. Rows without a token match nothing. Reports of one run are combined before the shuffle.
     """
-    o = outcomes.select(F.col("id").alias("o_id"), F.col("processing_token").alias("o_token"), F.col("failed").alias("o_failed"), F.col("error_class").alias("o_class"), F.col("error").alias("o_error"), F.lit(True).alias("reported"))
-    met = jobs.join(o, (F.col("id") == F.col("o_id")) & (F.col("processing_token") == F.col("o_token")) & (F.col("state") == "processing"), "left")
-    met = met.withColumn("outcome", F.when(F.col("reported"), scalar.classify_attempt(F.col("attempt"), F.col("max_retry"), F.col("o_failed"), F.col("o_class"))))
+    told = F.struct("time", "seq", "failed", "error_class", "error")
+    first = outcomes.groupBy(F.col("id").alias("o_id"), F.col("processing_token").alias("o_token")).agg(F.min(told).alias("o"))
+    met = jobs.join(first, (F.col("id") == F.col("o_id")) & (F.col("processing_token") == F.col("o_token")) & (F.col("state") == "processing"), "left")
+    met = met.withColumn("outcome", F.when(F.col("o").isNotNull(), scalar.classify_attempt(F.col("attempt"), F.col("max_retry"), F.col("o.failed"), F.col("o.error_class"))))
     again, dead = F.col("outcome").isin("retry", "redeliver"), F.col("outcome") == "failed"
     kept = met.where("outcome is null or outcome <> 'succeeded'")
     touched = F.col("outcome").isNotNull()
     after = kept.withColumns({
         "state": F.when(again, "pending").when(dead, "dead").otherwise(F.col("state")), "available_at": F.when(again, F.lit(as_of_ms) + F.col("backoff_millis")).otherwise(F.col("available_at")),
-        "attempt": F.when(touched & (F.col("outcome") != "redeliver"), F.col("attempt") + 1).otherwise(F.col("attempt")), "last_error": F.when(touched, F.col("o_error")).otherwise(F.col("last_error")),
+        "attempt": F.when(touched & (F.col("outcome") != "redeliver"), F.col("attempt") + 1).otherwise(F.col("attempt")), "last_error": F.when(touched, F.col("o.error")).otherwise(F.col("last_error")),
         "processing_token": F.when(~touched, F.col("processing_token")), "processing_started_at": F.when(~touched, F.col("processing_started_at")), "updated_at": F.when(touched, F.lit(as_of_ms)).otherwise(F.col("updated_at")),
     }).select(*jobs.columns)
-    running = jobs.where("state = 'processing'").select("id", "processing_token")
-    unmatched = outcomes.join(running, ["id", "processing_token"], "left_anti")
-    archived = met.where("outcome = 'failed'").select("id", F.lit("process_archived").alias("kind"), F.col("queue_name").alias("queue"), "job_type", F.col("o_error").alias("error"))
+    settled = met.where(touched).select("id", "processing_token", F.col("o.time").alias("time"), F.col("o.seq").alias("seq"))
+    unmatched = outcomes.join(settled, ["id", "processing_token", "time", "seq"], "left_anti")
+    archived = met.where("outcome = 'failed'").select("id", F.lit("process_archived").alias("kind"), F.col("queue_name").alias("queue"), "job_type", F.col("o.error").alias("error"))
     return after, unmatched, archived
 
 
+def settlement_failures(unmatched: DataFrame, jobs: DataFrame, as_of_ms: int) -> DataFrame:
+    """A settlement_failed fact for each outcome that settled nothing; queue and type are those of the job, if it is still there."""
+    known = jobs.select(F.col("id").alias("j_id"), F.col("queue_name").alias("queue"), "job_type")
+    met = unmatched.join(known, F.col("id") == F.col("j_id"), "left")
+    return met.select("id", "seq", F.lit("settlement_failed").alias("kind"), F.coalesce("queue", F.lit("")).alias("queue"), F.coalesce("job_type", F.lit("")).alias("job_type"), "error", F.timestamp_millis(F.lit(as_of_ms)).alias("time"))
+
+
 def apply_admin(jobs: DataFrame, commands: DataFrame, as_of_ms: int) -> DataFrame:
-    """``commands(seq, op, id, queue)``: delete by id and queue and clear by queue are final; of retries and cancels of an id the last counts.
+    """``commands(seq, op, id, queue)``: delete and retry count only for the job of that id in that queue, cancel for the id, clear for the queue.
 
-    Retry makes a job pending now without its error, keeping its attempts; cancel makes it dead.
+    An empty queue is the default one. What is deleted or cleared is gone; of retries and cancels that count for a job, the last decides its
+    state. Retry makes a job pending now without its error, keeping its attempts; cancel makes it dead and leaves the time it is available
+    at, which an earlier retry has set. Commands of one job are combined before the shuffle.
     """
-    gone = commands.where("op = 'delete'").select("id", F.col("queue").alias("queue_name"))
-    cleared = commands.where("op = 'clear'").select(F.col("queue").alias("queue_name")).distinct()
+    told = commands.withColumn("queue", scalar.default_queue(F.col("queue")))
+    gone = told.where("op = 'delete'").select("id", F.col("queue").alias("queue_name"))
+    cleared = told.where("op = 'clear'").select(F.col("queue").alias("queue_name")).distinct()
     left = jobs.join(gone, ["id", "queue_name"], "left_anti").join(cleared, "queue_name", "left_anti")
-    last = commands.where("op in ('retry', 'cancel')").groupBy("id").agg(F.max_by("op", "seq").alias("op"))
-    met = left.join(last, "id", "left")
-    retry, cancel = F.coalesce(F.col("op") == "retry", F.lit(False)), F.coalesce(F.col("op") == "cancel", F.lit(False))
+    # the last command by job and queue it names (none for cancels): a retry that names another queue must not hide an earlier command
+    named = told.where("op in ('retry', 'cancel')").groupBy("id", F.when(F.col("op") == "retry", F.col("queue")).alias("named")).agg(F.max(F.struct("seq", "op")).alias("last"))
+    of_job = named.groupBy(F.col("id").alias("c_id")).agg(F.max(F.when(F.col("named").isNull(), F.col("last.seq"))).alias("canceled"), F.map_from_entries(F.collect_list(F.when(F.col("named").isNotNull(), F.struct("named", F.col("last.seq").alias("seq"))))).alias("retried"))
+    met = left.join(of_job, F.col("id") == F.col("c_id"), "left").withColumn("retried", F.try_element_at("retried", F.col("queue_name")))
+    retry = F.coalesce(F.col("retried") > F.coalesce("canceled", F.lit(-(1 << 62))), F.lit(False))
+    cancel = F.col("canceled").isNotNull() & ~retry
+    either = retry | cancel
     return met.withColumns({
-        "state": F.when(retry, "pending").when(cancel, "dead").otherwise(F.col("state")), "available_at": F.when(retry, F.lit(as_of_ms)).otherwise(F.col("available_at")),
-        "last_error": F.when(retry, F.lit(None).cast("string")).when(cancel, CANCELED_TEXT).otherwise(F.col("last_error")),
-        "processing_token": F.when(~(retry | cancel), F.col("processing_token")), "processing_started_at": F.when(~(retry | cancel), F.col("processing_started_at")),
+        "state": F.when(retry, "pending").when(cancel, "dead").otherwise(F.col("state")), "available_at": F.when(F.col("retried").isNotNull(), F.lit(as_of_ms)).otherwise(F.col("available_at")),
+        "last_error": F.when(retry, F.lit(None).cast("string")).when(cancel, CANCELED_TEXT).otherwise(F.col("last_error")), "updated_at": F.when(either, F.lit(as_of_ms)).otherwise(F.col("updated_at")),
+        "processing_token": F.when(~either, F.col("processing_token")), "processing_started_at": F.when(~either, F.col("processing_started_at")),
     }).select(*jobs.columns)
 
 
-def admission_events(gated: DataFrame) -> DataFrame:
-    """One enqueue fact for each request: rejected (``reason``), duplicate (not ``accepted``) or accepted."""
-    kind = F.when(F.col("reason").isNotNull(), "enqueue_rejected").when(F.col("accepted"), "enqueue_accepted").otherwise("enqueue_duplicate")
-    return gated.select("seq", kind.alias("kind"), scalar.default_queue(F.col("queue")).alias("queue"), "job_type", F.coalesce("max_retry", F.lit(0)).alias("max_retry"), (F.coalesce("delay_ms", F.lit(0)) > 0).alias("scheduled"))
+def admission_events(requests: DataFrame, prefix: str) -> DataFrame:
+    """One enqueue fact for each request, with its ids (dispatch_id, job_id, chain_id, batch_id, where the requests have them).
+
+    In this order: rejected (with ``reason``) if it is invalid, canceled if its caller gave up (``canceled``, if there is such a column),
+    duplicate if the gate holds it back, else accepted. Only requests that reach the gate claim a key there; ``prefix`` as for the gate.
+    """
+    ids = [c for c in ("dispatch_id", "job_id", "chain_id", "batch_id") if c in requests.columns]
+    gave_up = F.coalesce(F.col("canceled"), F.lit(False)) if "canceled" in requests.columns else F.lit(False)
+    checked = validate_dispatch(requests).withColumn("stopped", F.when(F.col("reason").isNotNull(), "enqueue_rejected").when(gave_up, "enqueue_canceled"))
+    gated = unique_gate(checked.where("stopped is null"), prefix)
+    scheduled = (F.coalesce(F.col("delay_ms"), F.lit(0)) > 0).alias("scheduled")
+    out = ["seq", scalar.default_queue(F.col("queue")).alias("queue"), "job_type", *ids, F.coalesce("max_retry", F.lit(0)).alias("max_retry"), scheduled]
+    passed = gated.select(F.when(F.col("accepted"), "enqueue_accepted").otherwise("enqueue_duplicate").alias("kind"), F.lit(None).cast("string").alias("reason"), *out)
+    return passed.unionByName(checked.where("stopped is not null").select(F.col("stopped").alias("kind"), "reason", *out))

@@ -96,17 +96,33 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         key.alias("id"), queue.alias("queue_name"), F.concat(F.lit("type-"), (cust % 10).cast("string")).alias("job_type"), F.concat(F.lit('{"c":'), cust.cast("string"), F.lit("}")).alias("payload"),
         F.when(cust % 3 != 0, (cust % 5) * 86_400).alias("timeout_seconds"), F.lit(2).alias("max_retry"), ((key % 4) * 250).alias("backoff_millis"), (key % 3).cast("int").alias("attempt"),
-        at.alias("available_at"), F.when(running, at + 1000).alias("processing_started_at"), F.when(running & (key % 9 != 0), F.concat(F.lit("tok_"), key.cast("string"))).alias("processing_token"),
+        at.alias("available_at"), F.when(running, at + 1000).alias("processing_started_at"), F.when(running & (key % 9 == 4), "").when(running & (key % 9 != 0), F.concat(F.lit("tok_"), key.cast("string"))).alias("processing_token"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("boom-"), (key % 5).cast("string"))).alias("last_error"),
         F.when(running, "processing").when(F.col("o_orderstatus") == "F", "dead").otherwise("pending").alias("state"), at.alias("created_at"), at.alias("updated_at"), cust.alias("cust"),
     )
 
 
 def job_outcomes(jobs: DataFrame) -> DataFrame:
-    """What handlers report for every second running job; some tokens are stale."""
+    """What handlers report for every second running job; some tokens are stale, and some report twice, the other way round, before or after."""
     cls = pick(F.col("cust") % 4, F.lit(None).cast("string"), "plain", "permanent", "uncommitted")
     token = F.when(F.col("id") % 10 == 0, "old").otherwise(F.col("processing_token"))
-    return jobs.where("state = 'processing' and id % 2 = 0").select("id", token.alias("processing_token"), (F.col("cust") % 4 != 0).alias("failed"), cls.alias("error_class"), F.when(F.col("cust") % 4 != 0, F.concat(F.lit("err-"), F.col("id").cast("string"))).alias("error"))
+    failed, at = F.col("cust") % 4 != 0, F.lit(JOBS_AS_OF_MS) - F.col("cust") % 100
+    told = jobs.where("state = 'processing' and id % 2 = 0")
+    out = ["id", token.alias("processing_token")]
+    first = told.select(*out, failed.alias("failed"), cls.alias("error_class"), F.when(failed, F.concat(F.lit("err-"), F.col("id").cast("string"))).alias("error"), at.alias("time"), (F.col("id") * 2).alias("seq"))
+    again = told.where("id % 3 = 0").select(*out, (~failed).alias("failed"), F.lit(None).cast("string").alias("error_class"), F.when(~failed, F.concat(F.lit("again-"), F.col("id").cast("string"))).alias("error"), (at + pick(F.col("id") % 3 + F.col("cust") % 3, -1, 0, 1)).alias("time"), (F.col("id") * 2 + 1).alias("seq"))
+    return first.union(again)
+
+
+def admin_commands(jobs: DataFrame) -> DataFrame:
+    """Two commands for every third job; some name another queue, or none. One queue is cleared."""
+    op = pick(F.col("cust") % 4, F.lit(None).cast("string"), "retry", "cancel", "delete")
+    other = pick(F.col("cust") % 5, F.col("queue_name"), F.col("queue_name"), "other", F.col("queue_name"), "")
+    third = jobs.where("id % 3 = 0")
+    first = third.select((F.col("id") * 2).alias("seq"), op.alias("op"), "id", other.alias("queue"))
+    second = third.where("id % 2 = 0").select((F.col("id") * 2 + 1).alias("seq"), pick(F.col("cust") % 3, "cancel", "retry", F.lit(None).cast("string")).alias("op"), "id", pick(F.col("cust") % 7 % 2, F.col("queue_name"), "other").alias("queue"))
+    clear = jobs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit("clear").alias("op"), F.lit(None).cast("long").alias("id"), F.lit("low").alias("queue"))
+    return first.union(second).where("op is not null").union(clear)
 
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -198,11 +198,42 @@ def test_list_defaults(spark):
 
 def test_settle_is_fenced_by_token(spark):
     table = jobs(spark, [(i, "q", "t", "processing", 0, 1, 0, None, 1, f"k{i}", 250, None, 0) for i in range(5)])
-    outcomes = spark.createDataFrame([(0, "k0", False, None, None), (1, "old", False, None, None), (2, "k2", True, None, "e"), (3, "k3", True, "permanent", "e"), (4, "k4", True, "uncommitted", "e")], "id long, processing_token string, failed boolean, error_class string, error string")
+    outcomes = spark.createDataFrame([(0, "k0", False, None, None), (1, "old", False, None, None), (2, "k2", True, None, "e"), (3, "k3", True, "permanent", "e"), (4, "k4", True, "uncommitted", "e"), (2, "k2", False, None, None)], "id long, processing_token string, failed boolean, error_class string, error string")
+    outcomes = outcomes.withColumn("seq", F.monotonically_increasing_id()).withColumn("time", F.lit(5))
     after, unmatched, archived = jobtable.settle_jobs(table, outcomes, 1000)
     got = {x.id: (x.state, x.attempt, x.available_at) for x in after.collect()}
     assert got == {1: ("processing", 0, 0), 2: ("pending", 1, 1250), 3: ("dead", 1, 0), 4: ("pending", 0, 1250)}
-    assert [x.id for x in unmatched.collect()] == [1] and [x.id for x in archived.collect()] == [3]
+    assert sorted(x.id for x in unmatched.collect()) == [1, 2] and [x.id for x in archived.collect()] == [3]
+
+
+def test_settle_takes_the_first_of_repeated_outcomes(spark):
+    table = jobs(spark, [(1, "q", "t", "processing", 0, 3, 0, None, 1, "k", 0, None, 0)])
+    outcomes = spark.createDataFrame([(1, "k", True, None, "b", 9, 2), (1, "k", True, None, "a", 9, 1), (1, "k", False, None, None, 10, 0)], "id long, processing_token string, failed boolean, error_class string, error string, time long, seq long")
+    after, unmatched, _ = jobtable.settle_jobs(table, outcomes, 1000)
+    assert [(x.state, x.attempt, x.last_error) for x in after.collect()] == [("pending", 1, "a")]
+    assert sorted(x.seq for x in unmatched.collect()) == [0, 2]
+
+
+def test_admin_commands_are_fenced_by_queue(spark):
+    table = jobs(spark, [(i, "default" if i == 4 else "q", "t", "dead", 2, 3, 5, None, None, None, 0, "e", 0) for i in range(6)])
+    commands = [(1, "retry", 0, "other"), (2, "retry", 1, "q"), (3, "retry", 1, "other"), (4, "retry", 2, "q"), (5, "cancel", 2, None), (6, "retry", 2, "other"), (7, "delete", 3, "other"), (8, "retry", 4, ""), (9, "delete", 5, "q")]
+    got = {x.id: (x.state, x.available_at, x.last_error, x.updated_at) for x in jobtable.apply_admin(table, spark.createDataFrame(commands, "seq long, op string, id long, queue string"), 77).collect()}
+    assert got == {0: ("dead", 5, "e", 0), 1: ("pending", 77, None, 77), 2: ("dead", 77, "canceled from queue admin", 77), 3: ("dead", 5, "e", 0), 4: ("pending", 77, None, 77)}
+
+
+def test_recovery_replaces_empty_tokens(spark):
+    rows = [(1, "q", "t", "processing", 0, 3, 0, None, 1, "", 0, None, 0), (2, "q", "t", "processing", 0, 3, 0, None, 1, None, 0, None, 0), (3, "q", "t", "processing", 0, 3, 0, -4, 1, "k", 0, None, 0)]
+    got = {x.id: (x.state, x.processing_token, x.updated_at) for x in jobtable.recover_stale(jobs(spark, rows), 10**6, "mark").collect()}
+    assert got == {1: ("pending", "mark", 10**6), 2: ("pending", "mark", 10**6), 3: ("pending", "k", 10**6)}
+    after, claimed = jobtable.recover_and_claim(jobs(spark, rows), 10**6, 2, "mark")
+    assert sorted(x.id for x in claimed.collect()) == [1, 2] and {x.id: x.state for x in after.collect()} == {1: "processing", 2: "processing", 3: "pending"}
+
+
+def test_invalid_requests_claim_nothing(spark):
+    rows = [(1, T0, "q", "t", b"p", -5, 0, 0, 60_000, 0, False), (2, T0, "q", "t", b"p", 5, 0, 0, 60_000, 0, True), (3, T0, "q", "t", b"p", 5, 0, 0, 60_000, 0, False), (4, T0, "q", "t", b"p", 5, 0, 9, 60_000, 0, False)]
+    d = spark.createDataFrame(rows, "seq long, time timestamp, queue string, job_type string, payload binary, timeout_ms long, backoff_ms long, delay_ms long, unique_ttl_ms long, max_retry int, canceled boolean")
+    got = [(x.kind, x.reason, x.scheduled) for x in jobtable.admission_events(d, "p").orderBy("seq").collect()]
+    assert got == [("enqueue_rejected", "negative timeout", False), ("enqueue_canceled", None, False), ("enqueue_accepted", None, False), ("enqueue_duplicate", None, True)]
 
 
 def batch(spark, allow, outcomes, members=("j1", "j2", "j3"), cancelled=None):

@@ -14,6 +14,8 @@ from jobledger.llm.shared import saved
 
 #: A run of nodes that become one, and levels that a bucket of the containment join holds: buckets of FANOUT ** BAND nodes.
 FANOUT, BAND = 2, 6
+#: Leaves that meet their tree's own proof in one key.
+BLOCK = 4096
 
 
 def framed(c: Column) -> Column:
@@ -169,10 +171,12 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     leaves = docs.select(F.col(f"`{tree}`").cast("string").alias("tree"), F.col(f"`{order}`").alias("at"), row_digest(*value.values()).alias("digest"), row_digest(*(value | (forged or {})).values()).alias("forged_leaf"))
     lower, _ = merkle(leaves, ["at", "digest"])
     lower = saved(lower)
-    subroots = lower.where("lo = 0").select(F.lit(0).alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
+    subroots = lower.where("lo = 0").select(F.lit(0).alias("tree"), F.col("tree").alias("name"), F.col("n").alias("size"), F.col("root").alias("digest"))
     upper, _ = merkle(subroots, ["name"])
-    upper = upper.select(F.col("name").alias("u_name"), F.col("steps").alias("u_steps"), F.col("root").alias("u_root"))
-    met = lower.join(upper, F.col("tree").eqNullSafe(F.col("u_name")))
+    # a row for each block of a tree's leaves, so that those of a tree with most of all rows meet it in many tasks
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK).cast("long")))
+    upper = upper.select(F.col("name").alias("u_name"), blocks.alias("u_block"), F.col("steps").alias("u_steps"), F.col("root").alias("u_root"))
+    met = lower.withColumn("block", F.floor(F.col("lo") / BLOCK).cast("long")).hint("merge").join(upper, F.col("tree").eqNullSafe(F.col("u_name")) & (F.col("block") == F.col("u_block")))
     return met.select(F.col("at").alias(order), F.col("tree").alias(tree), F.col("digest").alias("leaf"), "forged_leaf", F.concat("steps", "u_steps").alias("steps"), F.col("root").alias("subroot"), F.col("u_root").alias("root"))
 
 

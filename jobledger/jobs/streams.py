@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
 from jobledger.jobs import sql
-from jobledger.jobs.registry import KEY_PREFIX, query
+from jobledger.jobs.registry import KEY_PREFIX, ORACLES, query
 from jobledger.operators.events import normalize_events
 from jobledger.sources import fixtures as fx
 from jobledger.sources import tables
 from jobledger.streaming import streams
+from jobledger.streaming.live import LiveStats
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,30 @@ def _log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return tables.stream_events(spark, path, files_per_trigger=2)
 
 
+def _deliveries(df: DataFrame, path: str, late_ms: int, parts: int = 4):
+    """Append ``df`` as ``parts`` deliveries under ``path``, by time plus up to ``late_ms``, so rows come out of order by so much: gives control back after each."""
+    spark = df.sparkSession
+    arrives = F.unix_millis("time") + (F.pmod(F.xxhash64("seq"), F.lit(late_ms)) if late_ms else F.lit(0))
+    cuts = df.select(F.percentile_approx(arrives, [i / parts for i in range(1, parts)], 1000)).first()[0]  # a few numbers
+    staged = f"{path}-staged"
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (arrives > c).cast("int")
+    df.withColumn("part", part).write.parquet(staged)
+    for i in range(parts):
+        spark.read.parquet(staged).where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+        yield i
+
+
+def _in_parts(spark: SparkSession, rows: DataFrame, of, late_ms: int = 0, mode: str = "append") -> DataFrame:
+    """What the stream ``of`` makes of ``rows``, which come in four deliveries; the stream is stopped and goes on after each."""
+    folder = tables.folder(spark)
+    for _ in _deliveries(rows, f"{folder}/log", late_ms):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/log")
+        out = streams.run_to_end(of(stream), f"{folder}/out", f"{folder}/checkpoint", mode)
+    return out
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(fx.map_events(_raw(spark, sf_dir)))
 
@@ -43,19 +70,22 @@ def stream_events(spark, sf):
     return out.groupBy("kind", "queue").agg(F.count("*").alias("events"))
 
 
-_WATERMARK = "mark AS (SELECT max(us) // 1000 * 1000 - 600000000 AS us FROM e1)"
+_WATERMARK = "mark AS (SELECT max(us) // 1000 * 1000 - 21600000000 AS us FROM e1)"
+#: How much rows come out of order, and what streams allow for.
+LATE_MS, DELAY = 5 * 3_600_000, "6 hours"
 
 
 @query(sql.events("SELECT (us // 1000000) // 21600 * 21600 AS start, " + ", ".join(sql._COUNT.format(f"process_{k}", k) for k in ("started", "succeeded", "failed", "retried")) + " FROM e1 GROUP BY 1 HAVING ((min(us) // 1000000) // 21600 + 1) * 21600 * 1000000 <= (SELECT us FROM mark)", _WATERMARK))
 def stream_rates(spark, sf):
-    """Six-hour rates; windows that the watermark hasn't passed at the end stay open."""
-    return _result(spark, streams.stream_rates(_events(spark, sf), "6 hours"))
+    """Six-hour rates over four deliveries with rows up to five hours out of order; windows that the watermark hasn't passed at the end stay open."""
+    return _in_parts(spark, normalize_events(fx.events_raw(spark, sf)), lambda e: streams.stream_rates(e, "6 hours", delay=DELAY), LATE_MS)
 
 
-@query(sql.events("SELECT count(*) AS facts, count(DISTINCT event_id) AS ids FROM e"))
+@query(sql.events("SELECT event_id, count(*) AS facts FROM e GROUP BY event_id"))
 def stream_dedupe(spark, sf):
-    out = _result(spark, streams.stream_dedupe(_events(spark, sf), "40 days").select("event_id", "seq"))
-    return out.agg(F.count("*").alias("facts"), F.count_distinct("event_id").alias("ids"))
+    """Every id once, over four deliveries out of order; which of its facts came first depends on the order."""
+    out = _in_parts(spark, normalize_events(fx.events_raw(spark, sf)), lambda e: streams.stream_dedupe(e, "40 days").select("event_id", "seq"), LATE_MS)
+    return out.groupBy("event_id").agg(F.count("*").alias("facts"))
 
 
 @query(sql.events("SELECT c.queue, c.processed, c.failed, c.retry, c.archived, coalesce(p.pending, 0) AS pending, coalesce(s.scheduled, 0) AS scheduled, z.paused FROM (" + sql.COUNTERS.replace("FROM e ", "FROM e1 ") + ") c LEFT JOIN (" + sql.PENDING.replace("FROM e ", "FROM e1 ") + ") p USING (queue) LEFT JOIN (" + sql.SCHEDULED.replace("FROM e ", "FROM e1 ") + ") s USING (queue) LEFT JOIN (" + sql.PAUSED.replace("FROM e ", "FROM e1 ") + ") z USING (queue)"))
@@ -74,20 +104,40 @@ def stream_stats(spark, sf):
 
 @query(sql.over(sql.REQUESTS, "n0 AS (SELECT seq, t, ttl, q || chr(0) || job_type || chr(0) || payload AS key, row_number() OVER (PARTITION BY q, job_type, payload ORDER BY t, seq) AS i FROM d WHERE ttl > 0)", "n AS (SELECT key, seq, i, true AS accepted, t + ttl AS until FROM n0 WHERE i = 1 UNION ALL SELECT b.key, b.seq, b.i, b.t >= n.until, CASE WHEN b.t >= n.until THEN b.t + b.ttl ELSE n.until END FROM n JOIN n0 b ON b.key = n.key AND b.i = n.i + 1)", "SELECT seq, accepted FROM n UNION ALL SELECT seq, true FROM d WHERE ttl <= 0"))
 def stream_unique(spark, sf):
-    d = fx.map_requests(_raw(spark, sf))
+    """The gate over four deliveries; claims are carried from each to the next."""
+    d = fx.requests(spark, sf)
     key = scalar.unique_key(scalar.default_queue(F.col("queue")), F.col("job_type"), F.col("payload"), KEY_PREFIX)
     d = d.select(key.alias("unique_key"), "time", "seq", F.unix_millis("time").alias("t"), F.col("unique_ttl_ms").alias("ttl"))
-    return _result(spark, streams.stream_unique(d))
+    return _in_parts(spark, d, streams.stream_unique)
 
 
 @query(sql.events(
-    "SELECT settlement_id, us // 1000 AS started_ms FROM (SELECT *, lead(kind) OVER (PARTITION BY settlement_id ORDER BY time, seq) AS nk FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed'))"
-    " WHERE kind = 'process_started' AND nk IS NULL AND us // 1000 + 302000 < (SELECT us FROM mark2) // 1000",
-    "mark2 AS (SELECT max(us) // 1000 * 1000 - 600000000 AS us FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed'))",
+    """SELECT s.settlement_id, s.us // 1000 AS started_ms, s.us // 1000 + s.own AS due_ms, s.seq FROM
+      (SELECT *, CASE WHEN k.timeout_ms > 0 THEN k.timeout_ms ELSE 300000 END + 2000 AS own FROM e1 JOIN k USING (job_type) WHERE settlement_id IS NOT NULL AND kind = 'process_started') s
+      WHERE s.us + 86402000000 <= (SELECT us FROM mark2) AND NOT EXISTS (SELECT 1 FROM e1 t WHERE t.settlement_id = s.settlement_id AND t.kind IN ('process_succeeded', 'process_failed') AND (t.us > s.us OR (t.us = s.us AND t.seq > s.seq)) AND t.us // 1000 <= s.us // 1000 + s.own)""",
+    "mark2 AS (SELECT min(us) // 1000 * 1000 - 21600000000 AS us FROM (SELECT max(us) AS us FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed') GROUP BY kind = 'process_started'))",
+    "k AS (SELECT 'type-' || i AS job_type, i * 12000000::BIGINT AS timeout_ms FROM range(7) r(i))",
 ))
 def stream_stale(spark, sf):
-    """Executions without an end in time, as far as the watermark came; the whole log is one micro-batch."""
-    return _result(spark, streams.stream_stale(_events(spark, sf)))
+    """Executions without an end in time, over four deliveries out of order; each job type has a timeout of its own, up to twenty hours."""
+    e = normalize_events(fx.events_raw(spark, sf))
+    timeouts = e.select("job_type").distinct().withColumn("timeout_ms", F.substring("job_type", 6, 9).cast("long") * 12_000_000)
+    return _in_parts(spark, e, lambda s: streams.stream_stale(s, timeouts, delay=DELAY), LATE_MS)
+
+
+_LATE = timedelta(milliseconds=LATE_MS + 1)
+
+
+@query(ORACLES["stats_snapshot"])
+def live_snapshot(spark, sf):
+    """The whole snapshot from a stream that is stopped and goes on after each of four deliveries, with rows out of order and repeats of ids."""
+    folder = tables.folder(spark)
+    rows = normalize_events(fx.events_raw(spark, sf))
+    live = LiveStats(spark, f"{folder}/state", _LATE)
+    for _ in _deliveries(rows, f"{folder}/log", LATE_MS):
+        stream = tables.stream_events(spark, f"{folder}/log", files_per_trigger=1_000_000)
+        streams.finish(live.writer(stream).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    return live.snapshot(live.close())
 
 
 @query(sql.events("SELECT kind, count(*) AS events FROM e1 GROUP BY kind"))

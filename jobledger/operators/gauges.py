@@ -86,6 +86,13 @@ def scheduled_gauge(events: DataFrame) -> DataFrame:
     return final_gauges(events, ["queue"], scheduled=scheduled_delta())
 
 
+def loose_facts(events: DataFrame) -> DataFrame:
+    """Starts and ends without a settlement id, with the key by which they are counted: x_dispatch, x_job, x_attempt."""
+    loose = events.where(F.col("kind").isin("process_started", "process_succeeded", "process_failed") & F.col("settlement_id").isNull())
+    has = F.col("job_id") != ""
+    return loose.withColumns({"x_dispatch": F.when(has, F.col("dispatch_id")).otherwise(""), "x_attempt": F.when(has, F.col("attempt")).otherwise(-1), "x_job": F.col("job_id")})
+
+
 def active_gauge(events: DataFrame) -> DataFrame:
     """queue, active: executions that are open.
 
@@ -94,9 +101,7 @@ def active_gauge(events: DataFrame) -> DataFrame:
     """
     facts = events.where(F.col("kind").isin("process_started", "process_succeeded", "process_failed", "settlement_failed"))
     exact = facts.where("settlement_id is not null").groupBy("queue", "settlement_id").agg(F.max_by("kind", F.struct(*ORDER)).alias("last")).groupBy("queue").agg(F.sum((F.col("last") == "process_started").cast("long")).alias("open"))
-    loose = facts.where("settlement_id is null and kind <> 'settlement_failed'")
-    has = F.col("job_id") != ""
-    loose = loose.withColumns({"x_dispatch": F.when(has, F.col("dispatch_id")).otherwise(""), "x_attempt": F.when(has, F.col("attempt")).otherwise(-1), "x_job": F.col("job_id")})
+    loose = loose_facts(events)
     by_key = final_gauges(loose, ["queue", "x_dispatch", "x_job", "x_attempt"], open=F.when(F.col("kind") == "process_started", 1).otherwise(-1))
     return exact.unionByName(by_key.select("queue", "open")).groupBy("queue").agg(F.sum("open").alias("active"))
 
@@ -108,12 +113,21 @@ def match_waits(events: DataFrame) -> DataFrame:
     Both numbers are running counts of the gauge's one bucketed pass, so a key with most of the log still spreads, and the two
     rows of a number meet in an aggregation.
     """
+    return matched(numbered_waits(events.where(F.col("kind").isin("enqueue_accepted", "process_started") & (F.col("job_key") != ""))))
+
+
+def numbered_waits(facts: DataFrame) -> DataFrame:
+    """queue, job_key, nth, put (an enqueue, else a start), time, seq of enqueues and of the starts that consume one."""
     keys = ["queue", "job_key"]
-    rows = floored_gauge(events.where(F.col("kind").isin("enqueue_accepted", "process_started") & (F.col("job_key") != "")).select(*keys, *ORDER, "kind"), keys, pending_delta())
+    rows = floored_gauge(facts.select(*keys, *ORDER, "kind"), keys, pending_delta())
     put = F.col("delta") == 1
     nth = F.when(put, F.col("puts")).when(F.col("gauge_before") > 0, F.col("puts") - F.col("gauge"))
-    met = rows.select(*keys, nth.alias("nth"), F.when(put, F.col("time")).alias("put_at"), F.when(~put, F.col("time")).alias("took_at")).where("nth is not null")
-    met = met.groupBy(*keys, "nth").agg(F.max("put_at").alias("enqueued_at"), F.max("took_at").alias("started_at"))
+    return rows.select(*keys, nth.alias("nth"), put.alias("put"), *ORDER).where("nth is not null")
+
+
+def matched(numbered: DataFrame) -> DataFrame:
+    """The two rows of a number side by side: queue, job_key, nth, enqueued_at, started_at."""
+    met = numbered.groupBy("queue", "job_key", "nth").agg(F.max(F.when(F.col("put"), F.col("time"))).alias("enqueued_at"), F.max(F.when(~F.col("put"), F.col("time"))).alias("started_at"))
     return met.where("enqueued_at is not null and started_at is not null")
 
 

@@ -90,40 +90,34 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def stream_unique(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """seq, accepted of ``requests(unique_key, seq, time, t, ttl)``; a key's claim leaves the state once the watermark has passed it."""
     rows = requests.withWatermark("time", delay).select("unique_key", "time", "seq", "t", "ttl")
-    return rows.groupBy("unique_key").applyInPandasWithState(_gate, "seq long, accepted boolean", "free_from long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _latest(rows: pd.DataFrame):
-    """The last row in (t, seq) order."""
-    last = rows["t"].max()
-    rows = rows[rows["t"] == last]
-    return rows.loc[rows["seq"].idxmax()]
-
-
-def _watch(grace_ms: int, lease_ms: int) -> Callable:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"settlement_id": [key[0]], "started_ms": [started]})
-            return
-        kind, started = max(((r.t, r.seq), r.kind, r.t) for r in map(_latest, filter(len, batches)))[1:]
-        if kind != "process_started":
-            if state.exists:
-                state.remove()
-        else:
-            due = int(started) + lease_ms + grace_ms
-            state.update((int(started), due))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return run
-
-
-def stream_stale(events: DataFrame, grace_ms: int = 2_000, lease_ms: int = 300_000, delay: str = "10 minutes") -> DataFrame:
-    """settlement_id, started_ms of executions without an end within lease and grace, by event time. Ends drop the state."""
-    rows = events.where("settlement_id is not null").where(kind_is("process_started", "process_succeeded", "process_failed"))
-    rows = rows.withWatermark("time", delay).select("settlement_id", "time", F.unix_millis("time").alias("t"), "seq", "kind")
-    return rows.groupBy("settlement_id").applyInPandasWithState(_watch(grace_ms, lease_ms), "settlement_id string, started_ms long", "started long, due long", "append", GroupStateTimeout.EventTimeTimeout)
+    free = rows.where("ttl <= 0").select("seq", F.lit(True).alias("accepted"))  # these need no state
+    gated = rows.where("ttl > 0").groupBy("unique_key").applyInPandasWithState(_gate, "seq long, accepted boolean", "free_from long", "append", GroupStateTimeout.EventTimeTimeout)
+    return gated.union(free)
+
+
+def stream_stale(events: DataFrame, timeouts: DataFrame | None = None, grace_ms: int = 2_000, lease_ms: int = 300_000, longest_ms: int = 86_400_000, delay: str = "10 minutes") -> DataFrame:
+    """settlement_id, started_ms, due_ms of executions without an end within their timeout and grace, or the lease and grace without one.
+
+    ``timeouts(job_type, timeout_ms)``: timeouts of at most ``longest_ms``; a longer one raises. Starts meet the ends of their settlement id by
+    an outer interval join of two streams on event time, so it doesn't matter in which micro-batch, or in which order, either comes
+    within ``delay``. A start is given once the watermark has passed the longest timeout and no end came in time; an end at the very
+    moment counts if its seq is larger. Spark keeps only rows that can still meet another.
+    """
+    rows = events.where("settlement_id is not null")
+    limit = F.lit(lease_ms)
+    starts = rows.where(kind_is("process_started"))
+    if timeouts is not None:
+        own = F.coalesce(F.when(F.col("timeout_ms") > 0, F.col("timeout_ms")), F.lit(lease_ms))
+        limit = F.when(own <= longest_ms, own).otherwise(F.raise_error(F.lit("a timeout is longer than longest_ms")).cast("long"))
+        starts = starts.join(timeouts.groupBy("job_type").agg(F.max("timeout_ms").alias("timeout_ms")), "job_type", "left")
+    longest = (longest_ms if timeouts is not None else lease_ms) + grace_ms
+    due = F.unix_millis("time") + limit + grace_ms
+    starts = starts.select("settlement_id", F.col("time").alias("start"), "seq", due.alias("due_ms")).withWatermark("start", delay)
+    ends = rows.where(kind_is("process_succeeded", "process_failed")).select(F.col("settlement_id").alias("e_id"), F.col("time").alias("end"), F.col("seq").alias("e_seq")).withWatermark("end", delay)
+    after = (F.col("end") > F.col("start")) | ((F.col("end") == F.col("start")) & (F.col("e_seq") > F.col("seq")))
+    reach = (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("start") + F.expr(f"INTERVAL {longest // 1000} SECONDS {longest % 1000} MILLISECONDS"))
+    met = starts.join(ends, (F.col("settlement_id") == F.col("e_id")) & reach & after & (F.unix_millis("end") <= F.col("due_ms")), "left_outer")
+    return met.where("e_id is null").select("settlement_id", F.unix_millis("start").alias("started_ms"), "due_ms", "seq")
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], Any]], failures: list | None = None):

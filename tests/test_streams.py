@@ -1,13 +1,20 @@
 """Streams that run long or fail in a write raise instead of giving part of their rows."""
 
+import random
 import time
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
+from jobledger import schemas
 from jobledger.jobs import catalog
+from jobledger.operators import stats
+from jobledger.operators.events import dedupe_events
 from jobledger.streaming import streams
+from jobledger.streaming.live import LiveStats
+
+T0 = datetime(2024, 1, 1)
 
 
 def _slow(batches):
@@ -35,3 +42,76 @@ def test_a_failed_write_raises(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(DataFrameWriter, "parquet", broken)
     with pytest.raises(Exception, match="disk"):
         catalog.QUERIES[name](spark, sf_dir).collect()
+
+
+def fact(seq, minute, kind, sid=None, key="", queue="q", job_type="t", event_id=None):
+    at = T0 + timedelta(minutes=minute)
+    return (seq, 1, event_id or f"e{seq}", "worker", kind, "database", queue, job_type, key, "d", "j", "", "", 0, 0, False, 1000, None, None, sid, at)
+
+
+def deliver(spark, path, rows):
+    spark.createDataFrame(rows, schemas.EVENT).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_an_end_before_its_start_is_no_alarm(spark, tmp_path):
+    """The end comes in an earlier micro-batch than its start; another start has its end too late, a third none, a fourth one at its last moment."""
+    first = [fact(2, 11, "process_succeeded", "s1"), fact(1, 10, "process_started", "s2")]
+    second = [fact(3, 10, "process_started", "s1"), fact(4, 20, "process_failed", "s2"), fact(5, 12, "process_started", "s3"), fact(6, 13, "process_started", "s4"), fact(7, 13 + 302 / 60, "process_succeeded", "s4")]
+    third = [fact(8, 900, "process_started", "x"), fact(9, 900, "process_succeeded", "y")]
+    for rows in (first, second, third):
+        deliver(spark, f"{tmp_path}/log", rows)
+        stream = spark.readStream.schema(schemas.EVENT).parquet(f"{tmp_path}/log")
+        out = streams.run_to_end(streams.stream_stale(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted(x.settlement_id for x in out.collect()) == ["s2", "s3"]
+
+
+def test_claims_are_carried_over_deliveries(spark, tmp_path):
+    """One key holds nearly all requests, which come one delivery after the other."""
+    ms = 1_704_067_200_000  # T0
+    rows = [("k", i, T0 + timedelta(seconds=i), ms + 1000 * i, 7000 if i % 5 else 0) for i in range(60)] + [("other", 60, T0 + timedelta(minutes=1), ms + 60_000, 10)]
+    want, free = {}, 0
+    for key, seq, _, t, ttl in rows:
+        ok = ttl <= 0 or key == "other" or t >= free
+        free = t + ttl if ok and ttl > 0 and key == "k" else free
+        want[seq] = ok
+    schema = "unique_key string, seq long, time timestamp, t long, ttl long"
+    for part in (rows[:7], rows[7:40], rows[40:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        out = streams.run_to_end(streams.stream_unique(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert {x.seq: x.accepted for x in out.collect()} == want
+
+
+def test_live_statistics_hold_back_count_late_and_replace(spark, tmp_path):
+    live = LiveStats(spark, f"{tmp_path}/state", timedelta(minutes=10))
+    first = [fact(1, 0, "enqueue_accepted", key="k"), fact(3, 30, "process_started", "s", "k"), fact(5, 58, "process_succeeded", "s", "k")]
+    second = [fact(2, 55, "enqueue_accepted", key="k"), fact(4, 1, "enqueue_accepted", key="k"), fact(6, 59, "process_started", "s2", "k"), fact(7, 59.5, "process_started", "s2", "k", event_id="e6")]
+    for number, rows in enumerate((first, second)):
+        batch = spark.createDataFrame(rows, schemas.EVENT)
+        live.apply(batch, number)
+        live.apply(batch, number)  # a batch that comes again
+    got = live.snapshot(0).first()
+    assert (got.pending, got.active, got.processed) == (0, 1, 0)  # the success at minute 58 is held
+    number = live.close()
+    assert [x.seq for x in live.read("late", number).collect()] == [4]
+    got = live.snapshot(number).first()
+    assert (got.pending, got.active, got.processed, got.processed_hour, got.avg_run_ns) == (0, 1, 1, 1, 1000)
+    assert got.avg_wait_ns == (30 + 4) * 60 * 10**9 // 2  # the enqueue of minute 55 waits for the start of minute 59
+    assert live.read("seen", number).count() == 5
+
+
+def test_live_statistics_do_not_depend_on_the_cut(spark, tmp_path):
+    rows = []
+    kinds = ["enqueue_accepted", "process_started", "process_succeeded", "process_failed", "settlement_failed", "queue_paused", "queue_resumed", "process_retried"]
+    r = random.Random(3)
+    for i in range(400):
+        rows.append(fact(i, i / 4, r.choice(kinds), r.choice([None, None, "a", "b", "c"]), r.choice(["", "k1", "k2"]), r.choice(["q", "p"]), event_id=f"e{i - 1 if i % 40 == 39 else i}"))
+    want = sorted(map(tuple, stats.stats_snapshot(dedupe_events(spark.createDataFrame(rows, schemas.EVENT))).collect()))
+    rows.sort(key=lambda x: x[0] + r.randrange(30))
+    live = LiveStats(spark, f"{tmp_path}/state", timedelta(minutes=8))
+    for number, (a, b) in enumerate([(0, 150), (150, 160), (160, 400)]):
+        live.apply(spark.createDataFrame(rows[a:b], schemas.EVENT), number)
+    out = live.snapshot(live.close())
+    columns = stats.stats_snapshot(spark.createDataFrame(rows[:1], schemas.EVENT)).columns
+    assert sorted(map(tuple, out.select(*columns).collect())) == want
+    assert live.read("late", live.last()).count() == 0

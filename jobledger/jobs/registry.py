@@ -560,6 +560,17 @@ def overlap_audit(spark, sf):
     return audits.overlap_audit(audits.executions(fx.events(spark, sf)), 86_400_000_000)
 
 
+@query(sql.events(
+    """SELECT r.job_key, count(*) AS runs, (count(*) FILTER (WHERE EXISTS (SELECT 1 FROM x1 o WHERE o.job_key = r.job_key AND o.seq <> r.seq AND o.finish > o.start AND r.finish > r.start AND o.start < r.finish AND r.start < o.finish)))::BIGINT AS overlapping,
+      coalesce(max(n), 0)::BIGINT AS peak FROM x1 r LEFT JOIN (SELECT a.seq, count(*) AS n FROM x1 a JOIN x1 b ON b.job_key = a.job_key AND b.start <= a.start AND b.finish > a.start AND a.finish > a.start GROUP BY a.seq) USING (seq) GROUP BY r.job_key""",
+    "x0 AS (SELECT *, lead(kind) OVER w AS nk, lead(us) OVER w AS nu FROM e WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed') WINDOW w AS (PARTITION BY settlement_id ORDER BY time, seq))",
+    "x1 AS (SELECT job_key, seq, us AS start, coalesce(CASE WHEN nk <> 'process_started' THEN nu END, 4611686018427387904) AS finish FROM x0 WHERE kind = 'process_started' AND job_key <> '')",
+))
+def execution_overlaps(spark, sf):
+    """Executions of a key that share any moment, and the most at once."""
+    return audits.concurrency(audits.executions(fx.events(spark, sf)))
+
+
 @query(sql.events(
     "SELECT f.settlement_id, f.us AS ended_us, count(*) AS failures FROM (SELECT settlement_id, min(us) AS us FROM g WHERE settlement_id IS NOT NULL AND kind IN ('process_succeeded', 'process_failed') GROUP BY 1) f JOIN g s ON s.settlement_id = f.settlement_id AND s.kind = 'settlement_failed' AND s.us >= f.us GROUP BY ALL",
     "g AS (SELECT * REPLACE (CASE WHEN kind = 'process_started' AND seq % 5 = 0 THEN 'settlement_failed' ELSE kind END AS kind) FROM e)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobledger.functions import scalar
 from jobledger.operators import gauges
-from jobledger.operators.scan import lease_until, sorted_scan
+from jobledger.operators.jumps import admitted
 from jobledger.operators.stats import count_if, kind_is
 
 
@@ -56,13 +56,41 @@ def executions(events: DataFrame) -> DataFrame:
     return facts.where(kind_is("process_started") & (F.col("job_key") != "")).select("job_key", "seq", F.unix_micros("time").alias("start"), F.when(F.col("next_kind") != "process_started", F.unix_micros("next_time")).alias("finish"))
 
 
-def overlap_audit(runs: DataFrame, ttl_us: int) -> DataFrame:
-    """Executions that start while an admitted one of their key holds [start, min(finish, start + ttl)): job_key, seq."""
+def overlap_audit(runs: DataFrame, ttl_us: int, block_us: int = 86_400_000_000) -> DataFrame:
+    """Executions that start while an admitted one of their key holds [start, min(finish, start + ttl)): job_key, seq. Keys are cut into blocks of ``block_us``."""
     until = F.least(F.coalesce("finish", F.lit(2**62)), F.col("start") + ttl_us)
-    scanned = sorted_scan(runs.withColumn("until", until).drop("finish"), ["job_key"], ["start", "seq"], lease_until("start", "until"), "admitted boolean")
+    scanned = admitted(runs.select("job_key", "seq", "start", until.alias("until")), ["job_key"], "start", "until", ["seq"], block_us)
     return scanned.where("not admitted").select("job_key", "seq")
 
 
+def concurrency(runs: DataFrame, block_us: int = 86_400_000_000) -> DataFrame:
+    """Any overlap, by a sweep instead of a self-join: job_key, runs, overlapping (runs that share a moment with another), peak (most at once).
+
+    Executions hold [start, finish), open ones without end; empty ones hold nothing and overlap nothing. A run overlaps if one that started before it, in
+    (start, seq) order, ends after its start, or the next one starts before its end. Latest ends so far are taken within blocks and then over the blocks' latest, running
+    counts likewise, so a key with most of the runs spreads.
+    """
+    rows = runs.select("job_key", "seq", "start", F.coalesce("finish", F.lit(2**62)).alias("end")).withColumn("live", F.col("end") > F.col("start"))
+    busy = rows.where("live").withColumn("block", F.floor(F.col("start") / block_us))
+    per_block = busy.groupBy("job_key", "block").agg(F.max("end").alias("top"), F.min("start").alias("head"))
+    w = Window.partitionBy("job_key").orderBy("block")
+    around = per_block.select("job_key", "block", F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top_before"), F.lead("head").over(w).alias("head_after"))
+    inner = Window.partitionBy("job_key", "block").orderBy("start", "seq")
+    seen = busy.withColumn("inside", F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.lead("start").over(inner)).join(around, ["job_key", "block"])
+    hit = F.coalesce(F.greatest("inside", "top_before") > F.col("start"), F.lit(False)) | F.coalesce(F.coalesce("next", "head_after") < F.col("end"), F.lit(False))
+    counted = seen.groupBy("job_key").agg(count_if(hit).alias("overlapping"))
+    # at one moment ends come before starts
+    turns = busy.select("job_key", F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))).groupBy("job_key", "at").agg(F.sum("step").alias("step"))
+    turns = turns.withColumn("block", F.floor(F.col("at") / block_us))
+    upto = Window.partitionBy("job_key", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = turns.withColumn("level", F.sum("step").over(upto)).groupBy("job_key", "block").agg(F.max("level").alias("high"), F.sum("step").alias("sum"))
+    base = F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    peaks = blocks.withColumn("peak", base + F.col("high")).groupBy("job_key").agg(F.max("peak").alias("peak"))
+    total = rows.groupBy("job_key").agg(F.count("*").alias("runs"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return total.join(counted, "job_key", "left").join(peaks, "job_key", "left").select("job_key", "runs", zero("overlapping"), zero("peak"))
+
+
 def settlement_gaps(events: DataFrame) -> DataFrame:
     """Ended executions with a later failed settlement of the same delivery: settlement_id, ended, failures."""
     facts = events.where("settlement_id is not null")

@@ -45,26 +45,28 @@ def key_numbers(starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
 
 
-def hops(t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from: int | None) -> tuple[np.ndarray, int | None]:
+def hops(t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from: int | None, barred: np.ndarray | None = None) -> tuple[np.ndarray, int | None]:
     """Which rows are taken when each taken one bars its key until ``until``; ``t`` grows within a key. All keys hop at once.
 
-    ``free_from`` bars the first key; returned is what bars the last one.
+    ``free_from`` bars the first key; ``barred``, if given, each key instead. Returned is what bars the last one.
     """
     n = len(t)
     ok = np.zeros(n, dtype=bool)
     if n == 0:
         return ok, free_from
     key, ends = key_numbers(starts, n), np.append(starts[1:], n)
-    ranks = np.unique(np.concatenate([t, until, [] if free_from is None else [free_from]]).astype(np.int64), return_inverse=True)[1]
-    width = len(t) * 2 + 2
+    begin = [] if free_from is None and barred is None else [free_from] if barred is None else barred
+    ranks = np.unique(np.concatenate([t, until, begin]).astype(np.int64) if len(begin) else np.concatenate([t, until]).astype(np.int64), return_inverse=True)[1]
+    width = len(t) * 2 + len(begin) + 2
     place = key * width + ranks[:n]
     after = np.searchsorted(place, key * width + ranks[n : 2 * n])  # the first row of the key at or after ``until``
     after = np.maximum(np.minimum(after, ends[key]), np.arange(n) + 1)
     now = starts.copy()
-    if free_from is not None:
-        now[0] = min(np.searchsorted(place, ranks[-1]), ends[0])
+    if len(begin):
+        which = np.arange(len(begin))
+        now[which] = np.minimum(np.searchsorted(place, which * width + ranks[2 * n :]), ends[which])
     at, stop = now, ends
-    final = free_from if len(starts) == 1 else None
+    final = free_from if barred is None and len(starts) == 1 else None if barred is None else int(barred[-1])
     while True:
         live = at < stop
         at, stop = at[live], stop[live]

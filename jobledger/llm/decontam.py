@@ -187,11 +187,13 @@ def item_blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
         return [items]
     blocks = 2 * -(-total // block_bytes)
     number = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for _ in range(8):
+    for _ in range(40):
         sizes = items.groupBy(number().alias("b")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"))
         if sizes.where((F.col("bytes") > block_bytes) & (F.col("longest") <= block_bytes)).isEmpty():
             break
         blocks *= 2
+    else:
+        raise RuntimeError("items of the benchmark can't be told apart by their hash")
     return [items.where(number() == b) for b in range(blocks)]
 
 

@@ -8,10 +8,10 @@
 3. Banding: t = bands * rows, with as many rows as leave a pair at the threshold less than one chance in a million to
    share no band (8 rows of 51 bands at 0.85). Every document is tied to the smallest of each bucket, and the connected candidates form
    a candidate class: two documents that share any bucket are in one class.
-4. Verification: within a candidate class the full sets are compared. A class that is too large for one task is cut into blocks of
-   bounded size, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a
-   hash. Every pair of blocks that can hold a link meets in one task, first with 128 bytes of each sketch: a set is
-   sent there in full only if its sketch agrees with some other's there as one at the threshold would (it is missed with less than 1e-9). So classes
+4. Verification: the members of a class meet, first with 128 bytes of each sketch: a set is sent there in full only if its
+   sketch agrees with some other's there as one at the threshold would (it is missed with less than 1e-9). A class that is too large for one
+   task is cut into blocks of bounded size, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a
+   hash, and every pair of blocks that can hold a link is such a meeting. So classes
    that chain through common wording move short sketches, and full sets follow the documents that are really alike. A
    task emits a spanning forest of its links, never all its pairs. No class, bucket or block is dropped or sampled.
 """
@@ -217,7 +217,7 @@ def _partners(least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int | None = None, block_docs: int = 512, sketch_docs: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 51, rows: int | None = None, sketch_docs: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their distinct k-word shingles; component_id is
@@ -225,8 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     are linked with nothing. Rows that repeat a doc_id count as one document. A row with a null doc_id is linked with
     nothing and kept. Other columns are ignored.
 
-    A candidate class of at most ``block_docs`` documents and ``block_shingles`` shingles is compared in one task; of a
-    larger one, blocks of at most ``sketch_docs`` documents and as many shingles.
+    A task compares at most two blocks of ``sketch_docs`` documents and ``block_shingles`` shingles.
     """
     rows = rows or rows_for(percent / 100, bands)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
@@ -239,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     ties = keys.hint("merge").join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     classes = saved(components(ties).join(reps.select(F.col("rep").alias("node"), "tag", F.col("n_shingles").alias("weight"), "coords"), "node"))
 
-    links = _verified(texts, classes, k, percent, block_docs, sketch_docs, block_shingles)
+    links = _verified(texts, classes, k, percent, sketch_docs, block_shingles)
     found = components(links)
 
     of_set = reps.join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -251,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 TASK = "component:long,s1:int,z1:int,s2:int,z2:int,side:int"
 
 
-def comparisons(classes: DataFrame, percent: int, block_docs: int, sketch_docs: int, block_shingles: int) -> DataFrame:
+def comparisons(classes: DataFrame, percent: int, sketch_docs: int, block_shingles: int) -> DataFrame:
     """``classes(node, tag, component, weight, coords)`` -> doc_id, tag, list: the tasks to which its full set goes, if any.
 
     A task is (component, s1, z1, s2, z2, side): two blocks of size strata, lower one first; side tells which of them it is in.
@@ -262,7 +261,7 @@ def comparisons(classes: DataFrame, percent: int, block_docs: int, sketch_docs:
     need = lambda docs, weight, most: F.greatest(F.ceil(docs / most), F.ceil(weight / block_shingles)).cast("int")
     strata = sized.groupBy("component", "s").agg(F.count("*").alias("docs"), F.sum("weight").alias("weight"))
     plan = strata.groupBy("component").agg(
-        (need(F.sum("docs"), F.sum("weight"), block_docs) == 1).alias("single"),
+        (need(F.sum("docs"), F.sum("weight"), sketch_docs) == 1).alias("single"),
         F.map_from_entries(F.collect_list(F.struct("s", need(F.col("docs"), F.col("weight"), sketch_docs).alias("n")))).alias("cuts"),
     )
     near = lambda d: F.coalesce(F.col("cuts")[F.col("s") + d], F.lit(0))
@@ -273,16 +272,16 @@ def comparisons(classes: DataFrame, percent: int, block_docs: int, sketch_docs:
     up = F.transform(F.sequence(one, near(1)), lambda z: pair(s, me, s + 1, z - 1, zero))
     down = F.transform(F.sequence(one, near(-1)), lambda z: pair(s - 1, z - 1, s, me, one))
     none = F.array().cast(f"array<struct<{TASK}>>")
-    met = sized.join(plan, "component")
-    whole = met.where("single").select(F.col("node").alias("doc_id"), "tag", F.array(pair(zero, zero, zero, zero, zero)).alias("list"))
-    cut = met.where("not single").select(F.col("node").alias("doc_id"), "tag", "coords", F.inline(F.concat(same, F.when(near(1) > 0, up).otherwise(none), F.when(near(-1) > 0, down).otherwise(none))))
-    kept = cut.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_partners(agreeing(percent / 100, COORDS)), "doc_id long, tag long, component long, s1 int, z1 int, s2 int, z2 int, side int")
-    return whole.union(kept.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("component", "s1", "z1", "s2", "z2", "side")).alias("list")))
+    several = F.concat(same, F.when(near(1) > 0, up).otherwise(none), F.when(near(-1) > 0, down).otherwise(none))
+    tasks = F.when(F.col("single"), F.array(pair(zero, zero, zero, zero, zero))).otherwise(several)  # a class that is one block meets itself
+    met = sized.join(plan, "component").select(F.col("node").alias("doc_id"), "tag", "coords", F.inline(tasks))
+    kept = met.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_partners(agreeing(percent / 100, COORDS)), "doc_id long, tag long, component long, s1 int, z1 int, s2 int, z2 int, side int")
+    return kept.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("component", "s1", "z1", "s2", "z2", "side")).alias("list"))
 
 
-def _verified(texts: DataFrame, classes: DataFrame, k: int, percent: int, block_docs: int, sketch_docs: int, block_shingles: int) -> DataFrame:
+def _verified(texts: DataFrame, classes: DataFrame, k: int, percent: int, sketch_docs: int, block_shingles: int) -> DataFrame:
     """Links confirmed on full sets, as spanning forests of each task: (a, b)."""
-    placed = comparisons(classes, percent, block_docs, sketch_docs, block_shingles)
+    placed = comparisons(classes, percent, sketch_docs, block_shingles)
     schema = f"doc_id long, shingles binary, tasks array<struct<{TASK}>>"
     sets = texts.hint("merge").join(placed, ["doc_id", "tag"]).select("doc_id", "text", F.col("list").alias("tasks")).mapInArrow(_set_rows(k), schema)
     dealt = sets.select("doc_id", "shingles", F.inline("tasks"))

@@ -9,6 +9,7 @@ shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta increasin
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 1
         sample.unpersist()
     y = kept["y"].to_numpy(np.int64)
     if len(words.hashes) == 0 or len(set(y)) < 2:
+        warnings.warn("no wording stands out among the toxic texts: nothing will be rejected", stacklevel=2)
         return Model(words, np.zeros(len(words.hashes)), np.full(GRADES - 1, 40.0))
     size = kept["index"].map(len).to_numpy()
     row = np.repeat(np.arange(len(kept)), size)

@@ -79,8 +79,8 @@ def test_near_duplicates_equal_brute_force(spark):
             for j, b in enumerate(sets[:i]):
                 if a and b and 100 * len(a & b) >= 85 * len(a | b):
                     want[i] = want[j] = min(want[i], want[j])
-    for blocks in (512, 2):  # whole classes, and classes cut into many blocks
-        got = {x.doc_id: x for x in near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=blocks, sketch_docs=blocks).collect()}
+    for blocks in (4096, 2):  # whole classes, and classes cut into many blocks
+        got = {x.doc_id: x for x in near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, sketch_docs=blocks).collect()}
         assert [got[i].component_id for i in range(len(docs))] == want
         assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in sets]
 
@@ -101,7 +101,7 @@ def test_a_chained_class_moves_few_full_sets(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(near_dedup, "comparisons", counted)
-    got = near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, block_docs=32, sketch_docs=64).collect()
+    got = near_dedup.near_duplicates(texts(spark, list(enumerate(docs))), k=3, percent=85, sketch_docs=64).collect()
     assert {x.doc_id: x.component_id for x in got} == {i: copies.get(i, i) for i in range(len(docs))}
     largest, sets = sent[0]
     assert largest > 1000 and sets < 4 * len(docs)  # 19 blocks of 64: comparing all of them would send each set to some twenty tasks
@@ -111,7 +111,7 @@ def test_several_texts_of_one_id_each_count(spark):
     base = " ".join(f"w{i}" for i in range(110))
     rows = [(1, " ".join(f"v{i}" for i in range(1000))), (1, base), (2, base + " more"), (3, " ".join(f"v{i}" for i in range(1001)))]
     for blocks in (512, 1):
-        got = near_dedup.near_duplicates(texts(spark, rows), k=3, percent=85, block_docs=blocks, sketch_docs=blocks).collect()
+        got = near_dedup.near_duplicates(texts(spark, rows), k=3, percent=85, sketch_docs=blocks).collect()
         assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1)}
 
 

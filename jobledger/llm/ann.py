@@ -199,18 +199,19 @@ def fit_tree(entries: DataFrame, parts: int, part_rows: int, most_parts: int, sa
     return Tree(top, width, inner)
 
 
-def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: int = 32, sample: int = 8192, block_rows: int = 16_384, part_rows: int = 131_072, most_parts: int = 256) -> DataFrame:
+def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: int = 32, sample: int = 8192, block_rows: int = 16_384, part_rows: int = 131_072, most_parts: int = 256, block_queries: int = 65_536) -> DataFrame:
     """``embeddings(vec_id, embedding)`` -> query_id, rank, vec_id, score: the ``top`` nearest found of each query, by inner product.
 
     Queries are the rows whose vec_id is divisible by ``query_step``; candidates are all other rows. Vectors that are null,
     zero, hold null or non-finite components or have an unusual length take no part. Equal vectors are one entry with
     its ``top`` + 1 smallest ids, which is all that can be returned of them; ties go to the smaller vec_id. Rows that
-    repeat a vec_id with the same vector count once.
+    repeat a vec_id with the same vector count once; a vec_id with several vectors is a candidate with each, and as a query asks
+    with the least of them (by components).
 
     Each router is fitted on ``sample`` vectors or about as many; every row is indexed. There are ``parts`` parts, or beyond
     ``part_rows`` rows for each about rows / ``part_rows`` in two levels of up to ``most_parts`` each, whose routers (at most ``most_parts`` + 1) all tasks get.
-    A part is scored in blocks of about ``block_rows`` rows, so a popular part still spreads, and a query's work follows the rows of
-    the parts it probes.
+    A part is scored in blocks of about ``block_rows`` rows for about ``block_queries`` queries each, so a popular part still spreads by
+    either, and a query's work follows the rows of the parts it probes.
     """
     spark = embeddings.sparkSession
     rows = usable_vectors(embeddings).withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(3), "vec"))
@@ -236,11 +237,17 @@ def nearest(embeddings: DataFrame, query_step: int = 20, top: int = 20, parts: i
     # a number for each of at most ``most_parts`` ** 2 parts
     blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     index = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int"))
-    asked = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.first("vec").alias("vec"))
+    asked = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     queries = asked.mapInPandas(routed, "vec_id long, vec array<double>, parts array<int>").select("vec_id", "vec", F.explode("parts").alias("part"))
-    q_blocks = blocks.toDF("q_part", "q_blocks")
-    queries = queries.join(F.broadcast(q_blocks), F.col("part") == F.col("q_part")).select("vec_id", "vec", F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
-    found = queries.groupBy("q_part", "q_block").cogroup(index.groupBy("part", "block")).applyInPandas(_rerank(top), "query_id long, vec_id long, score double")
+    queries = saved(queries)
+    # a number for each part again
+    chunks = queries.groupBy(F.col("part").alias("q_part")).agg(F.ceil(F.count("*") / block_queries).cast("int").alias("chunks"))
+    q_blocks = blocks.toDF("q_part", "q_blocks").join(F.broadcast(chunks), "q_part")
+    queries = queries.join(F.broadcast(q_blocks), F.col("part") == F.col("q_part")).withColumn("q_chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    queries = queries.select("vec_id", "vec", F.col("part").alias("q_part"), "q_chunk", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
+    # parts that no query probes are left out; each block meets every chunk of its part's queries
+    index = index.join(F.broadcast(chunks), F.col("part") == F.col("q_part")).select("vec", "ids", "part", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    found = queries.groupBy("q_part", "q_block", "q_chunk").cogroup(index.groupBy("part", "block", "chunk")).applyInPandas(_rerank(top), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -725,3 +725,17 @@ def test_parts_are_balanced():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_popular_parts_are_split_by_queries_too(spark):
+    """Small chunks of queries give what large ones do; a query id with several vectors asks with the least."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(40, (x[40] + 5).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, cut = (sorted(map(tuple, ann.nearest(df, parts=4, block_queries=n).collect())) for n in (65_536, 3))
+    assert whole == cut
+    asked = min(x[40].tolist(), (x[40] + 5).tolist())
+    scores = [s for q, _, _, s in whole if q == 40]
+    best = sorted((float(v @ np.array(asked)) for i, v in enumerate(x) if i != 40), reverse=True)[:20]
+    assert len(scores) == 20 and scores[0] == pytest.approx(best[0])

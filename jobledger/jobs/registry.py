@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from jobledger import schemas
 from jobledger.functions import scalar
 from jobledger.jobs import sql
-from jobledger.operators import alerts, audits, gauges, history, jobtable, stats, unique, workflow
+from jobledger.operators import alerts, audits, gauges, history, jobtable, stats, traces, unique, workflow
 from jobledger.operators.events import dedupe_events, normalize_events
 from jobledger.sources import fixtures as fx
 from jobledger.sources.tables import decode_nodes, folder, parse_event_lines, read_table, write_table
+from jobledger.sources.versions import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,6 +235,13 @@ def active_gauge(spark, sf):
     return gauges.active_gauge(fx.events(spark, sf))
 
 
+def _once(spark, sf) -> DataFrame:
+    """The normalised log, each fact once, as a table."""
+    path, rows = folder(spark), fx.events(spark, sf)
+    write_table(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 _PARTS = [("run", sql.RUN, ["avg_run_ns"]), ("wait", sql.WAIT, ["avg_wait_ns"]), ("paused", sql.PAUSED, ["paused"]), ("thr", sql.THROUGHPUT, [f"{n}_{w}" for w in stats.WINDOWS for n in ("processed", "failed")]), ("pend", sql.PENDING, ["pending"]), ("sched", sql.SCHEDULED, ["scheduled"]), ("act", sql.ACTIVE, ["active"])]
 
 
@@ -241,7 +249,8 @@ _PARTS = [("run", sql.RUN, ["avg_run_ns"]), ("wait", sql.WAIT, ["avg_wait_ns"]),
     "SELECT c.queue, c.processed, c.failed, c.retry, c.archived, " + ", ".join(f"coalesce({t}.{c}, 0) AS {c}" for t, _, cs in _PARTS for c in cs) + " FROM (" + sql.COUNTERS + ") c " + " ".join(f"LEFT JOIN ({q}) {t} ON {t}.queue = c.queue" for t, q, _ in _PARTS), sql.WAITS
 ))
 def stats_snapshot(spark, sf):
-    return stats.stats_snapshot(fx.events(spark, sf))
+    """Over the log with each fact once, written first: its branches then need no deduplication of their own."""
+    return stats.stats_snapshot(_once(spark, sf))
 
 
 @query(sql.events("SELECT kind, driver, queue, count(*) AS events FROM e GROUP BY ALL"))
@@ -249,6 +258,11 @@ def events_total(spark, sf):
     return stats.events_total(fx.events(spark, sf))
 
 
+@query(sql.events("SELECT kind, driver, queue, count(*) AS events FROM e WHERE kind LIKE 'enqueue_%' GROUP BY ALL"))
+def dispatch_total(spark, sf):
+    return stats.dispatch_total(fx.events(spark, sf))
+
+
 @query(sql.events("SELECT driver, queue, (count(*) FILTER (WHERE kind IN ('enqueue_rejected', 'enqueue_canceled')))::BIGINT AS enqueue_failed, " + ", ".join(sql._COUNT.format(k, k) for k in ("republish_failed", "settlement_failed", "process_recovered")) + " FROM e GROUP BY ALL"))
 def failure_counters(spark, sf):
     return stats.failure_counters(fx.events(spark, sf))
@@ -280,6 +294,15 @@ def duration_percentiles(spark, sf):
     return stats.duration_percentiles(fx.events(spark, sf), exact=True)
 
 
+@query(sql.events("SELECT queue, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM e WHERE kind IN ('process_succeeded', 'process_failed') AND us // 1000000 // 3600 * 3600 >= 1704585600 GROUP BY queue"))
+def sketched_percentiles(spark, sf):
+    """Hourly sketches from 2024-01-07 on, merged by queue: whether each quantile's true rank is within four hundredths."""
+    e, since = fx.events(spark, sf), 1_704_585_600
+    got = stats.merged_quantiles(stats.duration_sketches(e), ["queue"], since=since)
+    off = stats.rank_errors(e.where(F.unix_seconds("time") >= since), got, ["queue"])
+    return off.select("queue", "n", *[(F.col(f"e{p}") <= 0.04).alias(f"p{p}_within") for p in (50, 95, 99)])
+
+
 @query(sql.events("""SELECT queue, count(*) AS jobs, (sum(ms) // count(*))::BIGINT AS avg_ms, max(ms) AS max_ms, quantile_cont(ms, 0.5) AS p50_ms, quantile_cont(ms, 0.95) AS p95_ms, quantile_cont(ms, 0.99) AS p99_ms FROM (
   SELECT p.job_id, p.queue, min(s.us) // 1000 - p.us // 1000 AS ms FROM (SELECT job_id, min_by(queue, (time, seq)) AS queue, min(us) AS us FROM e WHERE kind = 'enqueue_accepted' AND job_id <> '' GROUP BY 1) p
   JOIN e s ON s.job_id = p.job_id AND s.kind = 'process_succeeded' AND s.us >= p.us GROUP BY p.job_id, p.queue, p.us) GROUP BY queue"""))
@@ -305,6 +328,14 @@ def _chain_facts(spark, sf) -> DataFrame:
     return c.select(chain.alias("chain_id"), kind.alias("kind"), F.concat(chain, F.lit(":"), F.col("turn").cast("string")).alias("event_id"), F.timestamp_seconds("turn").alias("time"), F.col("turn").alias("seq"))
 
 
+@query("""SELECT family, family || substr(kind, 6) AS kind, count(*) AS events FROM (SELECT CASE WHEN conv_id % 3 = 0 THEN 'batch' ELSE 'chain' END AS family, CASE WHEN turn = 0 THEN 'chain_started' WHEN role = 'user' AND turn >= 6 THEN 'chain_failed' WHEN turn = 7 THEN 'chain_completed' ELSE 'chain_advanced' END AS kind FROM conversations WHERE conv_id >= 0) GROUP BY ALL""")
+def workflow_family_totals(spark, sf):
+    """Every third chain is read as a batch."""
+    facts = _chain_facts(spark, sf)
+    kind = F.when(F.substring("chain_id", 2, 20).cast("long") % 3 == 0, F.concat(F.lit("batch"), F.substring("kind", 6, 20))).otherwise(F.col("kind"))
+    return stats.workflow_family_totals(facts.withColumn("kind", kind))
+
+
 @query("""WITH f AS (SELECT 'c' || conv_id AS chain_id, turn, CASE WHEN turn = 0 THEN 'chain_started' WHEN role = 'user' AND turn >= 6 THEN 'chain_failed' WHEN turn = 7 THEN 'chain_completed' ELSE 'chain_advanced' END AS kind FROM conversations WHERE conv_id >= 0)
 SELECT chain_id, count(*) FILTER (WHERE kind = 'chain_started') > 0 AS started, count(DISTINCT turn) FILTER (WHERE kind = 'chain_advanced') AS advanced, max_by(kind, turn) FILTER (WHERE kind IN ('chain_failed', 'chain_completed')) AS terminal FROM f GROUP BY chain_id""")
 def chain_summary(spark, sf):
@@ -433,6 +464,22 @@ def settle_jobs(spark, sf):
     return jobtable.settle_jobs(jobs, fx.job_outcomes(jobs), AS_OF)[0].select("id", "state", "available_at", "attempt", "last_error", "updated_at")
 
 
+_JOB_TABLE = "id bigint, queue_name string, job_type string, payload string, timeout_seconds bigint, max_retry int, backoff_millis bigint, attempt int, available_at bigint, processing_started_at bigint, processing_token string, last_error string, state string, created_at bigint, updated_at bigint"
+
+
+@query(ORACLES["settle_jobs"])
+def settle_versioned(spark, sf):
+    """The same, of a table by queue of which a version is published: only partitions with a settled job are rewritten."""
+    jobs = fx.jobs(spark, sf)
+    table = VersionedTable(spark, f"{folder(spark)}/jobs", _JOB_TABLE, "queue_name")
+    names = [c.split()[0] for c in _JOB_TABLE.split(", ")]
+    table.upsert(jobs.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _JOB_TABLE.split(", "))]), ["id"])
+    after, _, _ = jobtable.settle_jobs(table.read(), fx.job_outcomes(jobs), AS_OF)
+    gone = table.read().join(after.select("id"), "id", "left_anti").select("id", "queue_name")
+    table.upsert(after.where(F.col("updated_at") == AS_OF).select(*names), ["id"], gone)
+    return table.read().select("id", "state", "available_at", "attempt", "last_error", "updated_at")
+
+
 @query(sql.over(sql.JOBS, "SELECT o.id, o.seq, o.error FROM o ANTI JOIN s1 ON s1.seq = o.seq"))
 def unmatched_outcomes(spark, sf):
     jobs = fx.jobs(spark, sf)
@@ -524,6 +571,35 @@ def trace(spark, sf):
     return audits.trace(fx.events(spark, sf))
 
 
+_TRACES = [
+    "f AS (SELECT *, substr(dispatch_id, 5)::BIGINT AS u FROM e)",
+    "g AS (SELECT * EXCLUDE (dispatch_id), CASE WHEN seq % 3 = 0 THEN '' ELSE dispatch_id END AS dispatch_id, CASE WHEN seq % 7 = 0 THEN 'chn_' || (u // 3) ELSE '' END AS chain_id, CASE WHEN seq % 11 = 0 THEN 'bat_' || (u // 5) ELSE '' END AS batch_id FROM f)",
+    "h AS (SELECT *, list_filter([CASE WHEN dispatch_id <> '' THEN 'd:' || dispatch_id END, CASE WHEN job_id <> '' THEN 'j:' || job_id END, CASE WHEN chain_id <> '' THEN 'c:' || chain_id END, CASE WHEN batch_id <> '' THEN 'b:' || batch_id END], lambda x: x IS NOT NULL) AS ids FROM g)",
+    "l0 AS (SELECT DISTINCT ids[1] AS a, unnest(ids) AS b FROM h)",
+    "l AS (SELECT a, b FROM l0 UNION SELECT b, a FROM l0)",
+    "r AS (SELECT DISTINCT a AS id, a AS node FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.node)",
+    "c AS (SELECT id, min(node) AS trace FROM r GROUP BY id)",
+    "t AS (SELECT c.trace, row_number() OVER w AS position, us - lag(us) OVER w AS gap_us, seq, layer, kind, us AS time_us FROM h JOIN c ON c.id = h.ids[1] WINDOW w AS (PARTITION BY c.trace ORDER BY time, seq))",
+]
+
+
+def _correlated(spark, sf) -> DataFrame:
+    """Facts with chains over three users and batches over five, so identifiers meet over several steps; every third lacks its dispatch."""
+    user = F.substring("dispatch_id", 5, 20).cast("long")
+    tied = lambda n, prefix, width: F.when(F.col("seq") % n == 0, F.concat(F.lit(prefix), F.floor(user / width).cast("string"))).otherwise("")
+    return fx.events(spark, sf).withColumns({"chain_id": tied(7, "chn_", 3), "batch_id": tied(11, "bat_", 5), "dispatch_id": F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("dispatch_id"))})
+
+
+@query(sql.events("SELECT * FROM t", *_TRACES))
+def trace_facts(spark, sf):
+    return traces.trace_facts(_correlated(spark, sf)).withColumn("time_us", F.unix_micros("time")).drop("time")
+
+
+@query(sql.events("SELECT trace, count(*) AS facts, count(DISTINCT kind) AS kinds, count(DISTINCT layer) AS layers, max(time_us) - min(time_us) AS took_us, max(gap_us) AS longest_gap_us FROM t GROUP BY trace", *_TRACES))
+def trace_summary(spark, sf):
+    return traces.trace_summary(traces.trace_facts(_correlated(spark, sf)))
+
+
 @query(sql.events("SELECT job_id, min_by(queue, (time, seq)) AS queue FROM e WHERE kind = 'enqueue_accepted' AND job_id <> '' AND job_id NOT IN (SELECT job_id FROM e WHERE kind = 'process_succeeded' AND attempt = 0) GROUP BY job_id"))
 def unprocessed(spark, sf):
     """Jobs without a success at the first attempt: with any attempt, the derived log has none left over."""
@@ -626,6 +702,14 @@ def backlog_alert(spark, sf):
 _ERRORS = sql.WINDOWS.replace("FROM e)", "FROM e WHERE NOT (kind = 'process_succeeded' AND us // 86400000000 % 3 = 0))")
 
 
+@query(sql.events("""SELECT queue, min(start) AS start, max(start) + 86400 AS "end", count(*) AS windows, max(pending) AS peak FROM (SELECT *, x - row_number() OVER (PARTITION BY queue ORDER BY start) AS island FROM (
+  SELECT *, count(*) OVER w AS n, min(pending) OVER w AS low, regr_slope(pending, x) OVER w AS sp, regr_slope(succeeded, x) OVER w AS ss FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY start) AS x FROM q)
+  WINDOW w AS (PARTITION BY queue ORDER BY start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n = 4 AND low > 2 AND sp > 1e-9 AND ss <= 1e-9) GROUP BY queue, island""", sql.WINDOWS))
+def sustained_backlog(spark, sf):
+    """More than two pending for four days that grow while successes don't."""
+    return alerts.sustained_backlog(fx.events(spark, sf), 86_400, 2, 4)
+
+
 @query(sql.events("SELECT queue, start, pending FROM q WHERE pending > 0 AND succeeded = 0", _ERRORS))
 def no_progress_alert(spark, sf):
     """Without the successes of every third day, as in an outage."""

@@ -13,7 +13,7 @@ from jobledger.jobs.registry import KEY_PREFIX, ORACLES, query
 from jobledger.operators.events import normalize_events
 from jobledger.sources import fixtures as fx
 from jobledger.sources import tables
-from jobledger.streaming import streams
+from jobledger.streaming import intake, streams
 from jobledger.streaming.live import LiveStats
 
 
@@ -140,6 +140,21 @@ def live_snapshot(spark, sf):
     return live.snapshot(live.close())
 
 
+@query(sql.events("SELECT CASE WHEN seq % 101 = 0 THEN 'malformed' WHEN seq % 103 = 0 THEN 'unknown version' WHEN seq % 107 = 0 THEN 'no kind' ELSE 'good' END AS verdict, count(*) AS n FROM e0 GROUP BY ALL"))
+def json_intake(spark, sf):
+    """Lines of JSON in two deliveries, some cut short, of a newer schema or without a kind: what is stored where."""
+    base = tables.folder(spark)
+    seq = F.col("seq")
+    rows = fx.events_raw(spark, sf).withColumns({"schema_version": F.when(seq % 103 == 0, 9).otherwise(F.col("schema_version")), "kind": F.when(seq % 107 == 0, "").otherwise(F.col("kind"))})
+    line = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    lines = rows.select(F.when(seq % 101 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"), "seq")
+    for part in (lines.where(seq % 2 == 0), lines.where(seq % 2 == 1)):
+        part.select("value").write.mode("append").text(f"{base}/in")
+        streams.finish(intake.intake(intake.stream_lines(spark, f"{base}/in"), f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    good = spark.read.parquet(f"{base}/out/events").select(F.lit("good").alias("verdict"))
+    return good.union(spark.read.parquet(f"{base}/out/quarantine").select("reason")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 @query(sql.events("SELECT kind, count(*) AS events FROM e1 GROUP BY kind"))
 def fan_out(spark, sf):
     """Every batch to a broken observer and a good one: the good one's rows."""

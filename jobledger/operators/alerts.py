@@ -38,6 +38,21 @@ def backlog_alert(events: DataFrame, seconds: int, threshold: int) -> DataFrame:
     return rows.where((F.col("pending") > threshold) & (F.col("pending") > F.col("p0")) & (F.col("succeeded") <= F.col("s0"))).select("queue", "start", "pending", "succeeded")
 
 
+def sustained_backlog(events: DataFrame, seconds: int, threshold: int, windows: int) -> DataFrame:
+    """Episodes of sustained backlog: queue, start (of the first window), end (of the last), windows, peak (most pending).
+
+    A window is in alarm if over it and the ``windows`` - 1 before it (all there) pending stayed above ``threshold``, the regression of pending on time
+    rises, and that of successes doesn't. Neighbouring windows in alarm are one episode, from the first alarm on.
+    """
+    order = Window.partitionBy("queue").orderBy("start")
+    span = order.rowsBetween(-(windows - 1), 0)
+    rows = queue_windows(events, seconds).withColumn("x", F.row_number().over(order).cast("double"))
+    slope = lambda y: F.regr_slope(F.col(y).cast("double"), F.col("x")).over(span)
+    alarm = (F.count("*").over(span) == windows) & (F.min("pending").over(span) > threshold) & (slope("pending") > 1e-9) & (slope("succeeded") <= 1e-9)
+    told = rows.withColumn("alarm", F.coalesce(alarm, F.lit(False))).where("alarm").withColumn("island", F.col("x") - F.row_number().over(order))
+    return told.groupBy("queue", "island").agg(F.min("start").alias("start"), (F.max("start") + seconds).alias("end"), F.count("*").alias("windows"), F.max("pending").alias("peak")).drop("island")
+
+
 def no_progress_alert(events: DataFrame, seconds: int) -> DataFrame:
     """Windows with pending jobs and no success."""
     return queue_windows(events, seconds).where("pending > 0 and succeeded = 0").select("queue", "start", "pending")

@@ -19,9 +19,10 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def parse_event_lines(lines: DataFrame) -> DataFrame:
-    """``lines(line)`` of JSON -> the event's columns and ``corrupt``."""
+    """``lines(line)`` of JSON -> the event's columns and ``corrupt``, beside the other columns of ``lines``."""
     got = F.from_json("line", f"{schemas.EVENT}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.withColumn("e", got).select("e.*", F.col("e._bad").isNotNull().alias("corrupt")).drop("_bad")
+    others = [c for c in lines.columns if c != "line"]
+    return lines.withColumn("e", got).select(*others, "e.*", F.col("e._bad").isNotNull().alias("corrupt")).drop("_bad")
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

@@ -722,6 +722,13 @@ def churn_alert(spark, sf):
     return alerts.churn_alert(fx.events(spark, sf), 86_400, 3)
 
 
+@query(sql.events("""SELECT queue, min(start) AS start, max(start) + 86400 AS "end", count(*) AS windows, max(level) AS peak FROM (SELECT *, start - 86400 * row_number() OVER (PARTITION BY queue ORDER BY start) AS island FROM (
+  SELECT queue, (us // 1000000) // 86400 * 86400 AS start, (count(*) FILTER (WHERE kind IN ('process_failed', 'process_retried')))::BIGINT AS level FROM e GROUP BY ALL HAVING level > 5)) GROUP BY queue, island"""))
+def churn_episodes(spark, sf):
+    """Days on which a queue has more than five failures and retries, neighbouring ones together."""
+    return alerts.alert_episodes(fx.events(spark, sf), ["queue"], F.when(F.col("kind").isin("process_failed", "process_retried"), 1).otherwise(0), 5, 86_400)
+
+
 @query(sql.events("SELECT kind, (us // 1000000) // 86400 * 86400 AS start, count(*) AS n FROM e WHERE kind IN ('republish_failed', 'settlement_failed', 'process_recovered') GROUP BY ALL HAVING count(*) > 5"))
 def internal_failure_alerts(spark, sf):
     return alerts.internal_failure_alerts(fx.events(spark, sf), 86_400, 5)
@@ -735,9 +742,9 @@ def first_outcome(spark, sf):
     return workflow.first_outcome(fx.batches(spark, sf)[2]).select("batch_id", "job_id", F.unix_micros("place.time").alias("time_us"), "failed", "won", "owned")
 
 
-@query(sql.over(sql.BATCHES, "SELECT batch_id, allow_failed, total, pending, processed, failed, cancelled, completed FROM bs"))
+@query(sql.over(sql.BATCHES, "SELECT batch_id, bs.allow_failed, total, pending, processed, failed, cancelled, completed, epoch_us(greatest(b.created_at, told_at, bs.cancelled_at)) AS updated_us FROM bs JOIN b USING (batch_id) LEFT JOIN (SELECT batch_id, max(time) AS told_at FROM x SEMI JOIN m USING (batch_id, job_id) GROUP BY batch_id) USING (batch_id)"))
 def batch_state(spark, sf):
-    return workflow.batch_state(*fx.batches(spark, sf))
+    return workflow.batch_state(*fx.batches(spark, sf)).withColumn("updated_us", F.unix_micros("updated_at")).drop("updated_at")
 
 
 @query(sql.over(sql.BATCHES, "SELECT batch_id, job_id FROM own"))
@@ -751,9 +758,24 @@ def member_state(spark, sf):
     return workflow.member_state(members, members.where("job_id = '1'"), outcomes)
 
 
-@query(sql.over(sql.CHAINS, "SELECT chain_id, next_index, completed, failed, acted, replayed, early, unknown FROM cs"))
+_ACTED = "ac AS (SELECT f.chain_id, max(co.shipped) AS acted_at, max(CASE WHEN co.failed THEN 'cause-' || split_part(co.claim, ':', 3) END) AS cause FROM f JOIN co ON co.chain_id = f.chain_id AND co.i = f.i WHERE f.disposition = 'claimed' GROUP BY f.chain_id)"
+
+
+@query(sql.over(sql.CHAINS, _ACTED, "SELECT chain_id, next_index, completed, cs.failed, acted, replayed, early, unknown, cause AS failure, epoch_us(greatest(ch.created_at, acted_at)) AS updated_us FROM cs JOIN ch USING (chain_id) LEFT JOIN ac USING (chain_id)"))
 def chain_state(spark, sf):
-    return workflow.chain_state(*fx.chains(spark, sf))
+    return workflow.chain_state(*fx.chains(spark, sf)).withColumn("updated_us", F.unix_micros("updated_at")).drop("updated_at")
+
+
+@query(sql.over(sql.CHAINS.replace("AS claim, row_number()", "AS claim, l_shipdate < coalesce((SELECT min(h) FROM hs WHERE hs.chain_id = l_orderkey), DATE '2100-01-01') AS ahead, row_number()").replace("FROM f JOIN co ON co.chain_id = f.chain_id AND co.i = f.i + 1)", "FROM f JOIN co ON co.chain_id = f.chain_id AND co.i = f.i + 1 AND co.ahead)").replace("ch AS (", "hs AS (SELECT o_orderkey AS chain_id, o_orderdate + INTERVAL 45 DAY AS h FROM orders WHERE o_orderkey % 4 < 2), ch AS (", 1), _ACTED,
+  """SELECT chain_id, next_index, completed, cs.failed OR (h IS NOT NULL AND NOT completed) AS failed, acted, CASE WHEN cs.failed THEN cause WHEN h IS NOT NULL AND NOT completed THEN 'given up' END AS failure,
+  epoch_us(greatest(ch.created_at, acted_at, CASE WHEN NOT cs.failed AND NOT completed THEN h END)) AS updated_us FROM cs JOIN ch USING (chain_id) LEFT JOIN ac USING (chain_id) LEFT JOIN hs USING (chain_id)"""))
+def stopped_chains(spark, sf):
+    """Half of the chains are given up 45 days after their order, if they haven't ended by then; some of these twice."""
+    orders = fx.table(spark, sf, "orders").where("o_orderkey % 4 < 2")
+    at = F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 45 DAYS")
+    stops = orders.select(F.col("o_orderkey").alias("chain_id"), at.alias("time"), F.lit("given up").alias("error"))
+    again = orders.where("o_orderkey % 8 = 0").select(F.col("o_orderkey"), at + F.expr("INTERVAL 1 DAY"), F.lit("again"))
+    return workflow.chain_state(*fx.chains(spark, sf), stops.union(again)).select("chain_id", "next_index", "completed", "failed", "acted", "failure", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query(sql.over(sql.CHAINS, "SELECT chain_id, node, failed, disposition, count(*) AS n FROM f WHERE i > 0 GROUP BY ALL"))
@@ -903,8 +925,8 @@ def prune_workflows(spark, sf):
     touched = outcomes.groupBy("chain_id").agg(F.max("place.time").alias("updated_at"))
     marked = fx.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("batch_finally:"), F.col("o_orderkey").cast("string")).alias("callback_key"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
     tables = {
-        "batches": workflow.batch_state(batches, *more).withColumn("ended", F.col("completed")).join(batches.select("batch_id", F.col("created_at").alias("updated_at")), "batch_id"), "members": more[0],
-        "chains": workflow.chain_state(chains, outcomes).withColumn("ended", F.col("completed") | F.col("failed")).join(touched, "chain_id"), "nodes": chains.select("chain_id", F.explode(F.sequence(F.lit(0), F.col("n_nodes") - 1)).alias("node")),
+        "batches": workflow.batch_state(batches, *more).drop("updated_at").withColumn("ended", F.col("completed")).join(batches.select("batch_id", F.col("created_at").alias("updated_at")), "batch_id"), "members": more[0],
+        "chains": workflow.chain_state(chains, outcomes).drop("updated_at").withColumn("ended", F.col("completed") | F.col("failed")).join(touched, "chain_id"), "nodes": chains.select("chain_id", F.explode(F.sequence(F.lit(0), F.col("n_nodes") - 1)).alias("node")),
         "receipts": _all_receipts(spark, sf), "callbacks": marked,
     }
     row = {"batches": ("batch_id", None), "members": ("batch_id", "job_id"), "chains": ("chain_id", None), "nodes": ("chain_id", "node"), "receipts": (F.concat("workflow_kind", "workflow_id"), "member_id"), "callbacks": ("callback_key", None)}

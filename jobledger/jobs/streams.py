@@ -11,6 +11,7 @@ from jobledger.functions import scalar
 from jobledger.jobs import sql
 from jobledger.jobs.registry import KEY_PREFIX, ORACLES, query
 from jobledger.operators.events import normalize_events
+from jobledger.operators.stats import kind_is
 from jobledger.sources import fixtures as fx
 from jobledger.sources import tables
 from jobledger.streaming import intake, streams
@@ -140,6 +141,24 @@ def live_snapshot(spark, sf):
     return live.snapshot(live.close())
 
 
+_EPISODES = """SELECT {keys}, min(start) AS start, max(start) + {s} AS "end", count(*) AS windows, max(level) AS peak FROM (SELECT *, start - {s} * row_number() OVER (PARTITION BY {keys} ORDER BY start) AS island FROM (
+  SELECT {keys}, (us // 1000000) // {s} * {s} AS start, (count(*) FILTER (WHERE kind IN ({kinds})))::BIGINT AS level FROM e1 GROUP BY ALL HAVING level > {limit})) GROUP BY {keys}, island HAVING (max(start) + 2 * {s}) * 1000000 <= (SELECT us FROM mark)"""
+
+
+@query(sql.events(_EPISODES.format(keys="queue, job_type", kinds="'process_failed', 'process_retried'", s=43200, limit=1), _WATERMARK))
+def stream_churn_episodes(spark, sf):
+    """More than one failure or retry of a queue's job type in half a day, over four deliveries out of order; episodes that can't be over yet stay open."""
+    level = F.when(kind_is("process_failed", "process_retried"), 1).otherwise(0)
+    return _in_parts(spark, normalize_events(fx.events_raw(spark, sf)), lambda e: streams.stream_episodes(e, ["queue", "job_type"], level, 1, 43_200, DELAY), LATE_MS)
+
+
+@query(sql.events(_EPISODES.format(keys="kind", kinds="'republish_failed', 'settlement_failed', 'process_recovered'", s=86400, limit=2), _WATERMARK))
+def stream_internal_failure_episodes(spark, sf):
+    """More than two of the queue system's own failures of a kind in a day."""
+    level = F.when(kind_is("republish_failed", "settlement_failed", "process_recovered"), 1).otherwise(0)
+    return _in_parts(spark, normalize_events(fx.events_raw(spark, sf)), lambda e: streams.stream_episodes(e, ["kind"], level, 2, 86_400, DELAY), LATE_MS)
+
+
 @query(sql.events("SELECT CASE WHEN seq % 101 = 0 THEN 'malformed' WHEN seq % 103 = 0 THEN 'unknown version' WHEN seq % 107 = 0 THEN 'no kind' ELSE 'good' END AS verdict, count(*) AS n FROM e0 GROUP BY ALL"))
 def json_intake(spark, sf):
     """Lines of JSON in two deliveries, some cut short, of a newer schema or without a kind: what is stored where."""

@@ -64,6 +64,13 @@ def churn_alert(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     return got.where((F.col("failed") > limit) | (F.col("retried") > limit))
 
 
+def alert_episodes(events: DataFrame, keys: list[str], level: Column, limit: int, seconds: int) -> DataFrame:
+    """keys, start, end, windows, peak of each run of neighbouring windows of which the summed ``level`` exceeds ``limit``."""
+    hot = events.groupBy(*keys, window_start(seconds).alias("start")).agg(F.sum(level).alias("level")).where(F.col("level") > limit)
+    island = F.col("start") - seconds * F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
+    return hot.withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), (F.max("start") + seconds).alias("end"), F.count("*").alias("windows"), F.max("level").alias("peak")).drop("island")
+
+
 def internal_failure_alerts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Windows with more than ``limit`` of the queue system's own failures of a kind."""
     got = events.where(kind_is("republish_failed", "settlement_failed", "process_recovered")).groupBy("kind", window_start(seconds).alias("start")).agg(F.count("*").alias("n"))

@@ -23,13 +23,18 @@ def first_outcome(outcomes: DataFrame) -> DataFrame:
 
 
 def batch_state(batches: DataFrame, members: DataFrame, outcomes: DataFrame, cancels: DataFrame) -> DataFrame:
-    """Totals and flags of each batch: counting goes on after a cancel; unknown members don't count."""
+    """Totals and flags of each batch: counting goes on after a cancel; unknown members don't count.
+
+    ``updated_at``: the last outcome of a known member, repeats too, or cancel, if later than the batch was made.
+    """
+    last = outcomes.join(members.select("batch_id", "job_id").distinct(), ["batch_id", "job_id"], "left_semi").groupBy("batch_id").agg(F.max("place.time").alias("told_at"))
     wins = first_outcomes(outcomes, members).groupBy("batch_id").agg(F.count("*").alias("processed"), count_if(F.col("failed")).alias("failed"))
     totals = members.groupBy("batch_id").agg(F.count_distinct("job_id").alias("total"))
-    rows = batches.join(totals, "batch_id", "left").join(wins, "batch_id", "left").join(cancels, "batch_id", "left")
-    rows = rows.select("batch_id", "allow_failed", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("failed", F.lit(0)).alias("failed"), F.col("cancelled_at").isNotNull().alias("asked"))
+    rows = batches.join(totals, "batch_id", "left").join(wins, "batch_id", "left").join(cancels, "batch_id", "left").join(last, "batch_id", "left")
+    touched = F.greatest("created_at", "told_at", "cancelled_at").alias("updated_at")
+    rows = rows.select("batch_id", touched, "allow_failed", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("failed", F.lit(0)).alias("failed"), F.col("cancelled_at").isNotNull().alias("asked"))
     rows = rows.withColumn("pending", F.col("total") - F.col("processed")).withColumn("cancelled", F.col("asked") | ((F.col("failed") > 0) & ~F.col("allow_failed")))
-    return rows.withColumn("completed", F.col("cancelled") | (F.col("pending") == 0)).select("batch_id", "allow_failed", "total", "pending", "processed", "failed", "cancelled", "completed")
+    return rows.withColumn("completed", F.col("cancelled") | (F.col("pending") == 0)).select("batch_id", "allow_failed", "total", "pending", "processed", "failed", "cancelled", "completed", "updated_at")
 
 
 def batch_terminal_owner(batches: DataFrame, members: DataFrame, outcomes: DataFrame, cancels: DataFrame) -> DataFrame:
@@ -95,25 +100,40 @@ def _dispose(c: dict, starts: np.ndarray, carry):
 
 def chain_outcome_disposition(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
     """What each outcome did: claimed its node, repeated it with the same or another result, came early, or names no node."""
-    rows = outcomes.join(chains, "chain_id").select("chain_id", "n_nodes", "node", "failed", F.col("place.time").alias("time"), *[F.col(f"place.{x}").alias(x) for x in "abcd"])
+    told = outcomes if "error" in outcomes.columns else outcomes.withColumn("error", F.lit(None).cast("string"))
+    rows = told.join(chains.select("chain_id", "n_nodes"), "chain_id").select("chain_id", "n_nodes", "node", "failed", "error", F.col("place.time").alias("time"), *[F.col(f"place.{x}").alias(x) for x in "abcd"])
     return sorted_scan(rows, ["chain_id"], ["time", *"abcd", "node", "failed"], _dispose, "disposition string")
 
 
-def chain_state(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """next_index, completed, failed and how many outcomes acted, repeated or came early, for each chain.
+def chain_state(chains: DataFrame, outcomes: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """next_index, completed, failed, how many outcomes acted, repeated or came early, failure (its cause) and updated_at, for each chain.
 
     A fold over each chain's outcomes in order: only the node at next_index acts, and nothing after the end. Outcomes stream
-    through in order and are counted by what they did, so a chain with very many repeats is never held together.
+    through in order and are counted by what they did, so a chain with very many repeats is never held together. ``stops(chain_id, time, error)`` end
+    chains that are neither completed nor failed by then, without a node's outcome: the first of a chain counts, outcomes at its
+    moment or later do nothing and aren't counted. ``updated_at`` is the last outcome that acted or the stop, if later than the chain was made.
     """
+    halted = None
+    if stops is not None:
+        halted = stops.groupBy("chain_id").agg(F.min(F.struct("time", "error")).alias("stop"))
+        outcomes = outcomes.join(halted, "chain_id", "left").where("stop is null or place.time < stop.time").drop("stop")
     did = chain_outcome_disposition(chains, outcomes)
     is_ = lambda *names: F.col("disposition").isin(*names)
     counts = did.groupBy("chain_id").agg(
         count_if(is_("claimed") & ~F.col("failed")).alias("next"), (count_if(is_("claimed") & F.col("failed")) > 0).alias("bad"), count_if(is_("claimed")).alias("acted"),
         count_if(is_("replay_owned", "replay_lost")).alias("replayed"), count_if(is_("rejected_early")).alias("early"), count_if(is_("unknown_node")).alias("unknown"),
+        F.max(F.when(is_("claimed") & F.col("failed"), F.col("error"))).alias("cause"), F.max(F.when(is_("claimed"), F.col("time"))).alias("acted_at"),
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
-    rows = chains.select("chain_id", "n_nodes").join(counts, "chain_id", "left")
-    return rows.select("chain_id", none("next").alias("next_index"), (none("next") == F.col("n_nodes")).alias("completed"), F.coalesce("bad", F.lit(False)).alias("failed"), *[none(c).alias(c) for c in ("acted", "replayed", "early", "unknown")])
+    made = F.col("created_at") if "created_at" in chains.columns else F.lit(None).cast("timestamp")
+    rows = chains.select("chain_id", "n_nodes", made.alias("created_at")).join(counts, "chain_id", "left")
+    rows = rows.join(halted, "chain_id", "left") if halted is not None else rows.withColumn("stop", F.lit(None).cast("struct<time:timestamp,error:string>"))
+    completed, bad = none("next") == F.col("n_nodes"), F.coalesce("bad", F.lit(False))
+    stopped = F.col("stop").isNotNull() & ~completed & ~bad
+    return rows.select(
+        "chain_id", none("next").alias("next_index"), completed.alias("completed"), (bad | stopped).alias("failed"), *[none(c).alias(c) for c in ("acted", "replayed", "early", "unknown")],
+        F.when(stopped, F.col("stop.error")).otherwise(F.col("cause")).alias("failure"), F.greatest("created_at", "acted_at", F.when(stopped, F.col("stop.time"))).alias("updated_at"),
+    )
 
 
 def chain_next_jobs(chains: DataFrame, states: DataFrame) -> DataFrame:

@@ -145,7 +145,8 @@ def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chain = line.groupBy(F.col("l_orderkey").alias("chain_id")).agg(F.max("l_linenumber").cast("int").alias("n_nodes"), F.min("l_shipdate").cast("timestamp").alias("created_at"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     place = F.struct(F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_linenumber").cast("long").alias("a"), F.col("l_partkey").cast("long").alias("b"), F.col("l_suppkey").cast("long").alias("c"), cents.alias("d"))
-    outcomes = line.select(F.col("l_orderkey").alias("chain_id"), (F.col("l_linenumber") - 1).cast("int").alias("node"), place.alias("place"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("failed"))
+    bad = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    outcomes = line.select(F.col("l_orderkey").alias("chain_id"), (F.col("l_linenumber") - 1).cast("int").alias("node"), place.alias("place"), bad.alias("failed"), F.when(bad, F.concat(F.lit("cause-"), F.col("l_partkey").cast("string"))).alias("error"))
     return chain, outcomes
 
 

@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -120,6 +120,53 @@ def stream_stale(events: DataFrame, timeouts: DataFrame | None = None, grace_ms:
     return met.where("e_id is null").select("settlement_id", F.unix_millis("start").alias("started_ms"), "due_ms", "seq")
 
 
+def _episodes(keys: list[str], seconds: int, limit: int) -> Callable:
+    """Facts of a key -> episodes of neighbouring windows in alarm, each once it is over. The state holds open windows and the open episode."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, windows, peak, starts, levels = state.get if state.exists else (None, None, 0, 0, [], [])
+        open_ = dict(zip(starts, levels, strict=True))
+        for rows in [] if state.hasTimedOut else batches:
+            for start, level in rows.groupby("start")["level"].sum().items():
+                open_[start] = open_.get(start, 0) + int(level)
+        mark, done = state.getCurrentWatermarkMs(), []
+        for start in sorted(w for w in open_ if (w + seconds) * 1000 <= mark):  # complete
+            level = open_.pop(start)
+            if first is not None and (level <= limit or start != last + seconds):
+                done.append((first, last + seconds, windows, peak))
+                first, windows, peak = None, 0, 0
+            if level > limit:
+                first, last, windows, peak = start if first is None else first, start, windows + 1, max(peak, level)
+        if first is not None and (last + 2 * seconds) * 1000 <= mark:  # the next window is complete, too
+            done.append((first, last + seconds, windows, peak))
+            first, windows, peak = None, 0, 0
+        ends = [(w + seconds) * 1000 for w in open_] + ([(last + 2 * seconds) * 1000] if first is not None else [])
+        if ends:
+            state.update((first, last, windows, peak, [int(w) for w in open_], list(open_.values())))
+            state.setTimeoutTimestamp(min(ends))
+        elif state.exists:
+            state.remove()
+        if done:
+            out = pd.DataFrame(done, columns=["start", "end", "windows", "peak"])
+            yield out.assign(**dict(zip(keys, key, strict=True)))[[*keys, "start", "end", "windows", "peak"]]
+
+    return run
+
+
+def stream_episodes(events: DataFrame, keys: list[str], level: Column, limit: int, seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Alerts that open and close once: keys (strings), start, end, windows, peak of each run of neighbouring windows of which the summed ``level`` (0 at least) exceeds ``limit``.
+
+    A window counts once the watermark has passed its end. An episode is closed by a complete window that isn't in alarm, or by the
+    watermark where the next window stays empty. So what comes out depends on event times only. Facts with level 0 need no state; a key's state is its windows within ``delay``
+    and one episode, and goes when neither is left.
+    """
+    rows = events.withWatermark("time", delay).withColumn("level", level.cast("long")).where("level <> 0")
+    rows = rows.select(*keys, "time", (F.floor(F.unix_seconds("time") / seconds) * seconds).alias("start"), "level")
+    schema = ", ".join([*(f"{k} string" for k in keys), "start long, end long, windows long, peak long"])
+    held = "first long, last long, windows long, peak long, starts array<long>, levels array<long>"
+    return rows.groupBy(*keys).applyInPandasWithState(_episodes(keys, seconds, limit), schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], Any]], failures: list | None = None):
     """A writer that hands each micro-batch to every sink; one that raises doesn't stop the others and is noted in ``failures``.
 

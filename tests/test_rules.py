@@ -265,6 +265,17 @@ def test_chain_fold_and_dispositions(spark):
     assert got == ["claimed", "replay_owned", "replay_lost", "rejected_early", "claimed", "unknown_node", "claimed", "replay_owned", "replay_lost"]
 
 
+def test_chains_can_be_given_up(spark):
+    """The first stop of a chain ends it unless it has ended; later outcomes do nothing. The cause and the last change are kept."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    chains = spark.createDataFrame([(c, 2, T0) for c in ("done", "bad", "stopped", "early", "live")], "chain_id string, n_nodes int, created_at timestamp")
+    told = [("done", 0, 1, False), ("done", 1, 2, False), ("bad", 0, 3, True), ("stopped", 0, 4, False), ("stopped", 1, 10, False), ("early", 0, 5, False), ("live", 0, 6, False)]
+    outcomes = spark.createDataFrame([(c, n, (at(s), 0, 0, 0, 0), bad, f"why {c}" if bad else None) for c, n, s, bad in told], "chain_id string, node int, place struct<time:timestamp,a:long,b:long,c:long,d:long>, failed boolean, error string")
+    stops = spark.createDataFrame([("done", at(9), "x"), ("bad", at(9), "x"), ("stopped", at(10), "first"), ("stopped", at(11), "second"), ("early", at(5), "x")], "chain_id string, time timestamp, error string")
+    got = {x.chain_id: (x.next_index, x.completed, x.failed, x.failure, x.updated_at) for x in workflow.chain_state(chains, outcomes, stops).collect()}
+    assert got == {"done": (2, True, False, None, at(2)), "bad": (0, False, True, "why bad", at(3)), "stopped": (1, False, True, "first", at(10)), "early": (0, False, True, "x", at(5)), "live": (1, False, False, None, at(6))}
+
+
 def test_prune_keeps_what_is_live_or_recent(spark):
     at = {"old": T0, "new": T0 + timedelta(days=2)}
     rows = lambda key: spark.createDataFrame([(i, ended, at[age]) for i, (ended, age) in enumerate([(True, "old"), (False, "old"), (True, "new")])], f"{key} long, ended boolean, updated_at timestamp")

@@ -78,42 +78,6 @@ def hops(t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from: int |
         at = after[at]
 
 
-def claim_until(time: str, ttl: str) -> Callable:
-    """Accept a row if no accepted one holds [t, t + ttl); a ttl of 0 or less claims nothing and is always accepted."""
-
-    def step(c: dict, starts: np.ndarray, free_from):
-        t, d = c[time].astype(np.int64), c[ttl].astype(np.int64)
-        ok = d <= 0
-        return _among(~ok, ok, t, t + d, starts, free_from)
-
-    return step
-
-
-def lease_until(time: str, until: str) -> Callable:
-    """Accept a row if no accepted one holds [t, until)."""
-
-    def step(c: dict, starts: np.ndarray, free_from):
-        ok, free_from = hops(c[time].astype(np.int64), c[until].astype(np.int64), starts, free_from)
-        return (ok,), free_from
-
-    return step
-
-
-def _among(rows: np.ndarray, ok: np.ndarray, t: np.ndarray, until: np.ndarray, starts: np.ndarray, free_from):
-    """:func:`hops` over some of the rows; a last key without any keeps its carry."""
-    at = np.flatnonzero(rows)
-    key = key_numbers(starts, len(rows))
-    own = key[at]
-    begins = np.flatnonzero(np.diff(own, prepend=-1))
-    carried = free_from if len(own) and own[0] == 0 else None
-    got, final = hops(t[at], until[at], begins, carried)
-    ok = ok.copy()
-    ok[at] = got
-    if len(own) == 0 or own[-1] != len(starts) - 1:  # nothing of the last key takes part
-        final = free_from if len(starts) == 1 else None
-    return (ok,), final
-
-
 def keep_spaced(time: str, gap: int) -> Callable:
     """Keep the first row and each that comes at least ``gap`` after the last kept one."""
 

@@ -309,26 +309,14 @@ def test_scan_steps_equal_loops(seed):
     n = int(r.integers(1, 60))
     keys = np.sort(r.integers(0, 6, n))
     t = np.concatenate([np.sort(r.integers(0, 50, (keys == k).sum())) for k in np.unique(keys)])
-    ttl = r.integers(-3, 12, n)
     cuts = [0, *sorted(r.integers(0, n + 1, 3).tolist()), n]
-    free, claims, leases, kept = {}, [], [], []
-    lease, last = {}, {}
-    for k, x, d in zip(keys.tolist(), t.tolist(), ttl.tolist(), strict=True):
-        ok = d <= 0 or x >= free.get(k, -1)
-        if ok and d > 0:
-            free[k] = x + d
-        claims.append(ok)
-        ok = x >= lease.get(k, -1)
-        if ok:
-            lease[k] = x + abs(d)
-        leases.append(ok)
+    kept, last = [], {}
+    for k, x in zip(keys.tolist(), t.tolist(), strict=True):
         ok = k not in last or x >= last[k] + 5
         if ok:
             last[k] = x
         kept.append(ok)
-    columns = {"t": t, "ttl": ttl, "until": t + abs(ttl)}
-    assert in_batches(scan.claim_until("t", "ttl"), columns, keys, cuts) == claims
-    assert in_batches(scan.lease_until("t", "until"), columns, keys, cuts) == leases
+    columns = {"t": t}
     assert in_batches(scan.keep_spaced("t", 5), columns, keys, cuts) == kept
 
 

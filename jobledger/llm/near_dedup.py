@@ -8,8 +8,8 @@
 3. Banding: t = bands * rows, with as many rows as leave a pair at the threshold less than one chance in a million to
    share no band (8 rows of 51 bands at 0.85). Every document is tied to the smallest of each bucket, and the connected candidates form
    a candidate class: two documents that share any bucket are in one class.
-4. Verification: the members of a class meet, first with 128 bytes of each sketch: a set is sent there in full only if its
-   sketch agrees with some other's there as one at the threshold would (it is missed with less than 1e-9). A class that is too large for one
+4. Verification: the members of a class meet, first with 128 bytes of each sketch, which are banded again: a set is sent there in full only if its
+   sketch agrees with some other's there as one at the threshold would (it is missed with less than 1e-9, and shares no band with it with less than 1e-7). A class that is too large for one
    task is cut into blocks of bounded size, first by size stratum (sets further than one stratum apart cannot reach the threshold), then by a
    hash, and every pair of blocks that can hold a link is such a meeting. So classes
    that chain through common wording move short sketches, and full sets follow the documents that are really alike. A
@@ -106,6 +106,11 @@ def rows_for(threshold: float, bands: int, miss: float = 1e-6) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** bands <= miss)
 
 
+def rows_within(threshold: float, miss: float = 1e-7) -> int:
+    """As :func:`rows_for`, for the coordinates that are compared within a class."""
+    return max(r for r in range(1, 9) if r == 1 or (1 - threshold**r) ** (COORDS // r) <= miss)
+
+
 def agreeing(threshold: float, coordinates: int, miss: float = 1e-9) -> int:
     """The most coordinates of a sketch that a pair at the threshold agrees in but for a chance of ``miss``."""
     chance, k = (1 - threshold) ** coordinates, 0
@@ -192,26 +197,75 @@ def _verify(percent: int):
     return run
 
 
-def _partners(least: int):
+def _agree(x: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Whether sketches a[i] and b[i] agree in ``least`` coordinates and more."""
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        out[part] = np.count_nonzero(x[a[part]] == x[b[part]], axis=1) >= least
+    return out
+
+
+def _all_pairs(x: np.ndarray, side: np.ndarray, both: bool, left: np.ndarray, right: np.ndarray, least: int, found: np.ndarray) -> None:
+    """Mark those of ``left`` and ``right`` that agree with one of the other."""
+    columns = np.ascontiguousarray(x[right].T)
+    for a in range(0, len(left), 256):
+        rows = left[a : a + 256]
+        same = np.zeros((len(rows), len(right)), np.uint8)
+        for j in range(x.shape[1]):
+            same += x[rows, j][:, None] == columns[j][None, :]
+        near = (same >= least) & (rows[:, None] != right[None, :])
+        if both:
+            near &= side[rows][:, None] != side[right][None, :]
+        found[rows] |= near.any(axis=1)
+        found[right] |= near.any(axis=0)
+
+
+def partnered(x: np.ndarray, side: np.ndarray, least: int, rows: int) -> tuple[np.ndarray, int]:
+    """Which sketches agree with another one (of the other side, where there are two) in ``least`` coordinates and more; and how many pairs were compared.
+
+    Only sketches that share a band of ``rows`` coordinates are compared. Each is held against the first of its bucket (of the other side) at
+    once, which settles groups of copies in a number of steps that grows with their size; those that agree with none of these are
+    held against all of their buckets. Where that is more than there are pairs, all pairs are compared instead.
+    """
+    n, bands = len(x), x.shape[1] // rows
+    found, both = np.zeros(n, dtype=bool), bool(side.any() and not side.all())
+    code = np.broadcast_to(np.arange(bands, dtype=U64), (n, bands)).copy()
+    for j in range(rows):
+        code = tb.mix(code ^ (x[:, j : bands * rows : rows].astype(U64) + U64(1 + (j << 9))))
+    code = (code & ~U64(1)) | (side.astype(U64)[:, None] if both else U64(0))
+    order = np.argsort(code, axis=None, kind="stable")
+    bucket, member = code.reshape(-1)[order] >> U64(1), order // bands
+    start = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if n else np.zeros(0, dtype=bool)
+    head = np.flatnonzero(start)
+    size = np.diff(np.append(head, len(bucket)))
+    own = np.cumsum(start) - 1
+    first, last = member[head][own], member[head + size - 1][own]
+    other = np.where(side[member] == 1, first, last) if both else first  # sides are sorted within a bucket
+    meet = np.flatnonzero((size[own] > 1) & (other != member) & ((side[other] != side[member]) | (not both)))
+    pairs = np.unique(np.stack([np.minimum(member[meet], other[meet]), np.maximum(member[meet], other[meet])], axis=1), axis=0) if len(meet) else np.zeros((0, 2), np.int64)
+    hit = pairs[_agree(x, pairs[:, 0], pairs[:, 1], least)]
+    found[hit.reshape(-1)] = True
+    compared = len(pairs)
+    open_ = np.bincount(own[~found[member]], minlength=len(head)) if n else np.zeros(0, np.int64)
+    todo = np.flatnonzero((open_ > 0) & (size > 2))
+    if (open_[todo] * size[todo]).sum() >= n * n // 2:
+        _all_pairs(x, side, both, np.flatnonzero(~found), np.arange(n), least, found)
+        return found, compared + int((~found).sum()) * n
+    for g in todo:
+        here = member[head[g] : head[g] + size[g]]
+        left = here[~found[here]]
+        compared += len(left) * len(here)
+        _all_pairs(x, side, both, left, here, least, found)
+    return found, compared
+
+
+def _partners(least: int, rows: int):
     """Sketches of a task -> those that agree with another one in ``least`` coordinates and more."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["coords"]), np.uint8).reshape(len(group), -1)
-        side = group["side"].to_numpy()
-        both = bool(side.any() and not side.all())
-        left = np.flatnonzero(side == 0) if both else np.arange(len(x))
-        right = np.flatnonzero(side == 1) if both else left
-        columns = np.ascontiguousarray(x[right].T)
-        found = np.zeros(len(x), dtype=bool)
-        for a in range(0, len(left), 256):
-            rows = left[a : a + 256]
-            same = np.zeros((len(rows), len(right)), np.uint8)
-            for j in range(x.shape[1]):
-                same += x[rows, j][:, None] == columns[j][None, :]
-            near = same >= least
-            near &= rows[:, None] != right[None, :]
-            found[rows] |= near.any(axis=1)
-            found[right] |= near.any(axis=0)
+        found, _ = partnered(x, group["side"].to_numpy(), least, rows)
         return group.loc[found, ["doc_id", "tag", "component", "s1", "z1", "s2", "z2", "side"]]
 
     return run
@@ -275,7 +329,7 @@ def comparisons(classes: DataFrame, percent: int, sketch_docs: int, block_shingl
     several = F.concat(same, F.when(near(1) > 0, up).otherwise(none), F.when(near(-1) > 0, down).otherwise(none))
     tasks = F.when(F.col("single"), F.array(pair(zero, zero, zero, zero, zero))).otherwise(several)  # a class that is one block meets itself
     met = sized.join(plan, "component").select(F.col("node").alias("doc_id"), "tag", "coords", F.inline(tasks))
-    kept = met.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_partners(agreeing(percent / 100, COORDS)), "doc_id long, tag long, component long, s1 int, z1 int, s2 int, z2 int, side int")
+    kept = met.groupBy("component", "s1", "z1", "s2", "z2").applyInPandas(_partners(agreeing(percent / 100, COORDS), rows_within(percent / 100)), "doc_id long, tag long, component long, s1 int, z1 int, s2 int, z2 int, side int")
     return kept.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("component", "s1", "z1", "s2", "z2", "side")).alias("list"))
 
 

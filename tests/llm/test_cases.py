@@ -739,3 +739,35 @@ def test_popular_parts_are_split_by_queries_too(spark):
     scores = [s for q, _, _, s in whole if q == 40]
     best = sorted((float(v @ np.array(asked)) for i, v in enumerate(x) if i != 40), reverse=True)[:20]
     assert len(scores) == 20 and scores[0] == pytest.approx(best[0])
+
+
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_partners_equal_all_pairs(two_sides):
+    r = np.random.default_rng(3)
+    least, rows = near_dedup.agreeing(0.85, 128), near_dedup.rows_within(0.85)
+    for _ in range(6):
+        base = r.integers(0, 256, (12, 128))
+        x = base[r.integers(0, 12, 150)]
+        noise = r.random(x.shape) < r.choice([0.0, 0.1, 0.3, 0.6], (150, 1))
+        x = np.where(noise, r.integers(0, 256, x.shape), x).astype(np.uint8)
+        side = r.integers(0, 2, 150) if two_sides else np.zeros(150, np.int64)
+        near = ((x[:, None] == x[None]).sum(axis=2) >= least) & ~np.eye(150, dtype=bool)
+        if two_sides:
+            near &= side[:, None] != side[None]
+        assert (near_dedup.partnered(x, side, least, rows)[0] == near.any(axis=1)).all()
+    assert near_dedup.partnered(np.zeros((0, 128), np.uint8), np.zeros(0, np.int64), least, rows)[0].tolist() == []
+
+
+def test_compared_pairs_grow_with_a_templated_class():
+    """Texts of one template (a third alike), and groups of copies: twice as many need about twice the comparisons."""
+    r = np.random.default_rng(4)
+    least, rows = near_dedup.agreeing(0.85, 128), near_dedup.rows_within(0.85)
+
+    def compared(n, alike):
+        base = r.integers(0, 256, 128)
+        x = np.where(r.random((n, 128)) < alike, base, r.integers(0, 256, (n, 128))).astype(np.uint8)
+        return near_dedup.partnered(x, np.zeros(n, np.int64), least, rows)[1]
+
+    for alike in (0.3, 0.97):
+        few, many = compared(1000, alike), compared(4000, alike)
+        assert many < 5 * few + 4000 * 32 and many < 4000 * 4000 / 8, (few, many)

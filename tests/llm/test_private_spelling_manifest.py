@@ -265,6 +265,7 @@ def test_windows_cover_what_is_near_a_trigger():
 
 
 def test_reconciling_whole_texts():
+    assert pii.plausible(2, "4111/1111/1111/1111") and not pii.plausible(2, "4111/1111/1111/1112")
     text = "call 555 0100 200 or write to me (at) home (dot) org, 12"
     a, b = text.index("555"), text.index(" or")
     m, n = text.index("me"), text.index(", 12")
@@ -285,16 +286,17 @@ def test_rules_alone_where_nothing_is_labelled(spark):
 
 
 def test_detector_on_held_out_texts(spark):
-    """Fitted on sf0.01; read: texts of other ids with data in the rules' forms and in others, and numbers that are nobody's."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0")
-    detector = pii.fit(docs, per_kind=400, steps=200)
+    """Fitted on sf0.1; read: texts of other wording with data in forms that the rules don't know, and numbers that are nobody's."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    detector = pii.fit(docs)
     r, prose = random.Random(9), "the quick brown fox went over there and then some more of it came along".split()
     hit, seen, wrong = np.zeros(4), np.zeros(4), 0
     rows, planted = [], {}
     for i in range(240):
         kind = i % 5
+        number = "4" + "".join(r.choices("0123456789", k=14))
         datum = {
-            0: f"{r.choice(prose)}.{r.randrange(99)}@mail{r.randrange(9)}.example.com", 1: ".".join(str(r.randrange(256)) for _ in range(4)), 2: "4" + "".join(r.choices("0123456789", k=15)),
+            0: f"{r.choice(prose)}.{r.randrange(99)}@mail{r.randrange(9)}.example.com", 1: ".".join(str(r.randrange(256)) for _ in range(4)), 2: next(c for d in "0123456789" if pii.luhn(c := number + d)),
             3: f"+1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)}", 4: "",
         }[kind]
         before, after = " ".join(r.choices(prose, k=30)) + " ", " " + " ".join(r.choices(prose, k=30))

@@ -15,6 +15,7 @@ from jobledger.operators.stats import kind_is
 from jobledger.sources import fixtures as fx
 from jobledger.sources import tables
 from jobledger.streaming import intake, streams
+from jobledger.streaming.lateness import LateGate
 from jobledger.streaming.live import LiveStats
 
 
@@ -159,6 +160,20 @@ def stream_internal_failure_episodes(spark, sf):
     return _in_parts(spark, normalize_events(fx.events_raw(spark, sf)), lambda e: streams.stream_episodes(e, ["kind"], level, 2, 86_400, DELAY), LATE_MS)
 
 
+@query(sql.events("SELECT kind, (count(*) FILTER (WHERE late))::BIGINT AS late, (count(*) FILTER (WHERE NOT late))::BIGINT AS in_time FROM (SELECT kind, seq % 10 = 0 AND us <= (SELECT max(us) FROM e1 WHERE seq % 10 <> 0) - 86400000000 AS late FROM e1) GROUP BY kind"))
+def late_events(spark, sf):
+    """Every tenth fact comes in a second delivery; those over a day older than the first one's latest are late and stand in the side table."""
+    base, rows = tables.folder(spark), normalize_events(fx.events_raw(spark, sf))
+    gate = LateGate(spark, f"{base}/gate", timedelta(days=1))
+    for part in (rows.where("seq % 10 <> 0"), rows.where("seq % 10 = 0")):
+        part.write.mode("append").parquet(f"{base}/log")
+        stream = tables.stream_events(spark, f"{base}/log", files_per_trigger=1_000_000)
+        sink = lambda batch, number: batch.select("kind").write.mode("overwrite").parquet(f"{base}/in_time/batch={number}")
+        streams.finish(gate.writer(stream, sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    both = gate.late("kind string").select("kind", F.lit(1).alias("late")).unionByName(spark.read.parquet(f"{base}/in_time").select("kind", F.lit(0).alias("late")))
+    return both.groupBy("kind").agg(F.sum("late").cast("long").alias("late"), F.sum(1 - F.col("late")).cast("long").alias("in_time"))
+
+
 @query(sql.events("SELECT CASE WHEN seq % 101 = 0 THEN 'malformed' WHEN seq % 103 = 0 THEN 'unknown version' WHEN seq % 107 = 0 THEN 'no kind' ELSE 'good' END AS verdict, count(*) AS n FROM e0 GROUP BY ALL"))
 def json_intake(spark, sf):
     """Lines of JSON in two deliveries, some cut short, of a newer schema or without a kind: what is stored where."""

@@ -160,7 +160,9 @@ def stream_episodes(events: DataFrame, keys: list[str], level: Column, limit: in
     watermark where the next window stays empty. So what comes out depends on event times only. Facts with level 0 need no state; a key's state is its windows within ``delay``
     and one episode, and goes when neither is left.
     """
-    rows = events.withWatermark("time", delay).withColumn("level", level.cast("long")).where("level <> 0")
+    # the time in the condition keeps the filter above the watermark, which all facts move
+    told = F.col("level") * F.greatest(F.unix_seconds("time"), F.lit(1)) > 0
+    rows = events.withWatermark("time", delay).withColumn("level", level.cast("long")).where(told)
     rows = rows.select(*keys, "time", (F.floor(F.unix_seconds("time") / seconds) * seconds).alias("start"), "level")
     schema = ", ".join([*(f"{k} string" for k in keys), "start long, end long, windows long, peak long"])
     held = "first long, last long, windows long, peak long, starts array<long>, levels array<long>"

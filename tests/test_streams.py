@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from jobledger import schemas
@@ -12,6 +13,7 @@ from jobledger.jobs import catalog
 from jobledger.operators import stats
 from jobledger.operators.events import dedupe_events
 from jobledger.streaming import streams
+from jobledger.streaming.lateness import LateGate, ProgressLog, observed
 from jobledger.streaming.live import LiveStats
 
 T0 = datetime(2024, 1, 1)
@@ -115,3 +117,47 @@ def test_live_statistics_do_not_depend_on_the_cut(spark, tmp_path):
     columns = stats.stats_snapshot(spark.createDataFrame(rows[:1], schemas.EVENT)).columns
     assert sorted(map(tuple, out.select(*columns).collect())) == want
     assert live.read("late", live.last()).count() == 0
+
+
+def test_late_rows_stand_aside_and_totals_add_up(spark, tmp_path):
+    gate, kept = LateGate(spark, f"{tmp_path}/gate", timedelta(minutes=10)), {}
+    batches = [[fact(1, 0, "k"), fact(2, 30, "k")], [], [fact(3, 19, "k"), fact(4, 20, "k"), fact(5, 21, "k"), fact(6, 50, "k")], [fact(7, 39, "k"), fact(8, 41, "k")]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a batch that comes again
+            kept[number] = sorted(x.seq for x in gate.split(spark.createDataFrame(rows, schemas.EVENT), number).collect())
+    late = sorted((x.batch, x.seq) for x in gate.late("seq long, batch int").collect())
+    assert late == [(2, 3), (2, 4), (3, 7)] and kept == {0: [1, 2], 1: [], 2: [5, 6], 3: [8]}
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    """The windows drop what is too late; the listener says how much came and how much was dropped."""
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        for rows in ([fact(1, 0, "process_started"), fact(2, 300, "process_started")], [fact(3, 1, "process_started"), fact(4, 301, "process_started")]):
+            deliver(spark, f"{tmp_path}/log", rows)
+            stream = observed(spark.readStream.schema(schemas.EVENT).parquet(f"{tmp_path}/log"))
+            streams.run_to_end(streams.stream_rates(stream, "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        for _ in range(50):
+            if sum(rows for rows, _ in log.batches.values()) >= 4:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    told = log.drain()
+    assert sum(rows for *_, rows, _ in told) == 4 and sum(dropped for *_, dropped in told) == 1
+    assert log.drain() == []
+
+
+def test_episodes_open_and_close_once(spark, tmp_path):
+    """Three hours in alarm over two deliveries, an hour off, one more hour in alarm that isn't over yet."""
+    at = lambda h, m: 60 * h + m
+    first = [fact(i, at(0, i), "process_failed") for i in range(3)] + [fact(10 + i, at(1, i), "process_failed") for i in range(3)]
+    second = [fact(20 + i, at(2, i), "process_failed") for i in range(4)] + [fact(30, at(3, 5), "process_failed")] + [fact(40 + i, at(4, i), "process_failed") for i in range(3)] + [fact(50, at(4, 30), "process_succeeded")]
+    level = F.when(F.col("kind") == "process_failed", 1).otherwise(0)
+    for rows in (first, second):
+        deliver(spark, f"{tmp_path}/log", rows)
+        stream = spark.readStream.schema(schemas.EVENT).parquet(f"{tmp_path}/log")
+        out = streams.run_to_end(streams.stream_episodes(stream, ["queue"], level, 2, 3600), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    began = int(spark.sql("select unix_seconds(timestamp '2024-01-01')").first()[0])
+    assert [tuple(x) for x in out.collect()] == [("q", began, began + 3 * 3600, 3, 4)]

@@ -116,8 +116,8 @@ def stream_unique(spark, sf):
 @query(sql.events(
     """SELECT s.settlement_id, s.us // 1000 AS started_ms, s.us // 1000 + s.own AS due_ms, s.seq FROM
       (SELECT *, CASE WHEN k.timeout_ms > 0 THEN k.timeout_ms ELSE 300000 END + 2000 AS own FROM e1 JOIN k USING (job_type) WHERE settlement_id IS NOT NULL AND kind = 'process_started') s
-      WHERE s.us + 86402000000 <= (SELECT us FROM mark2) AND NOT EXISTS (SELECT 1 FROM e1 t WHERE t.settlement_id = s.settlement_id AND t.kind IN ('process_succeeded', 'process_failed') AND (t.us > s.us OR (t.us = s.us AND t.seq > s.seq)) AND t.us // 1000 <= s.us // 1000 + s.own)""",
-    "mark2 AS (SELECT min(us) // 1000 * 1000 - 21600000000 AS us FROM (SELECT max(us) AS us FROM e1 WHERE settlement_id IS NOT NULL AND kind IN ('process_started', 'process_succeeded', 'process_failed') GROUP BY kind = 'process_started'))",
+      WHERE s.us + 86402000000 <= (SELECT us FROM mark) AND NOT EXISTS (SELECT 1 FROM e1 t WHERE t.settlement_id = s.settlement_id AND t.kind IN ('process_succeeded', 'process_failed') AND (t.us > s.us OR (t.us = s.us AND t.seq > s.seq)) AND t.us // 1000 <= s.us // 1000 + s.own)""",
+    _WATERMARK,
     "k AS (SELECT 'type-' || i AS job_type, i * 12000000::BIGINT AS timeout_ms FROM range(7) r(i))",
 ))
 def stream_stale(spark, sf):

@@ -95,25 +95,29 @@ def stream_unique(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return gated.union(free)
 
 
+def _above_watermark(condition: Column) -> Column:
+    """A filter that names the event time, so it isn't pushed below the watermark: rows that it drops move the watermark too."""
+    return F.when(condition, F.greatest(F.unix_seconds("time"), F.lit(1))).otherwise(0) > 0
+
+
 def stream_stale(events: DataFrame, timeouts: DataFrame | None = None, grace_ms: int = 2_000, lease_ms: int = 300_000, longest_ms: int = 86_400_000, delay: str = "10 minutes") -> DataFrame:
     """settlement_id, started_ms, due_ms of executions without an end within their timeout and grace, or the lease and grace without one.
 
     ``timeouts(job_type, timeout_ms)``: timeouts of at most ``longest_ms``; a longer one raises. Starts meet the ends of their settlement id by
     an outer interval join of two streams on event time, so it doesn't matter in which micro-batch, or in which order, either comes
-    within ``delay``. A start is given once the watermark has passed the longest timeout and no end came in time; an end at the very
+    within ``delay``. All facts move the watermark, so executions that hang are told of also when none ends any more. A start is given once the watermark has passed the longest timeout and no end came in time; an end at the very
     moment counts if its seq is larger. Spark keeps only rows that can still meet another.
     """
-    rows = events.where("settlement_id is not null")
-    limit = F.lit(lease_ms)
-    starts = rows.where(kind_is("process_started"))
+    rows, limit = events.withWatermark("time", delay), F.lit(lease_ms)
+    starts = rows.where(_above_watermark(F.col("settlement_id").isNotNull() & kind_is("process_started")))
     if timeouts is not None:
         own = F.coalesce(F.when(F.col("timeout_ms") > 0, F.col("timeout_ms")), F.lit(lease_ms))
         limit = F.when(own <= longest_ms, own).otherwise(F.raise_error(F.lit("a timeout is longer than longest_ms")).cast("long"))
         starts = starts.join(timeouts.groupBy("job_type").agg(F.max("timeout_ms").alias("timeout_ms")), "job_type", "left")
     longest = (longest_ms if timeouts is not None else lease_ms) + grace_ms
     due = F.unix_millis("time") + limit + grace_ms
-    starts = starts.select("settlement_id", F.col("time").alias("start"), "seq", due.alias("due_ms")).withWatermark("start", delay)
-    ends = rows.where(kind_is("process_succeeded", "process_failed")).select(F.col("settlement_id").alias("e_id"), F.col("time").alias("end"), F.col("seq").alias("e_seq")).withWatermark("end", delay)
+    starts = starts.select("settlement_id", F.col("time").alias("start"), "seq", due.alias("due_ms"))
+    ends = rows.where(_above_watermark(F.col("settlement_id").isNotNull() & kind_is("process_succeeded", "process_failed"))).select(F.col("settlement_id").alias("e_id"), F.col("time").alias("end"), F.col("seq").alias("e_seq"))
     after = (F.col("end") > F.col("start")) | ((F.col("end") == F.col("start")) & (F.col("e_seq") > F.col("seq")))
     reach = (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("start") + F.expr(f"INTERVAL {longest // 1000} SECONDS {longest % 1000} MILLISECONDS"))
     met = starts.join(ends, (F.col("settlement_id") == F.col("e_id")) & reach & after & (F.unix_millis("end") <= F.col("due_ms")), "left_outer")
@@ -160,9 +164,7 @@ def stream_episodes(events: DataFrame, keys: list[str], level: Column, limit: in
     watermark where the next window stays empty. So what comes out depends on event times only. Facts with level 0 need no state; a key's state is its windows within ``delay``
     and one episode, and goes when neither is left.
     """
-    # the time in the condition keeps the filter above the watermark, which all facts move
-    told = F.col("level") * F.greatest(F.unix_seconds("time"), F.lit(1)) > 0
-    rows = events.withWatermark("time", delay).withColumn("level", level.cast("long")).where(told)
+    rows = events.withWatermark("time", delay).withColumn("level", level.cast("long")).where(_above_watermark(F.col("level") > 0))
     rows = rows.select(*keys, "time", (F.floor(F.unix_seconds("time") / seconds) * seconds).alias("start"), "level")
     schema = ", ".join([*(f"{k} string" for k in keys), "start long, end long, windows long, peak long"])
     held = "first long, last long, windows long, peak long, starts array<long>, levels array<long>"

@@ -11,8 +11,8 @@ from jobledger.operators.stats import count_if
 
 
 def first_outcomes(outcomes: DataFrame, members: DataFrame) -> DataFrame:
-    """The first outcome of each known member: batch_id, job_id, place, failed. An aggregation first, so repeats meet before the shuffle."""
-    first = outcomes.groupBy("batch_id", "job_id").agg(F.min(F.struct("place", "failed")).alias("w")).select("batch_id", "job_id", "w.place", "w.failed")
+    """The first outcome of each known member: batch_id, job_id, place, failed, told_at (when the last one came). An aggregation first, so repeats meet before the shuffle."""
+    first = outcomes.groupBy("batch_id", "job_id").agg(F.min(F.struct("place", "failed")).alias("w"), F.max("place.time").alias("told_at")).select("batch_id", "job_id", "w.place", "w.failed", "told_at")
     return first.join(members.select("batch_id", "job_id"), ["batch_id", "job_id"], "left_semi")
 
 
@@ -27,10 +27,9 @@ def batch_state(batches: DataFrame, members: DataFrame, outcomes: DataFrame, can
 
     ``updated_at``: the last outcome of a known member, repeats too, or cancel, if later than the batch was made.
     """
-    last = outcomes.join(members.select("batch_id", "job_id").distinct(), ["batch_id", "job_id"], "left_semi").groupBy("batch_id").agg(F.max("place.time").alias("told_at"))
-    wins = first_outcomes(outcomes, members).groupBy("batch_id").agg(F.count("*").alias("processed"), count_if(F.col("failed")).alias("failed"))
+    wins = first_outcomes(outcomes, members).groupBy("batch_id").agg(F.count("*").alias("processed"), count_if(F.col("failed")).alias("failed"), F.max("told_at").alias("told_at"))
     totals = members.groupBy("batch_id").agg(F.count_distinct("job_id").alias("total"))
-    rows = batches.join(totals, "batch_id", "left").join(wins, "batch_id", "left").join(cancels, "batch_id", "left").join(last, "batch_id", "left")
+    rows = batches.join(totals, "batch_id", "left").join(wins, "batch_id", "left").join(cancels, "batch_id", "left")
     touched = F.greatest("created_at", "told_at", "cancelled_at").alias("updated_at")
     rows = rows.select("batch_id", touched, "allow_failed", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("failed", F.lit(0)).alias("failed"), F.col("cancelled_at").isNotNull().alias("asked"))
     rows = rows.withColumn("pending", F.col("total") - F.col("processed")).withColumn("cancelled", F.col("asked") | ((F.col("failed") > 0) & ~F.col("allow_failed")))

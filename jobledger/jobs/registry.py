@@ -824,7 +824,7 @@ _RECEIPTS = """r0 AS (SELECT 'batch' AS workflow_kind, batch_id::VARCHAR AS work
     'dsp_b' || batch_id AS dispatch_id, epoch_us(created_at) AS created_us, failed AND NOT allow_failed AS bad FROM w JOIN (SELECT batch_id, allow_failed, created_at FROM b) b USING (batch_id)),
   rc AS (SELECT * EXCLUDE (bad), false AS completed, false AS cancelled FROM r0
   UNION ALL SELECT r0.* EXCLUDE (bad) REPLACE ('' AS member_id), true, bad FROM r0 JOIN own ON own.batch_id::VARCHAR = workflow_id AND own.job_id = member_id
-  UNION ALL SELECT 'chain', fold.chain_id::VARCHAR, fold.node::VARCHAR, CASE WHEN fold.failed THEN 'failed' ELSE 'succeeded' END, co.claim, 1, 'dsp_c' || fold.chain_id, epoch_us(ch.created_at), fold.failed OR fold.node = fold.n_nodes - 1, false
+  UNION ALL SELECT 'chain', fold.chain_id::VARCHAR, fold.node::VARCHAR, CASE WHEN fold.failed THEN 'failed' ELSE 'succeeded' END, co.claim, 1, 'dsp_c' || fold.chain_id, epoch_us(ch.created_at), NOT fold.failed AND fold.node = fold.n_nodes - 1, false
     FROM fold JOIN co ON co.chain_id = fold.chain_id AND co.i = fold.i JOIN ch ON ch.chain_id = fold.chain_id WHERE disposition = 'claimed')"""
 
 
@@ -858,17 +858,38 @@ az AS (SELECT workflow_kind, workflow_id, member_id, CASE WHEN version <> 1 THEN
   WHEN cancelled AND outcome <> 'failed' THEN 'cancelled without failure' WHEN completed AND NOT pz THEN 'ends a live workflow' WHEN member_id = '' AND completed AND cancelled <> px THEN 'cancelled mismatch' END AS reason FROM au)"""
 
 
+def _parents(spark, sf) -> DataFrame:
+    """The workflows as they stand; every 31st is gone."""
+    (batches, *more), (chains, outcomes) = _identified(spark, sf)
+    of_batch = workflow.batch_state(batches, *more).join(batches.select("batch_id", "dispatch_id", "created_at"), "batch_id").where("batch_id % 31 <> 0")
+    of_chain = workflow.chain_state(chains, outcomes).join(chains.select("chain_id", "dispatch_id", "created_at"), "chain_id").where("chain_id % 31 <> 0")
+    stand = lambda df, kind, done, cancelled: df.select(F.lit(kind).alias("workflow_kind"), F.col(f"{kind}_id").cast("string").alias("workflow_id"), "dispatch_id", F.unix_micros("created_at").alias("created_us"), done.alias("completed"), cancelled.alias("cancelled"))
+    return stand(of_batch, "batch", F.col("completed"), F.col("cancelled")).union(stand(of_chain, "chain", F.col("completed") | F.col("failed"), F.lit(False)))
+
+
 @query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _RECEIPTS, _SPOILED, "SELECT * FROM az WHERE reason IS NOT NULL"))
 def audit_receipts(spark, sf):
     """With some receipts of another version, incarnation or outcome, the member receipts of some workflows lost, and some workflows gone."""
-    (batches, *more), (chains, outcomes) = _identified(spark, sf)
     h = F.col("workflow_id").cast("long")
     r = _all_receipts(spark, sf).where(~((h % 11 == 0) & (F.col("member_id") != "")))
     r = r.withColumns({"version": F.when(h % 50 == 0, 2).otherwise(F.col("version")), "created_us": F.when(h % 23 == 0, F.col("created_us") + 1).otherwise(F.col("created_us")), "outcome": F.when((h % 19 == 0) & (F.col("member_id") == ""), "succeeded").otherwise(F.col("outcome"))})
-    of_batch = workflow.batch_state(batches, *more).join(batches.select("batch_id", "dispatch_id", "created_at"), "batch_id").where("batch_id % 31 <> 0")
-    of_chain = workflow.chain_state(chains, outcomes).join(chains.select("chain_id", "dispatch_id", "created_at"), "chain_id").where("chain_id % 31 <> 0")
-    stand = lambda df, kind, done, cancelled: df.select(F.lit(kind).alias("workflow_kind"), F.col(f"{kind}_id").cast("string").alias("workflow_id"), "dispatch_id", F.unix_micros("created_at").alias("created_us"), done.alias("completed"), cancelled.alias("cancelled"))
-    return workflow.audit_receipts(r, stand(of_batch, "batch", F.col("completed"), F.col("cancelled")).union(stand(of_chain, "chain", F.col("completed") | F.col("failed"), F.lit(False))))
+    return workflow.audit_receipts(r, _parents(spark, sf))
+
+
+@query(sql.over(sql.BATCHES, _CHAINS_BESIDE, _RECEIPTS, _SPOILED, """tries AS (SELECT workflow_kind, workflow_id, member_id, CASE h % 5 WHEN 1 THEN claim || 'x' WHEN 2 THEN NULL ELSE claim END AS claim, CASE WHEN h % 5 = 3 THEN CASE outcome WHEN 'failed' THEN 'succeeded' ELSE 'failed' END ELSE outcome END AS outcome
+    FROM (SELECT *, workflow_id::BIGINT AS h FROM rc WHERE member_id <> ''))""",
+  """dc AS (SELECT a.*, CASE WHEN a.claim IS NULL THEN 'undecided' WHEN r.claim IS NULL THEN 'not committed' WHEN r.claim <> a.claim THEN 'another''s' WHEN r.outcome <> a.outcome OR p.dispatch_id IS NULL
+    OR (a.workflow_kind = 'chain' AND (r.dispatch_id <> p.dispatch_id OR r.created_us <> p.created_us OR (r.outcome = 'failed' AND (r.completed OR r.cancelled)))) THEN 'undecided' ELSE 'mine' END AS verdict, r.completed AS rz, r.cancelled AS rx
+    FROM tries a LEFT JOIN (SELECT * FROM r2 WHERE member_id <> '') r USING (workflow_kind, workflow_id, member_id) LEFT JOIN pa p USING (workflow_kind, workflow_id))""",
+  "SELECT * EXCLUDE (rz, rx), CASE WHEN verdict = 'mine' THEN rz END AS completed, CASE WHEN verdict = 'mine' THEN rx END AS cancelled FROM dc"))
+def decide_commits(spark, sf):
+    """Attempts on all members, some with another claim, outcome or none, against receipts of which some are lost or of another incarnation."""
+    h, every = F.col("workflow_id").cast("long"), _all_receipts(spark, sf)
+    claim = F.when(h % 5 == 1, F.concat("claim", F.lit("x"))).when(h % 5 != 2, F.col("claim"))
+    turned = F.when(F.col("outcome") == "failed", "succeeded").otherwise("failed")
+    attempts = every.where("member_id <> ''").select("workflow_kind", "workflow_id", "member_id", claim.alias("claim"), F.when(h % 5 == 3, turned).otherwise(F.col("outcome")).alias("outcome"))
+    kept = every.where(~((h % 11 == 0) & (F.col("member_id") != ""))).withColumn("created_us", F.when(h % 23 == 0, F.col("created_us") + 1).otherwise(F.col("created_us")))
+    return workflow.decide_commits(attempts, kept, _parents(spark, sf))
 
 
 _CALLBACKS = """cb AS (SELECT 'batch_then:' || batch_id AS k FROM bs WHERE completed AND NOT cancelled UNION ALL SELECT 'batch_catch:' || batch_id FROM bs WHERE failed > 0 OR cancelled UNION ALL SELECT 'batch_finally:' || batch_id FROM bs WHERE completed

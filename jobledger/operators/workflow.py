@@ -192,10 +192,10 @@ def batch_receipts(batches: DataFrame, members: DataFrame, outcomes: DataFrame,
 
 
 def chain_receipts(chains: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One receipt for each outcome that claimed its node; ``completed`` on the one that ended the chain: columns ``RECEIPT``."""
+    """One receipt for each outcome that claimed its node; ``completed`` on the one that completed the chain, not on a failure: columns ``RECEIPT``."""
     did = chain_outcome_disposition(chains.select("chain_id", "n_nodes"), outcomes).where("disposition = 'claimed'")
     did = did.join(chains.select("chain_id", "dispatch_id", "created_at"), "chain_id").withColumn("claim", _claim("time", *"abcd"))
-    return _receipts(did, "chain", "chain_id", F.col("node").cast("string"), F.col("failed") | (F.col("node") == F.col("n_nodes") - 1), F.lit(False))
+    return _receipts(did, "chain", "chain_id", F.col("node").cast("string"), ~F.col("failed") & (F.col("node") == F.col("n_nodes") - 1), F.lit(False))
 
 
 def audit_receipts(receipts: DataFrame, parents: DataFrame) -> DataFrame:
@@ -219,6 +219,27 @@ def audit_receipts(receipts: DataFrame, parents: DataFrame) -> DataFrame:
     return met.withColumn("reason", reason).where("reason is not null").select("workflow_kind", "workflow_id", "member_id", "reason")
 
 
+def decide_commits(attempts: DataFrame, receipts: DataFrame, parents: DataFrame) -> DataFrame:
+    """What became of settlements whose commit was left open: the columns of ``attempts``, verdict, completed and cancelled (by this settlement, where it is mine).
+
+    ``attempts(workflow_kind, workflow_id, member_id, claim, outcome)``; ``parents`` as for :func:`audit_receipts`. The member's receipt decides: mine if it
+    names the attempt's claim and outcome, another's if it names another claim, not committed if there is none. Undecided is an attempt without a claim, one whose receipt names its claim
+    with the other outcome, one whose workflow is gone, and of chains one whose receipt is of another incarnation (dispatch id or creation) or a failure that claims to have completed it.
+    """
+    key = ["workflow_kind", "workflow_id", "member_id"]
+    told = receipts.where("member_id <> ''").select(*key, F.struct("claim", "outcome", "dispatch_id", "created_us", "completed", "cancelled").alias("r"))
+    now = parents.select("workflow_kind", "workflow_id", F.struct("dispatch_id", "created_us").alias("p"))
+    met = attempts.join(told, key, "left").join(now, ["workflow_kind", "workflow_id"], "left")
+    chain = F.col("workflow_kind") == "chain"
+    other = chain & ((F.col("r.dispatch_id") != F.col("p.dispatch_id")) | (F.col("r.created_us") != F.col("p.created_us")) | ((F.col("r.outcome") == "failed") & (F.col("r.completed") | F.col("r.cancelled"))))
+    verdict = (
+        F.when(F.coalesce("claim", F.lit("")) == "", "undecided").when(F.col("r").isNull(), "not committed").when(F.col("r.claim") != F.col("claim"), "another's")
+        .when((F.col("r.outcome") != F.col("outcome")) | F.col("p").isNull() | other, "undecided").otherwise("mine")
+    )
+    mine = F.col("verdict") == "mine"
+    return met.withColumn("verdict", verdict).select(*attempts.columns, "verdict", F.when(mine, F.col("r.completed")).alias("completed"), F.when(mine, F.col("r.cancelled")).alias("cancelled"))
+
+
 def due_callbacks(batch_states: DataFrame, chain_states: DataFrame, markers: DataFrame) -> DataFrame:
     """callback_key of every callback that a state entitles to and no marker blocks."""
     b = F.array_compact(F.array(F.when(F.col("completed") & ~F.col("cancelled"), "batch_then"), F.when((F.col("failed") > 0) | F.col("cancelled"), "batch_catch"), F.when(F.col("completed"), "batch_finally")))

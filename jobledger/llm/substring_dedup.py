@@ -620,7 +620,7 @@ def _cut_out():
     return run
 
 
-def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_bytes: int = 8 << 20, hot_from: int = 8192, most_hot: int = 1 << 20) -> DataFrame:
+def remove_shared(docs: DataFrame, length: int = 50, gram: int = 18, bucket_bytes: int = 4 << 20, hot_from: int = 8192, most_hot: int = 1 << 20) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes), kept_sha256: one row per input row.
 
     Every byte goes that is covered by a ``length``-byte string of the text's UTF-8 bytes which also starts in a document

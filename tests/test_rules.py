@@ -345,3 +345,30 @@ def test_dispositions_equal_a_loop(seed):
             want.append("rejected_early")
     cuts = [0, *sorted(r.integers(0, n + 1, 3).tolist()), n]
     assert in_batches(workflow._dispose, {"node": node, "failed": bad, "n_nodes": nodes}, keys, cuts) == want
+
+
+@pytest.mark.parametrize("name, most", [("transition_receipts", 8), ("audit_receipts", 9), ("decide_commits", 9)])
+def test_receipts_meet_in_few_shuffles(spark, sf_dir, name, most):
+    from jobledger.jobs import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= most
+
+
+def test_receipts_beside_their_workflows_are_judged_alike(spark):
+    rows = [(1, "1", T0, 1, False), (1, "2", T0, 2, True), (2, "1", T0, 3, True), (3, "1", T0, 4, False)]
+    o = spark.createDataFrame(rows, "batch_id long, job_id string, time timestamp, a long, failed boolean").select("batch_id", "job_id", F.struct("time", "a", *[F.lit(0).cast("long").alias(x) for x in "bcd"]).alias("place"), "failed")
+    m = spark.createDataFrame([(1, "1"), (1, "2"), (2, "1"), (2, "2"), (3, "1"), (3, "2")], "batch_id long, job_id string")
+    b = spark.createDataFrame([(1, True, T0, "x"), (2, False, T0, "y"), (3, True, T0, "z")], "batch_id long, allow_failed boolean, created_at timestamp, dispatch_id string")
+    c = spark.createDataFrame([], "batch_id long, cancelled_at timestamp")
+    spoil = lambda r: r.withColumn("outcome", F.when(F.col("member_id") == "", "succeeded").otherwise(F.col("outcome"))).where("not (workflow_id = '1' and member_id = '2')")
+    beside = workflow.judged(spoil(workflow.batch_receipts(b, m, o, c, standing=True)), ["id"])
+    states = workflow.batch_state(b, m, o, c).join(b.select("batch_id", "dispatch_id", "created_at"), "batch_id")
+    parents = states.select(F.lit("batch").alias("workflow_kind"), F.col("batch_id").cast("string").alias("workflow_id"), "dispatch_id", F.unix_micros("created_at").alias("created_us"), "completed", "cancelled")
+    apart = workflow.audit_receipts(spoil(workflow.batch_receipts(b, m, o, c)), parents)
+    got = sorted(map(tuple, beside.collect()))
+    assert got == sorted(map(tuple, apart.collect())) == [("batch", "1", "", "no single member receipt"), ("batch", "2", "", "outcome of another")]

@@ -572,6 +572,19 @@ def test_quality_equals_plain_features_and_ranking(spark):
             assert got[i].predicted == i % 2
 
 
+def test_quality_learns_from_every_label(spark):
+    """Of 9,000 good texts only 40 are of a second kind: with all rows read, center is the mean over all and the threshold the rank of the last bad one."""
+    docs = spark.range(9_600).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, F.concat(F.lit("BUY now!! $$$ "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("a quiet word or two about the sea "), F.repeat(F.lit("and sky "), (F.col("id") % 7).cast("int")))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") >= 600).cast("int").alias("quality"))
+    ranker = quality.fit(docs, labels)
+    raw, offsets = textbytes.text_buffer(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))
+    x = quality.features(raw, offsets)
+    assert np.allclose(ranker.center, x.mean(axis=0), atol=1e-5)
+    z = np.sort(ranker.latent(x))
+    assert ranker.threshold == pytest.approx((z[599] + z[600]) / 2, abs=1e-3)
+    assert [quality._nth(spark.range(1000).selectExpr("double(pmod(id * 7919, 1000)) as z"), n, most=10) for n in (0, 499, 999)] == [0, 499, 999]
+
+
 def test_lm_on_odd_rows(spark):
     got = lm.score_texts(odd_documents(spark)).collect()
     assert len(got) == 15 and all(x.n_tokens >= 1 and np.isfinite(x.score) and np.isfinite(x.base_score) for x in got)

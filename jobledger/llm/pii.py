@@ -25,8 +25,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What every span holds, spelt out or not: a digit, an at sign, or words for the signs of an address.
-TRIGGER = r"[0-9@]|[\[({<] ?(?:at|dot|AT|DOT) ?[\])}>]|(?:\bat|\bAT)[ \t]+[^ \t\n]+[ \t]+(?:dot|DOT)\b"
+#: What every span holds, as :func:`plausible` asks for it: a digit, an at sign, or at between others than letters A-Z; and spelt-out signs of an address.
+TRIGGER = r"[0-9@]|(?:^|[^A-Za-z])[Aa][Tt](?:[^A-Za-z]|$)|[\[({<] ?(?:dot|DOT) ?[\])}>]"
 _TRIGGER = re.compile(TRIGGER.replace("[0-9@]|", "[0-9@]+|", 1))
 #: Width of a window and the step from one to the next: a span of WIDTH - STEP characters lies whole in one.
 WIDTH, STEP = 80, 40

@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +329,13 @@ def test_private_query_keeps_the_rules(spark, sf_dir):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in base) for k in range(4)]
         assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
         assert set(told) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text", ["write to joe at example.com soon", "Joe At Example", "joe_at_example", "at", "jo\u00e9 AT x", "joe (at example", "7", "a@b"])
+def test_windows_hold_all_that_can_be_a_span(text):
+    """Wherever a piece of text is plausible as some kind, a window holds it and the column filter lets the row through."""
+    whole = f"{'x ' * 100}{text}{' y' * 100}"
+    piece = (200, 200 + len(text))
+    assert any(pii.plausible(k, text) for k in range(4)) or text == "7"
+    assert any(a <= piece[0] and piece[1] <= b for a, b, _, _ in pii.windows_of(whole))
+    assert list(pii._hits(pa.array(["", whole, text, None]))) == [1, 2]

@@ -19,16 +19,24 @@ from jobledger.streaming.lateness import LateGate
 from jobledger.streaming.live import LiveStats
 
 
+#: Rows of events in a file of the derived log.
+FILE_ROWS = 250_000
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The log as it would stand in a lake, one file for each stretch of time, read as a stream by the library's reader."""
+    """The log as it would stand in a lake, one file for each stretch of time, read as a stream by the library's reader.
+
+    Files hold about ``FILE_ROWS`` rows, so that a task's share doesn't grow with the log; a micro-batch takes half of them.
+    """
     path = f"{folder}/log"
-    tables.write_table(normalize_events(fx.events_raw(spark, sf_dir)).repartitionByRange(4, "time", "seq").sortWithinPartitions("time", "seq"), path)
-    return tables.stream_events(spark, path, files_per_trigger=2)
+    files = max(4, -(-fx.table(spark, sf_dir, "events").count() // FILE_ROWS))
+    tables.write_table(normalize_events(fx.events_raw(spark, sf_dir)).repartitionByRange(files, "time", "seq").sortWithinPartitions("time", "seq"), path)
+    return tables.stream_events(spark, path, files_per_trigger=-(-files // 2))
 
 
 def _deliveries(df: DataFrame, path: str, late_ms: int, parts: int = 4):

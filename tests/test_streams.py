@@ -161,3 +161,12 @@ def test_episodes_open_and_close_once(spark, tmp_path):
         out = streams.run_to_end(streams.stream_episodes(stream, ["queue"], level, 2, 3600), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     began = int(spark.sql("select unix_seconds(timestamp '2024-01-01')").first()[0])
     assert [tuple(x) for x in out.collect()] == [("q", began, began + 3 * 3600, 3, 4)]
+
+
+def test_files_of_the_log_grow_in_number(spark, sf_dir, tmp_path, monkeypatch):
+    from jobledger.jobs import streams as jobs
+
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    jobs._log(spark, sf_dir, f"file://{tmp_path}")
+    assert len(list((tmp_path / "log").glob("*.parquet"))) == -(-n // 100) > 4

@@ -40,17 +40,17 @@ def _log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 
 
 def _deliveries(df: DataFrame, path: str, late_ms: int, parts: int = 4):
-    """Append ``df`` as ``parts`` deliveries under ``path``, by time plus up to ``late_ms``, so rows come out of order by so much: gives control back after each."""
-    spark = df.sparkSession
+    """Append ``df`` as ``parts`` deliveries under ``path``, by time plus up to ``late_ms``, so rows come out of order by so much: gives control back after each.
+
+    A row's delivery is told by its time and number, so each delivery derives only its own rows of the table.
+    """
     arrives = F.unix_millis("time") + (F.pmod(F.xxhash64("seq"), F.lit(late_ms)) if late_ms else F.lit(0))
     cuts = df.select(F.percentile_approx(arrives, [i / parts for i in range(1, parts)], 1000)).first()[0]  # a few numbers
-    staged = f"{path}-staged"
     part = F.lit(0)
     for c in cuts:
         part = part + (arrives > c).cast("int")
-    df.withColumn("part", part).write.parquet(staged)
     for i in range(parts):
-        spark.read.parquet(staged).where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+        df.where(part == i).write.mode("append").parquet(path)
         yield i
 
 

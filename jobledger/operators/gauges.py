@@ -7,6 +7,8 @@ buckets: windows run within (queue, bucket), and only the buckets' sums are put
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +25,52 @@ def floored_gauge(df: DataFrame, keys: list[str], delta: Column, bucket: Column
     The floor at zero is applied over each key's rows in (time, seq) order. Increments so far less the gauge are the
     decrements that took effect so far, so the same pass numbers both sides of a first-in-first-out matching.
     """
+    others = [c for c in df.columns if c not in keys]
     rows = df.withColumn("delta", delta.cast("long")).where("delta <> 0").withColumn("bucket", time_bucket() if bucket is None else bucket)
-    inner = Window.partitionBy(*keys, "bucket").orderBy(*ORDER)
+    # a key with its bucket is one value, equal to itself also where a part is null: windows, sums and the join below all stay where its rows are;
+    # its hash goes first, so that sorting seldom compares more than a number
+    rows = rows.select(F.xxhash64(*keys, "bucket").alias("h"), F.struct(*keys, "bucket").alias("g"), *others, "delta", F.greatest("delta", F.lit(0).cast("long")).alias("put"))
+    inner = Window.partitionBy("h", "g").orderBy(*ORDER)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum("delta").over(upto)).withColumn("e", F.sum(F.greatest("delta", F.lit(0).cast("long"))).over(upto))
-    rows = rows.withColumn("m", F.min("s").over(upto))
-    sums = rows.groupBy(*keys, "bucket").agg(F.sum("delta").alias("bs"), F.min("m").alias("bm"), F.max("e").alias("be"))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("s0", F.coalesce(F.sum("bs").over(before), F.lit(0))).withColumn("e0", F.coalesce(F.sum("be").over(before), F.lit(0)))
-    sums = sums.withColumn("m0", F.coalesce(F.min(F.col("s0") + F.col("bm")).over(before), F.lit(0)))
+    rows = rows.withColumns({"s": F.sum("delta").over(upto), "e": F.sum("put").over(upto)})
     # before this row: the same with its delta taken out of sum and minimum
-    rows = rows.withColumn("prior", F.lag("m", 1).over(inner))
-    met = rows.join(sums.select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col("bucket").alias("g_bucket"), "s0", "m0", "e0"), [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys] + [F.col("bucket").eqNullSafe(F.col("g_bucket"))])
+    rows = rows.withColumns({"m": F.min("s").over(upto), "prior": F.min("s").over(inner.rowsBetween(Window.unboundedPreceding, -1))})
+    sums = rows.groupBy("h", "g").agg(F.sum("delta").alias("bs"), F.min("s").alias("bm"), F.sum("put").alias("be"))
+    sums = sums.select("*", *[F.col(f"g.{k}").alias(f"g_{k}") for k in (*keys, "bucket")])
+    before = Window.partitionBy(*[f"g_{k}" for k in keys]).orderBy("g_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"s0": F.coalesce(F.sum("bs").over(before), F.lit(0)), "e0": F.coalesce(F.sum("be").over(before), F.lit(0))})
+    sums = sums.withColumn("m0", F.coalesce(F.min(F.col("s0") + F.col("bm")).over(before), F.lit(0)))
+    met = rows.join(sums.select("h", "g", "s0", "m0", "e0"), ["h", "g"])
     total = F.col("s0") + F.col("s")
     now = total - F.least(F.lit(0), F.col("m0"), F.col("s0") + F.col("m"))
     was = (total - F.col("delta")) - F.least(F.lit(0), F.col("m0"), F.coalesce(F.col("s0") + F.col("prior"), F.lit(0)))
-    return met.select(*df.columns, "delta", "bucket", now.alias("gauge"), was.alias("gauge_before"), (F.col("e0") + F.col("e")).alias("puts"))
+    return met.select(*[F.col(f"g.{c}").alias(c) if c in keys else F.col(c) for c in df.columns], "delta", F.col("g.bucket").alias("bucket"), now.alias("gauge"), was.alias("gauge_before"), (F.col("e0") + F.col("e")).alias("puts"))
+
+
+#: Keys are dealt to so many classes by their hash; a key of more than so many rows isn't left to one window.
+CLASSES, MANY = 65_536, 100_000
+
+
+def by_size(df: DataFrame, keys: list[str], many: int = MANY) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` in two: rows of keys with at most ``many`` rows, for which a window each will do, and the others, if any.
+
+    Rows are counted by class of key, which combines before the shuffle; only the numbers of classes with more are collected, one for
+    ``many`` rows at most. A key of a full class goes with the others whatever its own size.
+    """
+    of = F.pmod(F.xxhash64(*keys), F.lit(CLASSES))
+    full = [x[0] for x in df.groupBy(of.alias("c")).count().where(F.col("count") > many).select("c").collect()]
+    return (df.where(~of.isin(full)), df.where(of.isin(full))) if full else (df, None)
+
+
+def whole_gauge(df: DataFrame, keys: list[str], delta: Column) -> DataFrame:
+    """:func:`floored_gauge` for keys of few rows: one window a key, no buckets."""
+    inner = Window.partitionBy(*keys).orderBy(*ORDER)
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("delta", delta.cast("long")).where("delta <> 0")
+    rows = rows.withColumns({"s": F.sum("delta").over(upto), "puts": F.sum(F.greatest("delta", F.lit(0).cast("long"))).over(upto)})
+    rows = rows.withColumns({"m": F.min("s").over(upto), "prior": F.min("s").over(inner.rowsBetween(Window.unboundedPreceding, -1))})
+    now, was = F.col("s") - F.least(F.lit(0), F.col("m")), F.col("s") - F.col("delta") - F.least(F.lit(0), F.coalesce(F.col("prior"), F.lit(0)))
+    return rows.select(*df.columns, "delta", now.alias("gauge"), was.alias("gauge_before"), "puts")
 
 
 def bucket_sums(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame:
@@ -63,6 +95,16 @@ def summed_gauges(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame
     return sums.groupBy(*keys).agg(*[x for n in deltas for x in (F.sum(f"b_{n}").alias(f"{n}_sum"), F.least(F.lit(0), F.min(f"low_{n}")).alias(f"{n}_low"))])
 
 
+def summed_by_size(df: DataFrame, keys: list[str], many: int = MANY, **deltas: Column) -> DataFrame:
+    """:func:`summed_gauges` where most keys have few rows: those meet in one shuffle, and only the others are cut into buckets."""
+    few, others = by_size(df, keys, many)
+    upto = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = few.select(*keys, *ORDER, *[d.cast("long").alias(f"d_{n}") for n, d in deltas.items()])
+    rows = rows.withColumns({f"s_{n}": F.sum(f"d_{n}").over(upto) for n in deltas})
+    out = rows.groupBy(*keys).agg(*[x for n in deltas for x in (F.sum(f"d_{n}").alias(f"{n}_sum"), F.least(F.lit(0), F.min(f"s_{n}")).alias(f"{n}_low"))])
+    return out if others is None else out.unionByName(summed_gauges(others, keys, **deltas))
+
+
 def final_gauges(df: DataFrame, keys: list[str], **deltas: Column) -> DataFrame:
     """Only the last value of each key's gauges: keys and a column for each delta. One pass for all of them."""
     return summed_gauges(df, keys, **deltas).select(*keys, *[(F.col(f"{n}_sum") - F.col(f"{n}_low")).alias(n) for n in deltas])
@@ -118,11 +160,25 @@ def match_waits(events: DataFrame) -> DataFrame:
 
 def numbered_waits(facts: DataFrame) -> DataFrame:
     """queue, job_key, nth, put (an enqueue, else a start), time, seq of enqueues and of the starts that consume one."""
-    keys = ["queue", "job_key"]
-    rows = floored_gauge(facts.select(*keys, *ORDER, "kind"), keys, pending_delta())
+    return _numbered(floored_gauge(facts.select("queue", "job_key", *ORDER, "kind"), ["queue", "job_key"], pending_delta()))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     put = F.col("delta") == 1
     nth = F.when(put, F.col("puts")).when(F.col("gauge_before") > 0, F.col("puts") - F.col("gauge"))
-    return rows.select(*keys, nth.alias("nth"), put.alias("put"), *ORDER).where("nth is not null")
+    return rows.select("queue", "job_key", nth.alias("nth"), put.alias("put"), *ORDER).where("nth is not null")
+
+
+def enqueues(facts: DataFrame, many: int = MANY) -> DataFrame:
+    """Each enqueue with the start that takes it: queue, job_key, nth, time, seq, took_at (null: none).
+
+    Keys with few rows meet in one shuffle from their order to the pairs; the others are cut into buckets of time.
+    """
+    keys, put = ["queue", "job_key"], F.col("put")
+    few, others = by_size(facts.select(*keys, *ORDER, "kind"), keys, many)
+    parts = [whole_gauge(few, keys, pending_delta())] + ([] if others is None else [floored_gauge(others, keys, pending_delta())])
+    pairs = [_numbered(p).groupBy(*keys, "nth").agg(*[F.max(F.when(put, F.col(c))).alias(c) for c in ORDER], F.max(F.when(~put, F.col("time"))).alias("took_at")) for p in parts]
+    return reduce(DataFrame.unionByName, pairs).where("time is not null")
 
 
 def matched(numbered: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from jobledger import schemas
 from jobledger.jobs import catalog
-from jobledger.operators import stats
+from jobledger.operators import gauges, stats
 from jobledger.operators.events import dedupe_events
 from jobledger.streaming import streams
 from jobledger.streaming.lateness import LateGate, ProgressLog, observed
@@ -119,6 +119,30 @@ def test_live_statistics_do_not_depend_on_the_cut(spark, tmp_path):
     assert live.read("late", live.last()).count() == 0
 
 
+def test_waits_may_add_up_to_more_than_a_long_holds(spark, tmp_path):
+    years = 250 * 365 * 1440
+    rows = [fact(i, 0, "enqueue_accepted", key="k") for i in range(4)] + [fact(4 + i, years, "process_started", key="k") for i in range(4)]
+    log = spark.createDataFrame(rows, schemas.EVENT)
+    live = LiveStats(spark, f"{tmp_path}/state")
+    live.apply(log, 0)
+    assert live.snapshot(live.close()).first().avg_wait_ns == stats.avg_wait(log).first().avg_wait_ns == years * 60 * 10**9
+
+
+def test_keys_with_many_rows_give_what_one_window_gives(spark):
+    """All keys in windows of their own, all in buckets, and one of each; a key's rows are shuffled once for their gauge."""
+    r = random.Random(5)
+    rows = [fact(i, i, r.choice(["enqueue_accepted", "process_started"]), None, r.choice(["k", "k", "k", "k", f"k{i % 30}"]), r.choice(["q", None])) for i in range(600)]
+    log = spark.createDataFrame(rows, schemas.EVENT)
+    pairs = [sorted(map(str, gauges.enqueues(log, many).collect())) for many in (1000, 0, 50)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) == sum(x[4] == "enqueue_accepted" for x in rows)
+    few, others = gauges.by_size(log, ["queue", "job_key"], 50)
+    assert few.count() and others.count() and few.count() + others.count() == 600
+    sums = [sorted(map(str, gauges.summed_by_size(log, ["queue", "job_key"], many, g=gauges.pending_delta()).collect())) for many in (1000, 0, 50)]
+    assert sums[0] == sums[1] == sums[2] == sorted(map(str, gauges.summed_gauges(log, ["queue", "job_key"], g=gauges.pending_delta()).collect()))
+    plan = gauges.floored_gauge(log.select("queue", "job_key", "time", "seq", "kind"), ["queue", "job_key"], gauges.pending_delta())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # the rows, the same again for the sums of buckets, and those to their key and back
+
+
 def test_late_rows_stand_aside_and_totals_add_up(spark, tmp_path):
     gate, kept = LateGate(spark, f"{tmp_path}/gate", timedelta(minutes=10)), {}
     batches = [[fact(1, 0, "k"), fact(2, 30, "k")], [], [fact(3, 19, "k"), fact(4, 20, "k"), fact(5, 21, "k"), fact(6, 50, "k")], [fact(7, 39, "k"), fact(8, 41, "k")]]
